@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import decontam, langid, minhash, mixing
+from docmill.llm import chat, decontam, html, langid, licenses, minhash, mixing, urls, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+#: Conversation -7: texts that look like another template's marks.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_chats(turns))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -32,11 +62,68 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_mixing, op8_minhash, op9_langid, op10_decontam)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_html, op3_chat, op4_warc, op5_urls, op6_vectors, op7_mixing, op8_minhash, op9_langid, op10_decontam)}
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _canonical_sql(text: str) -> str:
+    """DuckDB SQL for canonical_lines()."""
+    t = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    t = f"'  ' || replace(regexp_replace({t}, '{licenses.MARKS}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
+    for word, other in licenses.SPELLINGS:
+        t = f"replace({t}, ' {word} ', ' {other} ')"
+    return f"regexp_replace({t}, ' +', ' ', 'g')"
+
+
+def _joined_sql(lines: str) -> str:
+    return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+_ESCAPE = rf"regexp_replace({{}}, '([<\[])(\\*)({chat._CONTROL})', '\1\\\2\3', 'g')"
+_ROLE = "replace(replace(role, '%', '%25'), chr(10), '%0A')"
+
 SQL: dict[str, str] = {
+    "op1_licenses": f"""
+WITH k AS (
+  SELECT sha256(form) AS digest, min(id) AS license_id FROM (SELECT id, {_joined_sql(_canonical_sql("t"))} AS form FROM (VALUES {_KNOWN}) v(id, t)) WHERE form <> '' GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql("text")} AS lines FROM documents),
+l AS (SELECT r, k.license_id AS id FROM (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM d) x JOIN k ON k.digest = sha256(line)),
+n AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM l GROUP BY r)
+SELECT doc_id, sha256({_joined_sql("lines")}) AS canonical_sha256, license_id, coalesce(n, 0)::BIGINT AS n_license_lines, coalesce(ids, '') AS line_license_ids
+FROM d LEFT JOIN k ON k.digest = sha256({_joined_sql("lines")}) LEFT JOIN n USING (r)""",
+    "op3_chat": rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+o AS (
+  SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS joins, lead(role) OVER w IS DISTINCT FROM role AS ends, row_number() OVER w AS i
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_ESCAPE.format("text")}) + CASE WHEN joins THEN 10 ELSE 13 + length({_ESCAPE.format(_ROLE)}) END + CASE WHEN ends THEN 11 ELSE 0 END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id""",
+    "op4_warc": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f""",
+    "op6_vectors": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+n AS (SELECT u, count(*) AS n FROM e GROUP BY u),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.vec_id)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, m.vec_id = m.c AS kept
+FROM (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) m LEFT JOIN n ON n.u = m.vec_id""",
     "op7_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
