@@ -83,9 +83,10 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_signed(shingle_set(w, size)) for w in word_hashes(batch.column(1))]
+            d1 = _signed(np.array([mix(s.view(np.uint64)).sum(dtype=np.uint64) for s in sets], np.uint64))
             at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "d1", "s"])
 
     return run
 
@@ -94,7 +95,7 @@ def _block_links(percent: int):
     """Links of a spanning forest between the documents of one block, or of two."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable").drop_duplicates("id").reset_index(drop=True)
+        rows = rows.sort_values(["id", "d1"], kind="stable").reset_index(drop=True)
         _, bi, bj = key
         sets = [np.asarray(s, np.int64) for s in rows["s"]]
         n = np.array([len(s) for s in sets])
@@ -146,28 +147,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketches(size, bands, rows, seed), "id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 and id is not null")
     reps = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "representatives")
-    members = reps.select("rep", F.explode("keys").alias("bucket"))
-    buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"), "buckets")
+    # A node is (id, d1): an id can come with several texts.
+    members = reps.select(F.struct("rep", "d1").alias("node"), F.explode("keys").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1")
+    # Bands that bring the same members together are one bucket.
+    buckets = written(buckets.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("leader").alias("leader")).drop("x", "y"), "buckets")
     in_buckets = members.join(buckets, "bucket")
-    pairs = written(in_buckets.where("rep <> leader").select("rep", "leader").distinct(), "pairs")
-    ends = sized(pairs.select(F.col("rep").alias("id")).union(pairs.select("leader")).distinct())
-    sets = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").mapInArrow(_sets(size), "id long, s array<long>").where("size(s) > 0").dropDuplicates(["id", "s"]), "sets")
+    pairs = written(in_buckets.where("node <> leader").select("node", "leader").distinct(), "pairs")
+    ends = sized(pairs.select(F.col("node.rep").alias("id")).union(pairs.select("leader.rep")).distinct())
+    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").mapInArrow(_sets(size), "id long, d1 long, s array<long>").where("size(s) > 0").select(F.struct(F.col("id").alias("rep"), "d1").alias("node"), "s")
+    repeated = written(full.groupBy("id").agg(F.count("*").alias("n"), F.min("d1").alias("p"), F.max("d1").alias("q")).where("n > 1"), "repeated-ids")
+    sets = written(sets.dropDuplicates(["node"]) if repeated.take(1) else sets, "sets")
     inter = F.size(F.array_intersect("s", "t"))
-    confirmed = pairs.join(sets.withColumnRenamed("id", "rep"), "rep").join(sets.select(F.col("id").alias("leader"), F.col("s").alias("t")), "leader").where(100 * inter >= percent * (F.size("s") + F.size("t") - inter))
-    repeated = full.groupBy("id").agg(F.min("d1").alias("p"), F.max("d1").alias("q")).where("p <> q").select("id")
-    same = full.join(sized(repeated), "id", "left_semi").join(reps, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct()
-    links = written(confirmed.select(F.col("rep").alias("u"), F.col("leader").alias("v")).union(same), "links")
+    confirmed = pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("s").alias("t")), "leader").where(100 * inter >= percent * (F.size("s") + F.size("t") - inter))
+    same = full.join(sized(repeated.where("p <> q").select("id")), "id", "left_semi").join(reps, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct()
+    links = written(confirmed.select(F.col("node.rep").alias("u"), F.col("leader.rep").alias("v")).union(same), "links")
     first = written(connected_components(links), "components")
 
     # Buckets that still hold several components: compared block by block.
-    placed = in_buckets.where("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = in_buckets.where("members > 2").withColumn("rep", F.col("node.rep")).join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = sized(placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket"))
-    rest = written(placed.join(open_, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "open-buckets")
+    rest = placed.join(open_, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     against = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     more = (
-        rest.join(sets.withColumnRenamed("id", "rep"), "rep")
+        rest.join(sets, "node")
         .withColumn("other", against)
-        .select(F.col("rep").alias("id"), "component", "block", "s", "bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        .select(F.col("rep").alias("id"), F.col("node.d1").alias("d1"), "component", "block", "s", "bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
         .groupBy("bucket", "bi", "bj")
         .applyInPandas(_block_links(percent), "u long, v long")
     )
@@ -178,6 +183,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         component = first
     found = written(reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
-    release(buckets, pairs, sets, links, rest, more)
+    release(buckets, pairs, sets, repeated, links, more)
     out = sketches.join(found, ["n_shingles", "d1", "d2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
