@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1")
     # Bands that bring the same members together are one bucket.
     buckets = written(buckets.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("leader").alias("leader")).drop("x", "y"), "buckets")
-    in_buckets = members.join(buckets, "bucket")
+    in_buckets = written(members.join(buckets, "bucket"), "in-buckets")
     pairs = written(in_buckets.where("node <> leader").select("node", "leader").distinct(), "pairs")
     ends = sized(pairs.select(F.col("node.rep").alias("id")).union(pairs.select("leader.rep")).distinct())
     sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").mapInArrow(_sets(size), "id long, d1 long, s array<long>").where("size(s) > 0").select(F.struct(F.col("id").alias("rep"), "d1").alias("node"), "s")
@@ -183,6 +183,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         component = first
     found = written(reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
-    release(buckets, pairs, sets, repeated, links, more)
+    release(buckets, in_buckets, pairs, sets, repeated, links, more)
     out = sketches.join(found, ["n_shingles", "d1", "d2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -19,7 +19,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if len(_powers.get(base, ())) < max(1, n):
         steps = np.full(max(n, _STEP), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=np.uint64)
