@@ -349,8 +349,8 @@ _SNIPPET = """regexp_replace((CASE WHEN start > 0 THEN '...' ELSE '' END) || reg
 t AS {_top(8, source='f', places=12)},
 a AS (SELECT query_id, list(DISTINCT term) AS asked FROM e GROUP BY 1),
 b AS (SELECT query_id, id, content, asked, t.score * CASE WHEN is_entrypoint THEN 1.3::DOUBLE ELSE 1 END * (1 + 0.2::DOUBLE * len(list_intersect(asked, list_distinct(regexp_extract_all(lower(title), '{_WORD}'))))) AS score FROM t JOIN chunks USING (id) JOIN a USING (query_id)),
-c AS {_top(8, source='b', places=12)},
-ps AS (SELECT *, coalesce(list_min(list_filter(list_transform(asked, lambda x: instr(lower(content), x)), lambda p: p > 0)), 1) - 1 AS pos FROM c),
+best AS {_top(8, source='b', places=12)},
+ps AS (SELECT *, coalesce(list_min(list_filter(list_transform(asked, lambda x: instr(lower(content), x)), lambda p: p > 0)), 1) - 1 AS pos FROM best),
 st AS (SELECT *, greatest(0, pos - 50) AS start FROM ps)
 SELECT query_id, id, rank, round(score, 6) AS score, {_SNIPPET} AS snippet FROM st""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
