@@ -119,4 +119,4 @@ def usage_snippet(content: Column, component: Column) -> Column:
     start = F.greatest(F.lit(1), at - 50)
     end = F.least(n, at + 199)
     around = F.concat(F.when(start > 1, "...").otherwise(""), F.substr(content, start, end - start + 1), F.when(end < n, "...").otherwise(""))
-    return F.coalesce(around, F.when(n > 300, F.concat(F.substring(content, 1, 300), F.lit("..."))).otherwise(content))
+    return F.when(at.isNotNull(), around).otherwise(F.when(n > 300, F.concat(F.substring(content, 1, 300), F.lit("..."))).otherwise(content))

@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of a few scalar columns may be broadcast (some tens of MB).
 BROADCAST_ROWS = 500_000
 
+#: Rows and bytes of a batch of texts that goes to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _left: dict[str, SparkSession] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once; a smaller setting of the session stays as it is."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)

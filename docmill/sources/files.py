@@ -26,7 +26,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, on the driver, from any store that Spark reads."""
-    return "".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def glob_regex(glob: str) -> str:

@@ -194,7 +194,7 @@ def test_python_signatures():
 
 
 def test_docstring_styles(spark):
-    rows = spark.createDataFrame([("Sum.\n\nArgs:\n    x: n",), ("Sum.\n\nParameters\n----------\nx",), ("Sum.\n\n:param x: n",), ("Sum.",), (None,)], "d string")
+    rows = spark.createDataFrame([("Sum.\n\nArgs:\n    x: n",), ("Sum.\n\nParameters\n----------\nx",), ("Sum.\n\n:returns: n",), ("Sum.",), (None,)], "d string")
     assert [r[0] for r in rows.select(pycode.docstring_style(F.col("d"))).collect()] == ["google", "numpy", "sphinx", "google", "google"]
 
 
