@@ -469,7 +469,7 @@ def explore_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.explore_category(graph.build_graph(chunks), chunks, "de", True).withColumn("chunks", F.array_join(F.array_sort("chunks"), "|"))
 
 
-@query(f"WITH {_BOOSTED}, t AS {_top(40, 'seq', 'b')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY t.rank) AS rank FROM t JOIN chunks USING (id) WHERE name IN (SELECT name FROM chunks WHERE cat = 'fr') AND chunk_type = 'overview' QUALIFY rank <= 8")
+@query(f"WITH {_BOOSTED}, t AS {_top(40, 'seq', 'b')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY t.rank) AS rank FROM t JOIN chunks USING (id) WHERE name IN (SELECT name FROM chunks WHERE cat = 'fr') AND chunk_type = 'overview' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t.rank) <= 8")
 def graph_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
     scores = lexical.tfidf_search(lexical.build_tfidf(chunks, keep), chunks, asked(spark), 40)
