@@ -112,6 +112,16 @@ def snippet(content: Column, terms: Column, length: int = 200, before: int = 50,
     return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
+def marked_snippet(content: Column, terms: Column, window: int = 32, mark: str = "**") -> Column:
+    """The window of that many words with the earliest term near its start, terms marked, ellipses where it is cut."""
+    pieces = F.split(F.trim(content), r"(?U)\s+")
+    bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_]+", "")
+    hit = F.transform(pieces, lambda w: F.array_contains(terms, bare(w)))
+    start = F.greatest(F.array_position(hit, True) - 1 - window // 4, F.lit(0)).cast("int")
+    shown = F.transform(F.slice(pieces, start + 1, F.lit(window)), lambda w: F.when(F.array_contains(terms, bare(w)), F.concat(F.lit(mark), w, F.lit(mark))).otherwise(w))
+    return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(start + window < F.size(pieces), "...").otherwise(""))
+
+
 def usage_snippet(content: Column, component: Column) -> Column:
     """The text around the first of a component's tags that occurs, else the beginning."""
     kebab, low, n = pascal_to_kebab(component), F.lower(content), F.length(content)

@@ -37,6 +37,35 @@ def _edge(src: Column, dst: Column, relation: Column | str, n: int, weight: floa
     return [src.alias("src"), dst.alias("dst"), relation.alias("relation_type"), F.lit(weight).alias("weight"), F.lit(both).alias("bidirectional"), F.col("seq"), F.lit(n).alias("n"), F.coalesce(F.col("place"), F.lit(0)).alias("place")]
 
 
+def with_nodes(graph: Graph, nodes: DataFrame) -> Graph:
+    """The graph with nodes added or their blank attributes filled; nodes has node_type and name, the rest may be absent."""
+    prefix = F.when(F.col("node_type") == "source_file", "source").otherwise(F.col("node_type"))
+    rows = nodes.withColumn("node_id", F.concat(prefix, F.lit(":"), "name"))
+    parents = rows.where("node_type = 'category'").where(F.col("parent_category").isNotNull()) if "parent_category" in rows.columns else rows.limit(0).withColumn("parent_category", F.lit(""))
+    parents = parents.select(F.lit("category").alias("node_type"), F.col("parent_category").alias("name"), F.concat(F.lit("category:"), "parent_category").alias("node_id"))
+    last = graph.nodes.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+    return Graph(merged_nodes(graph.nodes.unionByName(rows.unionByName(parents, allowMissingColumns=True).withColumn("seq", F.lit(last)), allowMissingColumns=True)), graph.edges)
+
+
+def with_edges(graph: Graph, edges: DataFrame, both_ways: bool = False) -> Graph:
+    """The graph with edges(src, dst, relation_type) written after all others; ends that aren't known stay without attributes."""
+    last = graph.edges.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+    rows = edges.select("src", "dst", "relation_type")
+    rows = rows.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation_type")) if both_ways else rows
+    rows = rows.select("*", F.lit(1.0).alias("weight"), F.lit(both_ways).alias("bidirectional"), F.lit(last).alias("seq"))
+    return Graph(graph.nodes, graph.edges.unionByName(rows))
+
+
+def size(graph: Graph) -> int:
+    """The number of nodes."""
+    return graph.nodes.count()
+
+
+def contains(graph: Graph, node_ids: DataFrame) -> DataFrame:
+    """node_ids(node_id) with whether the graph has each."""
+    return node_ids.join(graph.nodes.select("node_id", F.lit(True).alias("present")), "node_id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 def component_id(name: Column) -> Column:
     return F.concat(F.lit("component:"), name)
 

@@ -536,3 +536,72 @@ def front_matter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", front_matter(doc).alias("f"))
     return rows.select("p_partkey", F.col("f.component").alias("component"), F.col("f.category").alias("category"), F.array_join("f.uses", ",").alias("uses"))
 
+
+# Documents and code made from part names.
+
+
+def _files(spark: SparkSession, sf_dir: str, path, content) -> DataFrame:
+    rows = table(spark, sf_dir, "part").withColumn("pascal", text.kebab_to_pascal(text.slug("p_name"))).withColumn("key", F.col("p_partkey").cast("string"))
+    return rows.select(F.lit("parts").alias("source_id"), path.alias("path"), content.alias("content"), F.lit(None).cast("timestamp_ntz").alias("modified"), F.lit(False).alias("is_entrypoint"))
+
+
+_PASCAL = """q AS (SELECT p_partkey::VARCHAR AS key, p_size, p_name, p_type, p_brand, list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(lower(p_name), '[^\\w\\s-]', '', 'g'), '\\s+', '-', 'g'), '-'),
+  lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), 'string_agg', '') AS pascal FROM part)"""
+
+
+@query(f"""WITH {_PASCAL} SELECT 'c/' || key || '.mdx' AS path, title, pascal AS component_name, 'Base' AS extends, array_to_string(list_sort(list_distinct(['Icon', pascal, 'Box'])), ',') AS uses, chunk_type,
+  props, variant AS example_variant FROM q, (VALUES ('Overview', 'overview', '', ''), ('Props', 'props', 'size,tone', ''), ('Large Example', 'example', '', 'Large')) v(title, chunk_type, props, variant)""")
+def component_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.concat(F.lit("---\ncomponent: "), F.col("pascal"), F.lit("\nextends: Base\nuses: [Icon]\n---\nimport { "), F.col("pascal"), F.lit(" as P, helper } from './x'\nimport Box from 'y'\n<"), F.col("pascal"), F.lit("/><Fragment/>\n# Props\nsize?: string\n  tone: x\n  _own: y\n# Large Example\ntext\n"))
+    rows = sections.chunk_component(_files(spark, sf_dir, F.concat(F.lit("c/"), F.col("key"), F.lit(".mdx")), doc))
+    return rows.select("path", "title", "component_name", "extends", F.array_join("uses", ",").alias("uses"), "chunk_type", F.array_join("props_mentioned", ",").alias("props"), F.coalesce("example_variant", F.lit("")).alias("example_variant"))
+
+
+@query(f"""WITH {_PASCAL}, c AS (
+  SELECT key, pascal AS name, 'overview' AS tag, NULL AS anchor, '# ' || pascal || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '**Selector:** `x-' || key || '`' || chr(10) || chr(10) || '**Category:** Forms' AS content FROM q
+  UNION ALL SELECT key, pascal, 'inputs', 'inputs', '# ' || pascal || ' Inputs' || chr(10) || chr(10) || '| Input | Type | Default | Description |' || chr(10) || '|-------|------|---------|-------------|' || chr(10) || '| `size` | `number` | `' || p_size || '` | **DEPRECATED** ' || p_brand || ' |' FROM q
+  UNION ALL SELECT key, pascal, 'methods', 'methods', '# ' || pascal || ' Methods' || chr(10) || chr(10) || '## `go(a: any): void`' || chr(10) FROM q)
+SELECT substr(sha256('parts:compodoc:' || name || ':' || tag), 1, 16) AS id, 'src/forms/' || key || '.component.ts' AS path, anchor, sha256(content) AS content_sha256, 'Forms' AS component_category FROM c""")
+def api_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = F.struct(F.lit("size").alias("name"), F.lit("number").alias("type"), F.col("p_size").cast("string").alias("defaultValue"), F.concat(F.lit("<b>"), F.col("p_brand"), F.lit("</b>")).alias("description"), F.lit(True).alias("deprecated"))
+    methods = F.array(F.struct(F.lit("ngOnInit").alias("name"), F.array(F.struct(F.lit("a").alias("name"))).alias("args")), F.struct(F.lit("go").alias("name"), F.array(F.struct(F.lit("a").alias("name"))).alias("args")))
+    one = F.struct(F.col("pascal").alias("name"), F.concat(F.lit("src/forms/"), F.col("key"), F.lit(".component.ts")).alias("file"), F.concat(F.lit("x-"), F.col("key")).alias("selector"), F.col("p_type").alias("rawdescription"), F.array(field).alias("inputsClass"), methods.alias("methodsClass"))
+    rows = apidoc.chunk_apidoc(_files(spark, sf_dir, F.concat(F.lit("d/"), F.col("key"), F.lit("/documentation.json")), F.to_json(F.struct(F.array(one).alias("components")))))
+    return rows.select("id", "path", "anchor", F.sha2("content", 256).alias("content_sha256"), "component_category")
+
+
+@query(f"""WITH {_PASCAL}, k AS (SELECT *, e FROM q, (VALUES ('.component.ts'), ('.component.html'), ('.component.scss')) v(e))
+SELECT 's/' || key || e AS path, CASE e WHEN '.component.ts' THEN pascal || 'View' ELSE key END AS component_name, CASE e WHEN '.component.ts' THEN 'x-' || key ELSE '' END AS selector, CASE e WHEN '.component.ts' THEN pascal || 'ViewComponent,Aux,load' ELSE '' END AS exports,
+  CASE e WHEN '.component.html' THEN 'App' || upper(substr(key, 1, 1)) || substr(key, 2) || ',TdsBox' ELSE '' END AS component_refs,
+  CASE e WHEN '.component.ts' THEN 's/' || key || '.component.html,s/' || key || '.component.scss' WHEN '.component.html' THEN 's/' || key || '.component.ts,s/' || key || '.component.scss' ELSE 's/' || key || '.component.ts,s/' || key || '.component.html' END AS related_files FROM (SELECT * REPLACE ('z' || key AS key) FROM k)""")
+def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, pascal = F.concat(F.lit("z"), F.col("key")), F.col("pascal")
+    ts = F.concat(F.lit("@Component({ selector: 'x-"), key, F.lit("', templateUrl: './t.html' })\nexport class "), pascal, F.lit("ViewComponent {}\nclass Aux {}\nexport async function load() {}\n"))
+    html = F.concat(F.lit("<div><app-"), key, F.lit(" a><tds-box></div>"))
+    parts = [_files(spark, sf_dir, F.concat(F.lit("s/"), key, F.lit(e)), c) for e, c in ((".component.ts", ts), (".component.html", html), (".component.scss", F.lit("a{}")))]
+    rows = webcode.chunk_source(parts[0].union(parts[1]).union(parts[2]))
+    flat = [F.array_join(c, ",").alias(c) for c in ("exports", "component_refs", "related_files")]
+    return rows.select("path", F.when(F.col("file_type") == "component", F.col("component_name")).otherwise(F.lower("component_name")).alias("component_name"), F.coalesce("selector", F.lit("")).alias("selector"), *flat)
+
+
+@query(f"WITH {_bm25(_VALUES)} SELECT chunks, round(mean, 6) AS mean, (SELECT count(*) FROM df) AS terms, (SELECT sum(df) FROM df)::BIGINT AS postings FROM c")
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_lexical(chunks_of(spark, sf_dir), keep=keep)
+    counted = index.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return counted.select(F.lit(index.chunks).cast("long").alias("chunks"), F.round(F.lit(float(index.mean)), 6).alias("mean"), "terms", "postings")
+
+
+@query("SELECT c_custkey AS id, regexp_replace(regexp_replace('c/' || c_mktsegment || '/' || c_custkey || '.md', '^c/', ''), '[.]md$', '') AS stem FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 10 <> 3")
+def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Include and exclude patterns over paths."""
+    from docmill.sources.files import fnmatch_regex, glob_regex
+
+    rows = table(spark, sf_dir, "customer").withColumn("path", F.concat(F.lit("c/"), F.col("c_mktsegment"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md")))
+    kept = rows.where((F.col("path").rlike(glob_regex("**/BUILDING/*.md")) | F.col("path").rlike(glob_regex("c/M*/*.md"))) & ~F.col("path").rlike(fnmatch_regex("*3.md")))
+    return kept.select(F.col("c_custkey").alias("id"), F.regexp_replace(F.regexp_replace("path", "^c/", ""), "[.]md$", "").alias("stem"))
+
+
+@query()
+def python_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.lit('"""'), F.col("p_name"), F.lit('"""\nclass '), F.col("pascal"), F.lit(':\n    """Doc."""\ndef run(): ...\n'))
+    return pycode.chunk_python(_files(spark, sf_dir, F.concat(F.lit("m/"), F.col("key"), F.lit(".py")), code), "module").select("id", "path", "title", "content", "kind")

@@ -34,7 +34,6 @@ def engine(spark, config, tmp_path_factory):
 
 
 def test_sources_and_counts(engine):
-    assert {r["id"]: (r["chunk_count"], r["adapters"]) for r in engine.list_sources().collect()} == {"ui": (4, ["component"]), "app": (6, ["source", "python", "nope"]), "guide": (2, ["markdown"])} or True
     got = {r["id"]: r["chunk_count"] for r in engine.list_sources().collect()}
     # Two equal ids, one of the entry and one of an overview, are one chunk; the first section of a document with front matter can be empty.
     assert got["guide"] == 2 and got["ui"] >= 4 and got["app"] == 6
@@ -128,6 +127,16 @@ def test_graph_keeps_all_relations_and_the_simple_view_the_last(spark):
     assert sorted(map(str, again.edges.collect())) == sorted(map(str, g.edges.collect())) and again.nodes.count() == g.nodes.count()
 
 
+def test_graph_grows(spark):
+    g = graph.build_graph(comp(spark, [("1", 1, "A", "X", "t", None, [], [], [])]))
+    g = graph.with_nodes(g, spark.createDataFrame([("category", "Sub", "X", "small"), ("component", "A", None, "an a"), ("category", "Y", "Z", None)], "node_type string, name string, parent_category string, description string"))
+    g = graph.with_edges(g, spark.createDataFrame([("component:A", "component:New", "related_to")], "src string, dst string, relation_type string"), both_ways=True)
+    by = {r["node_id"]: r for r in g.nodes.collect()}
+    assert by["category:Sub"]["parent_category"] == "X" and by["component:A"]["description"] == "an a" and by["component:A"]["category"] == "X" and "category:Z" in by and graph.size(g) == len(by) == 6
+    assert {r["node_id"]: r["present"] for r in graph.contains(g, spark.createDataFrame([("component:A",), ("component:Q",)], "node_id string")).collect()} == {"component:A": True, "component:Q": False}
+    assert g.edges.where("relation_type = 'related_to'").count() == 2
+
+
 def test_graph_of_sources(spark):
     rows = spark.createDataFrame([("a", 1, "p.component.ts", "Panel", "component", "source", []), ("b", 2, "p.component.html", "Panel", "template", "source", ["Panel", "Unknown"])], "id string, seq long, path string, component_name string, file_type string, chunk_class string, component_refs array<string>")
     edges = {(r["src"], r["dst"], r["relation_type"]) for r in graph.build_graph(as_chunks(rows), sources=True).edges.collect()}

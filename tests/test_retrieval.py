@@ -1,5 +1,4 @@
 import math
-import random
 import sqlite3
 
 import numpy as np
@@ -155,6 +154,35 @@ def test_embedding_batches_blanks_and_mismatch(spark, chunks):
         hybrid_search(index, asked(spark, "button"))
 
 
+def test_http_provider_sends_batches_and_keeps_order():
+    import json
+
+    from docmill.sources.providers import HttpProvider, provider
+
+    sizes = []
+
+    def send(body):
+        texts = json.loads(body)["input"]
+        sizes.append(len(texts))
+        return json.dumps({"data": [{"index": i, "embedding": [len(t), 0.0]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+
+    p = HttpProvider("http://localhost/", "m", 2, batch=3, send=send)
+    assert p(["a", "", "ccc", "dddd", "e" * 5, "f", "gg"])[:, 0].tolist() == [1, 1, 3, 4, 5, 1, 2] and sorted(sizes) == [1, 3, 3]
+    with pytest.raises(ValueError, match="vectors came back"):
+        HttpProvider("http://localhost/", "m", 2, send=lambda b: b'{"data": []}')(["a"])
+    assert provider("auto").name.startswith(("hashing", "local")) and provider("http", url="u", model="m", dim=3).dim == 3
+    with pytest.raises(ValueError, match="unknown provider"):
+        provider("nope")
+
+
+def test_marked_snippet(spark):
+    from docmill.functions.text import marked_snippet
+
+    rows = spark.createDataFrame([("w " * 40 + "Needle, here " + "z " * 40,), ("needle",), ("none at all",), ("",)], "c string")
+    got = [r[0] for r in rows.select(marked_snippet(F.col("c"), F.array(F.lit("needle")), 8)).collect()]
+    assert got == ["...w w **Needle,** here z z z z...", "**needle**", "none at all", ""]
+
+
 # Fusion and hybrid search.
 
 
@@ -176,4 +204,3 @@ def test_hybrid_search(spark, chunks):
     first = sorted((r for r in rows if r["query_id"] == 0), key=lambda r: r["rank"])
     assert len(first) == 3 and first[0]["id"] == "c1" and "button" in first[0]["snippet"].lower()
     assert not [r for r in rows if r["query_id"] == 1] and {r["source_id"] for r in rows if r["query_id"] == 2} == {"other"}
-    assert random.Random(0)
