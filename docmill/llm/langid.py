@@ -7,7 +7,7 @@ how much of a code-switched text is in each language. Training sentences are als
 so that transitions between languages are seen.
 
 The model is fitted on the driver from a bounded sample of labelled documents. Prediction is one pass over the
-texts in blocks of about 1 MB; no sentence of ordinary length is cut, and a document's blocks are added up.
+texts in blocks of about 256 KB; no sentence of ordinary length is cut, and a document's blocks are added up.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.words import mix
+from docmill.plans.shared import small_batches
 
-_STEP = 1 << 20
+_STEP = 1 << 18
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _END = np.zeros(256, bool)
@@ -240,7 +241,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [r[2] for r in rows], [r[0] for r in rows]
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_label: int = 200, max_chars: int = 20_000, max_labels: int = 200) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_label: int = 200, max_chars: int = 20_000, max_labels: int = 50) -> DataFrame:
     """(id_col, version, held_out, lang_pred, score) for every row of docs.
 
     Learns from text and lang of rows whose crc32(id as text) mod 4 is not 2: at most per_label whole texts of at most
@@ -249,6 +250,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     be learned, so are all. score is the share of the document's words, by marginals, in lang_pred; ties go to the
     first label. version, a hash of the text, tells rows that share an id apart. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     text = F.col(text_col).cast("string")
     texts, langs = training_sample(docs, id_col, text_col, lang_col, per_label, max_chars, max_labels)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.components import connected_components
 from docmill.llm.words import mix, shingle_set, word_hashes
-from docmill.plans.shared import release, sized, written
+from docmill.plans.shared import release, sized, small_batches, written
 
 BLOCK = 256
 
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with several texts is linked by each of them, and each of its rows is returned. Rows with a null id link with
     nothing: component_id is null and kept true. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     sketches = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketches(size, bands, rows, seed), "id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 and id is not null")
     reps = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "representatives")

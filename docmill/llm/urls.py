@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.plans.shared import small_batches
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (action, host, path prefix); a rule holds for its host and all its subdomains.
@@ -137,6 +139,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rule and are judged by the classifier's view of an empty string. Rows are judged one by one; other columns are
     ignored.
     """
+    small_batches(pages.sparkSession)
     model = trained(labelled)
 
     @F.pandas_udf("double")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm.components import connected_components
 from docmill.llm.words import mix
-from docmill.plans.shared import release, sized, written
+from docmill.plans.shared import release, sized, small_batches, written
 
 BLOCK = 512
 _PAIRS = 1 << 17
@@ -199,6 +199,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows included; component_id is the least id reachable. Rows that share an id count one by one and share a
     component. Labels are integers. Other columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     v = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
     inf = F.lit(float("inf")).cast(vectors.schema[vector_col].dataType.elementType)

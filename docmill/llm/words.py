@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_STEP = 1 << 20
+_STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -50,7 +50,7 @@ def _hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
     """For each text its words, maximal runs of other than ASCII white space, A-Z lower-cased, as uint64 hashes. Null: none.
 
-    Memory is a few bytes for each byte of about 1 MB of text, or of the longest single word, and 8 bytes a word.
+    Memory is some tens of bytes for each byte of about 256 KB of text, or of the longest single word, and 8 bytes a word.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
