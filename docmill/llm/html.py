@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.urls import host_of
-from docmill.plans.shared import release, sized, written
+from docmill.plans.shared import sized, small_batches, written
 
 # Elements and names.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
@@ -33,10 +33,15 @@ BLOCKS = frozenset(
 )
 ASIDE = frozenset("head nav aside footer form menu dialog script style template noscript textarea title iframe object embed svg math canvas audio video select button search".split())
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer header masthead menu "
-    "modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies reply responses share sharing sidebar sidebars "
-    "signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disclaimer disqus footer "
+    "gdpr menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promoted promotion related replies reply responses share sharing sidebar "
+    "sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Parts of longer names that say the same.
+ASIDE_PARTS = ("advert", "adsby", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
+#: Beside the main text unless it is in an article, whose own header holds its title.
+HEADER_NAMES = frozenset("header masthead".split())
+MAIN_NAMES = frozenset("article content entry main post story".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note status toolbar".split())
 #: An opening tag of the first kind closes an open element of these kinds, if no element of the third kind lies between.
 CLOSES = {
@@ -51,32 +56,34 @@ _P_CLOSERS = BLOCKS - {"body", "html", "head", "button", "caption", "dd", "dt",
 
 
 @lru_cache(4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool]:
-    """(name in paths, is it beside the main text) of an opening tag."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
+    """(name in paths, is it beside the main text, is it a header, how surely it holds the article) of an opening tag."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     words = {w.lower() for w in _NAME.findall(names)}
-    beside = tag in ASIDE or bool(words & ASIDE_NAMES) or found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), beside
+    role, hidden = found.get("role", "").lower(), "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
+    beside = tag in ASIDE or bool(words & ASIDE_NAMES) or any(p in w for w in words for p in ASIDE_PARTS) or role in ASIDE_ROLES or hidden
+    sure = 3 if tag == "article" or role == "article" else 2 if tag == "main" or role == "main" else 1 if words & MAIN_NAMES else 0
+    return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), beside, tag == "header" or bool(words & HEADER_NAMES), sure
 
 
 class Block:
-    """A block's text, where it is, and whether it is beside the main text or in an article."""
+    """A block's text, where it is, whether it is beside the main text, and how surely it is in an article."""
 
     __slots__ = ("path", "text", "beside", "inside", "linked")
 
-    def __init__(self, path: str, text: str, beside: bool, inside: bool, linked: int):
+    def __init__(self, path: str, text: str, beside: bool, inside: int, linked: int):
         self.path, self.text, self.beside, self.inside, self.linked = path, text, beside, inside, linked
 
 
 def parse(page: str) -> Iterator[str | Block]:
     """The path of every element and every block with text, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, beside, inside an article
+    stack: list[tuple[str, str, bool, int]] = []  # tag, path, beside, how surely inside an article
     parts: list[str] = []
     linked = at = 0
 
-    def here() -> tuple[str, str, bool, bool]:
-        return stack[-1] if stack else ("", "", False, False)
+    def here() -> tuple[str, str, bool, int]:
+        return stack[-1] if stack else ("", "", False, 0)
 
     def block() -> Iterator[Block]:
         nonlocal linked
@@ -90,7 +97,7 @@ def parse(page: str) -> Iterator[str | Block]:
                         yield Block(path, text, beside, inside, linked)
                         break
                 else:
-                    yield Block("", text, False, False, linked)
+                    yield Block("", text, False, 0, linked)
         linked = 0
 
     def said(text: str) -> Iterator[Block]:
@@ -137,19 +144,19 @@ def parse(page: str) -> Iterator[str | Block]:
                     low = i
             if low is not None:
                 yield from close(low)
-        name, beside = _element(tag, m[2] if m[1] else m[4])
+        name, beside, header, sure = _element(tag, m[2] if m[1] else m[4])
         _, path, above, inside = here()
+        beside = beside or header and inside < 3
         if beside and not above or tag in BLOCKS:
             yield from block()
         if tag == "br":
             parts.append(" ")
-        # A header of the article itself holds its title.
-        beside = above or beside or tag == "header" and not inside
+        beside = above or beside
         path = f"{path}>{name}"
         yield path
         if tag in VOID:
             continue
-        inside = inside or tag in ("article", "main")
+        inside = max(inside, sure)
         if tag in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if tag in ("textarea", "title"):
@@ -245,8 +252,8 @@ def slots(page: str, told: str | None) -> list[Block]:
 def main_text(page: str | None, told: str | None = None) -> str:
     """The article of a page: blocks joined by blank lines."""
     blocks = [b for b in slots(page or "", told) if not b.beside]
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
+    if sure := max((b.inside for b in blocks), default=0):
+        blocks = [b for b in blocks if b.inside == sure]
     else:
         blocks = [b for b in blocks if 2 * b.linked <= len(b.text)]
     return "\n\n".join(b.text for b in blocks)
@@ -270,6 +277,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     pages have no template; nor have pages without a host any but their own group's. Equal rows are each returned;
     other columns are ignored. Texts of any length are parsed whole, in time proportional to it.
     """
+    small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
     found = written(templates(rows.select("page_id", "host", "html"), share, least), "templates")

@@ -74,7 +74,7 @@ def test_control_strings_are_escaped(spark):
 # HTML.
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href=/a>One</a><li>Two</ul></nav>
-<div class="cookie-notice">We use cookies</div><article><h1>{title} &amp; more</h1><p>First <b>bold</b>
+<div class="cookie-notice">We use cookies</div><article><h1>{title} &amp; more</h1><p>First{n} <b>bold</b>
   text&nbsp;here &lt;tag&gt; &#233;<br>next<p>Second{n}<script>var x = "</p>";</script><div class="box">Subscribe to our list today</div><ul><li>item a<li>item b</ul>
 <section id="comments"><p>reader says</p></section></article><aside>side</aside><form><input><p>fill</p></form><footer>&copy; end</footer></body>"""
 
@@ -85,7 +85,7 @@ def test_html_article_and_boilerplate(spark):
     pages = frame(spark, rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("template", F.lit("clash")).withColumn("host", F.lit("clash"))
     out = {r["page_id"]: r for r in html.extract_pages(pages).collect()}
     # The box and the list say the same on every page of the host, and so are the site's.
-    assert out[3]["text"] == "Title 3 & more\n\nFirst bold text here <tag> é next\n\nSecond3"
+    assert out[3]["text"] == "Title 3 & more\n\nFirst3 bold text here <tag> é next\n\nSecond3"
     assert (out[50]["text"], out[50]["n_chars"]) == ("", 0) and out[51]["text"] == ""
     assert out[52]["text"] == "plain &am text" and out[53]["text"] == LONG.strip()
     assert html.extract_pages(pages).count() == len(rows) and html.extract_pages(pages.limit(0)).count() == 0
@@ -107,6 +107,21 @@ def test_html_round_trip(paragraphs):
     assert html.main_text(page) == "\n\n".join(" ".join(p.split()) for p in paragraphs)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><div class=x>more</div><article><header class='entry-header'><h1>T</h1></header><p>a</p><footer>by</footer></article></main>", "T\n\na"),
+        ("<div id=siteHeader>s</div><div class='main-content'><p>a</p><div class='user_comments'>c</div><p style='display: none'>h</p><div role=alert>n</div></div><div>z</div>", "a"),
+        ("<header>s</header><p>one<p>two<table><tr><td>x<td>y</table><noscript>no</noscript><textarea><b>t</textarea>", "one\n\ntwo\n\nx\n\ny"),
+        ("<article><p>a <!-- <p>no</p> --> b<script>if (a<b) '</article>'</script></p><p>open <a href='x>y'>link</a> &notit; &#x41; &amp", "a b\n\nopen link ¬it; A &"),
+        ("<ul><li><a href=1>menu one</a></li></ul><p>text with <a>link</a></p>", "text with link"),
+        ("<article><div class='AdSlot'>buy</div>plain</article><section class='comments'><article>reader</article></section>", "plain"),
+    ],
+)
+def test_html_of_single_pages(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_vectors_of_equal_occurrence_are_one_class(spark):
     rows = [(i, "h", f"<nav><a>x{i}</a></nav><article><p>t{i}</p><p>u{i}</p></article>") for i in range(20)]
     told = html.templates(frame(spark, rows, "page_id long, host string, html string")).first()["template"]
