@@ -103,7 +103,36 @@ def min_cost_flow(supply: list[int], arcs: list[tuple[int, int]], quota: list[in
     return sent
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5, 2, 1), most: int = 3, costs: Sequence[float] = (0, 1, 3), seed: str = "mix") -> DataFrame:
+def route(supply: list[int], arcs: list[tuple[int, int]], quota: list[int], costs: Sequence[float]) -> list[dict[int, int]]:
+    """min_cost_flow() of each set of sources that patterns connect, which is a small problem where few sources overlap."""
+    root = list(range(len(quota)))
+
+    def top(s: int) -> int:
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    of: list[list[int]] = [[] for _ in supply]
+    for p, s in arcs:
+        of[p].append(s)
+    for ss in of:
+        for s in ss[1:]:
+            root[top(ss[0])] = top(s)
+    parts: dict[int, tuple[list[int], list[int]]] = {}
+    for s in range(len(quota)):
+        parts.setdefault(top(s), ([], []))[1].append(s)
+    for p, ss in enumerate(of):
+        if ss:
+            parts[top(ss[0])][0].append(p)
+    sent: list[dict[int, int]] = [{} for _ in supply]
+    for ps, ss in parts.values():
+        at = {s: i for i, s in enumerate(ss)}
+        for p, flow in zip(ps, min_cost_flow([supply[p] for p in ps], [(i, at[s]) for i, p in enumerate(ps) for s in of[p]], [quota[s] for s in ss], costs), strict=True):
+            sent[p] = {ss[i]: w for i, w in flow.items()}
+    return sent
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5, 2, 1), most: int = 3, costs: Sequence[float] = (0, 1, 3), seed: str = "mix", most_patterns: int = 100_000) -> DataFrame:
     """(id_col, version, size, source_size, target, taken) for every row of docs: the words the mix takes of it, repeats counted.
 
     source_col is a string, or an array of strings for documents that several sources hold. A null or empty array is
@@ -111,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources and source_size that of their sizes. taken is a whole multiple, ``most`` at most, of size; a source's
     taken words differ from its quota by half a document at most for each of its patterns. Rows that share an
     id are separate; equal rows are interchangeable. version, a hash of the text, tells rows of one id apart.
-    The number of patterns, not of documents, must fit the driver. Other columns are ignored.
+    The driver holds one row a pattern, most_patterns at most; more are an error. Other columns are ignored.
     """
     if len(costs) != most:
         raise ValueError("costs must hold a cost for each of the uses allowed")
@@ -123,7 +152,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col).cast("string")
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
     rows = written(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), F.to_json(members).alias("pattern"), text_size(text).alias("size"), order.alias("order")), "sizes")
-    found = [(r["pattern"], json.loads(r["pattern"]), int(r["size"])) for r in rows.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").collect()]
+    found = [(r["pattern"], json.loads(r["pattern"]), int(r["size"])) for r in rows.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy("pattern").limit(most_patterns + 1).collect()]
+    if len(found) > most_patterns:
+        raise ValueError(f"the sources make more than {most_patterns} patterns")
     sizes: dict[str | None, int] = {}
     for _, names, size in found:
         for s in names:
@@ -131,7 +162,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = targets(sizes, weights, most)
     names = list(goal)
     at = {s: i for i, s in enumerate(names)}
-    sent = min_cost_flow([size for _, _, size in found], [(p, at[s]) for p, (_, ss, _) in enumerate(found) for s in ss], [round(goal[s]) for s in names], costs)
+    sent = route([size for _, _, size in found], [(p, at[s]) for p, (_, ss, _) in enumerate(found) for s in ss], [round(goal[s]) for s in names], costs)
     plan = []
     for (pattern, ss, size), flow in zip(found, sent, strict=True):
         words = sum(flow.values())

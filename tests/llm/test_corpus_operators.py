@@ -206,6 +206,8 @@ def test_min_cost_flow_against_brute_force():
             ((-(a + b + c + d), flow_cost(supply, [{0: a}, {1: b}, {0: c, 1: d}], costs)) for a in range(3 * supply[0] + 1) for b in range(3 * supply[1] + 1) for c in range(3 * supply[2] + 1) for d in range(3 * supply[2] + 1 - c) if a + c <= quota[0] and b + d <= quota[1])
         )
         assert (-sum(w for f in sent for w in f.values()), flow_cost(supply, sent, costs)) == best
+        apart = mixing.route([*supply, 5, 0], [*arcs, (3, 2)], [*quota, 12, 7], costs)
+        assert apart[:3] == sent and apart[3:] == [{2: 12}, {}]
 
 
 def test_mix_reaches_targets_and_repeats(spark):
