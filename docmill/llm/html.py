@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.worker import released
 from docmill.llm.urls import host_of
 from docmill.plans.shared import sized, small_batches, written
 
@@ -218,7 +219,7 @@ def templates(pages: DataFrame, share: float = 0.9, least: int = 10) -> DataFram
     pages: (page_id, host, html). A class is in the template if at least that share of the host's pages has it.
     A host's template has at most 1 / share as many tokens as its pages have on average.
     """
-    vectors = pages.mapInArrow(_vectors, "host string, token long, n long, p long, q long, place long")
+    vectors = pages.mapInArrow(released(_vectors), "host string, token long, n long, p long, q long, place long")
     vectors = written(vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "place")]).where(F.col("n") >= least), "vectors")
     hosts = sized(vectors.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages")))
     often = vectors.join(hosts, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("token") != PAGE))
@@ -287,5 +288,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     else:  # the pages of one host go to many tasks
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "template").mapInArrow(_extract, f"page_id {kind}, url string, text string")
+    out = joined.select("page_id", "url", "html", "template").mapInArrow(released(_extract), f"page_id {kind}, url string, text string")
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions.worker import released
 from docmill.llm.words import mix
 from docmill.plans.shared import small_batches
 
@@ -258,5 +259,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         return docs.select(F.col(id_col), F.xxhash64(text).alias("version"), held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("version"))
-    out = rows.mapInArrow(_predict(train(texts, langs)), f"id {kind}, version long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(released(_predict(train(texts, langs))), f"id {kind}, version long, lang_pred string, score double").withColumnRenamed("id", id_col)
     return out.select(id_col, "version", held_out.alias("held_out"), "lang_pred", "score")

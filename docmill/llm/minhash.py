@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.worker import release_memory, released
 from docmill.llm.components import connected_components
 from docmill.llm.words import mix, shingle_set, word_hashes
 from docmill.plans.shared import release, sized, small_batches, written
@@ -130,6 +131,9 @@ def _block_links(percent: int):
             if p != q:
                 root[max(p, q)] = min(p, q)
                 out.append((ids[u], ids[v]))
+        if len(sets) > BLOCK // 2:
+            del inter, hit, sets, flat, doc
+            release_memory()
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return run
@@ -145,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing: component_id is null and kept true. Other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
-    sketches = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketches(size, bands, rows, seed), "id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
+    sketches = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(_sketches(size, bands, rows, seed)), "id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 and id is not null")
     reps = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "representatives")
     # A node is (id, d1): an id can come with several texts.
@@ -156,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_buckets = written(members.join(buckets, "bucket"), "in-buckets")
     pairs = written(in_buckets.where("node <> leader").select("node", "leader").distinct(), "pairs")
     ends = sized(pairs.select(F.col("node.rep").alias("id")).union(pairs.select("leader.rep")).distinct())
-    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").mapInArrow(_sets(size), "id long, d1 long, s array<long>").where("size(s) > 0").select(F.struct(F.col("id").alias("rep"), "d1").alias("node"), "s")
+    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").mapInArrow(released(_sets(size)), "id long, d1 long, s array<long>").where("size(s) > 0").select(F.struct(F.col("id").alias("rep"), "d1").alias("node"), "s")
     repeated = written(full.groupBy("id").agg(F.count("*").alias("n"), F.min("d1").alias("p"), F.max("d1").alias("q")).where("n > 1"), "repeated-ids")
     sets = written(sets.dropDuplicates(["node"]) if repeated.take(1) else sets, "sets")
     inter = F.size(F.array_intersect("s", "t"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions.worker import released
 from docmill.llm.components import connected_components
 from docmill.llm.words import mix
 from docmill.plans.shared import release, sized, small_batches, written
@@ -207,13 +208,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     valid = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(F.coalesce(sound, F.lit(False)))
     classes = valid.groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("rep", F.xxhash64("label", "embedding"))
     kind = vectors.schema[vector_col].dataType.simpleString()
-    keyed = written(classes.select("rep", "label", "weight", "embedding", "least").mapInArrow(_keyed(tables, probes, seed), f"rep long, label long, weight long, embedding {kind}, least long, keys array<long>"), "vector-keys")
+    keyed = written(classes.select("rep", "label", "weight", "embedding", "least").mapInArrow(released(_keyed(tables, probes, seed)), f"rep long, label long, weight long, embedding {kind}, least long, keys array<long>"), "vector-keys")
     members = written(keyed.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "vector-buckets")
     placed = keyed.withColumn("key", F.explode(F.array_distinct("keys"))).join(sized(members), "key")
     placed = placed.withColumn("blocks", F.ceil(F.col("members") / (BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "weight", F.size("embedding").alias("dim"), "embedding", "keys")
     dealt = placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    found = written(dealt.mapInArrow(_linked(least), "id long, n long, other long"), "vector-links")
+    found = written(dealt.mapInArrow(released(_linked(least)), "id long, n long, other long"), "vector-links")
     repeated = valid.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     same = valid.join(sized(repeated), "id", "left_semi").join(keyed.select("rep", "label", "embedding"), ["label", "embedding"]).groupBy("id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("vs")).select("u", F.explode("vs").alias("v"))
     component = written(connected_components(found.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")).union(same)).withColumnRenamed("node", "rep"), "vector-components")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.worker import released
 from docmill.plans.shared import shared_path, sized, written
 
 CRLF = "\r\n"
@@ -142,7 +143,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     Revisits have no payload_bytes and payload of their own; payloads are read only if asked for.
     """
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.where("length > 0").select("content").mapInArrow(_read(payload), "page_id long, url string, record_type string, record_id string, refers_to_id string, payload_digest string, payload_bytes long, payload string")
+    return files.where("length > 0").select("content").mapInArrow(released(_read(payload)), "page_id long, url string, record_type string, record_id string, refers_to_id string, payload_digest string, payload_bytes long, payload string")
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:
