@@ -82,13 +82,14 @@ def parse_module(text: str, private: bool = False, dunder: bool = False) -> dict
     return {"doc": ast.get_docstring(tree), "imports": imports, "symbols": symbols}
 
 
+# Marks of docstring styles.
+NUMPY = r"(?m)^\s*(Parameters|Returns|Raises|Yields|Examples?|Attributes|Notes?|Warnings?)\s*\n\s*-+"
+SPHINX = r"(?m)^\s*:(param|type|returns?|rtype|raises?|var|ivar|cvar):"
+
+
 def docstring_style(doc: Column) -> Column:
     """numpy, sphinx or google by the marks of sections; google where there are none."""
-    return (
-        F.when(doc.rlike(r"(?m)^\s*(Parameters|Returns|Raises|Yields|Examples?|Attributes|Notes?|Warnings?)\s*\n\s*-+"), "numpy")
-        .when(doc.rlike(r"(?m)^\s*:(param|type|returns?|rtype|raises?|var|ivar|cvar):"), "sphinx")
-        .otherwise("google")
-    )
+    return F.when(doc.rlike(NUMPY), "numpy").when(doc.rlike(SPHINX), "sphinx").otherwise("google")
 
 
 def _symbol(s: Column, *shown: str) -> Column:
