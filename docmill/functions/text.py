@@ -32,8 +32,7 @@ def words(c: Column | str, pattern: str = WORD) -> Column:
 
 def without(tokens: Column, stop: Iterable[str], shortest: int = 2) -> Column:
     """Tokens that are long enough and no stopwords, repeats kept."""
-    stop_ = F.array(*[F.lit(s) for s in sorted(stop)])
-    return F.filter(tokens, lambda t: (F.length(t) >= shortest) & ~F.array_contains(stop_, t))
+    return F.filter(tokens, lambda t: (F.length(t) >= shortest) & ~t.isin(sorted(stop)))
 
 
 def query_terms(c: Column | str) -> Column:

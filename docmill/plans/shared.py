@@ -75,6 +75,15 @@ def _clean() -> None:
             return
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt to that many; others as they are.
+
+    For scans only: a plan with shuffles would run to count its partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count shows that it has at most so many rows; otherwise joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -17,7 +17,7 @@ from docmill.operators import expand, fuse, graph, knn, lexical
 from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
 from docmill.plans.search import rank_hybrid, search_terms, shown_terms
-from docmill.plans.shared import written
+from docmill.plans.shared import spread, written
 from docmill.plans.tools import component_usage
 from docmill.sources import store
 
@@ -50,7 +50,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, seven = table(spark, sf_dir, "documents"), F.col("doc_id")
+    d, seven = spread(table(spark, sf_dir, "documents")), F.col("doc_id")
     path = F.concat(F.lit("docs/"), seven.cast("string"), F.lit(".md"))
     title, src = F.split_part("text", F.lit("\n"), F.lit(1)), lambda n: F.concat(F.lit("src"), (n % 20).cast("string"))
     none = F.array().cast("array<string>")
@@ -211,7 +211,7 @@ def source_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT doc_id, len(regexp_extract_all(lower(text), '{_WORD}')) AS n_tokens FROM documents")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.words("text")).cast("long").alias("n_tokens"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(text.words("text")).cast("long").alias("n_tokens"))
 
 
 @query(f"WITH {_tfidf(_VALUES, False)} SELECT seq, term, tf, round(tf / n::DOUBLE, 6) AS weight FROM p")
