@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import decontam, langid, minhash, mixing
-from docmill.plans.shared import sized, written
+from docmill.plans.shared import sized, spread, written
 
 #: A document goes if less than this share of its words is in its main language, or if it has no letters.
 MIN_SCORE = 0.5
@@ -67,7 +67,7 @@ STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_dupl
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
