@@ -13,7 +13,7 @@ from docmill.llm import decontam, langid, minhash, mixing
 from docmill.plans.shared import sized, spread, written
 
 #: A document goes if less than this share of its words is in its main language, or if it has no letters.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 #: SQL can't express the first stage, a trained model; the tests compare every stage with a brute-force version.
 ORACLE_SQL = None

@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
         outs.append([tuple(r) for r in docs.select(COLUMNS).collect()])
     start = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     # Language ID: each kept row passes, each dropped row fails, and nothing is changed.
-    judged = {(r["doc_id"], r["lang_pred"] != "und" and r["score"] >= 0.5) for r in langid.identify(spark.read.parquet(f"{d}/documents.parquet")).collect()}
+    judged = {(r["doc_id"], r["lang_pred"] != "und" and r["score"] >= 0.4) for r in langid.identify(spark.read.parquet(f"{d}/documents.parquet")).collect()}
     assert sorted(outs[0], key=str) == sorted([r for r in start if (r[0], True) in judged], key=str)
     assert {4000, 4001, 4002} & {r[0] for r in outs[0]} == set() and len(outs[0]) > 300
     # Near-duplicates.
