@@ -5,7 +5,8 @@ for each page of the host; tokens with one vector are a class. Vectors are not b
 sums, over its pages, of hashes of (page, number), which combine before the shuffle and so never bring a
 host's pages together. Classes that most pages have are the host's template. In each page, a class counts
 if its tokens come in the template's order, those of inner elements inside the outer ones; texts of such classes
-are the site's, not the page's. What is left are the slots; those inside the article are the main text.
+are the site's, not the page's. What is left are the slots; those inside the article are the main text. Copies of a
+page count once, and an article that is mostly shared text stays whole.
 """
 
 from __future__ import annotations
@@ -213,13 +214,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([found[k][i] for k in keys], pa.int64()) for i in range(4))], ["host", "token", "n", "p", "q", "place"])
 
 
+def _bodies(pages: DataFrame) -> DataFrame:
+    """(body, host, html): the different pages of every host. Only pages that come again are shuffled, one of each task."""
+    keyed = pages.select(F.xxhash64("html").alias("body"), "host", "html")
+    again = written(keyed.groupBy("host", "body").count().where("count > 1").select(F.col("host").alias("h"), F.col("body").alias("b")), "repeated")
+    again = sized(again)
+    same = keyed.host.eqNullSafe(again.h) & (keyed.body == again.b)
+    return keyed.join(again, same, "left_anti").union(keyed.join(again, same, "left_semi").distinct())
+
+
 def templates(pages: DataFrame, share: float = 0.9, least: int = 10) -> DataFrame:
-    """(host, template): for hosts of at least ``least`` pages a JSON list of classes, each a list of tokens by mean place.
+    """(host, template): for hosts of at least ``least`` different pages a JSON list of classes, each a list of tokens by mean place.
 
-    pages: (page_id, host, html). A class is in the template if at least that share of the host's pages has it.
-    A host's template has at most 1 / share as many tokens as its pages have on average.
+    pages: (page_id, host, html). A class is in the template if at least that share of the host's different pages has it;
+    copies of a page count once. A host's template has at most 1 / share as many tokens as its pages have on average.
     """
-    vectors = pages.mapInArrow(released(_vectors), "host string, token long, n long, p long, q long, place long")
+    vectors = _bodies(pages).mapInArrow(released(_vectors), "host string, token long, n long, p long, q long, place long")
     vectors = written(vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "place")]).where(F.col("n") >= least), "vectors")
     hosts = sized(vectors.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages")))
     often = vectors.join(hosts, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("token") != PAGE))
@@ -234,8 +244,8 @@ def _template(told: str | None) -> tuple[dict[int, int], list[int]]:
     return {t: k for k, c in enumerate(classes) for t in c}, [len(c) for c in classes]
 
 
-def slots(page: str, told: str | None) -> list[Block]:
-    """The blocks of a page that aren't texts of its host's template, in page order."""
+def _judged(page: str, told: str | None) -> list[tuple[Block, bool]]:
+    """The blocks of a page in order, each with whether it is a text of its host's template."""
     tokens, events = _tokens(page)
     of, sizes = _template(told)
     firsts: dict[int, list[int]] = {}
@@ -247,17 +257,42 @@ def slots(page: str, told: str | None) -> list[Block]:
     # A class is valid in this page if all its tokens are there, in the order of the template.
     order = {t: i for i, t in enumerate(of)}
     valid = {k for k, ts in firsts.items() if len(ts) == sizes[k] and all(order[a] < order[b] for a, b in zip(ts, ts[1:], strict=False))}
-    return [e for t, e in zip(tokens, events, strict=True) if not isinstance(e, str) and of.get(t) not in valid]
+    return [(e, of.get(t) in valid) for t, e in zip(tokens, events, strict=True) if not isinstance(e, str)]
 
 
-def main_text(page: str | None, told: str | None = None) -> str:
-    """The article of a page: blocks joined by blank lines."""
-    blocks = [b for b in slots(page or "", told) if not b.beside]
+def slots(page: str, told: str | None) -> list[Block]:
+    """The blocks of a page that aren't texts of its host's template, in page order."""
+    return [b for b, shared in _judged(page, told) if not shared]
+
+
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def _article(blocks: list[Block]) -> list[Block]:
+    """Those of the blocks that are in the surest container; without one, those that aren't mostly links."""
+    blocks = [b for b in blocks if not b.beside]
     if sure := max((b.inside for b in blocks), default=0):
-        blocks = [b for b in blocks if b.inside == sure]
-    else:
-        blocks = [b for b in blocks if 2 * b.linked <= len(b.text)]
-    return "\n\n".join(b.text for b in blocks)
+        return [b for b in blocks if b.inside == sure]
+    return [b for b in blocks if 2 * b.linked <= len(b.text)]
+
+
+def main_text(page: str | None, told: str | None = None) -> str:
+    """The article of a page: blocks joined by blank lines.
+
+    Texts of the template are left out of an article of which they are the smaller part. Where they are the larger,
+    the host's pages are near copies of each other and what they share is their text: the article stays whole, unless
+    nothing in it is the page's own and more of the page's own text is elsewhere.
+    """
+    judged = _judged(page or "", told)
+    shared = {id(b) for b, s in judged if s}
+    whole = _article([b for b, _ in judged])
+    own = [b for b in whole if id(b) not in shared]
+    if not own and _size(elsewhere := _article([b for b, s in judged if not s])) > _size(whole):
+        own = whole = elsewhere
+    if not own or whole[0].inside and 2 * _size(own) < _size(whole):
+        own = whole
+    return "\n\n".join(b.text for b in own)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +310,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and blank pages have an empty text, and so have pages without an article's blocks. Character references are
     decoded, white space inside a block is one space, blocks are joined by two line ends. Hosts of fewer than ``least``
-    pages have no template; nor have pages without a host any but their own group's. Equal rows are each returned;
+    different pages have no template; nor have pages without a host any but their own group's. Equal rows are each returned;
     other columns are ignored. Texts of any length are parsed whole, in time proportional to it.
     """
     small_batches(pages.sparkSession)

@@ -96,6 +96,30 @@ def test_html_equal_pages_of_a_small_host_keep_their_text(spark):
     assert {r["text"] for r in html.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()} == {"the same"}
 
 
+@pytest.mark.parametrize("copies", [10, 1000])
+def test_html_copies_keep_their_text(spark, copies):
+    page = "<nav><a>menu</a></nav><article><h1>Title</h1><p>the same</p></article>"
+    rows = [(i, "https://same.example/", page) for i in range(copies)]
+    assert {r["text"] for r in html.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()} == {"Title\n\nthe same"}
+
+
+def test_html_near_copies_keep_what_they_share(spark):
+    shared = [f"A paragraph with the number {i} that all of them have." for i in range(8)]
+    rows = [(i, "https://near.example/", "<div>site</div><article>" + "".join(f"<p>{p}</p>" for p in [f"Copy {i}", *shared]) + "</article>") for i in range(20)]
+    rows += [(100 + i, "https://near.example/", rows[0][2]) for i in range(20)]
+    rows += [(200 + i, "https://bare.example/", f"<body data-n={i}><p>{shared[0]}</p></body>") for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in html.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert out[7] == "\n\n".join(["Copy 7", *shared]) and out[110] == out[0] == "\n\n".join(["Copy 0", *shared])
+    assert out[203] == shared[0]
+
+
+def test_html_copies_do_not_outvote_the_other_pages(spark):
+    rows = [(i, "https://mixed.example/", f"<div>site</div><p>text {i} of its own</p>") for i in range(12)]
+    rows += [(100 + i, "https://mixed.example/", "<p>copy</p>") for i in range(50)]
+    out = {r["page_id"]: r["text"] for r in html.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "text 3 of its own" and out[100] == "copy"
+
+
 @given(st.text(alphabet="<>/aphdiv=\"'&; \n!-", max_size=200))
 def test_html_parser_takes_anything(page):
     html.main_text(page)
