@@ -41,6 +41,12 @@ ASIDE_NAMES = frozenset(
 )
 #: Parts of longer names that say the same.
 ASIDE_PARTS = ("advert", "adsby", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
+#: Names of what has articles of its own, such as readers' comments.
+OWN_ARTICLES = frozenset("comment comments commentlist discussion disqus promoted related replies reply responses sponsored".split())
+#: Elements that are never beside the text by their names, which tell the page's layout.
+UNNAMED = frozenset("html body main article".split())
+#: Names that say whether something else is there.
+_STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:open|closed|enabled|disabled)", re.I)
 #: Beside the main text unless it is in an article, whose own header holds its title.
 HEADER_NAMES = frozenset("header masthead".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
@@ -58,34 +64,42 @@ _P_CLOSERS = BLOCKS - {"body", "html", "head", "button", "caption", "dd", "dt",
 
 
 @lru_cache(4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
-    """(name in paths, is it beside the main text, is it a header, how surely it holds the article) of an opening tag."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, int, bool, int]:
+    """(name in paths, is it beside the main text, is it so by its names, is it a header, how surely it holds the article) of an opening tag.
+
+    By its names: 0 no, 1 yes, 2 what is named may have articles of its own.
+    """
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    words = {w.lower() for w in _NAME.findall(names)}
+    words = {w.lower() for w in _NAME.findall(" ".join(c for c in names.split() if not _STATE.fullmatch(c)))}
     role, hidden = found.get("role", "").lower(), "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
-    beside = tag in ASIDE or bool(words & ASIDE_NAMES) or any(p in w for w in words for p in ASIDE_PARTS) or role in ASIDE_ROLES or hidden
+    beside = tag in ASIDE or role in ASIDE_ROLES or hidden
+    named = 2 if words & OWN_ARTICLES or any("comment" in w for w in words) else 1 if words & ASIDE_NAMES or any(p in w for w in words for p in ASIDE_PARTS) else 0
     sure = 3 if tag == "article" or role == "article" else 2 if tag == "main" or role == "main" else 1 if words & MAIN_NAMES else 0
-    return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), beside, tag == "header" or bool(words & HEADER_NAMES), sure
+    header = tag == "header" or bool(words & HEADER_NAMES)
+    if tag in UNNAMED or role in UNNAMED:
+        named, header = 0, False
+    return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), beside, named, header, sure
 
 
 class Block:
-    """A block's text, where it is, whether it is beside the main text, and how surely it is in an article."""
+    """A block's text, where it is, whether it is beside the main text, how surely it is in an article, and whether that is in an element beside it by name."""
 
-    __slots__ = ("path", "text", "beside", "inside", "linked")
+    __slots__ = ("path", "text", "beside", "inside", "linked", "outer")
 
-    def __init__(self, path: str, text: str, beside: bool, inside: int, linked: int):
-        self.path, self.text, self.beside, self.inside, self.linked = path, text, beside, inside, linked
+    def __init__(self, path: str, text: str, beside: bool, inside: int, linked: int, outer: int = 0):
+        self.path, self.text, self.beside, self.inside, self.linked, self.outer = path, text, beside, inside, linked, outer
 
 
 def parse(page: str) -> Iterator[str | Block]:
     """The path of every element and every block with text, in page order."""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, beside, how surely inside an article
+    # tag, path, beside, how surely inside an article, beside by a name inside that article, or by one around it
+    stack: list[tuple[str, str, bool, int, int, int]] = []
     parts: list[str] = []
     linked = at = 0
 
-    def here() -> tuple[str, str, bool, int]:
-        return stack[-1] if stack else ("", "", False, 0)
+    def here() -> tuple[str, str, bool, int, int, int]:
+        return stack[-1] if stack else ("", "", False, 0, 0, 0)
 
     def block() -> Iterator[Block]:
         nonlocal linked
@@ -94,9 +108,9 @@ def parse(page: str) -> Iterator[str | Block]:
             parts.clear()
             if text:
                 # Inline elements aren't part of a block's place.
-                for tag, path, beside, inside in reversed(stack):
-                    if tag in BLOCKS or beside:
-                        yield Block(path, text, beside, inside, linked)
+                for tag, path, beside, inside, named, outer in reversed(stack):
+                    if tag in BLOCKS or beside or named:
+                        yield Block(path, text, beside or named > 0, inside, linked, outer)
                         break
                 else:
                     yield Block("", text, False, 0, linked)
@@ -105,7 +119,6 @@ def parse(page: str) -> Iterator[str | Block]:
     def said(text: str) -> Iterator[Block]:
         nonlocal linked
         if text:
-            _, _, beside, _ = here()
             text = entities.unescape(text)
             parts.append(text)
             if any(s[0] == "a" for s in stack[-4:]):
@@ -113,7 +126,7 @@ def parse(page: str) -> Iterator[str | Block]:
         return iter(())
 
     def close(k: int) -> Iterator[Block]:
-        if any(s[0] in BLOCKS or s[2] for s in stack[k:]):
+        if any(s[0] in BLOCKS or s[2] or s[4] for s in stack[k:]):
             yield from block()
         del stack[k:]
 
@@ -146,10 +159,11 @@ def parse(page: str) -> Iterator[str | Block]:
                     low = i
             if low is not None:
                 yield from close(low)
-        name, beside, header, sure = _element(tag, m[2] if m[1] else m[4])
-        _, path, above, inside = here()
-        beside = beside or header and inside < 3
-        if beside and not above or tag in BLOCKS:
+        name, beside, named, header, sure = _element(tag, m[2] if m[1] else m[4])
+        _, path, above, inside, named_above, outer = here()
+        if header and inside < 3:
+            beside, named = beside or tag == "header", named or 1
+        if (beside or named) and not (above or named_above) or tag in BLOCKS:
             yield from block()
         if tag == "br":
             parts.append(" ")
@@ -158,17 +172,19 @@ def parse(page: str) -> Iterator[str | Block]:
         yield path
         if tag in VOID:
             continue
-        inside = max(inside, sure)
+        named = max(named, named_above)
+        if sure > inside:  # names around a container, or its own, don't decide about it
+            inside, outer, named = sure, max(outer, named), 0
         if tag in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if tag in ("textarea", "title"):
-                stack.append((tag, path, True, inside))
+                stack.append((tag, path, True, inside, named, outer))
                 yield from said(page[at : end.start() if end else len(page)])
                 yield from block()
                 stack.pop()
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, path, beside, inside))
+        stack.append((tag, path, beside, inside, named, outer))
     yield from said(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]))  # a tag cut off at the end isn't text
     yield from block()
 
@@ -270,11 +286,23 @@ def _size(blocks: list[Block]) -> int:
 
 
 def _article(blocks: list[Block]) -> list[Block]:
-    """Those of the blocks that are in the surest container; without one, those that aren't mostly links."""
+    """Those of the blocks that are in the surest container; without one, those that aren't mostly links.
+
+    A container in an element beside the text by its name counts if there is no other text, or if it is an article or main,
+    surer than what holds the other text and longer; but readers' comments and the like count only if there is no other text.
+    """
+
+    def surest(blocks: list[Block]) -> list[Block]:
+        sure = max((b.inside for b in blocks), default=0)
+        return [b for b in blocks if b.inside == sure and (sure or 2 * b.linked <= len(b.text))]
+
     blocks = [b for b in blocks if not b.beside]
-    if sure := max((b.inside for b in blocks), default=0):
-        return [b for b in blocks if b.inside == sure]
-    return [b for b in blocks if 2 * b.linked <= len(b.text)]
+    found = surest([b for b in blocks if not b.outer])
+    for level in (1, 2):
+        named = surest([b for b in blocks if b.outer == level])
+        if named and (not found or level == 1 and named[0].inside > max(1, found[0].inside) and _size(named) > _size(found)):
+            found = named
+    return found
 
 
 def main_text(page: str | None, told: str | None = None) -> str:

@@ -146,6 +146,24 @@ def test_html_of_single_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html class='has-sidebar'><body class='single sidebar comments-open'><p>a</p><nav>n</nav></body></html>", "a"),
+        ("<body id=sidebar-left class='page header'><div class='sidebar'>s</div><main class='content with-sidebar'><p>a</p><div class=comments>c</div></main>", "a"),
+        ("<article class='post has-comments widget'><p>a</p><div class='sidebar'>s</div></article>", "a"),
+        ("<p>tag</p><div class='layout sidebar-right'><div><article><p>a text</p></article></div><div class='sidebar'>more</div></div>", "a text"),
+        ("<div class='content no-sidebar'><p>a</p></div><div class='sidebar-content'>s</div>", "a"),
+        ("<div class='comments-layout'><main><p>a</p></main></div>", "a"),
+        ("<p>a</p><section class='comments'><article>a longer word of a reader</article></section>", "a"),
+        ("<main><p>a</p><div class='comments'><article>a longer word of a reader</article></div></main>", "a"),
+        ("<main>a</main><div class=sidebar><div class='recent post'>a longer teaser</div></div>", "a"),
+    ],
+)
+def test_html_names_of_the_layout_empty_no_page(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_vectors_of_equal_occurrence_are_one_class(spark):
     rows = [(i, "h", f"<nav><a>x{i}</a></nav><article><p>t{i}</p><p>u{i}</p></article>") for i in range(20)]
     told = html.templates(frame(spark, rows, "page_id long, host string, html string")).first()["template"]
