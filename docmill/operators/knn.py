@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.operators.lexical import top_k
+from docmill.plans.shared import sized
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -59,25 +60,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int =
     return top_k(vectors.select(cols).mapInArrow(run, kinds), k)
 
 
-def lsh_nearest(vectors: DataFrame, queries: DataFrame, k: int, planes: int = 8, tables: int = 16, seed: int = 3) -> DataFrame:
+def lsh_nearest(vectors: DataFrame, queries: DataFrame, k: int, planes: int = 8, tables: int = 32, probes: int = 8, seed: int = 3) -> DataFrame:
     """Like nearest(), but only vectors that share a bucket of signs of random projections (Charikar 2002) with the query are compared.
 
-    Buckets join on their keys, so that neither side is sent to every task.
+    In each table the query looks into its own bucket and into those that are reached by crossing the planes it is nearest
+    to (multiprobe, Lv et al. 2007), probes in all. Buckets join on their keys, ids only, so that neither side is sent to
+    every task unless the queries are few. On vectors without near neighbours most of the table is compared.
     """
 
-    def keyed(df: DataFrame, id_col: str) -> DataFrame:
+    def keyed(df: DataFrame, id_col: str, probes: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            flips = np.arange(1 << planes)
+            crossed = (flips[:, None] >> np.arange(planes)) & 1
             for b in batches:
                 if len(b):
                     x = np.array(b["embedding"].tolist(), float)
-                    bits = (x @ np.random.default_rng(seed).normal(size=(x.shape[1], planes * tables)) > 0).reshape(len(x), tables, planes)
-                    b["bucket"] = list((bits * (1 << np.arange(planes))).sum(axis=2) + (np.arange(tables) << planes))
-                    yield b[[id_col, "embedding", "bucket"]]
+                    at = (x @ np.random.default_rng(seed).normal(size=(x.shape[1], planes * tables))).reshape(len(x), tables, planes)
+                    own = ((at > 0) * (1 << np.arange(planes))).sum(axis=2)[:, :, None]
+                    if probes > 1:  # the masks of planes of least squared distance to cross
+                        own = own ^ np.argsort(at**2 @ crossed.T, axis=2, kind="stable")[:, :, :probes]
+                    b["bucket"] = list((own + (np.arange(tables) << planes)[:, None]).reshape(len(x), -1))
+                    yield b[[id_col, "bucket"]]
 
-        return df.select(id_col, "embedding").mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, embedding array<double>, bucket array<long>").withColumn("bucket", F.explode("bucket"))
+        return df.select(id_col, "embedding").mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, bucket array<long>").withColumn("bucket", F.explode("bucket"))
 
-    a = keyed(queries, "query_id").withColumnRenamed("embedding", "q")
-    pairs = a.join(keyed(vectors, "id"), "bucket").dropDuplicates(["query_id", "id"])
+    pairs = keyed(vectors, "id", 1).join(sized(keyed(queries, "query_id", min(probes, 1 << planes))), "bucket").select("query_id", "id").distinct()
+    pairs = pairs.join(vectors.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     return top_k(pairs.select("query_id", "id", cosine(F.col("q"), F.col("embedding")).alias("score")), k)
 
 

@@ -138,6 +138,14 @@ def test_lsh_finds_most_neighbours(spark):
     assert sum((i, i + 200) in got for i in range(20)) >= 18
 
 
+def test_lsh_recall_on_the_real_table(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id % 50 = 0 or id < 10").withColumnRenamed("id", "query_id")
+    want, got = ({(r["query_id"], r["id"]) for r in f(v, q, 10).collect()} for f in (knn.nearest, knn.lsh_nearest))
+    print(f"recall@10: {len(want & got) / len(want):.4f} of {len(want)}")
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_embedding_batches_blanks_and_mismatch(spark, chunks):
     seen = []
 
