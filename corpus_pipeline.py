@@ -48,9 +48,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold any ten-word window of a benchmark item."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(sized(written(found.where("contaminated").select(F.col("doc_id").alias("d")).distinct(), "contaminated")), F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    """Drops documents that hold any ten-word window of a benchmark item; rows that share an id, or have none, one by one."""
+    return _without(docs, decontam.judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,15 +120,20 @@ def _terms(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return places.select("term", "term_id").distinct(), places
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
+    """judged() without version: (id_col, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
+    return judged(docs, benchmark, **names).drop("version")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """(id_col, version, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs.
 
     Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Windows
     are ``window`` consecutive item words; an item of fewer, but not none, is one window. A document word inside any
     occurrence of a window is hit. items_sha256 is over the ids of the items with occurring windows, sorted as
     strings and joined by commas; no items: of the empty string. Null and wordless texts have no words and no
     hits. Items without an id or without words match nothing; items that share an id count once. Rows that share
-    an id, or have none, are judged one by one; other columns are ignored.
+    an id, or have none, are judged one by one; version, a hash of the text, tells them apart. Other columns are ignored.
     """
     items = written(item_terms(benchmark, item_id_col, item_text_col), "items")
     terms, places = _terms(items)
@@ -143,4 +148,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     out = docs.select(*_row_key(id_col, text_col), n_words(F.col(text_col)).alias("n_words"))
     out = out.join(met, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("version") == F.col("version_")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(F.col("doc").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("doc").alias(id_col), "version", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

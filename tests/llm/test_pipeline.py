@@ -68,6 +68,13 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     assert len({r["doc_id"] for r in last}) == len(last)
 
 
+def test_a_contaminated_row_takes_no_clean_one_of_its_id_along(spark, folder):
+    d, items = folder
+    rows = [(i, text, "en", "s0", 1) for i in (None, 7) for text in (f"see {items[0][1]} end", "a clean text of some words", "another clean text", None)]
+    out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), d).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(str(r[:2]) for r in rows if not (r[1] or "").startswith("see"))
+
+
 def test_run_gives_the_same_as_its_stages(spark, folder):
     once, again = (sorted(map(str, corpus_pipeline.run(spark, folder[0]).collect())) for _ in range(2))
     assert once == again and len(once) > 100
