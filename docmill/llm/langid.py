@@ -231,22 +231,34 @@ def _predict(model: Model):
     return run
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, max_chars: int, max_labels: int) -> tuple[list[str], list[str]]:
-    """Whole texts of labelled documents outside the held-out fold: per label the per_label first in a hash order of ids."""
+#: Texts that a label has in the sample at least, however many labels there are.
+LEAST_ROWS = 20
+
+
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, max_chars: int, max_rows: int) -> tuple[list[str], list[str]]:
+    """Whole texts of labelled documents outside the held-out fold, of every label: the per_label first of at most max_chars in a hash order of ids.
+
+    With many labels, each has max_rows / labels of them, but LEAST_ROWS at least. A label whose short texts are fewer and
+    together of less than max_chars also has its shortest long texts, up to the one with which all are of max_chars.
+    """
     fold = F.crc32(F.col(id_col).cast("string")) % 4
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.alias("fold")).where("lang is not null and text is not null and fold <> 2")
-    labels = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), F.col("id")), "id", "text")
-    fit = known.where(F.col("lang").isin(labels) & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
-    rows = sorted((r["lang"], r["id"], r["text"]) for r in fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("lang", "id", "text").collect())
+    labels = max(1, known.select("lang").distinct().count())
+    per_label = min(per_label, max(LEAST_ROWS, max_rows // labels))
+    size = F.length("text")
+    order = Window.partitionBy("lang").orderBy(F.when(size > max_chars, size).otherwise(0), F.xxhash64(F.lit(3), F.col("id")), "id", "text")
+    fit = known.where(F.col("text").rlike(r"\p{L}")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fit = fit.withColumn("size", size).withColumn("before", before).where((F.col("size") <= max_chars) | (F.col("before") < max_chars))
+    rows = sorted((r["lang"], r["id"], r["text"]) for r in fit.select("lang", "id", "text").collect())
     return [r[2] for r in rows], [r[0] for r in rows]
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_label: int = 200, max_chars: int = 20_000, max_labels: int = 50) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_label: int = 200, max_chars: int = 20_000, max_rows: int = 10_000) -> DataFrame:
     """(id_col, version, held_out, lang_pred, score) for every row of docs.
 
-    Learns from text and lang of rows whose crc32(id as text) mod 4 is not 2: at most per_label whole texts of at most
-    max_chars for each of the max_labels most frequent languages. held_out is that this remainder is 2 (null ids:
+    Learns from text and lang of rows whose crc32(id as text) mod 4 is not 2: whole texts of every language
+    there, at most per_label for each and fewer if that would be more than max_rows, see training_sample(). held_out is that this remainder is 2 (null ids:
     false, and never learned from). Texts that are null or without letters are ``und`` with score 0; if nothing can
     be learned, so are all. score is the share of the document's words, by marginals, in lang_pred; ties go to the
     first label. version, a hash of the text, tells rows that share an id apart. Other columns are ignored.
@@ -254,7 +266,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     small_batches(docs.sparkSession)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     text = F.col(text_col).cast("string")
-    texts, langs = training_sample(docs, id_col, text_col, lang_col, per_label, max_chars, max_labels)
+    texts, langs = training_sample(docs, id_col, text_col, lang_col, per_label, max_chars, max_rows)
     if not texts:
         return docs.select(F.col(id_col), F.xxhash64(text).alias("version"), held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     kind = docs.schema[id_col].dataType.simpleString()

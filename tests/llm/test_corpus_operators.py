@@ -266,6 +266,29 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(60)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text(lang, 3_000 + i if lang == "l00" else 30), lang) for i, lang in enumerate(list(words) * 12)]
+    rows += [(10_000 + i, text(lang, 30), lang) for i, lang in enumerate(list(words)[1:51] * 3)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=300).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert len(out) == len(rows) and {r["lang_pred"] for r in out} == set(words)
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in out if r["held_out"]) >= 0.95 * sum(r["held_out"] for r in out)
+
+
+def test_the_sample_of_a_language(spark):
+    rows = [(i, "a" * n, lang) for i, (lang, n) in enumerate([("long", 500 + k) for k in range(40)] + [("short", 50 + k) for k in range(40)] + [("short", 700), ("few", 30), ("few", 900), ("few", 901)] * 4)]
+    texts, langs = langid.training_sample(spark.createDataFrame(rows, "id long, t string, l string"), "id", "t", "l", 25, 100, 10)
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    sizes = lambda lang: sorted(len(t) for t, x in zip(texts, langs, strict=True) if x == lang)
+    assert sizes("long") == [min(len(t) for _, t, x in known if x == "long")]
+    assert len(sizes("short")) == 20 and max(sizes("short")) <= 100
+    few = sum(len(t) == 30 for _, t, x in known if x == "few")
+    assert sizes("few") == [30] * few + ([900] if few < 4 else [])
+
+
 def test_forward_backward_against_brute_force():
     rng = np.random.default_rng(0)
     emit, trans = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
