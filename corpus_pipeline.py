@@ -36,8 +36,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates; of rows that share an id, one."""
-    found = written(minhash.near_duplicates(docs, size=3, percent=85), "near-duplicates")
+    """Keeps the document of least id of each group of near-duplicates (five-word shingles, similarity 0.8); of rows that share an id, one."""
+    found = written(minhash.near_duplicates(docs), "near-duplicates")
     gone = sized(found.where("not kept").select(F.col("doc_id").alias("d")).distinct())
     kept = docs.join(gone, docs.doc_id == gone.d, "left_anti")
     repeated = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d")), "repeated")

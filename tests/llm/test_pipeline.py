@@ -68,6 +68,20 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     assert len({r["doc_id"] for r in last}) == len(last)
 
 
+def test_near_duplicates_are_those_of_five_words_and_four_fifths(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join(t.split()[: 74 + i])) for i, t in enumerate(texts)]
+    rows += [(200 + i, " ".join(w if k % (15 + 7 * i) else "other" for k, w in enumerate(t.split()))) for i, t in enumerate(texts)]
+    sets = sets_of(rows, 5)
+    group = components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(*r, "en", "s0", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    least = {}
+    for i, g in group.items():
+        least[g] = min(least.get(g, rows[i][0]), rows[i][0])
+    assert sorted(r["doc_id"] for r in out) == sorted(least.values()) and 108 not in {r["doc_id"] for r in out}
+
+
 def test_a_contaminated_row_takes_no_clean_one_of_its_id_along(spark, folder):
     d, items = folder
     rows = [(i, text, "en", "s0", 1) for i in (None, 7) for text in (f"see {items[0][1]} end", "a clean text of some words", "another clean text", None)]
