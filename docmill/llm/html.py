@@ -4,7 +4,7 @@ A token is an element at its path of elements, or a block's whole text at its pa
 for each page of the host; tokens with one vector are a class. Vectors are not built: a vector is known by the
 sums, over its pages, of hashes of (page, number), which combine before the shuffle and so never bring a
 host's pages together. Classes that most pages have are the host's template. In each page, a class counts
-if its tokens come in the template's order, those of inner elements inside the outer ones; texts of such classes
+if its tokens come in the template's order (classes are not nested into each other); texts of such classes
 are the site's, not the page's. What is left are the slots; those inside the article are the main text. Copies of a
 page count once, and an article that is mostly shared text stays whole.
 """
