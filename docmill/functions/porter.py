@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,19 +94,6 @@ def fold(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
 
 
-def stemmed_lists(c: Column) -> Column:
-    """Each term of lists of terms folded and stemmed."""
-
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        flat = np.concatenate([*lists, np.zeros(0, object)])
-        codes, distinct = pd.factorize(flat)
-        found = np.array([stem(fold(t)) for t in distinct] + [None], object)[codes]
-        return pd.Series(np.split(found, np.cumsum([len(x) for x in lists])[:-1]), dtype=object)
-
-    return run(c)
-
-
 def stemmed(c: Column) -> Column:
     """Each term folded and stemmed; the distinct terms of a batch are worked out once."""
 

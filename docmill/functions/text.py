@@ -91,6 +91,17 @@ def chunk_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)
 
 
+#: Fixed value: the public name space of domain names (RFC 4122).
+NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(c: Column) -> Column:
+    """The name-based UUID (version 5) of an id."""
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_DNS)), c.cast("binary")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("long").bitwiseAND(3) + 8))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 def chunk_uri(source: Column, path: Column, anchor: Column) -> Column:
     return F.concat(F.lit("docs://"), source, F.lit("/section/"), path, F.when(F.coalesce(anchor, F.lit("")) != "", F.concat(F.lit("#"), anchor)).otherwise(""))
 

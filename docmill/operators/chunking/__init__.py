@@ -1,4 +1,4 @@
-"""Chunkers: files (source_id, path, content, modified, is_entrypoint) to chunks. One scan, no shuffle, each."""
+"""Chunkers: files (source_id, path, content, modified, is_entrypoint) to chunks, whose seq is their place in the file. One scan, no shuffle, each."""
 
 from __future__ import annotations
 

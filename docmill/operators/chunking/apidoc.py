@@ -116,6 +116,6 @@ def chunk_apidoc(files: DataFrame, default_category: str = "Components", categor
         parts.append(F.flatten(F.transform(named("directives"), directive)))
     if include_services:
         parts.append(F.flatten(F.transform(named("injectables"), service)))
-    rows = docs.select("source_id", F.col("modified").alias("file_modified"), F.explode(F.filter(F.concat(*parts), lambda c: c.isNotNull())).alias("c")).select("source_id", "file_modified", "c.*")
+    rows = docs.select("source_id", F.col("modified").alias("file_modified"), F.posexplode(F.filter(F.concat(*parts), lambda c: c.isNotNull())).alias("seq", "c")).select("source_id", "file_modified", "seq", "c.*")
     rows = rows.withColumns({"id": chunk_id(F.col("source_id"), F.lit("compodoc"), F.col("component_name"), F.col("tag")), "kind": F.lit("api_doc"), "chunk_class": F.lit("component")})
     return as_chunks(rows.drop("tag"))

@@ -127,7 +127,7 @@ def chunk_python(files: DataFrame, chunk_strategy: str = "symbol", include_priva
     module = chunk_strategy == "module"
     s = F.col("s")
     method = s["kind"].endswith("method")
-    parts = rows.withColumn("s", F.explode("symbols")).where(~method if module else F.lit(True))
+    parts = rows.select("*", F.posexplode("symbols").alias("_at", "s")).withColumn("seq", F.col("_at") + 1).where(~method if module else F.lit(True))
     title = F.when(s["kind"] == "class", F.concat(F.lit("class "), s["name"])).when(method, F.concat(s["name"], F.lit("()"))).otherwise(F.concat(F.lit("def "), s["name"], F.lit("()")))
     has_doc = F.coalesce(s["doc"], F.lit("")) != ""
     parts = parts.withColumns({

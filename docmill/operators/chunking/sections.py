@@ -95,7 +95,7 @@ def _front_rows(content: pd.Series) -> pd.DataFrame:
 
 
 def _split(files: DataFrame, content: Column, opening: str) -> DataFrame:
-    rows = files.withColumn("s", F.explode(sections(content, opening))).drop("content")
+    rows = files.select("*", F.posexplode(sections(content, opening)).alias("seq", "s")).drop("content")
     return rows.select(*[c for c in rows.columns if c != "s"], "s.*").withColumn("id", chunk_id(F.col("source_id"), F.col("path"), F.coalesce(F.nullif("anchor", F.lit("")), F.lit("root"))))
 
 

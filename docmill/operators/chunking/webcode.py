@@ -97,7 +97,7 @@ def chunk_source(files: DataFrame, chunk_strategy: str = "file", languages: Iter
         return as_chunks(whole)
     at = F.filter(F.transform(F.array_distinct("classes"), lambda c: F.struct(c.alias("name"), _class_start(F.col("content"), c).alias("at"))), lambda x: x["at"] > 0)
     placed = whole.withColumn("placed", at)
-    parts = placed.withColumn("p", F.explode("placed"))
+    parts = placed.select("*", F.posexplode("placed").alias("seq", "p"))
     name = F.col("p.name")
     parts = parts.withColumns({
         "id": chunk_id(F.col("source_id"), F.lit("source"), F.col("path"), name), "anchor": F.lower(name), "title": name, "content": F.substr("content", F.col("p.at"), F.lit(2000)), "kind": F.lit("source"), "depth": F.lit(2),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import words
 from docmill.functions.vocabulary import ABBREVIATIONS, SYNONYMS
-from docmill.plans.shared import sized
+from docmill.plans.shared import local_table
 
 
 def expansion_rows(abbreviations: Iterable[tuple[str, str]] = ABBREVIATIONS, synonyms: Iterable[tuple[str, ...]] = SYNONYMS) -> list[tuple[str, str, int]]:
@@ -20,19 +20,28 @@ def expansion_rows(abbreviations: Iterable[tuple[str, str]] = ABBREVIATIONS, syn
 
 
 def expansions(spark: SparkSession, extra_abbreviations: Iterable[tuple[str, str]] = (), extra_synonyms: Iterable[tuple[str, ...]] = ()) -> DataFrame:
-    """The table of built-in and custom expansions, lower-cased."""
+    """The table of built-in and custom expansions, lower-cased; as large as the lists given to the driver, and so broadcast."""
     low = lambda rows: [tuple(w.lower() for w in r) for r in rows]
-    return spark.createDataFrame(expansion_rows([*ABBREVIATIONS, *low(extra_abbreviations)], [*SYNONYMS, *low(extra_synonyms)]), "term string, alt string, n int")
+    rows = expansion_rows([*ABBREVIATIONS, *low(extra_abbreviations)], [*SYNONYMS, *low(extra_synonyms)])
+    return F.broadcast(local_table(spark, rows, "term string, alt string, n int"))
 
 
 def expand_terms(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, place, term, step, n[, source]): every word of the queries with its expansions; step 0 is the word itself."""
     keep = [c for c in ("query_id", "source") if c in queries.columns]
     own = queries.select(*keep, F.posexplode(words("text")).alias("place", "word"))
-    alt = own.join(sized(table), own.word == table.term).select(*keep, "place", F.col("alt").alias("term"), F.lit(1).alias("step"), "n")
+    alt = own.join(table, own.word == table.term).select(*keep, "place", F.col("alt").alias("term"), F.lit(1).alias("step"), "n")
     return own.select(*keep, "place", F.col("word").alias("term"), F.lit(0).alias("step"), F.lit(0).alias("n")).unionByName(alt)
 
 
+def expanded_few(rows: list[tuple], table: DataFrame) -> list[tuple]:
+    """Like expanded_terms(), for a few (query_id, words[, source]) that the driver holds: distinct (query_id, term[, source])."""
+    alts: dict[str, list[str]] = {}
+    for r in table.collect():
+        alts.setdefault(r["term"], []).append(r["alt"])
+    return list(dict.fromkeys((q, t, *rest) for q, words_, *rest in rows for w in words_ for t in (w, *alts.get(w, ()))))
+
+
 def expanded_terms(queries: DataFrame, table: DataFrame) -> DataFrame:
     """(query_id, term[, source]): the distinct terms of each query."""
     return expand_terms(queries, table).drop("place", "step", "n").distinct()

@@ -20,10 +20,19 @@ RELATIONS = "belongs_to has_variant extends uses related_to has_prop documents h
 NODE_TYPES = "component category prop chunk source_file".split()
 
 
+NODE_SCHEMA = "node_id string, node_type string, name string, category string, description string, chunk_id string, chunk_type string, parent_category string, language string, file_type string, seq long"
+EDGE_SCHEMA = "src string, dst string, relation_type string, weight double, bidirectional boolean, seq long"
+
+
 @dataclass
 class Graph:
-    nodes: DataFrame  # node_id, node_type, name, category, description, chunk_id, chunk_type, parent_category, language, file_type, seq
-    edges: DataFrame
+    nodes: DataFrame  # as NODE_SCHEMA
+    edges: DataFrame  # as EDGE_SCHEMA
+
+
+def kept(graph: Graph) -> Graph:
+    """The graph as tables in the shared folder, for plans that read it more than once."""
+    return Graph(written(graph.nodes, "nodes"), written(graph.edges, "edges"))
 
 
 def _node(kind: str, prefix: str, name: Column, **more: Column) -> list[Column]:
@@ -38,13 +47,21 @@ def _edge(src: Column, dst: Column, relation: Column | str, n: int, weight: floa
 
 
 def with_nodes(graph: Graph, nodes: DataFrame) -> Graph:
-    """The graph with nodes added or their blank attributes filled; nodes has node_type and name, the rest may be absent."""
+    """The graph with nodes added or their blank attributes filled; nodes has node_type and name, the rest may be absent.
+
+    A category that is new to the graph belongs to its parent category, which is added too.
+    """
     prefix = F.when(F.col("node_type") == "source_file", "source").otherwise(F.col("node_type"))
     rows = nodes.withColumn("node_id", F.concat(prefix, F.lit(":"), "name"))
     parents = rows.where("node_type = 'category'").where(F.col("parent_category").isNotNull()) if "parent_category" in rows.columns else rows.limit(0).withColumn("parent_category", F.lit(""))
     parents = parents.select(F.lit("category").alias("node_type"), F.col("parent_category").alias("name"), F.concat(F.lit("category:"), "parent_category").alias("node_id"))
     last = graph.nodes.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
-    return Graph(merged_nodes(graph.nodes.unionByName(rows.unionByName(parents, allowMissingColumns=True).withColumn("seq", F.lit(last)), allowMissingColumns=True)), graph.edges)
+    known = merged_nodes(graph.nodes.unionByName(rows.unionByName(parents, allowMissingColumns=True).withColumn("seq", F.lit(last)), allowMissingColumns=True))
+    if "parent_category" not in rows.columns:
+        return Graph(known, graph.edges)
+    new = rows.where("node_type = 'category' and parent_category is not null").join(graph.nodes.select("node_id"), "node_id", "left_anti")
+    belongs = new.select(F.col("node_id").alias("src"), F.concat(F.lit("category:"), "parent_category").alias("dst"), F.lit("belongs_to").alias("relation_type")).distinct()
+    return with_edges(Graph(known, graph.edges), belongs)
 
 
 def with_edges(graph: Graph, edges: DataFrame, both_ways: bool = False) -> Graph:
@@ -171,9 +188,9 @@ def members(graph: Graph, categories: DataFrame | None = None) -> DataFrame:
 
 
 def find_nodes(graph: Graph, node_type: str, names: DataFrame | None = None) -> DataFrame:
-    """Nodes of a type in writing order, all or those of asked(asked)."""
+    """Nodes of a type, all or those of asked(asked); seq is their writing order."""
     rows = graph.nodes.where(F.col("node_type") == node_type)
-    return (rows.join(sized(names.select(F.col("asked").alias("name")).distinct()), "name", "left_semi") if names is not None else rows).orderBy("seq")
+    return rows.join(sized(names.select(F.col("asked").alias("name")).distinct()), "name", "left_semi") if names is not None else rows
 
 
 def walk(graph: Graph, asked: DataFrame, depth: int = 2, mode: str = "shortest") -> DataFrame:
@@ -217,22 +234,22 @@ def component_info(graph: Graph, chunks: DataFrame, asked: DataFrame) -> DataFra
 
 
 def list_categories(graph: Graph) -> DataFrame:
-    """(name, description, component_count, components) of every category, in writing order."""
+    """(name, description, component_count, components, seq) of every category; seq is the writing order."""
     rows = members(graph).groupBy(F.col("category").alias("name")).agg(F.count("*").alias("component_count"), F.sort_array(F.collect_list(F.struct("seq", F.col("name")))).alias("_c"))
     known = graph.nodes.where("node_type = 'category'").select("name", F.coalesce("description", F.lit("")).alias("description"), "seq")
-    out = known.join(rows.select("name", "component_count", F.transform("_c", lambda x: x["name"]).alias("components")), "name", "left").orderBy("seq")
-    return out.select("name", "description", F.coalesce("component_count", F.lit(0)).alias("component_count"), F.coalesce("components", F.array().cast("array<string>")).alias("components"))
+    out = known.join(rows.select("name", "component_count", F.transform("_c", lambda x: x["name"]).alias("components")), "name", "left")
+    return out.select("name", "description", F.coalesce("component_count", F.lit(0)).alias("component_count"), F.coalesce("components", F.array().cast("array<string>")).alias("components"), "seq")
 
 
 def explore_category(graph: Graph, chunks: DataFrame, category: str, include_chunks: bool = False) -> DataFrame:
-    """(category, name, description[, chunks]) of a category's components, in writing order."""
+    """(category, name, description[, chunks], seq) of a category's components; seq is the writing order."""
     spark = graph.nodes.sparkSession
     rows = members(graph, spark.createDataFrame([(category,)], "category string")).join(graph.nodes.where("node_type = 'component'").select("name", F.coalesce("description", F.lit("")).alias("description")), "name")
     if include_chunks:
         docs = chunks_of(graph, rows.select(F.col("name").alias("asked"))).join(chunks.select(F.col("id").alias("chunk_id"), "title"), "chunk_id")
         docs = docs.groupBy(F.col("asked").alias("name")).agg(F.sort_array(F.collect_list(F.struct("seq", "title"))).alias("_t")).select("name", F.transform("_t", lambda x: x["title"]).alias("chunks"))
         rows = rows.join(docs, "name", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<string>")))
-    return rows.orderBy("seq").drop("seq")
+    return rows
 
 
 def filtered_search(scores: DataFrame, chunks: DataFrame, graph: Graph, k: int, component: str | None = None, category: str | None = None, chunk_type: str | None = None, include_related: bool = False, depth: int = 1) -> DataFrame:
@@ -263,8 +280,6 @@ def graph_json(graph: Graph) -> DataFrame:
 
 
 def graph_from_json(rows: DataFrame) -> Graph:
-    node = "node_id string, node_type string, name string, category string, description string, chunk_id string, chunk_type string, parent_category string, language string, file_type string, seq long"
-    edge = "src string, dst string, relation_type string, weight double, bidirectional boolean, seq long"
     part = lambda kind, schema: rows.where(F.col("kind") == kind).select(F.from_json("json", schema).alias("r")).select("r.*")
-    return Graph(part("node", node), part("edge", edge))
+    return Graph(part("node", NODE_SCHEMA), part("edge", EDGE_SCHEMA))
 

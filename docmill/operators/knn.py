@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docmill.operators.lexical import top_k
-from docmill.plans.shared import sized
+from docmill.plans.shared import few, sized, written
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,43 +23,79 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, score, rank): the k vectors closest to each query vector.
+def _flat(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix, in double precision. Null vectors are zero vectors."""
+    n = len(column)
+    if column.null_count:
+        width = max((len(v) for v in column if v.is_valid), default=0)
+        column = pa.array([v.as_py() if v.is_valid else [0.0] * width for v in column], column.type)
+    flat = np.asarray(column.flatten(), float)
+    if n and len(flat) % n or (np.diff(np.asarray(column.offsets)) != len(flat) // max(1, n)).any():
+        raise ValueError("vectors of several dimensions")
+    return flat.reshape(n, -1)
 
-    vectors: (id, embedding[, source_id]); queries: (query_id, embedding[, source]). The queries, at most most_queries, go to every
-    task; each batch of vectors gives its k best for each query by one matrix product, and only these are ranked.
-    """
-    asked = queries.limit(most_queries + 1).toPandas()
-    if len(asked) > most_queries:
-        raise ValueError(f"ask at most {most_queries} queries at a time")
-    if not len(asked):
-        return vectors.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
-    filtered = "source" in asked and "source_id" in vectors.columns
-    sources = asked["source"].tolist() if filtered else [None] * len(asked)
-    q = np.array([np.asarray(e, float) for e in asked["embedding"]])
-    q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
-    query_ids = pa.array(asked["query_id"])
+
+def _best(q: np.ndarray, query_ids: pa.Array, sources: np.ndarray | None, codes: dict[str, int], k: int):
+    """A mapInArrow function from batches (id, embedding[, source_id]) to the k best rows of each batch for each query, ties with the k-th kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            x = _flat(batch.column(1))
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors of {x.shape[1]} dimensions, queries of {q.shape[1]}")
             size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            s = np.round(np.where(size > 0, x, 0) / np.where(size > 0, size, 1) @ q.T, 6)
-            from_ = np.array(batch.column(2).to_pylist() if filtered else [None] * len(x), dtype=object)
-            for j in range(len(q)):
-                rows = np.flatnonzero(from_ == sources[j]) if sources[j] is not None else np.arange(len(x))
-                if len(rows) > k:  # keeps ties with the k-th
-                    least = np.partition(s[rows, j], len(rows) - k)[len(rows) - k]
-                    rows = rows[s[rows, j] >= least]
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array([j] * len(rows), pa.int64())), batch.column(0).take(pa.array(rows)), pa.array(s[rows, j] + 0.0)], ["query_id", "id", "score"])
+            x = np.where(size > 0, x, 0) / np.where(size > 0, size, 1)
+            own = np.array([codes.get(v, -2) for v in batch.column(2).to_pylist()]) if sources is not None else None
+            for j in range(0, len(q), QUERIES_AT_ONCE):
+                s = np.round(x @ q[j : j + QUERIES_AT_ONCE].T, 6) + 0.0
+                if own is not None:
+                    asked = sources[j : j + QUERIES_AT_ONCE]
+                    s[(asked[None, :] != -1) & (asked[None, :] != own[:, None])] = -np.inf
+                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -np.inf)
+                row, query = np.nonzero((s >= least) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query + j)), batch.column(0).take(pa.array(row)), pa.array(s[row, query])], ["query_id", "id", "score"])
+
+    return run
+
+
+#: Queries that are compared with a batch at once, and that go to every task at once.
+QUERIES_AT_ONCE, MOST_QUERIES = 256, 10_000
+
 
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    cols = ["id", "embedding", *(["source_id"] if filtered else [])]
-    return top_k(vectors.select(cols).mapInArrow(run, kinds), k)
+def nearest_to(vectors: DataFrame, query_ids: pa.Array, q: np.ndarray, sources: list | None, k: int, query_type: str) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors closest to each row of q, of a few queries that the driver holds."""
+    q = np.asarray(q, float).reshape(len(query_ids), -1)
+    q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
+    filtered = sources is not None and "source_id" in vectors.columns
+    codes = {s: i for i, s in enumerate(dict.fromkeys(s for s in sources or [] if s is not None))}
+    wanted = np.array([-1 if s is None else codes[s] for s in sources]) if filtered else None
+    kinds = f"query_id {query_type}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    return top_k(vectors.select("id", "embedding", *(["source_id"] if filtered else [])).mapInArrow(_best(q, query_ids, wanted, codes, k), kinds), k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = MOST_QUERIES) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors closest to each query vector, which may be any number.
+
+    vectors: (id, embedding[, source_id]); queries: (query_id, embedding[, source]). At most about most_queries go to every
+    task at once; more are dealt by their ids into several passes over the vectors. Each batch of vectors gives its
+    k best for each query by one matrix product, and only these are ranked.
+    """
+    kind, arrow = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
+    rows = few(queries, most_queries)
+    parts = [rows] if rows is not None else []
+    if rows is None:
+        passes = -(-queries.count() // most_queries)
+        parts = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).collect() for i in range(passes))
+    found = []
+    for part in parts:
+        if part:
+            best = nearest_to(vectors, pa.array([r["query_id"] for r in part], arrow), np.array([r["embedding"] for r in part], float), [r["source"] for r in part] if "source" in queries.columns else None, k, kind)
+            found.append(best if rows is not None else written(best, "nearest"))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {vectors.schema['id'].dataType.simpleString()}, score double, rank int")
+    return reduce(DataFrame.unionByName, found)
 
 
 def lsh_nearest(vectors: DataFrame, queries: DataFrame, k: int, planes: int = 8, tables: int = 32, probes: int = 8, seed: int = 3) -> DataFrame:
@@ -115,14 +153,19 @@ def embedding_text(title: Column, content: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
 
 
+def embed_texts(provider: Provider, texts: list[str | None], batch: int = 100) -> list[np.ndarray]:
+    """The provider's vectors of texts, asked for in batches; a blank text is sent as one space."""
+    texts = [t if t and t.strip() else " " for t in texts]
+    return [v for i in range(0, len(texts), batch) for v in np.asarray(provider(texts[i : i + batch]), np.float32)]
+
+
 def embed(df: DataFrame, text: Column, provider: Provider, batch: int = 100) -> DataFrame:
     """df with embedding, provider and dim; the provider gets batches of texts, a blank text as one space."""
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if t and t.strip() else " " for t in b.pop("_text")]
-            found = [v for i in range(0, len(texts), batch) for v in np.asarray(provider(texts[i : i + batch]), np.float32)]
+            found = embed_texts(provider, list(b.pop("_text")), batch)
             yield b.assign(embedding=found, provider=getattr(provider, "name", "custom"), dim=[len(v) for v in found])
 
     return df.withColumn("_text", text).mapInPandas(run, f"{kind}, embedding array<float>, provider string, dim int")

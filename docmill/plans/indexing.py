@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.schema import CHUNK_SCHEMA
 from docmill.operators.chunking import CHUNKERS
+from docmill.plans.shared import written
 from docmill.sources.config import Source
 from docmill.sources.files import scan
 
 
-def index_source(spark: SparkSession, source: Source) -> DataFrame:
-    """Chunks of a source: every adapter sees every file that it supports. Unknown adapters are left out."""
+def _parts(spark: SparkSession, source: Source, number: int) -> list[DataFrame]:
+    """The chunks of each adapter of a source, with what fixes their order: source_no, adapter_no, path and seq, the place in the file."""
     out = []
     for i, adapter in enumerate(source.adapters):
         if adapter.type not in CHUNKERS:
+            warnings.warn(f"source {source.id}: unknown adapter type {adapter.type!r}", stacklevel=2)
             continue
         extensions, chunker = CHUNKERS[adapter.type]
         latin = adapter.type in ("source", "python")
@@ -27,16 +30,30 @@ def index_source(spark: SparkSession, source: Source) -> DataFrame:
             files = scan(spark, source.root, source.include_globs, source.exclude_globs, source.id, source.entrypoints, latin).where(F.col("extension").isin(list(extensions)))
         files = files.where("error is null").drop("error", "extension")
         known = {k: v for k, v in adapter.config.items() if k in chunker.__code__.co_varnames[: chunker.__code__.co_argcount]}
-        out.append(chunker(files, **known).withColumn("seq", F.lit(i)))
-    if not out:
-        return spark.createDataFrame([], CHUNK_SCHEMA)
-    return numbered(reduce(DataFrame.unionByName, out))
+        out.append(chunker(files, **known).withColumns({"source_no": F.lit(number), "adapter_no": F.lit(i)}))
+    return out
 
 
-def index_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    return numbered(reduce(DataFrame.unionByName, [index_source(spark, s) for s in sources])) if sources else spark.createDataFrame([], CHUNK_SCHEMA)
+def index_source(spark: SparkSession, source: Source, first: int = 0) -> DataFrame:
+    """Chunks of a source: every adapter sees every file that it supports. Unknown adapters are warned of and left out."""
+    return index_sources(spark, [source], first)
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
-    """seq: a number that follows adapter and path, the same whenever the same files are indexed, without a global sort."""
-    return chunks.withColumn("seq", F.pmod(F.col("seq"), F.lit(8)) * F.lit(1 << 40) + F.conv(F.substring(F.sha2(F.concat_ws(":", "source_id", "path"), 256), 1, 7), 16, 10).cast("long") * 4096 + F.col("depth"))
+def index_sources(spark: SparkSession, sources: list[Source], first: int = 0) -> DataFrame:
+    """Chunks of all sources; seq numbers them from ``first`` in corpus order."""
+    parts = [p for k, s in enumerate(sources) for p in _parts(spark, s, k)]
+    return numbered(reduce(DataFrame.unionByName, parts), first) if parts else spark.createDataFrame([], CHUNK_SCHEMA)
+
+
+def numbered(chunks: DataFrame, first: int = 0) -> DataFrame:
+    """seq: numbers without gaps in the order of source_no, adapter_no, path and the place in the file, which seq was.
+
+    One shuffle into ranges, which also brings the store's partitions together; a row's number is its place in its range
+    and the sizes of those before, of which there are no more than shuffle partitions.
+    """
+    order = chunks.orderBy("source_no", "adapter_no", "path", "seq", "id")
+    order = written(order.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "chunks")
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = order.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = order.join(F.broadcast(before), "_part").withColumn("seq", F.col("_before") + F.col("_at") + first)
+    return rows.drop("_part", "_at", "_before", "source_no", "adapter_no").select(chunks.drop("source_no", "adapter_no").columns)

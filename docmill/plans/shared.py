@@ -5,12 +5,21 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows up to which a table of a few scalar columns may be broadcast (some tens of MB).
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Rows that a plan may look at on the driver to choose what it reads.
+FEW_ROWS = 10_000
+#: Bytes up to which a scan may be dealt out anew.
+SMALL_SCAN = 256 << 20
 
 #: Rows and bytes of a batch of texts that goes to Python at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -26,6 +35,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds what a Python worker holds at once while plans run inside; the session's settings come back at the end."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -76,14 +98,42 @@ def _clean() -> None:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than the cluster has cores, dealt to that many; others as they are.
+    """A small scan of fewer partitions than the cluster has cores, dealt to that many; others as they are.
 
-    For scans only: a plan with shuffles would run to count its partitions.
+    Only a scan of at most SMALL_SCAN bytes, by the size of its files, is shuffled. For scans only: a plan with shuffles would run to
+    count its partitions.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
+    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_SCAN:
+        return scan
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows that it has at most so many rows; otherwise joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(kind: DataType, c: Column) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, ArrayType | MapType | StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it is seen to have at most so many rows and bytes; otherwise joins shuffle."""
+    width = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, found = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and found <= size else df
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> list | None:
+    """The rows of df if they are at most that many, else None."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """A few rows as values inside the plan: projections and filters of them need no job."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], kind.type) for i, kind in enumerate(kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=pa.schema([f.with_nullable(True) for f in kinds])), schema)

@@ -16,10 +16,12 @@ from docmill.functions.schema import as_chunks
 from docmill.operators import expand, fuse, graph, knn, lexical
 from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
-from docmill.plans.search import rank_hybrid, search_terms, shown_terms
-from docmill.plans.shared import spread, written
-from docmill.plans.tools import component_usage
-from docmill.sources import store
+from docmill.plans import indexing, search
+from docmill.plans.search import search_terms
+from docmill.plans.shared import shared_path, spread, written
+from docmill.plans.tools import best_files, component_usage, contexts, counts_by_source, source_filter, with_counts
+from docmill.sources import files, store
+from docmill.sources.config import Adapter, Source, sources_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,13 +168,17 @@ def kebab_pascal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", pascal.alias("pascal"), text.pascal_to_kebab(pascal).alias("kebab"))
 
 
+_KIND_PATHS = ("AGENTS.md", "README.md", "api/x.md", "quickstart.md", "Examples/y.md", "notes.md", "reference/z.md", "getting_started.md")
+
+
 @query("""
-WITH p AS (SELECT page_id, ['AGENTS.md', 'README.md', 'api/x.md', 'quickstart.md', 'Examples/y.md', 'notes.md'][page_id % 6 + 1] AS path FROM pages)
-SELECT page_id, CASE WHEN contains(lower(path), 'agents.md') THEN 'module' WHEN contains(lower(path), 'readme.md') THEN 'readme' WHEN contains(lower(path), 'api') OR contains(lower(path), 'reference') THEN 'api'
-  WHEN contains(lower(path), 'example') THEN 'example' WHEN contains(lower(path), 'getting_started') OR contains(lower(path), 'quickstart') THEN 'guide' ELSE 'reference' END AS kind FROM p""")
+WITH p AS (SELECT p_partkey, lower([""" + ", ".join(f"'{p}'" for p in _KIND_PATHS) + """][p_partkey % 8 + 1]) AS path FROM part)
+SELECT p_partkey, CASE WHEN contains(path, 'agents.md') THEN 'module' WHEN contains(path, 'readme.md') THEN 'readme' WHEN contains(path, 'api') OR contains(path, 'reference') THEN 'api'
+  WHEN contains(path, 'example') THEN 'example' WHEN contains(path, 'getting_started') OR contains(path, 'quickstart') THEN 'guide' ELSE 'reference' END AS kind,
+  CASE WHEN contains(path, 'readme.md') THEN 'readme' WHEN contains(path, 'api') OR contains(path, 'reference') THEN 'api' WHEN contains(path, 'example') THEN 'example' ELSE 'reference' END AS component_kind FROM p""")
 def kind_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = F.array(*[F.lit(p) for p in ("AGENTS.md", "README.md", "api/x.md", "quickstart.md", "Examples/y.md", "notes.md")])
-    return table(spark, sf_dir, "pages").select("page_id", sections.kind_of_path(F.element_at(paths, (F.col("page_id") % 6 + 1).cast("int"))).alias("kind"))
+    path = F.element_at(F.array(*[F.lit(p) for p in _KIND_PATHS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", sections.kind_of_path(path).alias("kind"), sections.kind_of_path(path, component=True).alias("component_kind"))
 
 
 @query(f"WITH {_BASE} SELECT seq, chunk_type FROM chunks")
@@ -185,10 +191,14 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html("html").alias("plain"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<([a-z]+[0-9]?)', 1)) AS n_tags, list_aggregate(list_sort(list_distinct(regexp_extract_all(html, '<([a-z]+[0-9]?)', 1))), 'string_agg', ',') AS tags FROM pages")
+@query("""
+WITH t AS (SELECT page_id, list_transform(regexp_extract_all(html, '<(article|nav|footer|p|h1)', 1), lambda x: CASE WHEN x IN ('p', 'h1') THEN 'Tds' ELSE 'App' END || upper(substr(x, 1, 1)) || substr(x, 2)) AS refs FROM pages)
+SELECT page_id, len(refs) AS n_refs, list_aggregate(list_sort(list_distinct(refs)), 'string_agg', ',') AS refs FROM t""")
 def html_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = text.all_matches("html", "<([a-z]+[0-9]?)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.size(tags).cast("long").alias("n_tags"), F.array_join(F.array_sort(F.array_distinct(tags)), ",").alias("tags"))
+    """Components whose tags are in a template; pages with some of their tags renamed are the templates."""
+    named = F.regexp_replace(F.regexp_replace("html", "<(p|h1)", "<tds-$1>"), "<(article|nav|footer)", "<APP-$1>")
+    refs = webcode.component_refs(named)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(refs).cast("long").alias("n_refs"), F.array_join(F.array_sort(F.array_distinct(refs)), ",").alias("refs"))
 
 
 @query("""
@@ -345,18 +355,60 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNIPPET = """regexp_replace((CASE WHEN start > 0 THEN '...' ELSE '' END) || regexp_replace(substr(content, start + 1, 200), '^\\s+|\\s+$', '', 'g') || (CASE WHEN start + 200 < length(content) THEN '...' ELSE '' END), '\\s+', ' ', 'g')"""
 
 
-@query(f"""WITH {_EXPANDED}, {_bm25('', terms=_EXPANDED_TERMS)}, {_NEAR.format(_VECTOR_VALUES, 'true')}, {_FUSED.format(l=_top(24), v=_top(24, source='v'))},
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters_provider() -> knn.Provider:
+    """How often a text has each of the letters a to z: a provider that SQL can express."""
+
+    def embed(texts: list[str]):
+        import numpy as np
+
+        return np.array([[t.count(c) for c in ALPHABET] for t in texts], float).reshape(len(texts), len(ALPHABET))
+
+    embed.name, embed.dim = "letters", len(ALPHABET)
+    return embed
+
+
+_LETTERS = "list_transform(string_split('" + "|".join(ALPHABET) + "', '|'), lambda c: (length({0}) - length(replace({0}, c, '')))::DOUBLE)"
+_LETTERS_NEAR = f"""e AS (SELECT id, {_LETTERS.format("(title || chr(10) || chr(10) || content)")} AS e FROM chunks),
+a AS (SELECT query_id, {_LETTERS.format("text")} AS a FROM (VALUES {_VALUES}) v(query_id, text)),
+v AS (SELECT query_id, id, CASE WHEN list_sum(e) > 0 AND list_sum(a) > 0 THEN list_dot_product(a, e) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(e, e))) ELSE 0 END AS score FROM a, e)"""
+
+
+def _renamed(sql: str, **names: str) -> str:
+    """sql with its table names a and e replaced, where another part has them too."""
+    import re
+
+    for old, new in names.items():
+        sql = re.sub(rf"\b{old} AS \(", f"{new} AS (", re.sub(rf"FROM {old}, e\b", f"FROM {new}, e", sql))
+    return sql
+
+
+@query(f"""WITH {_EXPANDED.replace("e AS (", "ex AS (")}, {_bm25('', terms=_EXPANDED_TERMS.replace("FROM e ", "FROM ex "))}, {_renamed(_LETTERS_NEAR, a="qa")},
+l AS (SELECT * FROM {_top(24)}), n AS (SELECT query_id, id, rank FROM {_top(24, source='v')}),
+f AS (SELECT query_id, id, l.rank AS lexical_rank, n.rank AS vector_rank, coalesce(0.4::DOUBLE / (60 + l.rank), 0) + coalesce(0.6::DOUBLE / (60 + n.rank), 0) AS score FROM l FULL OUTER JOIN n USING (query_id, id)),
 t AS {_top(8, source='f', places=12)},
-a AS (SELECT query_id, list(DISTINCT term) AS asked FROM e GROUP BY 1),
+a AS (SELECT query_id, list(DISTINCT term) AS asked FROM ex GROUP BY 1),
 b AS (SELECT query_id, id, content, asked, t.score * CASE WHEN is_entrypoint THEN 1.3::DOUBLE ELSE 1 END * (1 + 0.2::DOUBLE * len(list_intersect(asked, list_distinct(regexp_extract_all(lower(title), '{_WORD}'))))) AS score FROM t JOIN chunks USING (id) JOIN a USING (query_id)),
 best AS {_top(8, source='b', places=12)},
 ps AS (SELECT *, coalesce(list_min(list_filter(list_transform(asked, lambda x: instr(lower(content), x)), lambda p: p > 0)), 1) - 1 AS pos FROM best),
 st AS (SELECT *, greatest(0, pos - 50) AS start FROM ps)
 SELECT query_id, id, rank, round(score, 6) AS score, {_SNIPPET} AS snippet FROM st""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, x = chunks_of(spark, sf_dir), expand.expansions(spark)
-    a, b = _ranked(spark, sf_dir, chunks, search_terms(asked(spark), x), 24)
-    return rank_hybrid(asked(spark), chunks, a, b, shown_terms(asked(spark), x), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "snippet")
+    index = search.build_hybrid(chunks_of(spark, sf_dir), letters_provider(), "plain", expand.expansions(spark))
+    return search.hybrid_search(index, asked(spark), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "snippet")
+
+
+@query(f"""WITH {_BASE} SELECT id, 'letters' AS provider, 26 AS dim, (CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END * list_sum({_LETTERS.format("(title || chr(10) || chr(10) || content)")}))::BIGINT AS total FROM chunks""")
+def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of chunks, stored, and merged with new ones of every other chunk."""
+    chunks, path = chunks_of(spark, sf_dir), shared_path(spark, "embedding-table")
+    made = knn.embed(chunks.select("id", "source_id", "seq", "title", "content"), knn.embedding_text(F.col("title"), F.col("content")), letters_provider())
+    store.save_vectors(made, path)
+    doubled = made.where("seq % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: x * 2)).withColumn("point_id", text.uuid5(F.col("id")))
+    rows = store.upsert_vectors(doubled.select("id", "point_id", "source_id", "embedding", "provider", "dim"), path)
+    return rows.select("id", "provider", "dim", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x).cast("long").alias("total"))
 
 
 def _snippets(tail: bool) -> str:
@@ -388,7 +440,7 @@ _EDGES = f"""{_BASE}, edges AS (
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    return graph.build_graph(chunks_of(spark, sf_dir))
+    return graph.kept(graph.build_graph(chunks_of(spark, sf_dir)))
 
 
 def _names(spark: SparkSession, *names: str) -> DataFrame:
@@ -423,7 +475,7 @@ def uses_used_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = keys.join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("score"))
     best = lexical.top_k(n.join(a, "c_nationkey").join(b, "s_nationkey").withColumn("score", F.col("score").cast("double")), 3, tie="other", by="me")
     rows = best.groupBy("me").agg(F.array_sort(F.collect_list("other")).alias("uses")).select(F.col("me").alias("id"), F.col("me").alias("component_name"), "uses", F.lit("component").alias("chunk_class"))
-    g, who = graph.build_graph(as_chunks(rows)), _names(spark, "NATION_3", "NATION_11")
+    g, who = graph.kept(graph.build_graph(as_chunks(rows))), _names(spark, "NATION_3", "NATION_11")
     return graph.uses_of(g, who).select(F.lit("uses").alias("relation"), "asked", "name").union(graph.users_of(g, who).select(F.lit("used_by").alias("relation"), "asked", "name"))
 
 
@@ -452,7 +504,7 @@ SELECT name AS asked, (SELECT arg_min(cat, seq) FROM chunks WHERE name = c.name)
   (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM (SELECT chunk_type AS t, count(*) AS n FROM chunks WHERE name = c.name GROUP BY 1)) AS by_type FROM c""")
 def component_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
-    rows = graph.component_info(graph.build_graph(chunks), chunks, _names(spark, "src1", "src5"))
+    rows = graph.component_info(graph.kept(graph.build_graph(chunks)), chunks, _names(spark, "src1", "src5"))
     flat = [F.array_join(F.array_sort(c), ",").alias(c) for c in ("variants", "uses", "used_by", "related_to")]
     types = F.array_join(F.array_sort(F.transform(F.map_entries("by_type"), lambda e: F.concat(e["key"], F.lit("="), F.size(e["value"]).cast("string")))), ",")
     return rows.select("asked", "category", *flat, "extends", "chunk_count", types.alias("by_type"))
@@ -460,20 +512,20 @@ def component_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES}, m AS (SELECT substr(dst, 10) AS name, substr(src, 11) AS c FROM edges WHERE relation_type = 'belongs_to' GROUP BY 1, 2) SELECT name, '' AS description, count(*) AS component_count, string_agg(c, ',' ORDER BY c) AS components FROM m GROUP BY 1")
 def list_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.list_categories(_graph(spark, sf_dir)).withColumn("components", F.array_join(F.array_sort("components"), ","))
+    return graph.list_categories(_graph(spark, sf_dir)).drop("seq").withColumn("components", F.array_join(F.array_sort("components"), ","))
 
 
 @query(f"WITH {_EDGES}, m AS (SELECT substr(src, 11) AS name FROM edges WHERE relation_type = 'belongs_to' AND dst = 'category:de' GROUP BY 1) SELECT 'de' AS category, name, '' AS description, (SELECT string_agg(title, '|' ORDER BY title) FROM chunks c WHERE c.name = m.name) AS chunks FROM m")
 def explore_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
-    return graph.explore_category(graph.build_graph(chunks), chunks, "de", True).withColumn("chunks", F.array_join(F.array_sort("chunks"), "|"))
+    return graph.explore_category(graph.kept(graph.build_graph(chunks)), chunks, "de", True).drop("seq").withColumn("chunks", F.array_join(F.array_sort("chunks"), "|"))
 
 
 @query(f"WITH {_BOOSTED}, t AS {_top(40, 'seq', 'b')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY t.rank) AS rank FROM t JOIN chunks USING (id) WHERE name IN (SELECT name FROM chunks WHERE cat = 'fr') AND chunk_type = 'overview' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t.rank) <= 8")
 def graph_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
     scores = lexical.tfidf_search(lexical.build_tfidf(chunks, keep), chunks, asked(spark), 40)
-    return graph.filtered_search(scores, chunks, graph.build_graph(chunks), 8, category="fr", chunk_type="overview").select("query_id", "id", "score", "rank")
+    return graph.filtered_search(scores, chunks, graph.kept(graph.build_graph(chunks)), 8, category="fr", chunk_type="overview").select("query_id", "id", "score", "rank")
 
 
 # Stores and listings.
@@ -481,22 +533,113 @@ def graph_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS source_id, count(*) AS chunk_count FROM documents GROUP BY 1")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks_of(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("chunk_count"))
+    return counts_by_source(chunks_of(spark, sf_dir))
 
 
-@query("SELECT r_name AS id, (SELECT count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey AND c_mktsegment = 'MACHINERY' AND c_acctbal < -900) AS chunk_count FROM region")
+@query("""
+SELECT n_name AS id, 'Nation ' || n_name AS name, 'markdown' AS adapters, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS chunk_count FROM nation
+UNION ALL SELECT 'NOWHERE', 'Nation NOWHERE', 'markdown', 0""")
 def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by source, sources without chunks included."""
-    n, c, r = (table(spark, sf_dir, t) for t in ("nation", "customer", "region"))
-    rows = c.where("c_mktsegment = 'MACHINERY' and c_acctbal < -900").join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("chunk_count"))
-    return r.join(rows, "r_regionkey", "left").select(F.col("r_name").alias("id"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    """Sources, one without chunks, with the number of theirs; suppliers are chunks of their nation."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    listed = sources_table(spark, [Source(n, "", name=f"Nation {n}") for n in [*(r["n_name"] for r in nation.collect()), "NOWHERE"]])
+    chunks = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey).select(F.col("s_suppkey").alias("seq"), F.col("n_name").alias("source_id"))
+    return with_counts(listed, as_chunks(chunks)).select("id", "name", F.array_join("adapters", ",").alias("adapters"), "chunk_count")
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS content_sha256 FROM conversations GROUP BY 1")
 def get_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chunks of a file in order, with blank lines between; conversations are the files here."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return rows.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"), 256).alias("content_sha256"))
+    """All chunks of every file in corpus order, with blank lines between; conversations are the files here."""
+    rows = table(spark, sf_dir, "conversations").select(F.lit("chat").alias("source_id"), F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.col("turn").cast("string").alias("id"), F.col("text").alias("content"))
+    found = contexts(as_chunks(rows), rows.select("source_id", "path", F.lit(None).cast("string").alias("anchor")))
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("""
+SELECT conv_id, 'a' || turn AS anchor, min(text) AS content FROM conversations WHERE turn = 1 GROUP BY conv_id, turn
+UNION ALL SELECT -1, 'a1', 'No content found for chat/-1#a1'""")
+def get_context_at_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.lit("chat").alias("source_id"), F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.col("turn").cast("string").alias("id"), F.concat(F.lit("a"), F.col("turn").cast("string")).alias("anchor"), F.col("text").alias("content"))
+    wanted = rows.where("turn = 1").select("source_id", "path", "anchor").union(spark.createDataFrame([("chat", "-1", "a1")], "source_id string, path string, anchor string"))
+    return contexts(as_chunks(rows), wanted).select(F.col("path").cast("long").alias("conv_id"), "anchor", "content")
+
+
+# Files, written for the queries that scan them: two or three for each nation.
+
+_MD = "'# ' || n_name || chr(10) || 'intro ' || n_nationkey || chr(10) || '## Zeta' || chr(10) || '```ts' || chr(10) || 'x' || chr(10) || '```' || chr(10) || '## Alpha' || chr(10) || '| a | b |'"
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    root = shared_path(spark, "nations")
+    for r in table(spark, sf_dir, "nation").collect():
+        key, at = r["n_nationkey"], f"{root}/{r['n_regionkey']}"
+        files.write_text(spark, f"{at}/n{key}.md", f"# {r['n_name']}\nintro {key}\n## Zeta\n```ts\nx\n```\n## Alpha\n| a | b |")
+        files.write_text(spark, f"{at}/drafts/n{key}.md", "# Draft")
+        if key % 5 == 0:
+            files.write_text(spark, f"{at}/n{key}.TXT", f"note {r['n_name']}")
+    return root
+
+
+@query(f"""
+SELECT n_regionkey || '/n' || n_nationkey || '.md' AS path, 'md' AS extension, sha256({_MD}) AS content_sha256, n_nationkey = 3 AS is_entrypoint, '' AS error FROM nation
+UNION ALL SELECT n_regionkey || '/n' || n_nationkey || '.TXT', 'txt', sha256('note ' || n_name), false, '' FROM nation WHERE n_nationkey % 5 = 0""")
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _folder(spark, sf_dir)
+    entry = [f"{r['n_regionkey']}/n3.md" for r in table(spark, sf_dir, "nation").where("n_nationkey = 3").collect()]
+    rows = files.scan(spark, root, ["**/*.md", "*/*.TXT"], ["*/drafts/*"], "nations", entry)
+    return rows.select("path", "extension", F.sha2("content", 256).alias("content_sha256"), "is_entrypoint", F.coalesce("error", F.lit("")).alias("error"))
+
+
+_SECTIONS = f"""s AS (
+  SELECT n_regionkey || '/n' || n_nationkey || '.md' AS path, place, a AS adapter, CASE a WHEN 0 THEN 'component' ELSE 'normalized' END AS chunk_class, CASE place WHEN 0 THEN n_name WHEN 1 THEN 'Zeta' ELSE 'Alpha' END AS title,
+    CASE place WHEN 0 THEN '# ' || n_name || chr(10) || 'intro ' || n_nationkey WHEN 1 THEN '## Zeta' || chr(10) || '```ts' || chr(10) || 'x' || chr(10) || '```' ELSE '## Alpha' || chr(10) || '| a | b |' END AS content,
+    CASE place WHEN 0 THEN 1 ELSE 2 END AS depth, CASE place WHEN 1 THEN 'ts' ELSE '' END AS code_blocks, place = 2 AS has_table, CASE a WHEN 0 THEN 'n' || n_nationkey END AS component_name, CASE a WHEN 0 THEN 'Nations' END AS component_category
+  FROM nation, (VALUES (0), (1), (2)) p(place), (VALUES (0), (1)) q(a)),
+n AS (SELECT *, substr(sha256('nations:' || path || ':' || lower(title)), 1, 16) AS id, row_number() OVER (ORDER BY adapter, path, place) - 1 AS seq FROM s)"""
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a source with two adapters that see the same files, by way of the store."""
+    source = Source("nations", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component", {"default_category": "Nations"}), Adapter("markdown")])
+    path = shared_path(spark, "chunk-store")
+    store.save_chunks(indexing.index_source(spark, source), path)
+    return store.load_chunks(spark, path)
+
+
+@query(f"WITH {_SECTIONS} SELECT seq, id, path, title, lower(title) AS anchor, sha256(content) AS content_sha256, depth, code_blocks, has_table, chunk_class, component_name, component_category FROM n")
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _indexed(spark, sf_dir)
+    return rows.select("seq", "id", "path", "title", "anchor", F.sha2("content", 256).alias("content_sha256"), "depth", F.array_join("code_blocks", ",").alias("code_blocks"), "has_table", "chunk_class", "component_name", "component_category")
+
+
+@query(f"WITH {_SECTIONS} SELECT id, seq, chunk_class, kind FROM (SELECT *, 'reference' AS kind FROM n) WHERE adapter = 1")
+def indexed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the chunks of one id the later adapter's."""
+    return lexical.latest(_indexed(spark, sf_dir)).select("id", "seq", "chunk_class", "kind")
+
+
+@query("SELECT true AS present, 6 * count(*) AS chunk_count, true AS indexed FROM nation")
+def store_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "chunk-store")
+    source = Source("nations", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component"), Adapter("markdown")])
+    store.save_chunks(indexing.index_source(spark, source), path)
+    return store.metadata(spark, path).select("present", "chunk_count", F.col("indexed_at").isNotNull().alias("indexed"))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, relation_type FROM edges")
+def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges of a graph that was written as JSON, read, saved and loaded."""
+    path = shared_path(spark, "graph")
+    store.save_graph(graph.graph_from_json(graph.graph_json(_graph(spark, sf_dir))), path)
+    return store.load_graph(spark, path).edges.select("src", "dst", "relation_type")
+
+
+@query(f"WITH {_bm25('(1, ' + repr('annt eringed inor') + ')')} SELECT query_id, id, score, rank FROM {_top(10)}")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index that was saved and loaded."""
+    path = shared_path(spark, "lexical")
+    store.save_lexical(lexical.build_lexical(chunks_of(spark, sf_dir)), path)
+    return lexical.bm25_search(store.load_lexical(spark, path), spark.createDataFrame([(1, "annt eringed inor")], "query_id int, text string"), 10).select("query_id", "id", "score", "rank")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -522,14 +665,6 @@ def component_usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_usage(pages, "Article", "article", 20).select("path", "snippet")
 
 
-@query()
-def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of modules made from part names."""
-    code = F.concat(F.lit('"""'), F.col("p_name"), F.lit('"""\nimport os\nclass '), text.kebab_to_pascal(text.slug("p_name")), F.lit("(Base):\n    def size(self, n: int = "), F.col("p_size").cast("string"), F.lit(") -> int:\n        return n\n\nasync def main(*args, key=None):\n    pass\n"))
-    files = table(spark, sf_dir, "part").select(F.lit("parts").alias("source_id"), F.concat(F.lit("m/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content"), F.lit(None).cast("timestamp_ntz").alias("modified"), F.lit(False).alias("is_entrypoint"))
-    return pycode.chunk_python(files).select("id", "path", "anchor", "title", "content", "kind", "depth", "file_type", "class_name")
-
-
 @query("SELECT p_partkey, p_name AS component, p_type AS category, p_brand AS uses FROM part")
 def front_matter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit('---\ncomponent: "'), F.col("p_name"), F.lit('"\ncategory: "'), F.col("p_type"), F.lit('"\nuses:\n  - "'), F.col("p_brand"), F.lit('"\n---\n# Text\n'))
@@ -601,7 +736,98 @@ def path_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("c_custkey").alias("id"), F.regexp_replace(F.regexp_replace("path", "^c/", ""), "[.]md$", "").alias("stem"))
 
 
-@query()
+_PY_ID = "substr(sha256('parts:python:m/' || key || '.py' || part), 1, 16) AS id, 'm/' || key || '.py' AS path"
+
+
+@query(f"""WITH {_PASCAL}, c AS (
+  SELECT key, ':module' AS part, 'module' AS anchor, key || ' (module)' AS title, p_name AS content, 'api' AS kind, 1 AS depth, 'module' AS file_type, NULL AS class_name FROM q
+  UNION ALL SELECT key, ':' || pascal, lower(pascal), 'class ' || pascal, 'class ' || pascal || '(Base):', 'source', 1, 'class', NULL FROM q
+  UNION ALL SELECT key, ':' || pascal || '.size', lower(pascal) || '-size', pascal || '.size()', 'def size(self, n: int = ' || p_size || ') -> int', 'source', 2, 'method', pascal FROM q
+  UNION ALL SELECT key, ':main', 'main', 'def main()', 'async def main(*args, key = None)', 'source', 1, 'async_function', NULL FROM q)
+SELECT {_PY_ID}, anchor, title, content, kind, depth, file_type, class_name FROM c""")
+def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of modules made from part names."""
+    code = F.concat(F.lit('"""'), F.col("p_name"), F.lit('"""\nimport os\nclass '), F.col("pascal"), F.lit("(Base):\n    def size(self, n: int = "), F.col("p_size").cast("string"), F.lit(") -> int:\n        return n\n\nasync def main(*args, key=None):\n    pass\n\ndef _own(): ...\n"))
+    return pycode.chunk_python(_files(spark, sf_dir, F.concat(F.lit("m/"), F.col("key"), F.lit(".py")), code)).select("id", "path", "anchor", "title", "content", "kind", "depth", "file_type", "class_name")
+
+
+@query(f"""WITH {_PASCAL}, c AS (
+  SELECT key, ':overview' AS part, key || ' (module overview)' AS title, p_name || chr(10) || chr(10) || '## Classes' || chr(10) || chr(10) || '- `' || pascal || '`: Doc.' || chr(10) || chr(10) || '## Functions' || chr(10) || chr(10) || '- `run()`: No description' AS content, 'api' AS kind FROM q
+  UNION ALL SELECT key, ':' || pascal, 'class ' || pascal, 'class ' || pascal || ':' || chr(10) || chr(10) || 'Doc.', 'api' FROM q
+  UNION ALL SELECT key, ':run', 'def run()', 'def run()', 'source' FROM q)
+SELECT {_PY_ID}, title, content, kind FROM c""")
 def python_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit('"""'), F.col("p_name"), F.lit('"""\nclass '), F.col("pascal"), F.lit(':\n    """Doc."""\ndef run(): ...\n'))
     return pycode.chunk_python(_files(spark, sf_dir, F.concat(F.lit("m/"), F.col("key"), F.lit(".py")), code), "module").select("id", "path", "title", "content", "kind")
+
+
+@query(f"""WITH {_PASCAL} SELECT substr(sha256('parts:python:m/' || key || '.py'), 1, 16) AS id, key || ' - ' || substr(p_name, 1, 60) AS title, 'os,sys.path' AS imports, pascal AS exports, 'class,method' AS symbols FROM q""")
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole modules: imports in walk order, exported names, and of special methods the one that is always kept."""
+    code = F.concat(F.lit('"""'), F.col("p_name"), F.lit('"""\nimport os\nfrom sys import path\nclass '), F.col("pascal"), F.lit(":\n    def __call__(self): ...\n    def __len__(self): ...\n    def _own(self): ...\n"))
+    rows = pycode.chunk_python(_files(spark, sf_dir, F.concat(F.lit("m/"), F.col("key"), F.lit(".py")), code), "file", include_private=True)
+    kept = F.filter("symbols_extracted", lambda s: ~s["name"].endswith("_own") & ~s["name"].endswith("__len__"))
+    return rows.select("id", "title", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.array_join(F.transform(kept, lambda s: s["type"]), ",").alias("symbols"))
+
+
+@query("SELECT p_partkey, ['numpy', 'sphinx', 'google', 'google'][p_partkey % 4 + 1] AS style FROM part")
+def docstring_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.element_at(F.array(*[F.lit(x) for x in ("\n\nParameters\n----------\nx", "\n\n:returns: y", "\n\nArgs:\n  x: y", "")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", pycode.docstring_style(F.concat("p_name", marks)).alias("style"))
+
+
+@query("SELECT p_partkey AS query_id, 'btn button brand make label ' || regexp_extract(p_brand, '[0-9]+') AS expanded FROM part")
+def custom_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with words of custom abbreviations and synonyms."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("btn "), "p_brand").alias("text"))
+    return expand.expanded_query(rows, expand.expansions(spark, [], [("Brand", "Make", "Label")]))
+
+
+@query(f"""WITH {_PASCAL}, c AS (
+  SELECT key, pascal, 'outputs' AS tag, '# ' || pascal || ' Outputs' || chr(10) || chr(10) || '| Output | Type | Description |' || chr(10) || '|--------|------|-------------|' || chr(10) || '| `done` | `EventEmitter` | ' || p_brand || ' |' AS content, 'Buttons' AS component_category FROM q
+  UNION ALL SELECT key, pascal, 'directive-overview', '# ' || pascal || ' (Directive)' || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '**Selector:** `[d' || key || ']`' || chr(10), 'Directives' FROM q
+  UNION ALL SELECT key, pascal, 'service-overview', '# ' || pascal || ' (Service)' || chr(10) || chr(10) || '## Methods' || chr(10) || chr(10) || '- `load(): Data`' || chr(10) || '- `stop(): void`' || chr(10), 'Services' FROM q)
+SELECT substr(sha256('parts:compodoc:' || pascal || ':' || tag), 1, 16) AS id, sha256(content) AS content_sha256, component_category FROM c""")
+def api_other_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs, directives and services of API documentation."""
+    method = lambda name, back: F.struct(F.lit(name).alias("name"), F.lit(back).cast("string").alias("returnType"))
+    output = F.array(F.struct(F.lit("done").alias("name"), F.col("p_brand").alias("rawdescription")))
+    one = F.struct(F.col("pascal").alias("name"), F.lit("src/buttons/a.ts").alias("file"), output.alias("outputsClass"))
+    directive = F.struct(F.col("pascal").alias("name"), F.concat(F.lit("[d"), F.col("key"), F.lit("]")).alias("selector"), F.col("p_type").alias("rawdescription"))
+    service = F.struct(F.col("pascal").alias("name"), F.array(method("load", "Data"), method("stop", None)).alias("methodsClass"))
+    doc = F.to_json(F.struct(F.array(one).alias("components"), F.array(directive).alias("directives"), F.array(service).alias("injectables")))
+    rows = apidoc.chunk_apidoc(_files(spark, sf_dir, F.concat(F.lit("d/"), F.col("key"), F.lit("/documentation.json")), doc), default_category="")
+    return rows.where("coalesce(anchor, '') = 'outputs' or title like '%)'").select("id", F.sha2("content", 256).alias("content_sha256"), "component_category")
+
+
+def _web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("z"), F.col("key"))
+    ts = F.concat(F.lit("export class "), F.col("pascal"), F.lit("Component {\n  x = 1\n}\nclass Aux {}\n"))
+    parts = [_files(spark, sf_dir, F.concat(F.lit("s/"), key, F.lit(e)), c) for e, c in ((".component.ts", ts), (".component.html", F.lit("<p>")), (".component.scss", F.lit("a{}")))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""WITH {_PASCAL} SELECT substr(sha256('parts:source:s/z' || key || '.component.ts:' || name), 1, 16) AS id, lower(name) AS anchor, name AS title, content, place AS seq FROM (
+  SELECT key, pascal || 'Component' AS name, 'export class ' || pascal || 'Component {{' || chr(10) || '  x = 1' || chr(10) || '}}' || chr(10) || 'class Aux {{}}' || chr(10) AS content, 0 AS place FROM q
+  UNION ALL SELECT key, 'Aux', 'class Aux {{}}' || chr(10), 1 FROM q)""")
+def source_symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webcode.chunk_source(_web_files(spark, sf_dir), "symbol").where("anchor is not null").select("id", "anchor", "title", "content", "seq")
+
+
+@query(f"""WITH {_PASCAL} SELECT 'component:' || pascal AS src, 'source:s/z' || key || '.component.ts' AS dst, 'has_source' AS relation_type FROM q
+UNION ALL SELECT 'component:Z' || key, 'source:s/z' || key || '.component.html', 'has_template' FROM q UNION ALL SELECT 'component:Z' || key, 'source:s/z' || key || '.component.scss', 'has_stylesheet' FROM q""")
+def graph_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.build_graph(webcode.chunk_source(_web_files(spark, sf_dir)), sources=True).edges.select("src", "dst", "relation_type")
+
+
+@query(f"WITH {_PASCAL} SELECT 's/z' || key || '.component.ts' AS path, 'typescript' AS language FROM q")
+def source_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source chunks of a language and a file type."""
+    return source_filter(webcode.chunk_source(_web_files(spark, sf_dir)), "typescript", "component").select("path", "language")
+
+
+@query("SELECT 'template' AS file_type, 's/z7.component.html' AS path UNION ALL SELECT 'stylesheet', 's/z7.component.scss'")
+def component_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hit of each kind of file for a component, whatever the case of its name."""
+    rows = webcode.chunk_source(_web_files(spark, sf_dir)).withColumn("rank", F.lit(1))
+    return best_files(rows, "z7", ["component", "template", "stylesheet"]).select("file_type", "path")

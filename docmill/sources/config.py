@@ -26,7 +26,7 @@ class Source:
     exclude_globs: list[str] = field(default_factory=list)
     entrypoints: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
-    adapters: list[Adapter] = field(default_factory=list)
+    adapters: list[Adapter] = field(default_factory=lambda: [Adapter("markdown")])
     type: str = "documentation"
 
     def problems(self, spark: SparkSession) -> list[str]:

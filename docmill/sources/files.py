@@ -29,6 +29,25 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written from the driver to any store that Spark writes."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder."""
+    p, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def glob_regex(glob: str) -> str:
     """A path pattern where ** crosses folders, none too, and * and ? do not."""
     out, i = "", 0

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.schema import CHUNK_SCHEMA, as_chunks
-from docmill.operators.graph import Graph
+from docmill.functions.text import uuid5
+from docmill.operators.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from docmill.operators.lexical import Lexical
-from docmill.sources.files import exists
+from docmill.sources.files import delete, exists, read_text, write_text
 
 
 def save_chunks(chunks: DataFrame, path: str, source_ids: list[str] | None = None) -> None:
@@ -52,19 +55,34 @@ def save_graph(graph: Graph, path: str) -> None:
 def load_graph(spark: SparkSession, path: str) -> Graph | None:
     if not exists(spark, f"{path}/edges"):
         return None
-    return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    return Graph(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges"))
+
+
+_POSTINGS = "id string, source_id string, seq long, n int, term string, tf long"
 
 
 def save_lexical(index: Lexical, path: str) -> None:
     """Postings in ranges of terms, so that a scan for few terms skips most row groups."""
-    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.postings.sparkSession.createDataFrame([(index.chunks, float(index.mean), index.analyzer)], "chunks long, mean double, analyzer string").write.mode("overwrite").parquet(f"{path}/statistics")
+    index.postings.select("id", "source_id", "seq", "n", "term", F.col("tf").cast("long").alias("tf")).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer}))
 
 
 def load_lexical(spark: SparkSession, path: str) -> Lexical:
-    s = spark.read.parquet(f"{path}/statistics").first()
-    return Lexical(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), s["chunks"], s["mean"], s["analyzer"])
+    s = json.loads(read_text(spark, f"{path}/statistics.json"))
+    return Lexical(spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.schema("term string, df long").parquet(f"{path}/terms"), s["chunks"], s["mean"], s["analyzer"])
+
+
+_VECTORS = "id string, point_id string, source_id string, embedding array<float>, provider string, dim int"
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Vectors with the UUID that names each point."""
+    vectors.select("id", uuid5(F.col("id")).alias("point_id"), "source_id", "embedding", "provider", "dim").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_VECTORS).parquet(path)
 
 
 def upsert_vectors(new: DataFrame, path: str) -> DataFrame:
@@ -76,6 +94,11 @@ def upsert_vectors(new: DataFrame, path: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
+def last_seq(chunks: DataFrame) -> int:
+    """The greatest number of a chunk, -1 if there are none."""
+    found = chunks.agg(F.max("seq")).first()[0]
+    return -1 if found is None else found
+
+
 def clear(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    delete(spark, path)

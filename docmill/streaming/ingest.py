@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.schema import CHUNK_SCHEMA
 from docmill.operators.chunking import CHUNKERS
 from docmill.operators.lexical import latest
+from docmill.plans.indexing import numbered
 from docmill.sources import store
-from docmill.sources.files import decoded, exists, qualified
+from docmill.sources.files import decoded, qualified
 
 
 def stream_files(spark: SparkSession, root: str, source_id: str, extensions: tuple[str, ...]) -> DataFrame:
@@ -22,32 +24,47 @@ def stream_files(spark: SparkSession, root: str, source_id: str, extensions: tup
     return rows.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(extensions)))
 
 
+def _swapped(rows: DataFrame, store_path: str, name: str) -> None:
+    """Writes rows beside the store and then swaps in the partitions of their sources, so that doing it again gives the same."""
+    beside = f"{store_path}/merging-{name}"
+    rows.write.mode("overwrite").parquet(beside)
+    store.save_chunks(rows.sparkSession.read.schema(CHUNK_SCHEMA).parquet(beside), store_path, [])
+    store.clear(rows.sparkSession, beside)
+
+
 def merge_chunks(store_path: str, adapter: str):
-    """A foreachBatch function: the chunks of a batch's files replace those of the same source and path.
+    """A foreachBatch function: the chunks of a batch's files replace those of the same source and path, and come last in corpus order.
 
-    The merged source is written beside and then swapped in by partition, so a batch that is run again gives the same.
+    Only the partitions of the batch's sources, which are few, are read and written.
     """
     chunker = CHUNKERS[adapter][1]
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         files = latest(batch.withColumn("_k", F.concat_ws(":", "source_id", "path")), "_k", "modified").drop("_k")
-        new = chunker(files)
-        old = store.load_chunks(spark, store_path).join(files.select("source_id", "path"), ["source_id", "path"], "left_anti").select(*new.columns)
-        beside = f"{store_path}/merging-{number}"
-        touched = files.select("source_id").distinct()
-        old.join(touched, "source_id", "left_semi").unionByName(new.join(touched, "source_id", "left_semi")).write.mode("overwrite").parquet(beside)
-        store.save_chunks(spark.read.parquet(beside), store_path, [])
-        store.clear(spark, beside)
+        touched = [r[0] for r in files.select("source_id").distinct().collect()]
+        there = store.load_chunks(batch.sparkSession, store_path)
+        new = numbered(chunker(files).withColumns({"source_no": F.lit(0), "adapter_no": F.lit(0)}), store.last_seq(there) + 1)
+        old = there.where(F.col("source_id").isin(touched)).join(files.select("source_id", "path"), ["source_id", "path"], "left_anti").select(*new.columns)
+        _swapped(old.unionByName(new), store_path, str(number))
 
     return merge
 
 
+def forget_missing(spark: SparkSession, root: str, source_id: str, store_path: str) -> int:
+    """Removes the chunks of files that are no longer below root; how many there were."""
+    base = qualified(spark, root)
+    start = F.length(F.regexp_replace(F.lit(base), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")) + 2
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(F.substr(F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/"), start).alias("path"))
+    own = store.load_chunks(spark, store_path).where(F.col("source_id") == source_id)
+    gone = own.join(files, "path", "left_anti").count()
+    if gone and own.count() == gone:
+        store.clear(spark, f"{store_path}/chunks/source_id={source_id}")
+    elif gone:
+        _swapped(own.join(files, "path", "left_semi").select(*own.columns), store_path, "forget")
+    return gone
+
+
 def follow(spark: SparkSession, root: str, source_id: str, adapter: str, store_path: str, checkpoint: str, once: bool = True):
     """Starts the stream; with ``once`` it ends when all files that are there have been merged."""
     writer = stream_files(spark, root, source_id, CHUNKERS[adapter][0]).writeStream.foreachBatch(merge_chunks(store_path, adapter)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
-
-
-def store_ready(spark: SparkSession, path: str) -> bool:
-    return exists(spark, f"{path}/chunks")

@@ -1,13 +1,18 @@
+import io
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from docmill import cli
+from docmill import cli, server
 from docmill.functions.schema import as_chunks
-from docmill.operators import graph, lexical
-from docmill.plans.tools import Engine
+from docmill.operators import graph, knn, lexical
+from docmill.plans import stored
+from docmill.plans.indexing import index_source
+from docmill.plans.tools import Engine, contexts
 from docmill.sources import files, store
-from docmill.sources.config import adapters_of, load_sources
-from docmill.streaming.ingest import follow
+from docmill.sources.config import Adapter, Source, adapters_of, load_sources
+from docmill.streaming.ingest import follow, forget_missing
 
 BUTTON = "---\ncomponent: Button\ncategory: Forms\nuses: [Spinner]\nrelated: [Link]\n---\n# Button\nA button runs an action.\n## Props\nsize: string\n"
 ICON = "---\ncomponent: IconButton\ncategory: Forms\nextends: Button\nrelated: [Button]\n---\n# IconButton\nA button with an icon.\n"
@@ -53,6 +58,74 @@ def test_context(engine):
     assert "No content" in engine.get_context("guide", "none.md").first()["content"]
 
 
+def test_context_is_in_corpus_order_and_later_adapters_win(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Zeta\n1\n## Beta\n2\n# Alpha\n3\n## Omega\n4\n## Beta\n5")
+    (tmp_path / "B.md").write_text("# First\nx")
+    source = Source("s", str(tmp_path), adapters=[Adapter("component"), Adapter("markdown")])
+    rows = index_source(spark, source)
+    got = [(r["seq"], r["path"], r["title"], r["chunk_class"]) for r in rows.orderBy("seq").collect()]
+    titles = ["Zeta", "Beta", "Alpha", "Omega", "Beta"]
+    want = [(p, t, c) for c in ("component", "normalized") for p, ts in (("B.md", ["First"]), ("a.md", titles)) for t in ts]
+    assert got == [(i, *w) for i, w in enumerate(want)]
+    assert {r["chunk_class"] for r in lexical.latest(rows).collect()} == {"normalized"}
+    plain = index_source(spark, Source("s", str(tmp_path)), first=100)
+    assert [r["seq"] for r in plain.orderBy("seq").collect()] == list(range(100, 106))
+    text = contexts(plain, spark.createDataFrame([("s", "a.md", None), ("s", "a.md", "omega"), ("s", "no.md", "x")], "source_id string, path string, anchor string"))
+    found = {(r["path"], r["anchor"]): r["content"] for r in text.collect()}
+    assert found["a.md", None] == "# Zeta\n1\n\n## Beta\n2\n\n# Alpha\n3\n\n## Omega\n4\n\n## Beta\n5"
+    assert found["a.md", "omega"] == "## Omega\n4" and found["no.md", "x"] == "No content found for s/no.md#x"
+
+
+def test_ties_of_tfidf_keep_corpus_order(spark, tmp_path):
+    for name in ("z", "a", "m"):
+        (tmp_path / f"{name}.md").write_text("needle here")
+    (tmp_path / "other.md").write_text("something else")
+    rows = index_source(spark, Source("s", str(tmp_path)))
+    asked = spark.createDataFrame([(1, "needle")], "query_id int, text string")
+    got = lexical.tfidf_search(lexical.build_tfidf(rows), rows, asked, 5).join(rows.select("id", "path"), "id").orderBy("rank").collect()
+    assert [r["path"] for r in got] == ["a.md", "m.md", "z.md"]
+
+
+def test_an_opened_engine_builds_nothing_and_gives_the_same(engine, spark, monkeypatch):
+    for name in ("build_lexical", "build_tfidf"):
+        monkeypatch.setattr(lexical, name, None)
+    monkeypatch.setattr(graph, "build_graph", None)
+    again = Engine.open(spark, engine.path, engine.sources)
+    same = lambda f: f(engine).collect() == f(again).collect()
+    assert same(lambda e: e.search("btn", top_k=3)) and same(lambda e: e.search_components("button dialog")) and same(lambda e: e.get_context("guide", "one.md"))
+    assert same(lambda e: e.get_component_info("Button")) and same(lambda e: e.stats()) and same(lambda e: e.list_sources().orderBy("id"))
+    assert again.index.vectors.first()["point_id"].count("-") == 4
+    with pytest.raises(FileNotFoundError):
+        Engine.open(spark, engine.path + "/nothing")
+    with pytest.raises(ValueError, match="not made by"):
+        Engine.open(spark, engine.path, provider=knn.hashing_provider(16)).search("button")
+
+
+def test_an_empty_index_leaves_the_stored_one(engine, spark):
+    before = stored.current(spark, engine.path)
+    Engine(engine.chunks.limit(0), path=engine.path).save()
+    assert stored.current(spark, engine.path) == before
+
+
+def test_a_given_graph_takes_the_place_of_the_chunks_own(engine, spark):
+    g = graph.with_nodes(engine.graph, spark.createDataFrame([("component", "Given")], "node_type string, name string"))
+    assert Engine(engine.chunks, known=g).get_component_info("Given").count() == 1
+
+
+def test_server(engine):
+    lines = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_context", "arguments": {"source": "guide", "path": "one.md", "anchor": "two"}}}]
+    lines += [{"id": 4, "method": "tools/call", "params": {"name": "nope"}}, {"id": 5, "method": "nope"}, {"id": 6, "method": "tools/call", "params": {"name": "search", "arguments": {"wrong": 1}}}, {"id": 7, "method": "ping"}]
+    out = io.StringIO()
+    server.serve(engine, [*(json.dumps(x) + "\n" for x in lines), "\n", "{"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    by = {r["id"]: r for r in got}
+    assert len(got) == 8 and len(by[2]["result"]["tools"]) == 12 and by[1]["result"]["protocolVersion"]
+    assert json.loads(by[3]["result"]["content"][0]["text"]) == [{"content": "## Two\nsecond"}]
+    assert by[4]["error"]["code"] == -32602 and by[5]["error"]["code"] == -32601 and by[6]["result"]["isError"] and by[None]["error"]["code"] == -32700 and by[7]["result"] == {}
+    tool = next(t for t in by[2]["result"]["tools"] if t["name"] == "search")
+    assert tool["inputSchema"]["required"] == ["query"] and tool["inputSchema"]["properties"]["top_k"] == {"type": "integer"}
+
+
 def test_components(engine):
     info = engine.get_component_info("Button").first()
     assert (info["category"], info["uses"], info["used_by"], info["variants"]) == ("Forms", ["Spinner"], ["Modal"], ["IconButton"]) and set(info["related_to"]) == {"Link", "IconButton"}
@@ -135,6 +208,7 @@ def test_graph_grows(spark):
     assert by["category:Sub"]["parent_category"] == "X" and by["component:A"]["description"] == "an a" and by["component:A"]["category"] == "X" and "category:Z" in by and graph.size(g) == len(by) == 6
     assert {r["node_id"]: r["present"] for r in graph.contains(g, spark.createDataFrame([("component:A",), ("component:Q",)], "node_id string")).collect()} == {"component:A": True, "component:Q": False}
     assert g.edges.where("relation_type = 'related_to'").count() == 2
+    assert {(r["src"], r["dst"]) for r in g.edges.where("relation_type = 'belongs_to'").collect()} == {("component:A", "category:X"), ("category:Sub", "category:X"), ("category:Y", "category:Z")}
 
 
 def test_graph_of_sources(spark):
@@ -190,6 +264,11 @@ def test_stream_merges_new_and_changed_files(spark, tmp_path):
     (root / "b.md").write_text("# Two\n# Three")
     follow(spark, str(root), "s", "markdown", path, check).awaitTermination()
     assert {(r["path"], r["title"]) for r in store.load_chunks(spark, path).collect()} == {("a.md", "One"), ("b.md", "Two"), ("b.md", "Three")}
+    assert sorted(r["seq"] for r in store.load_chunks(spark, path).collect()) == [0, 1, 2]
+    (root / "a.md").unlink()
+    assert forget_missing(spark, str(root), "s", path) == 1 and {r["path"] for r in store.load_chunks(spark, path).collect()} == {"b.md"}
+    (root / "b.md").unlink()
+    assert forget_missing(spark, str(root), "s", path) == 2 and store.load_chunks(spark, path).count() == 0
 
 
 def test_top_k_breaks_ties_by_id(spark):

@@ -126,6 +126,9 @@ def test_nearest_against_brute_force(spark):
     with pytest.raises(Exception, match="dimensions"):
         knn.nearest(v, spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<double>"), 3).collect()
     assert knn.nearest(v, q.limit(0), 3).count() == 0
+    many = v.withColumnRenamed("id", "query_id").drop("source_id")
+    show = lambda df: sorted(map(str, df.collect()))
+    assert show(knn.nearest(v, many, 3, most_queries=70)) == show(knn.nearest(v, many, 3))
 
 
 def test_lsh_finds_most_neighbours(spark):
@@ -183,6 +186,27 @@ def test_http_provider_sends_batches_and_keeps_order():
         provider("nope")
 
 
+def test_uuids_are_those_of_the_standard_library(spark):
+    import uuid
+
+    from docmill.functions.text import uuid5
+
+    rows = spark.createDataFrame([(x,) for x in ("", "a", "docs:é", "3f2a9c")], "c string")
+    assert [r[0] for r in rows.select(uuid5(F.col("c"))).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_DNS, x)) for x in ("", "a", "docs:é", "3f2a9c")]
+
+
+def test_many_queries_join_where_few_are_looked_up(spark, chunks, monkeypatch):
+    index = build_hybrid(chunks, expansions=expand.expansions(spark))
+    rows = asked(spark, "btn", "modal dialog page", "   ", "error message")
+    few = [sorted(map(str, f().collect())) for f in (lambda: lexical.bm25_search(index.lexical, rows, 3, chunks), lambda: hybrid_search(index, rows, 2))]
+    assert "**modal**" in str(few[0]) and "**error**" in str(few[0]) and len(few[1]) == 6
+    from docmill.plans import search, shared
+
+    for module in (lexical, search, knn):
+        monkeypatch.setattr(module, "few", lambda df, most=0: shared.few(df, 1))
+    assert [sorted(map(str, f().collect())) for f in (lambda: lexical.bm25_search(index.lexical, rows, 3, chunks), lambda: hybrid_search(index, rows, 2))] == few
+
+
 def test_marked_snippet(spark):
     from docmill.functions.text import marked_snippet
 
