@@ -1,12 +1,19 @@
 """Main text of pages by deduced templates: equivalence classes of tokens (Arasu and Garcia-Molina 2003).
 
-A token is an element at its path of elements, or a block's whole text at its path. Its occurrence vector has a number
-for each page of the host; tokens with one vector are a class. Vectors are not built: a vector is known by the
-sums, over its pages, of hashes of (page, number), which combine before the shuffle and so never bring a
-host's pages together. Classes that most pages have are the host's template. In each page, a class counts
-if its tokens come in the template's order (classes are not nested into each other); texts of such classes
-are the site's, not the page's. What is left are the slots; those inside the article are the main text. Copies of a
-page count once, and an article that is mostly shared text stays whole.
+1. Tokens. The start and the end of an element at its path of elements, and a block's whole text at its path. The token
+   sequences of the different pages of every host are written once; copies of a page count once.
+2. Classes. A token's occurrence vector has a number for each page of the host; tokens with one vector are a class. Vectors are not
+   built: a vector is known by the sums, over its pages, of hashes of (page, number), which combine before the shuffle and so
+   never bring a host's pages together. Classes that most pages have are candidates.
+3. Nesting. In each page a candidate must be ordered (its tokens come in one order, any number of times) and nested: each
+   occurrence lies between two neighbouring tokens of another class's occurrence, its gap, or holds others in its own gaps. Of
+   classes that cross, the more frequent stays. A class that is valid, and has one parent and gap, in most of its pages is in the
+   host's template, a tree. Where a gap always has the same number of occurrences of a class, these are told apart.
+4. Slots. A gap of the tree, with the gaps around it, is a slot. What the pages hold there is summed up: how much text, how much of
+   it in links, and what names of elements say. The slots of the article are those that names tell, or without such names
+   the element with most text and what surrounds it. Texts that are template tokens are the site's.
+
+A page's text is what its article's slots hold. Hosts of few pages have no template; their pages go by names alone.
 """
 
 from __future__ import annotations
@@ -18,13 +25,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.worker import released
 from docmill.llm.urls import host_of
-from docmill.plans.shared import sized, small_batches, written
+from docmill.llm.words import mix
+from docmill.plans.shared import bounded_batches, release, sized, written
 
 # Elements and names.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
@@ -33,6 +42,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: What is no text whatever names say.
+NO_TEXT = frozenset("head script style template noscript textarea title iframe object embed svg math canvas audio video select".split())
+#: Elements that hold parts of a page.
+CONTAINERS = frozenset("html body div section article main aside nav header footer form td center dialog".split())
 ASIDE = frozenset("head nav aside footer form menu dialog script style template noscript textarea title iframe object embed svg math canvas audio video select button search".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disclaimer disqus footer "
@@ -64,19 +77,21 @@ _P_CLOSERS = BLOCKS - {"body", "html", "head", "button", "caption", "dd", "dt",
 
 
 @lru_cache(4096)
-def _element(tag: str, attributes: str) -> tuple[str, bool, int, bool, int]:
+def _element(tag: str, attributes: str, names: bool = True) -> tuple[str, bool, int, bool, int]:
     """(name in paths, is it beside the main text, is it so by its names, is it a header, how surely it holds the article) of an opening tag.
 
-    By its names: 0 no, 1 yes, 2 what is named may have articles of its own.
+    By its names: 0 no, 1 yes, 2 what is named may have articles of its own. Without ``names`` only what is no text at all is beside it.
     """
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    words = {w.lower() for w in _NAME.findall(" ".join(c for c in names.split() if not _STATE.fullmatch(c)))}
+    called = f"{found.get('class', '')} {found.get('id', '')}"
+    words = {w.lower() for w in _NAME.findall(" ".join(c for c in called.split() if not _STATE.fullmatch(c)))}
     role, hidden = found.get("role", "").lower(), "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").lower().replace(" ", "")
     beside = tag in ASIDE or role in ASIDE_ROLES or hidden
     named = 2 if words & OWN_ARTICLES or any("comment" in w for w in words) else 1 if words & ASIDE_NAMES or any(p in w for w in words for p in ASIDE_PARTS) else 0
     sure = 3 if tag == "article" or role == "article" else 2 if tag == "main" or role == "main" else 1 if words & MAIN_NAMES else 0
     header = tag == "header" or bool(words & HEADER_NAMES)
+    if not names:
+        beside, named, sure, header = tag in NO_TEXT, 0, 0, False
     if tag in UNNAMED or role in UNNAMED:
         named, header = 0, False
     return tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())), beside, named, header, sure
@@ -91,8 +106,8 @@ class Block:
         self.path, self.text, self.beside, self.inside, self.linked, self.outer = path, text, beside, inside, linked, outer
 
 
-def parse(page: str) -> Iterator[str | Block]:
-    """The path of every element and every block with text, in page order."""
+def parse(page: str, names: bool = True) -> Iterator[str | Block]:
+    """The path of every element, / and the path where it ends, and every block with text, in page order."""
     # tag, path, beside, how surely inside an article, beside by a name inside that article, or by one around it
     stack: list[tuple[str, str, bool, int, int, int]] = []
     parts: list[str] = []
@@ -128,6 +143,8 @@ def parse(page: str) -> Iterator[str | Block]:
     def close(k: int) -> Iterator[Block]:
         if any(s[0] in BLOCKS or s[2] or s[4] for s in stack[k:]):
             yield from block()
+        for s in reversed(stack[k:]):
+            yield "/" + s[1]
         del stack[k:]
 
     while m := _TOKEN.search(page, at):
@@ -159,7 +176,7 @@ def parse(page: str) -> Iterator[str | Block]:
                     low = i
             if low is not None:
                 yield from close(low)
-        name, beside, named, header, sure = _element(tag, m[2] if m[1] else m[4])
+        name, beside, named, header, sure = _element(tag, m[2] if m[1] else m[4], names)
         _, path, above, inside, named_above, outer = here()
         if header and inside < 3:
             beside, named = beside or tag == "header", named or 1
@@ -187,6 +204,7 @@ def parse(page: str) -> Iterator[str | Block]:
         stack.append((tag, path, beside, inside, named, outer))
     yield from said(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", page[at:]))  # a tag cut off at the end isn't text
     yield from block()
+    yield from close(0)
 
 
 def _hash(*parts: str) -> int:
@@ -198,82 +216,333 @@ def _path_hash(path: str) -> int:
     return _hash("path", path)
 
 
-PAGE = 0  # the token that every page has once
+@lru_cache(1 << 14)
+def _container(path: str) -> str:
+    """The path of the innermost element on a path that holds parts of a page."""
+    parts = path.split(">")
+    for i in range(len(parts) - 1, 0, -1):
+        if parts[i].split(".", 1)[0] in CONTAINERS:
+            return ">".join(parts[: i + 1])
+    return ""
 
 
-def _tokens(page: str) -> tuple[list[int], list[str | Block]]:
-    events = list(parse(page))
+def _tokens(page: str, names: bool = True) -> tuple[list[int], list[str | Block]]:
+    events = list(parse(page, names))
     return [_path_hash(e) if isinstance(e, str) else _hash("text", e.path, e.text) for e in events], events
 
 
+_HEADING = re.compile(r"h[1-6](?:\.|$)")
+#: Marks of a block beside its length: does it lie in a heading, is it mostly links, is it beside the main text, is it there by names.
+HEAD, LINKS, BESIDE, SURE = 1, 2, 4, 8
+
+
+def _marks(b: Block) -> int:
+    heading = any(_HEADING.match(p) for p in b.path.rsplit(">", 3)[1:])
+    return len(b.text) << 4 | HEAD * heading | LINKS * (2 * b.linked > len(b.text)) | BESIDE * (b.beside or b.outer > 0) | SURE * (b.inside > 0)
+
+
+def _sequences(names: bool):
+    """(host, page, tokens, marks, containers): marks are 0 and containers null for what isn't text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists: tuple[list, list, list] = ([], [], [])
+            for page in batch.column(2).to_pylist():
+                tokens, events = _tokens(page or "", names)
+                lists[0].append(tokens)
+                lists[1].append([0 if isinstance(e, str) else _marks(e) for e in events])
+                lists[2].append([None if isinstance(e, str) else _container(e.path) for e in events])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["host", "page", "tokens", "marks", "containers"])
+
+    return run
+
+
+PAGE = 0  # the token that every page has once
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by keys, starts of runs of equal keys in that order); equal keys keep their order."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, token, pages, sums of hashes of (page, number), sum of first places), added up over a batch."""
     for batch in batches:
-        found: dict[tuple[str, int], list[int]] = {}
-        for page_id, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            numbers: dict[int, int] = {PAGE: 1}
-            places: dict[int, int] = {PAGE: -1}
-            for i, t in enumerate(_tokens(page or "")[0]):
-                numbers[t] = numbers.get(t, 0) + 1
-                places.setdefault(t, i)
-            seen: dict[int, tuple[int, int]] = {}
-            for t, n in numbers.items():
-                if n not in seen:
-                    h = _hash(str(page_id), str(n))
-                    seen[n] = (h & 0x7FFFFFFF, h >> 32 & 0x7FFFFFFF)
-                total = found.setdefault((host, t), [0, 0, 0, 0])
-                total[0] += 1
-                total[1] += seen[n][0]
-                total[2] += seen[n][1]
-                total[3] += places[t]
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([found[k][i] for k in keys], pa.int64()) for i in range(4))], ["host", "token", "n", "p", "q", "place"])
+        if not batch.num_rows:
+            continue
+        names, host = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+        lists = batch.column(2)
+        size = np.diff(np.asarray(lists.offsets))
+        token, row = np.asarray(lists.flatten()), np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        every = np.arange(len(size))
+        token, row, place = np.concatenate((np.full(len(size), PAGE), token)), np.concatenate((every, row)), np.concatenate((np.full(len(size), -1), place))
+        order, start = _runs(row, token)
+        number = np.diff(np.append(start, len(order)))
+        at = order[start]
+        page = np.asarray(batch.column(1))[row[at]].astype(np.uint64)
+        h = mix(page + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sums = np.stack([np.ones(len(at), np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.int64), (h >> np.uint64(33)).astype(np.int64), place[at]], axis=1)
+        owner, token = host[row[at]], token[at]
+        order, start = _runs(owner, token)
+        sums = np.add.reduceat(sums[order], start, axis=0)
+        at = order[start]
+        yield pa.RecordBatch.from_arrays([pa.array(names[owner[at]], pa.string()), pa.array(token[at]), *(pa.array(sums[:, i].copy()) for i in range(4))], ["host", "token", "n", "p", "q", "place"])
 
 
 def _bodies(pages: DataFrame) -> DataFrame:
-    """(body, host, html): the different pages of every host. Only pages that come again are shuffled, one of each task."""
-    keyed = pages.select(F.xxhash64("html").alias("body"), "host", "html")
+    """(host, body, html): the different pages of every host. Only pages that come again are shuffled, one of each task."""
+    keyed = pages.select("host", F.xxhash64("html").alias("body"), "html")
     again = written(keyed.groupBy("host", "body").count().where("count > 1").select(F.col("host").alias("h"), F.col("body").alias("b")), "repeated")
     again = sized(again)
     same = keyed.host.eqNullSafe(again.h) & (keyed.body == again.b)
     return keyed.join(again, same, "left_anti").union(keyed.join(again, same, "left_semi").distinct())
 
 
-def templates(pages: DataFrame, share: float = 0.9, least: int = 10) -> DataFrame:
-    """(host, template): for hosts of at least ``least`` different pages a JSON list of classes, each a list of tokens by mean place.
+class Template:
+    """Classes of tokens with what is known of their nesting, and slots with what they hold.
 
-    pages: (page_id, host, html). A class is in the template if at least that share of the host's different pages has it;
-    copies of a page count once. A host's template has at most 1 / share as many tokens as its pages have on average.
+    told is JSON: classes as [tokens, pages], evidence as [class, parent, gap, pages, born, least, most], slots as
+    [key, characters, of these in headings, in links, beside, in what is named an article, container].
     """
-    vectors = _bodies(pages).mapInArrow(released(_vectors), "host string, token long, n long, p long, q long, place long")
-    vectors = written(vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "place")]).where(F.col("n") >= least), "vectors")
-    hosts = sized(vectors.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages")))
-    often = vectors.join(hosts, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("token") != PAGE))
-    classes = often.groupBy("host", "n", "p", "q").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("at"), "token"))).alias("tokens"))
-    return classes.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.transform("tokens", lambda t: t["token"])))).alias("template"))
+
+    def __init__(self, told: str | None, share: float = 0.9):
+        found = json.loads(told) if told else {}
+        classes = [(c["tokens"], c["n"]) for c in found.get("classes") or []]
+        self.sizes = [len(t) for t, _ in classes]
+        self.rank = sorted(range(len(classes)), key=lambda c: (-classes[c][1], -self.sizes[c], c))
+        self.fixed: set[int] = set()
+        self.parents: dict[int, tuple[int, int]] = {}
+        valid = set(range(len(classes)))
+        if "evidence" in found:
+            pages, born, total = {}, {}, {}
+            for e in found["evidence"] or []:
+                if e["parent"] == ABOUT:
+                    pages[e["cls"]] = e["pages"]
+                    if e["least"] == e["most"] and 1 < e["most"] <= 16:
+                        self.fixed.add(e["cls"])
+                else:
+                    total[e["cls"]] = total.get(e["cls"], 0) + e["born"]
+                    born[e["cls"]] = max(born.get(e["cls"], (0, 0, 0)), (e["born"], -e["parent"], -e["gap"]))
+            valid = {c for c in valid if pages.get(c, 0) >= share * classes[c][1] and born[c][0] >= share * total[c]}
+            self.parents = {c: (-born[c][1], -born[c][2]) for c in valid}
+        self.of = {t: (c, k) for c, (tokens, _) in enumerate(classes) for k, t in enumerate(tokens) if c in valid}
+        self.slots = {s["slot"]: s for s in found.get("slots") or []}
+        self.rejected = rejected(self.slots)
+
+    def key(self, frames: tuple[tuple[int, int, int], ...]) -> str:
+        return "/".join(f"{c}:{o}.{g}" if c in self.fixed else f"{c}.{g}" for c, g, o in frames)
+
+    def fit(self, tokens: list[int], texts: set[int]) -> tuple[set[int], list, dict, dict]:
+        """(classes that are valid in a page, births, repetitions, frames of its texts), see _aligned()."""
+        kept = _ordered(tokens, self.of, self.sizes)
+        found = _aligned(tokens, texts, self.of, self.sizes, kept)
+        if found is None:  # of classes that cross, those that come first by rank stay
+            wanted, kept = kept, set()
+            for c in self.rank:
+                if c in wanted and _aligned(tokens, set(), self.of, self.sizes, kept | {c}) is not None:
+                    kept.add(c)
+            found = _aligned(tokens, texts, self.of, self.sizes, kept)
+        return kept, *found
+
+
+ROOT, ABOUT = -1, -2  # the document as a class, and the parent in rows about a class itself
+
+
+def _ordered(tokens: list[int], of: dict[int, tuple[int, int]], sizes: list[int]) -> set[int]:
+    """Classes whose tokens come in their order in a page, once or again and again."""
+    due: dict[int, int] = {}
+    wrong = set()
+    for t in tokens:
+        if t in of:
+            c, k = of[t]
+            if due.get(c, 0) != k:
+                wrong.add(c)
+            due[c] = (k + 1) % sizes[c]
+    return {c for c, k in due.items() if not k and c not in wrong}
+
+
+def _aligned(tokens: list[int], texts: set[int], of: dict[int, tuple[int, int]], sizes: list[int], kept: set[int]) -> tuple[list, dict, dict] | None:
+    """How ordered classes nest in a page; None if they cross.
+
+    births: (class, parent, gap) of every occurrence. repetitions: least and most occurrences of a class in one gap. frames: for each
+    wanted text that is no token of a class, (class, gap, number among its like in the gap around) from the document to the innermost.
+    """
+    frames: list[list] = [[ROOT, 0, 0, {}]]
+    births: list[tuple[int, int, int]] = []
+    repeats: dict[int, tuple[int, int]] = {}
+    slots: dict[int, tuple[tuple[int, int, int], ...]] = {}
+
+    def count(counts: dict[int, int]) -> None:
+        for c, m in counts.items():
+            low, high = repeats.get(c, (m, m))
+            repeats[c] = min(low, m), max(high, m)
+        counts.clear()
+
+    for i, t in enumerate(tokens):
+        c, k = of.get(t, (ROOT, 0))
+        if c not in kept:
+            if i in texts:
+                slots[i] = tuple((f[0], f[1], f[2]) for f in frames)
+            continue
+        top = frames[-1]
+        if k == 0:
+            top[3][c] = top[3].get(c, 0) + 1
+            births.append((c, top[0], top[1]))
+            if sizes[c] > 1:
+                frames.append([c, 0, top[3][c], {}])
+        elif top[0] != c:
+            return None
+        else:
+            count(top[3])
+            top[1] = k
+            if k == sizes[c] - 1:
+                frames.pop()
+    count(frames[0][3])
+    return births, repeats, slots
 
 
 @lru_cache(64)
-def _template(told: str | None) -> tuple[dict[int, int], list[int]]:
-    """(class of each token, size of each class)."""
-    classes = json.loads(told) if told else []
-    return {t: k for k, c in enumerate(classes) for t in c}, [len(c) for c in classes]
-
-
-def _judged(page: str, told: str | None) -> list[tuple[Block, bool]]:
-    """The blocks of a page in order, each with whether it is a text of its host's template."""
-    tokens, events = _tokens(page)
-    of, sizes = _template(told)
-    firsts: dict[int, list[int]] = {}
-    seen: set[int] = set()
-    for t in tokens:
-        if t in of and t not in seen:
-            seen.add(t)
-            firsts.setdefault(of[t], []).append(t)
-    # A class is valid in this page if all its tokens are there, in the order of the template.
-    order = {t: i for i, t in enumerate(of)}
-    valid = {k for k, ts in firsts.items() if len(ts) == sizes[k] and all(order[a] < order[b] for a, b in zip(ts, ts[1:], strict=False))}
-    return [(e, of.get(t) in valid) for t, e in zip(tokens, events, strict=True) if not isinstance(e, str)]
+def _template(told: str | None) -> Template:
+    return Template(told)
+
+
+def _nesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, class, parent, gap, pages, born, least, most), added up over a batch."""
+    for batch in batches:
+        found: dict[tuple, list[int]] = {}
+        for host, tokens, told in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            kept, births, repeats, _ = _template(told).fit(tokens, set())
+            for c in kept:
+                low, high = repeats[c]
+                row = found.setdefault((host, c, ABOUT, 0), [0, 0, low, high])
+                row[0] += 1
+                row[2], row[3] = min(row[2], low), max(row[3], high)
+            for b in births:
+                found.setdefault((host, *b), [0, 0, 0, 0])[1] += 1
+        keys, values = list(found), list(found.values())
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))] + [pa.array([v[i] for v in values], pa.int64()) for i in range(4)], ["host", "cls", "parent", "gap", "pages", "born", "least", "most"])
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, slot, characters, of these in headings, in links, beside, in what is named an article, container), added up over a batch."""
+    for batch in batches:
+        found: dict[tuple[str, str], list] = {}
+        for host, tokens, marks, containers, told in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            template = _template(told)
+            texts = {i for i, m in enumerate(marks) if m}
+            _, _, _, frames = template.fit(tokens, texts)
+            for i, f in frames.items():
+                n, key = marks[i] >> 4, (host, template.key(f))
+                row = found.get(key)
+                if row is None:
+                    row = found[key] = [0, 0, 0, 0, 0, containers[i]]
+                row[0], row[5] = row[0] + n, min(row[5], containers[i])
+                for k, bit in enumerate((HEAD, LINKS, BESIDE, SURE)):
+                    row[1 + k] += n * bool(marks[i] & bit)
+        keys, values = list(found), list(found.values())
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(5)] + [pa.array([v[5] for v in values], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "chars", "head", "links", "beside", "sure", "container"])
+
+
+def rejected(slots: dict[str, dict]) -> set[str]:
+    """Slots that don't hold article text, by what they hold on all pages of the host.
+
+    Beside the article are slots that mostly names put there. If no slot is named as an article's, the container with most text that
+    isn't mostly links is it, with what is inside it and around it; other containers stay if they have a quarter of its text, and so do
+    headings.
+    """
+    out = {k for k, s in slots.items() if 2 * s["beside"] > s["chars"]}
+    rest = {k: s for k, s in slots.items() if k not in out}
+    if any(2 * s["sure"] > s["chars"] for s in rest.values()):
+        return out
+    links = {k for k, s in rest.items() if 2 * s["links"] > s["chars"]}
+    by: dict[int, int] = {}
+    for k, s in rest.items():
+        if k not in links:
+            by[s["container"]] = by.get(s["container"], 0) + s["chars"]
+    if not by:
+        return out
+    main = min(by, key=lambda c: (-by[c], c))
+    for k, s in rest.items():
+        of = s["container"]
+        inside = of == main or f"{main}>".startswith(f"{of}>") or of.startswith(f"{main}>")
+        if k in links or not inside and 4 * by[of] < by[main] and 2 * s["head"] <= s["chars"]:
+            out.add(k)
+    return out
+
+
+def templates(pages: DataFrame, share: float = 0.9, least: int = 10, names: bool = True) -> DataFrame:
+    """(host, pages, template): for hosts of at least ``least`` different pages, JSON as Template reads it.
+
+    pages: (host, html). A class is a candidate if at least that share of the host's different pages has it, and is in the
+    template if it is valid with one parent and gap in that share of its pages. A host's template has at most 1 / share as many tokens
+    as its pages have on average.
+    """
+    known = pages.where("host <> ''")
+    sequences = written(_bodies(known).mapInArrow(released(_sequences(names)), "host string, page long, tokens array<long>, marks array<long>, containers array<string>"), "sequences")
+    vectors = sequences.select("host", "page", "tokens").mapInArrow(released(_vectors), "host string, token long, n long, p long, q long, place long")
+    vectors = written(vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "place")]).where(F.col("n") >= least), "vectors")
+    hosts = sized(vectors.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages")))
+    often = vectors.join(hosts, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("token") != PAGE))
+    classes = often.groupBy("host", "pages", "n", "p", "q").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("at"), "token"))).alias("t"))
+    one = F.struct(F.col("t")[0].alias("first"), F.struct(F.transform("t", lambda t: t["token"]).alias("tokens"), "n").alias("c"))
+    classes = written(classes.groupBy("host", "pages").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["c"]).alias("classes")), "classes")
+    told = lambda df, *columns: F.to_json(F.struct(*columns))
+    candidates = classes.select("host", told(classes, "classes").alias("template"))
+    evidence = with_templates(sequences.select("host", "page", "tokens"), candidates).select("host", "tokens", "template").mapInArrow(released(_nesting), "host string, cls long, parent long, gap long, pages long, born long, least long, most long")
+    evidence = evidence.groupBy("host", "cls", "parent", "gap").agg(*[F.sum(c).alias(c) for c in ("pages", "born")], F.min("least").alias("least"), F.max("most").alias("most"))
+    evidence = evidence.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("cls", "parent", "gap", "pages", "born", "least", "most"))).alias("evidence"))
+    nested = written(classes.join(evidence, "host"), "nested")
+    trees = nested.select("host", told(nested, "classes", "evidence").alias("template"))
+    sums = with_templates(sequences, trees).select("host", "tokens", "marks", "containers", "template")
+    kind = "host string, slot string, chars long, head long, links long, beside long, sure long, container string"
+    sums = sums.mapInArrow(released(_slot_sums), kind).groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("chars", "head", "links", "beside", "sure")], F.min("container").alias("container"))
+    sums = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "chars", "head", "links", "beside", "sure", "container"))).alias("slots"))
+    out = written(nested.join(sums, "host", "left").select("host", "pages", F.to_json(F.struct("classes", "evidence", "slots")).alias("template")), "templates")
+    release(sequences, vectors, classes, nested)
+    return out
+
+
+#: Pages of a host that one task reads with its template, if templates are too many to go to every task.
+PAGES_AT_ONCE = 20_000
+
+
+def with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """pages(host, ...) with the template of their host, or null.
+
+    The templates go to every task if they are seen to be small. If not, the pages are dealt by host; those of a host with
+    many pages by host and a number, as many as the host's size asks for.
+    """
+    few = sized(found)
+    if few is not found:
+        return pages.join(few, "host", "left")
+    large = pages.groupBy("host").count().where(F.col("count") > PAGES_AT_ONCE).select("host", F.ceil(F.col("count") / PAGES_AT_ONCE).cast("int").alias("parts"))
+    large = sized(written(large, "large-hosts"))
+    own = [c for c in ("page", "page_id") if c in pages.columns]
+    dealt = pages.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64(*own), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    salted = found.join(large, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(salted, ["host", "part"], "left").drop("part")
+
+
+def _judged(page: str, told: str | None, names: bool = True) -> list[tuple[Block, bool]]:
+    """The blocks of a page in order, each with whether it is a text of its host's template. Those in rejected slots are beside the text."""
+    tokens, events = _tokens(page, names)
+    template = _template(told)
+    texts = {i for i, e in enumerate(events) if not isinstance(e, str)}
+    _, _, _, frames = template.fit(tokens, texts)
+    out = []
+    for i in sorted(texts):
+        b, shared = events[i], i not in frames
+        if not shared and template.key(frames[i]) in template.rejected:
+            b.beside = True
+        out.append((b, shared))
+    return out
 
 
 def slots(page: str, told: str | None) -> list[Block]:
@@ -305,14 +574,14 @@ def _article(blocks: list[Block]) -> list[Block]:
     return found
 
 
-def main_text(page: str | None, told: str | None = None) -> str:
+def main_text(page: str | None, told: str | None = None, names: bool = True) -> str:
     """The article of a page: blocks joined by blank lines.
 
     Texts of the template are left out of an article of which they are the smaller part. Where they are the larger,
     the host's pages are near copies of each other and what they share is their text: the article stays whole, unless
     nothing in it is the page's own and more of the page's own text is elsewhere.
     """
-    judged = _judged(page or "", told)
+    judged = _judged(page or "", told, names)
     shared = {id(b) for b, s in judged if s}
     whole = _article([b for b, _ in judged])
     own = [b for b in whole if id(b) not in shared]
@@ -323,33 +592,30 @@ def main_text(page: str | None, told: str | None = None) -> str:
     return "\n\n".join(b.text for b in own)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(page, told) for page, told in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
+def _extract(names: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(page, told, names) for page, told in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-#: Hosts whose templates may be broadcast (some KB each).
-BROADCAST_HOSTS = 10_000
+    return run
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, share: float = 0.9, least: int = 10, salts: int = 32) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, share: float = 0.9, least: int = 10, names: bool = True) -> DataFrame:
     """(id_col, url_col, text, n_chars) for every row of pages.
 
     Null and blank pages have an empty text, and so have pages without an article's blocks. Character references are
     decoded, white space inside a block is one space, blocks are joined by two line ends. Hosts of fewer than ``least``
-    different pages have no template; nor have pages without a host any but their own group's. Equal rows are each returned;
-    other columns are ignored. Texts of any length are parsed whole, in time proportional to it.
+    different pages have no template, nor have pages without a host. Without ``names``, what elements are called tells nothing and
+    the template alone says what the article is. Equal rows are each returned; other columns are ignored. Texts of any length are
+    parsed whole, in time proportional to it.
     """
-    small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(F.col(url_col)).alias("host"))
-    found = written(templates(rows.select("page_id", "host", "html"), share, least), "templates")
-    few = found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    if few:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:  # the pages of one host go to many tasks
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    out = joined.select("page_id", "url", "html", "template").mapInArrow(released(_extract), f"page_id {kind}, url string, text string")
+    with bounded_batches(pages.sparkSession):
+        found = templates(rows.select("host", "html"), share, least, names)
+        joined = with_templates(rows, found.select("host", "template"))
+        out = joined.select("page_id", "url", "html", "template").mapInArrow(released(_extract(names)), f"page_id {kind}, url string, text string")
+        out = written(out, "texts")
+    release(found)
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import html as entities
+import json
+import random
 
 import pytest
 from docmill.llm import chat, html, licenses, urls, warc
@@ -164,12 +166,116 @@ def test_html_names_of_the_layout_empty_no_page(page, text):
     assert html.main_text(page) == text
 
 
-def test_html_vectors_of_equal_occurrence_are_one_class(spark):
-    rows = [(i, "h", f"<nav><a>x{i}</a></nav><article><p>t{i}</p><p>u{i}</p></article>") for i in range(20)]
-    told = html.templates(frame(spark, rows, "page_id long, host string, html string")).first()["template"]
-    of, sizes = html._template(told)
-    assert sorted(sizes) == [1, 3]  # nav, a and article once each; p twice
-    assert of[html._path_hash(">article>p")] != of[html._path_hash(">article")] == of[html._path_hash(">nav>a")]
+def brute_template(pages, share=0.9):
+    """Classes from whole occurrence vectors, nested by comparing all pairs of occurrences: {tokens: (parent's tokens or None, gap)}."""
+    sequences = [html._tokens(p)[0] for p in dict.fromkeys(pages)]
+    vectors, places = {}, {}
+    for i, seq in enumerate(sequences):
+        for t in seq:
+            vectors.setdefault(t, [0] * len(sequences))[i] += 1
+        for t in set(seq):
+            places.setdefault(t, []).append(seq.index(t))
+    by = {}
+    for t, v in vectors.items():
+        if sum(map(bool, v)) >= share * len(sequences):
+            by.setdefault(tuple(v), []).append(t)
+    mean = lambda t: sum(places[t]) / len(places[t])
+    classes = sorted((min((mean(t), t) for t in ts), tuple(sorted(ts, key=lambda t: (mean(t), t))), sum(map(bool, v))) for v, ts in by.items())
+    classes = [(ts, n) for _, ts, n in classes]
+    rank = sorted(range(len(classes)), key=lambda c: (-classes[c][1], -len(classes[c][0]), c))
+    within = lambda x, y: any(a < x[0] and x[-1] < b for a, b in zip(y, y[1:], strict=False))
+    apart = lambda x, y: x[-1] < y[0] or y[-1] < x[0] or within(x, y) or within(y, x)
+    valid, births = {}, {}
+    for seq in sequences:
+        spans = {}
+        for c, (ts, _) in enumerate(classes):
+            at = [(i, ts.index(t)) for i, t in enumerate(seq) if t in ts]
+            if at and [k for _, k in at] == [j % len(ts) for j in range(len(at))] and len(at) % len(ts) == 0:
+                spans[c] = [tuple(i for i, _ in at[j : j + len(ts)]) for j in range(0, len(at), len(ts))]
+        kept = []
+        for c in rank:
+            if c in spans and all(apart(x, y) for d in kept for x in spans[c] for y in spans[d]):
+                kept.append(c)
+        for c in kept:
+            valid[c] = valid.get(c, 0) + 1
+            for x in spans[c]:
+                around = [(y[-1] - y[0], d, y) for d in kept for y in spans[d] if within(x, y)]
+                parent = (-1, 0)
+                if around:
+                    _, d, y = min(around)
+                    parent = d, sum(p < x[0] for p in y) - 1
+                births.setdefault(c, []).append(parent)
+    out = {}
+    for c, n in valid.items():
+        best = max(set(births[c]), key=lambda p: (births[c].count(p), -p[0], -p[1]))
+        if n >= share * classes[c][1] and births[c].count(best) >= share * len(births[c]):
+            out[classes[c][0]] = (classes[best[0]][0] if best[0] >= 0 else None, best[1])
+    return out
+
+
+def random_pages(seed, n):
+    rng = random.Random(seed)
+    word = lambda k: " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(k)) for _ in range(rng.randrange(1, 4)))
+    out = []
+    for i in range(n):
+        parts = ["<div class=top>site</div>" * (rng.random() < 0.95), "".join(f"<div><a>{word(9)}</a><p>{word(99)}</p></div>" for _ in range(2)), f"<ul>{''.join(f'<li><b>{word(9)}</b>' for _ in range(rng.randrange(1, 4)))}</ul>"]
+        if rng.random() < (0.0, 0.06, 0.3)[seed % 3]:
+            rng.shuffle(parts)
+        foot = rng.choice(["<p>one</p><p>two</p>", "<p>two</p><p>one</p>"]) if seed % 2 else "<p>one</p><p>two</p>"
+        out.append(f"<body>{''.join(parts)}<section>{''.join(f'<p>{word(999)}</p>' for _ in range(rng.randrange(1, 5)))}</section>{foot}<i>{i % 7}</i></body>")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_html_templates_against_brute_force(spark, seed):
+    pages = random_pages(seed, 30)
+    row = html.templates(frame(spark, [("h", p) for p in pages + pages[:9]] + [("", p) for p in pages], "host string, html string")).collect()
+    assert [r["host"] for r in row] == ["h"]
+    found = html.Template(row[0]["template"])
+    classes = [tuple(c["tokens"]) for c in json.loads(row[0]["template"])["classes"]]
+    got = {classes[c]: (classes[p] if p >= 0 else None, g) for c, (p, g) in found.parents.items()}
+    assert got == brute_template(pages) and len(got) >= (3, 2, 1)[seed % 3]
+    assert {c for c, _ in found.of.values()} == set(found.parents)
+
+
+def test_html_nesting_tells_repeated_containers_apart(spark):
+    """Without a name to go by: the head, the article and the rail are the first, second and third div of the body."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(15):
+        title, parts = text(4), [text(rng.randrange(20, 60)) for _ in range(rng.randrange(2, 6))]
+        rows.append((i, "https://plain.example/", f"<body><div>{text(3)}</div><div><h2>{title}</h2>{''.join(f'<p>{p}</p>' for p in parts)}</div><div><p>{text(2)}</p><p>{text(2)}</p></div></body>"))
+        want[i] = "\n\n".join([title, *parts])
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()} == want
+    off = {r["page_id"]: r["text"] for r in html.extract_pages(pages, least=100).collect()}
+    assert all(off[i] != want[i] and want[i] in off[i] for i in want)
+
+
+def test_html_rail_of_other_items_on_every_page(spark):
+    rows = [(i, "https://rail.example/", f"<body><div class=wrap><h1>T{i}</h1><p class=lead>lead {i}</p><div class=body>{''.join(f'<p>paragraph {i} {k} with some words</p>' for k in range(4))}</div></div><div class=rail><p>item {i}</p><p>item {i + 1}</p></div></body>") for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in html.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "\n\n".join(["T3", "lead 3", *(f"paragraph 3 {k} with some words" for k in range(4))])
+
+
+def test_html_template_alone_finds_the_article_of_real_pages(spark):
+    """With all names switched off, the template gives the text that names give."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").repartition(4)
+    by = {n: {r["page_id"]: r["text"] for r in html.extract_pages(pages, names=n, least=5).collect()} for n in (True, False)}
+    off = {r["page_id"]: r["text"] for r in html.extract_pages(pages, names=False, least=10**6).collect()}
+    hosts = {r["h"] for r in pages.groupBy(urls.host_of(F.col("url")).alias("h")).agg(F.countDistinct("html").alias("n")).where("n >= 5").collect()}
+    ids = [r["page_id"] for r in pages.select("page_id", urls.host_of(F.col("url")).alias("h")).collect() if r["h"] in hosts]
+    assert len(ids) > 50 and sum(by[True][i] == by[False][i] for i in ids) >= 0.98 * len(ids) and not any(off[i] == by[True][i] for i in ids)
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_html_templates_too_many_to_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "sized", lambda df: F.broadcast(df) if most else df)
+    monkeypatch.setattr(html, "PAGES_AT_ONCE", 4)
+    rows = [(i, f"https://h{i % 2}.example/", f"<div>site</div><p>text {i} of its own</p>") for i in range(26)]
+    assert {r["text"] for r in html.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()} == {f"text {i} of its own" for i in range(26)}
 
 
 # WARC.
