@@ -4,10 +4,11 @@
    sequences of the different pages of every host are written once; copies of a page count once.
 2. Classes. A token's occurrence vector has a number for each page of the host; tokens with one vector are a class. Vectors are not
    built: a vector is known by the sums, over its pages, of hashes of (page, number), which combine before the shuffle and so
-   never bring a host's pages together. Classes that most pages have are candidates.
+   never bring a host's pages together. A token that all pages have as often is told apart by its number in the page. Classes
+   that most pages have are candidates.
 3. Nesting. In each page a candidate must be ordered (its tokens come in one order, any number of times) and nested: each
-   occurrence lies between two neighbouring tokens of another class's occurrence, its gap, or holds others in its own gaps. Of
-   classes that cross, the more frequent stays. A class that is valid, and has one parent and gap, in most of its pages is in the
+   occurrence lies between two neighbouring tokens of another class's occurrence, its gap, or holds others in its own gaps. Tokens that
+   are out of their class's order in too many pages leave it. Of classes that cross, the more frequent stays. A class that is valid, and has one parent and gap, in most of its pages is in the
    host's template, a tree. Where a gap always has the same number of occurrences of a class, these are told apart.
 4. Slots. A gap of the tree, with the gaps around it, is a slot. What the pages hold there is summed up: how much text, how much of
    it in links, and what names of elements say. The slots of the article are those that names tell, or without such names
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -211,28 +213,25 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-@lru_cache(1 << 16)
-def _path_hash(path: str) -> int:
-    return _hash("path", path)
+#: The last bits of a token: what starts and ends an element that holds parts of a page, whose tokens are equal but for these.
+OPENS, CLOSES_IT = 1, 2
 
 
-@lru_cache(1 << 14)
-def _container(path: str) -> str:
-    """The path of the innermost element on a path that holds parts of a page."""
-    parts = path.split(">")
-    for i in range(len(parts) - 1, 0, -1):
-        if parts[i].split(".", 1)[0] in CONTAINERS:
-            return ">".join(parts[: i + 1])
-    return ""
+@lru_cache(1 << 16)
+def _path_hash(path: str) -> int:
+    plain = path.removeprefix("/")
+    if plain[plain.rfind(">") + 1 :].split(".", 1)[0] in CONTAINERS:
+        return _hash("path", plain) & ~3 | (OPENS if plain == path else CLOSES_IT)
+    return _hash("path", path) & ~3
 
 
 def _tokens(page: str, names: bool = True) -> tuple[list[int], list[str | Block]]:
     events = list(parse(page, names))
-    return [_path_hash(e) if isinstance(e, str) else _hash("text", e.path, e.text) for e in events], events
+    return [_path_hash(e) if isinstance(e, str) else _hash("text", e.path, e.text) & ~3 for e in events], events
 
 
 _HEADING = re.compile(r"h[1-6](?:\.|$)")
-#: Marks of a block beside its length: does it lie in a heading, is it mostly links, is it beside the main text, is it there by names.
+#: Marks of a block beside its length: does it lie in a heading, is it mostly links, is it beside the main text, is it in what is named an article.
 HEAD, LINKS, BESIDE, SURE = 1, 2, 4, 8
 
 
@@ -242,22 +241,23 @@ def _marks(b: Block) -> int:
 
 
 def _sequences(names: bool):
-    """(host, page, tokens, marks, containers): marks are 0 and containers null for what isn't text."""
+    """(host, page, tokens, marks): marks are 0 for what isn't text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists: tuple[list, list, list] = ([], [], [])
+            lists: tuple[list, list] = ([], [])
             for page in batch.column(2).to_pylist():
                 tokens, events = _tokens(page or "", names)
                 lists[0].append(tokens)
                 lists[1].append([0 if isinstance(e, str) else _marks(e) for e in events])
-                lists[2].append([None if isinstance(e, str) else _container(e.path) for e in events])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["host", "page", "tokens", "marks", "containers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["host", "page", "tokens", "marks"])
 
     return run
 
 
-PAGE = 0  # the token that every page has once
+PAGE = 3  # the token that every page has once
+#: A token that every page has as often, up to this many times, is told apart by its number in the page.
+TOLD_APART = 16
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,10 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, sums of hashes of (page, number), sum of first places), added up over a batch."""
+    """(host, token, j, pages, sums of hashes of (page, number), sum of places, least and greatest number), added up over a batch.
+
+    A row for each of the first occurrences j of a token in a page; hashes and numbers are in the row of the first.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -283,16 +286,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.arange(len(size))
         token, row, place = np.concatenate((np.full(len(size), PAGE), token)), np.concatenate((every, row)), np.concatenate((np.full(len(size), -1), place))
         order, start = _runs(row, token)
+        token, row, place = token[order], row[order], place[order]
         number = np.diff(np.append(start, len(order)))
-        at = order[start]
-        page = np.asarray(batch.column(1))[row[at]].astype(np.uint64)
-        h = mix(page + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sums = np.stack([np.ones(len(at), np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.int64), (h >> np.uint64(33)).astype(np.int64), place[at]], axis=1)
-        owner, token = host[row[at]], token[at]
-        order, start = _runs(owner, token)
+        j = np.arange(len(order)) - np.repeat(start, number)
+        number = np.repeat(number, number)
+        kept = j < TOLD_APART
+        token, row, place, j, number = token[kept], row[kept], place[kept], j[kept], number[kept]
+        h = mix(np.asarray(batch.column(1))[row].astype(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        first = j == 0
+        sums = np.stack([np.ones(len(j), np.int64), (h & np.uint64(0x7FFFFFFF)).astype(np.int64) * first, (h >> np.uint64(33)).astype(np.int64) * first, place], axis=1)
+        owner = host[row]
+        order, start = _runs(owner, token, j)
         sums = np.add.reduceat(sums[order], start, axis=0)
+        low, high = np.minimum.reduceat(number[order], start), np.maximum.reduceat(number[order], start)
         at = order[start]
-        yield pa.RecordBatch.from_arrays([pa.array(names[owner[at]], pa.string()), pa.array(token[at]), *(pa.array(sums[:, i].copy()) for i in range(4))], ["host", "token", "n", "p", "q", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[owner[at]], pa.string()), pa.array(token[at]), pa.array(j[at]), *(pa.array(sums[:, i].copy()) for i in range(4)), pa.array(low), pa.array(high)], ["host", "token", "j", "n", "p", "q", "place", "low", "high"])
 
 
 def _bodies(pages: DataFrame) -> DataFrame:
@@ -307,67 +315,120 @@ def _bodies(pages: DataFrame) -> DataFrame:
 class Template:
     """Classes of tokens with what is known of their nesting, and slots with what they hold.
 
-    told is JSON: classes as [tokens, pages], evidence as [class, parent, gap, pages, born, least, most], slots as
-    [key, characters, of these in headings, in links, beside, in what is named an article, container].
+    told is JSON: classes as tokens (token, j) and pages, j being -1 or the token's number in the page; evidence as (class, parent,
+    gap, pages, born, least, most); slots as (key, characters, of these in headings, in links, beside, in what is named an article).
     """
 
     def __init__(self, told: str | None, share: float = 0.9):
         found = json.loads(told) if told else {}
-        classes = [(c["tokens"], c["n"]) for c in found.get("classes") or []]
-        self.sizes = [len(t) for t, _ in classes]
-        self.rank = sorted(range(len(classes)), key=lambda c: (-classes[c][1], -self.sizes[c], c))
+        self.classes = [[(t["token"], t["j"]) for t in c["tokens"]] for c in found.get("classes") or []]
+        pages = [c["n"] for c in found.get("classes") or []]
+        self.sizes = [len(c) for c in self.classes]
+        self.rank = sorted(range(len(self.classes)), key=lambda c: (-pages[c], -self.sizes[c], c))
         self.fixed: set[int] = set()
         self.parents: dict[int, tuple[int, int]] = {}
-        valid = set(range(len(classes)))
+        valid = set(range(len(self.classes)))
         if "evidence" in found:
-            pages, born, total = {}, {}, {}
+            fits, born, total = {}, {}, {}
             for e in found["evidence"] or []:
                 if e["parent"] == ABOUT:
-                    pages[e["cls"]] = e["pages"]
-                    if e["least"] == e["most"] and 1 < e["most"] <= 16:
+                    fits[e["cls"]] = e["pages"]
+                    if e["least"] == e["most"] and 1 < e["most"] <= TOLD_APART:
                         self.fixed.add(e["cls"])
                 else:
                     total[e["cls"]] = total.get(e["cls"], 0) + e["born"]
                     born[e["cls"]] = max(born.get(e["cls"], (0, 0, 0)), (e["born"], -e["parent"], -e["gap"]))
-            valid = {c for c in valid if pages.get(c, 0) >= share * classes[c][1] and born[c][0] >= share * total[c]}
+            valid = {c for c in valid if fits.get(c, 0) >= share * pages[c] and born[c][0] >= share * total[c]}
             self.parents = {c: (-born[c][1], -born[c][2]) for c in valid}
-        self.of = {t: (c, k) for c, (tokens, _) in enumerate(classes) for k, t in enumerate(tokens) if c in valid}
-        self.slots = {s["slot"]: s for s in found.get("slots") or []}
-        self.rejected = rejected(self.slots)
+        self.of: dict[int, dict[int, tuple[int, int]]] = {}
+        for c in valid:
+            for k, (t, j) in enumerate(self.classes[c]):
+                self.of.setdefault(t, {})[j] = (c, k)
+        self.rejected = rejected({s["slot"]: s | {"region": self.region(s["slot"])} for s in found.get("slots") or []})
+
+    def places(self, tokens: list[int]) -> list[tuple[int, int]]:
+        """(class, place in it) of each token of a page; ROOT for those of no class."""
+        out, numbers = [], {}
+        for t in tokens:
+            here = self.of.get(t)
+            if here is None:
+                out.append((ROOT, 0))
+            elif -1 in here:
+                out.append(here[-1])
+            else:
+                j = numbers[t] = numbers.get(t, -1) + 1
+                out.append(here.get(j, (ROOT, 0)))
+        return out
 
     def key(self, frames: tuple[tuple[int, int, int], ...]) -> str:
         return "/".join(f"{c}:{o}.{g}" if c in self.fixed else f"{c}.{g}" for c, g, o in frames)
 
+    def region(self, key: str) -> tuple:
+        """The elements that hold parts of a page and are open at a slot, outermost first."""
+        out: list[tuple[str, int]] = []
+        for part in key.split("/")[1:]:
+            of, gap = part.rsplit(".", 1)
+            for k, (t, _) in enumerate(self.classes[int(of.split(":")[0])][: int(gap) + 1]):
+                if t & 3 == OPENS:
+                    out.append((of, k))
+                elif t & 3 == CLOSES_IT and out:
+                    out.pop()
+        return tuple(out)
+
     def fit(self, tokens: list[int], texts: set[int]) -> tuple[set[int], list, dict, dict]:
         """(classes that are valid in a page, births, repetitions, frames of its texts), see _aligned()."""
-        kept = _ordered(tokens, self.of, self.sizes)
-        found = _aligned(tokens, texts, self.of, self.sizes, kept)
+        at = self.places(tokens)
+        kept = _ordered(at, self.sizes)
+        found = _aligned(at, texts, self.sizes, kept)
         if found is None:  # of classes that cross, those that come first by rank stay
             wanted, kept = kept, set()
             for c in self.rank:
-                if c in wanted and _aligned(tokens, set(), self.of, self.sizes, kept | {c}) is not None:
+                if c in wanted and _aligned(at, set(), self.sizes, kept | {c}) is not None:
                     kept.add(c)
-            found = _aligned(tokens, texts, self.of, self.sizes, kept)
+            found = _aligned(at, texts, self.sizes, kept)
         return kept, *found
 
+    def misplaced(self, tokens: list[int]) -> dict[int, list[int]]:
+        """Of classes that have each token once in a page, but not in order: places of those that are least in number and put the others in order."""
+        seen: dict[int, list[int]] = {}
+        for c, k in self.places(tokens):
+            if c != ROOT:
+                seen.setdefault(c, []).append(k)
+        return {c: out_of_order(ks) for c, ks in seen.items() if len(ks) == self.sizes[c] == len(set(ks)) and ks != sorted(ks)}
+
+
+def out_of_order(ks: list[int]) -> list[int]:
+    """What is left of distinct numbers without a longest rising subsequence."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for i, k in enumerate(ks):
+        n = bisect_left(ends, k)
+        before.append(at[n - 1] if n else -1)
+        ends[n : n + 1], at[n : n + 1] = [k], [i]
+    i, rising = at[-1] if at else -1, set()
+    while i >= 0:
+        rising.add(ks[i])
+        i = before[i]
+    return sorted(set(ks) - rising)
+
 
 ROOT, ABOUT = -1, -2  # the document as a class, and the parent in rows about a class itself
 
 
-def _ordered(tokens: list[int], of: dict[int, tuple[int, int]], sizes: list[int]) -> set[int]:
+def _ordered(at: list[tuple[int, int]], sizes: list[int]) -> set[int]:
     """Classes whose tokens come in their order in a page, once or again and again."""
     due: dict[int, int] = {}
     wrong = set()
-    for t in tokens:
-        if t in of:
-            c, k = of[t]
+    for c, k in at:
+        if c != ROOT:
             if due.get(c, 0) != k:
                 wrong.add(c)
             due[c] = (k + 1) % sizes[c]
     return {c for c, k in due.items() if not k and c not in wrong}
 
 
-def _aligned(tokens: list[int], texts: set[int], of: dict[int, tuple[int, int]], sizes: list[int], kept: set[int]) -> tuple[list, dict, dict] | None:
+def _aligned(at: list[tuple[int, int]], texts: set[int], sizes: list[int], kept: set[int]) -> tuple[list, dict, dict] | None:
     """How ordered classes nest in a page; None if they cross.
 
     births: (class, parent, gap) of every occurrence. repetitions: least and most occurrences of a class in one gap. frames: for each
@@ -384,8 +445,7 @@ def _aligned(tokens: list[int], texts: set[int], of: dict[int, tuple[int, int]],
             repeats[c] = min(low, m), max(high, m)
         counts.clear()
 
-    for i, t in enumerate(tokens):
-        c, k = of.get(t, (ROOT, 0))
+    for i, (c, k) in enumerate(at):
         if c not in kept:
             if i in texts:
                 slots[i] = tuple((f[0], f[1], f[2]) for f in frames)
@@ -412,6 +472,18 @@ def _template(told: str | None) -> Template:
     return Template(told)
 
 
+def _disorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, class, place, pages in which the token there is out of order), added up over a batch."""
+    for batch in batches:
+        found: dict[tuple[str, int, int], int] = {}
+        for host, tokens, told in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for c, ks in _template(told).misplaced(tokens).items():
+                for k in ks:
+                    found[host, c, k] = found.get((host, c, k), 0) + 1
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), pa.array(list(found.values()), pa.int64())], ["host", "cls", "k", "n"])
+
+
 def _nesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, class, parent, gap, pages, born, least, most), added up over a batch."""
     for batch in batches:
@@ -430,31 +502,27 @@ def _nesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, slot, characters, of these in headings, in links, beside, in what is named an article, container), added up over a batch."""
+    """(host, slot, characters, of these in headings, in links, beside, in what is named an article), added up over a batch."""
     for batch in batches:
-        found: dict[tuple[str, str], list] = {}
-        for host, tokens, marks, containers, told in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        found: dict[tuple[str, str], list[int]] = {}
+        for host, tokens, marks, told in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             template = _template(told)
-            texts = {i for i, m in enumerate(marks) if m}
-            _, _, _, frames = template.fit(tokens, texts)
+            _, _, _, frames = template.fit(tokens, {i for i, m in enumerate(marks) if m})
             for i, f in frames.items():
-                n, key = marks[i] >> 4, (host, template.key(f))
-                row = found.get(key)
-                if row is None:
-                    row = found[key] = [0, 0, 0, 0, 0, containers[i]]
-                row[0], row[5] = row[0] + n, min(row[5], containers[i])
+                n = marks[i] >> 4
+                row = found.setdefault((host, template.key(f)), [0] * 5)
+                row[0] += n
                 for k, bit in enumerate((HEAD, LINKS, BESIDE, SURE)):
                     row[1 + k] += n * bool(marks[i] & bit)
         keys, values = list(found), list(found.values())
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(5)] + [pa.array([v[5] for v in values], pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "slot", "chars", "head", "links", "beside", "sure", "container"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(2)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(5)], ["host", "slot", "chars", "head", "links", "beside", "sure"])
 
 
 def rejected(slots: dict[str, dict]) -> set[str]:
     """Slots that don't hold article text, by what they hold on all pages of the host.
 
-    Beside the article are slots that mostly names put there. If no slot is named as an article's, the container with most text that
-    isn't mostly links is it, with what is inside it and around it; other containers stay if they have a quarter of its text, and so do
+    Beside the article are slots that mostly names put there. If no slot is named as an article's, the region with most text that
+    isn't mostly links is it, with what is inside it and around it; other regions stay if they have a quarter of its text, and so do
     headings.
     """
     out = {k for k, s in slots.items() if 2 * s["beside"] > s["chars"]}
@@ -462,16 +530,16 @@ def rejected(slots: dict[str, dict]) -> set[str]:
     if any(2 * s["sure"] > s["chars"] for s in rest.values()):
         return out
     links = {k for k, s in rest.items() if 2 * s["links"] > s["chars"]}
-    by: dict[int, int] = {}
+    by: dict[tuple, int] = {}
     for k, s in rest.items():
         if k not in links:
-            by[s["container"]] = by.get(s["container"], 0) + s["chars"]
+            by[s["region"]] = by.get(s["region"], 0) + s["chars"]
     if not by:
         return out
-    main = min(by, key=lambda c: (-by[c], c))
+    main = min(by, key=lambda r: (-by[r], r))
     for k, s in rest.items():
-        of = s["container"]
-        inside = of == main or f"{main}>".startswith(f"{of}>") or of.startswith(f"{main}>")
+        of = s["region"]
+        inside = of == main[: len(of)] or main == of[: len(main)]
         if k in links or not inside and 4 * by[of] < by[main] and 2 * s["head"] <= s["chars"]:
             out.add(k)
     return out
@@ -485,26 +553,39 @@ def templates(pages: DataFrame, share: float = 0.9, least: int = 10, names: bool
     as its pages have on average.
     """
     known = pages.where("host <> ''")
-    sequences = written(_bodies(known).mapInArrow(released(_sequences(names)), "host string, page long, tokens array<long>, marks array<long>, containers array<string>"), "sequences")
-    vectors = sequences.select("host", "page", "tokens").mapInArrow(released(_vectors), "host string, token long, n long, p long, q long, place long")
-    vectors = written(vectors.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "p", "q", "place")]).where(F.col("n") >= least), "vectors")
-    hosts = sized(vectors.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages")))
-    often = vectors.join(hosts, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("token") != PAGE))
-    classes = often.groupBy("host", "pages", "n", "p", "q").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("n")).alias("at"), "token"))).alias("t"))
-    one = F.struct(F.col("t")[0].alias("first"), F.struct(F.transform("t", lambda t: t["token"]).alias("tokens"), "n").alias("c"))
+    sequences = written(_bodies(known).mapInArrow(released(_sequences(names)), "host string, page long, tokens array<long>, marks array<long>"), "sequences")
+    vectors = sequences.select("host", "page", "tokens").mapInArrow(released(_vectors), "host string, token long, j long, n long, p long, q long, place long, low long, high long")
+    sums = [F.sum(c).alias(c) for c in ("n", "p", "q", "place")]
+    vectors = written(vectors.groupBy("host", "token", "j").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") >= least), "vectors")
+    hosts = sized(vectors.where(F.col("token") == PAGE).select("host", F.col("n").alias("pages"), F.col("p").alias("every_p"), F.col("q").alias("every_q")))
+    first = lambda c: F.max(F.when(F.col("j") == 0, F.col(c))).alias(c)
+    tokens = vectors.where(F.col("token") != PAGE).groupBy("host", "token").agg(*[first(c) for c in ("n", "p", "q", "low", "high")], F.sort_array(F.collect_list(F.struct("j", (F.col("place") / F.col("n")).alias("at")))).alias("places"))
+    often = tokens.join(hosts, "host").where(F.col("n") >= share * F.col("pages"))
+    apart = (F.col("low") == F.col("high")) & F.col("high").between(2, TOLD_APART) & (F.col("n") == F.col("pages"))
+    often = often.withColumn("place", F.explode(F.when(apart, F.col("places")).otherwise(F.slice("places", 1, 1))))
+    often = often.select("host", "pages", "n", F.when(apart, F.col("every_p")).otherwise(F.col("p")).alias("p"), F.when(apart, F.col("every_q")).otherwise(F.col("q")).alias("q"), F.struct(F.col("place.at").alias("at"), "token", F.when(apart, F.col("place.j")).otherwise(-1).alias("j")).alias("t"))
+    classes = often.groupBy("host", "pages", "n", "p", "q").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    one = F.struct(F.col("t")[0].alias("first"), F.struct(F.transform("t", lambda t: F.struct(t["token"].alias("token"), t["j"].alias("j"))).alias("tokens"), "n").alias("c"))
     classes = written(classes.groupBy("host", "pages").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["c"]).alias("classes")), "classes")
-    told = lambda df, *columns: F.to_json(F.struct(*columns))
-    candidates = classes.select("host", told(classes, "classes").alias("template"))
-    evidence = with_templates(sequences.select("host", "page", "tokens"), candidates).select("host", "tokens", "template").mapInArrow(released(_nesting), "host string, cls long, parent long, gap long, pages long, born long, least long, most long")
+    told = lambda *columns: F.to_json(F.struct(*columns)).alias("template")
+    by_page = sequences.select("host", "page", "tokens")
+
+    # Tokens that are out of their class's order in more pages than may differ leave it.
+    wrong = with_templates(by_page, classes.select("host", told("classes"))).select("host", "tokens", "template").mapInArrow(released(_disorder), "host string, cls long, k long, n long")
+    wrong = wrong.groupBy("host", "cls", "k").agg(F.sum("n").alias("n")).groupBy("host").agg(F.collect_list(F.struct("cls", "k", "n")).alias("wrong"))
+    away = lambda c, i, k: F.exists(F.coalesce("wrong", F.array().cast("array<struct<cls:long,k:long,n:long>>")), lambda w: (w["cls"] == i) & (w["k"] == k) & (w["n"] > (1 - share) * c["n"]))
+    kept = F.transform("classes", lambda c, i: F.struct(F.filter(c["tokens"], lambda t, k: ~away(c, i, k)).alias("tokens"), c["n"].alias("n")))
+    classes = written(classes.join(wrong, "host", "left").select("host", "pages", F.filter(kept, lambda c: F.size(c["tokens"]) > 0).alias("classes")), "classes-in-order")
+
+    evidence = with_templates(by_page, classes.select("host", told("classes"))).select("host", "tokens", "template").mapInArrow(released(_nesting), "host string, cls long, parent long, gap long, pages long, born long, least long, most long")
     evidence = evidence.groupBy("host", "cls", "parent", "gap").agg(*[F.sum(c).alias(c) for c in ("pages", "born")], F.min("least").alias("least"), F.max("most").alias("most"))
     evidence = evidence.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("cls", "parent", "gap", "pages", "born", "least", "most"))).alias("evidence"))
     nested = written(classes.join(evidence, "host"), "nested")
-    trees = nested.select("host", told(nested, "classes", "evidence").alias("template"))
-    sums = with_templates(sequences, trees).select("host", "tokens", "marks", "containers", "template")
-    kind = "host string, slot string, chars long, head long, links long, beside long, sure long, container string"
-    sums = sums.mapInArrow(released(_slot_sums), kind).groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("chars", "head", "links", "beside", "sure")], F.min("container").alias("container"))
-    sums = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "chars", "head", "links", "beside", "sure", "container"))).alias("slots"))
-    out = written(nested.join(sums, "host", "left").select("host", "pages", F.to_json(F.struct("classes", "evidence", "slots")).alias("template")), "templates")
+    held = with_templates(sequences, nested.select("host", told("classes", "evidence"))).select("host", "tokens", "marks", "template")
+    held = held.mapInArrow(released(_slot_sums), "host string, slot string, chars long, head long, links long, beside long, sure long")
+    held = held.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("chars", "head", "links", "beside", "sure")])
+    held = held.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "chars", "head", "links", "beside", "sure"))).alias("slots"))
+    out = written(nested.join(held, "host", "left").select("host", "pages", told("classes", "evidence", "slots")), "templates")
     release(sequences, vectors, classes, nested)
     return out
 

@@ -2,7 +2,7 @@
 
 import hashlib
 import html as entities
-import json
+import itertools
 import random
 
 import pytest
@@ -168,7 +168,10 @@ def test_html_names_of_the_layout_empty_no_page(page, text):
 
 def brute_template(pages, share=0.9):
     """Classes from whole occurrence vectors, nested by comparing all pairs of occurrences: {tokens: (parent's tokens or None, gap)}."""
-    sequences = [html._tokens(p)[0] for p in dict.fromkeys(pages)]
+    pages = [html._tokens(p)[0] for p in dict.fromkeys(pages)]
+    counts = {t: [seq.count(t) for seq in pages] for seq in pages for t in seq}
+    apart = {t for t, v in counts.items() if len(set(v)) == 1 and 2 <= v[0] <= 16}
+    sequences = [[(t, seq[:i].count(t) if t in apart else -1) for i, t in enumerate(seq)] for seq in pages]
     vectors, places = {}, {}
     for i, seq in enumerate(sequences):
         for t in seq:
@@ -181,10 +184,18 @@ def brute_template(pages, share=0.9):
             by.setdefault(tuple(v), []).append(t)
     mean = lambda t: sum(places[t]) / len(places[t])
     classes = sorted((min((mean(t), t) for t in ts), tuple(sorted(ts, key=lambda t: (mean(t), t))), sum(map(bool, v))) for v, ts in by.items())
-    classes = [(ts, n) for _, ts, n in classes]
+    wrong = {}
+    for seq in sequences:
+        for c, (_, ts, _) in enumerate(classes):
+            ks = [ts.index(t) for t in seq if t in ts]
+            if sorted(ks) == list(range(len(ts))):
+                for k in html.out_of_order(ks):
+                    wrong[c, k] = wrong.get((c, k), 0) + 1
+    classes = [(tuple(t for k, t in enumerate(ts) if wrong.get((c, k), 0) <= (1 - share) * n), n) for c, (_, ts, n) in enumerate(classes)]
+    classes = [c for c in classes if c[0]]
     rank = sorted(range(len(classes)), key=lambda c: (-classes[c][1], -len(classes[c][0]), c))
     within = lambda x, y: any(a < x[0] and x[-1] < b for a, b in zip(y, y[1:], strict=False))
-    apart = lambda x, y: x[-1] < y[0] or y[-1] < x[0] or within(x, y) or within(y, x)
+    clear = lambda x, y: x[-1] < y[0] or y[-1] < x[0] or within(x, y) or within(y, x)
     valid, births = {}, {}
     for seq in sequences:
         spans = {}
@@ -194,7 +205,7 @@ def brute_template(pages, share=0.9):
                 spans[c] = [tuple(i for i, _ in at[j : j + len(ts)]) for j in range(0, len(at), len(ts))]
         kept = []
         for c in rank:
-            if c in spans and all(apart(x, y) for d in kept for x in spans[c] for y in spans[d]):
+            if c in spans and all(clear(x, y) for d in kept for x in spans[c] for y in spans[d]):
                 kept.append(c)
         for c in kept:
             valid[c] = valid.get(c, 0) + 1
@@ -213,6 +224,13 @@ def brute_template(pages, share=0.9):
     return out
 
 
+@given(st.permutations(range(6)))
+def test_html_least_tokens_out_of_order(ks):
+    away = html.out_of_order(ks)
+    rest = [k for k in ks if k not in away]
+    assert rest == sorted(rest) and len(rest) == max(len(s) for n in range(7) for s in itertools.combinations(ks, n) if list(s) == sorted(s))
+
+
 def random_pages(seed, n):
     rng = random.Random(seed)
     word = lambda k: " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(k)) for _ in range(rng.randrange(1, 4)))
@@ -232,10 +250,10 @@ def test_html_templates_against_brute_force(spark, seed):
     row = html.templates(frame(spark, [("h", p) for p in pages + pages[:9]] + [("", p) for p in pages], "host string, html string")).collect()
     assert [r["host"] for r in row] == ["h"]
     found = html.Template(row[0]["template"])
-    classes = [tuple(c["tokens"]) for c in json.loads(row[0]["template"])["classes"]]
+    classes = [tuple(c) for c in found.classes]
     got = {classes[c]: (classes[p] if p >= 0 else None, g) for c, (p, g) in found.parents.items()}
     assert got == brute_template(pages) and len(got) >= (3, 2, 1)[seed % 3]
-    assert {c for c, _ in found.of.values()} == set(found.parents)
+    assert {c for here in found.of.values() for c, _ in here.values()} == set(found.parents)
 
 
 def test_html_nesting_tells_repeated_containers_apart(spark):
