@@ -7,10 +7,17 @@ which find the short notices that stand in for a licence.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterable
+from functools import lru_cache
+from hashlib import sha256
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.plans.shared import sized
+from docmill.plans.shared import few, sized, written
 
 # Equivalent spellings (word, canonical word).
 SPELLINGS = [
@@ -52,30 +59,81 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
-#: Known licences and the notices that stand in for them: (id, text).
-KNOWN = [
-    ("MIT", _MIT), ("MIT", f"MIT License\n\n{_MIT}"), ("MIT", f"The MIT License (MIT)\n\n{_MIT}"),
-    ("ISC", _ISC.format(", provided that the above copyright notice and this permission notice appear in all copies")), ("0BSD", _ISC.format("")),
-    ("BSD-2-Clause", _BSD.format("")), ("BSD-3-Clause", _BSD.format(_BSD3)), ("Zlib", _ZLIB),
-    ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "This project is licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
-]
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
-#: Lines that name a holder, not terms. Texts are lower-cased by then.
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9])|\(c\)[ \t]*(?:copyright|[0-9])|©|all rights reserved).*$"
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_GPL_HEADER = """This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this {what}. If not, see <http://www.gnu.org/licenses/>."""
+
+# The short licences, and the headers of files, as entire texts.
+SHORT = [
+    ("MIT", _MIT), ("ISC", _ISC.format(", provided that the above copyright notice and this permission notice appear in all copies")), ("0BSD", _ISC.format("")),
+    ("BSD-2-Clause", _BSD.format("")), ("BSD-3-Clause", _BSD.format(_BSD3)), ("Zlib", _ZLIB), ("Unlicense", _UNLICENSE), ("BSL-1.0", _BSL), ("Apache-2.0", _APACHE_HEADER), ("MPL-2.0", _MPL_HEADER),
+    *[(f"{short}-{version}", _GPL_HEADER.format(what=what, colon=colon, name=name, version=version.removesuffix(".0"))) for short, name, version in (
+        ("GPL", "General Public License", "2.0"), ("GPL", "General Public License", "3.0"), ("AGPL", "Affero General Public License", "3.0"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3.0"))
+      for what, colon in (("program", ":"), ("program", ";"), ("library", ";"))],
+]
+# Names under which licences are known.
+NAMES = {
+    "MIT": ["MIT License", "MIT", "Expat License"], "ISC": ["ISC License", "ISC"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"], "Zlib": ["zlib License"], "Unlicense": ["Unlicense"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD-3-Clause License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License", "Apache 2.0 License", "Apache License Version 2.0, January 2004"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"], "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"], "MPL-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, version 1.1"],
+    **{f"{short}-{v}": [form for n in dict.fromkeys((v.removesuffix(".0"), v)) for form in (f"{name}, version {n}", f"{name} version {n}", f"{name} v{n}", f"{short} v{n}", f"{short}v{n}", f"{short}-{n}", f"GNU {short} v{n}", f"GNU {short} version {n}")]
+       for short, name, vs in (("GPL", "GNU General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",)), ("GFDL", "GNU Free Documentation License", ("1.2", "1.3"))) for v in vs},
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0"],
+    **{f"CC-{short}-{v}": [f"CC {short} {v}", f"CC-{short}-{v}", f"Creative Commons {name} {v} License", f"Creative Commons {name} {v} {'International' if v == '4.0' else 'Unported'} License"]
+       for short, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("3.0", "4.0")},
+}
+# Parts of the notices that name a licence.
+SUBJECTS = ["", "this work is", "this software is", "this project is", "this program is", "this library is", "this file is", "this document is", "this code is", "this repository is", "it is"]
+VERBS = ["licensed", "released", "distributed", "published", "available", "made available"]
+ARTICLES = ["", "the", "the terms of the"]
+
+#: Lines that name a holder, not terms: copyright with a sign, a year or nothing but names.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t*#/;-]*(?:(?i:copyright[ \t]*(?:\(c\)|©|[0-9]|\[|<|\{)|\(c\)[ \t]*(?:copyright|[0-9])|©|all rights reserved)"
+    r"|[Cc]opyright[ \t]+(?:by[ \t]+)?\p{Lu}[^ \t\n]*(?:[ \t]+(?:and|of|the|&|\p{Lu}[^ \t\n]*|[0-9(<][^ \t\n]*))*[ \t]*$).*$"
+)
 MARKS = r"[^\p{L}\p{N}\n]+"
 
 
+def _words(text: Column) -> Column:
+    """The canonical words of a text, line ends among them."""
+    t = F.regexp_replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\r"), F.lit(" ")), COPYRIGHT_LINE, "")
+    t = F.replace(F.regexp_replace(F.lower(t), MARKS, " "), F.lit("\n"), F.lit(" \n "))
+    other = F.create_map(*[F.lit(w) for pair in SPELLINGS for w in pair])
+    return F.filter(F.transform(F.split(t, " "), lambda w: F.when(w.isin([a for a, _ in SPELLINGS]), other[w]).otherwise(w)), lambda w: w != "")
+
+
 def canonical_lines(text: Column) -> Column:
-    """Lower-case words with one space between, line by line; of a null text, the empty string."""
-    t = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), COPYRIGHT_LINE, "")
-    # Two spaces between words, so that of two equal words in a row both are found.
-    t = F.concat(F.lit("  "), F.replace(F.regexp_replace(t, MARKS, "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
-    for word, other in SPELLINGS:
-        t = F.replace(t, F.lit(f" {word} "), F.lit(f" {other} "))
-    return F.regexp_replace(t, " +", " ")
+    """array of the lines' canonical forms: lower-case words with one space between; of a null text, one empty line."""
+    return F.transform(F.split(F.array_join(_words(text), " "), "\n"), lambda s: F.trim(s))
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda s: s != ""), " ")
 
 
 def canonical(text: Column) -> Column:
@@ -83,36 +141,79 @@ def canonical(text: Column) -> Column:
     return _joined(canonical_lines(text))
 
 
-def _joined(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+_COPYRIGHT = re.compile(COPYRIGHT_LINE.removeprefix("(?m)").replace(r"\p{Lu}", "[A-Z]"), re.M)
+
+
+def canonical_text(text: str) -> str:
+    """canonical() of a text whose capitals at the head of names are ASCII."""
+    t = re.sub(r"[\W_]+", " ", _COPYRIGHT.sub("", text.replace("\r", " ")).lower())
+    other = dict(SPELLINGS)
+    return " ".join(other.get(w, w) for w in t.split())
+
 
+def known_texts() -> list[tuple[str, str]]:
+    """(id, text): the entire texts of the short and the long licences, under their names as headings and without them; of long ones also
+    only the terms."""
+    out = []
+    for path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+        text = path.read_text("utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, t) for t in dict.fromkeys((text, terms + end, terms))]
+    for name, text in SHORT:
+        heads = ["", *[h for n in NAMES.get(name, []) for h in (n, f"The {n}", f"{n} ({name})", f"The {n} ({name})")]]
+        out += [(name, f"{h}\n\n{text}") for h in heads]
+    return out
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license_id, digest, n): the digests and lengths of the canonical forms of known licences."""
+
+def notices() -> Iterable[tuple[str, str]]:
+    """(id, canonical form) of all notices that name a licence."""
+    for (name, forms), subject, verb, article in itertools.product(NAMES.items(), SUBJECTS, VERBS, ARTICLES):
+        for form in forms:
+            yield name, canonical_text(f"{subject} {verb} under {article} {form}")
+
+
+@lru_cache(1)
+def known_forms() -> dict[str, str]:
+    """Canonical form -> id, of texts and notices; of several ids the least."""
+    forms: dict[str, str] = {}
+    for name, form in itertools.chain(((i, canonical_text(t)) for i, t in known_texts()), notices()):
+        forms[form] = min(name, forms.get(form, name))
+    return forms
+
+
+def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license_id, digest, n): the digests and lengths of the canonical forms of known licences; without a list those of this module."""
+    if known is None:
+        rows = [(name, sha256(form.encode()).hexdigest(), len(form)) for form, name in known_forms().items()]
+        return spark.createDataFrame(rows, "license_id string, digest string, n int")
     rows = spark.createDataFrame(known, "license_id string, text string").withColumn("form", canonical(F.col("text")))
     return rows.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max(F.length("form")).alias("n"))
 
 
+#: Lengths of known texts up to which lines of other lengths are left out before they are hashed.
+LENGTHS = 10_000
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, canonical_sha256, license_id, n_license_lines, line_license_ids) for every row of docs.
 
-    known: (license_id, digest, n) as of known_licenses(); of several licences with one digest any one id. license_id is
+    known: (license_id, digest, n) as of known_licenses(), any number; of several licences with one digest the least id. license_id is
     that of the licence that the entire text is, else null. n_license_lines counts the lines that are a known text on
     their own, line_license_ids joins their distinct ids by commas, sorted. Null, blank and wordless texts have
-    the digest of the empty string and no licence. Rows are judged one by one; other columns are ignored.
+    the digest of the empty string and no licence. Rows are judged one by one, also equal ones; other columns are ignored.
 
-    Lines are compared inside their row: only the digests of lines exactly as long as a known text are computed,
-    and looked up in a map of the known digests, of which there may be 1000.
+    One pass over the texts writes the digest of each and of its lines that are as long as a known text; all else is hash joins of
+    digests, in which a common text or line is as good as any.
     """
-    few = known.limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("lines are compared with at most 1000 known texts")
-    text = docs.select(F.col(id_col), canonical_lines(F.col(text_col)).alias("lines"))
-    text = text.select(id_col, "lines", F.sha2(_joined(F.col("lines")), 256).alias("canonical_sha256"))
-    text = text.join(sized(known.select(F.col("digest").alias("canonical_sha256"), "license_id")), "canonical_sha256", "left")
-    lengths = sorted({r["n"] for r in few})
-    ids = F.create_map(*[F.lit(x) for r in few for x in (r["digest"], r["license_id"])]) if few else F.create_map().cast("map<string,string>")
-    lines = F.filter(F.transform(F.split("lines", "\n"), lambda s: F.trim(s)), lambda s: F.length(s).isin(lengths))
-    found = F.filter(F.transform(lines, lambda s: ids[F.sha2(s, 256)]), lambda x: x.isNotNull())
-    out = text.withColumn("ids", found)
-    return out.select(id_col, "canonical_sha256", "license_id", F.size("ids").cast("long").alias("n_license_lines"), F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("line_license_ids"))
+    known = known.groupBy(F.unhex("digest").alias("digest")).agg(F.min("license_id").alias("license_id"), F.max("n").alias("n"))
+    known = sized(written(known, "known-licenses"))
+    lengths = few(known.select("n").distinct(), LENGTHS)
+    text = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
+    asked = F.filter("lines", lambda s: F.length(s).isin([r["n"] for r in lengths]) if lengths is not None else s != "")
+    digest = lambda s: F.unhex(F.sha2(s, 256))
+    forms = text.select("id", digest(_joined(F.col("lines"))).alias("digest"), F.transform(asked, digest).alias("lines"))
+    forms = written(forms.withColumn("row", F.monotonically_increasing_id()), "license-forms")
+    hits = forms.select("row", F.explode("lines").alias("digest")).join(known, "digest").groupBy("row").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("license_id")).alias("ids"))
+    hits = sized(written(hits, "license-lines"))
+    out = forms.drop("lines").join(known.drop("n"), "digest", "left").join(hits, "row", "left")
+    return out.select(F.col("id").alias(id_col), F.lower(F.hex("digest")).alias("canonical_sha256"), "license_id", F.coalesce("n", F.lit(0)).alias("n_license_lines"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("line_license_ids"))

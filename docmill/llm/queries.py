@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,8 @@ _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrs
 
 
 def _canonical_sql(text: str) -> str:
-    """DuckDB SQL for canonical_lines()."""
-    t = f"regexp_replace(lower(coalesce({text}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    """DuckDB SQL for the canonical forms of lines, with line ends between."""
+    t = f"lower(regexp_replace(replace(coalesce({text}, ''), chr(13), ' '), '{licenses.COPYRIGHT_LINE}', '', 'g'))"
     t = f"'  ' || replace(regexp_replace({t}, '{licenses.MARKS}', '  ', 'g'), chr(10), '  ' || chr(10) || '  ') || '  '"
     for word, other in licenses.SPELLINGS:
         t = f"replace({t}, ' {word} ', ' {other} ')"
@@ -81,14 +82,23 @@ def _joined_sql(lines: str) -> str:
     return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'))"
 
 
-_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+def _values(rows) -> str:
+    return ", ".join("({})".format(", ".join("'{}'".format(x.replace("'", "''")) for x in r)) for r in rows)
+
+
+#: Digests of the entire texts; the notices are put together in SQL as they are in Python.
+_TEXTS = _values({(i, hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest()) for i, t in licenses.known_texts()})
+_NOTICES = (
+    f"SELECT id, {_joined_sql(_canonical_sql("subject || ' ' || verb || ' under ' || article || ' ' || form"))} AS form FROM (VALUES {_values((i, n) for i, ns in licenses.NAMES.items() for n in ns)}) n(id, form), "
+    f"(VALUES {_values((x,) for x in licenses.SUBJECTS)}) s(subject), (VALUES {_values((x,) for x in licenses.VERBS)}) v(verb), (VALUES {_values((x,) for x in licenses.ARTICLES)}) a(article)"
+)
 _ESCAPE = rf"regexp_replace({{}}, '([<\[])(\\*)({chat._CONTROL})', '\1\\\2\3', 'g')"
 _ROLE = "replace(replace(role, '%', '%25'), chr(10), '%0A')"
 
 SQL: dict[str, str] = {
     "op1_licenses": f"""
 WITH k AS (
-  SELECT sha256(form) AS digest, min(id) AS license_id FROM (SELECT id, {_joined_sql(_canonical_sql("t"))} AS form FROM (VALUES {_KNOWN}) v(id, t)) WHERE form <> '' GROUP BY 1),
+  SELECT digest, min(id) AS license_id FROM (SELECT id, sha256(form) AS digest FROM ({_NOTICES}) UNION ALL SELECT * FROM (VALUES {_TEXTS}) t(id, digest)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql("text")} AS lines FROM documents),
 l AS (SELECT r, k.license_id AS id FROM (SELECT r, trim(unnest(string_split(lines, chr(10)))) AS line FROM d) x JOIN k ON k.digest = sha256(line)),
 n AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM l GROUP BY r)

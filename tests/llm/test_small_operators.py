@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import itertools
 import random
+import textwrap
 
 import pytest
 from docmill.llm import chat, html, licenses, urls, warc
@@ -40,6 +41,39 @@ def test_canonical_spelling_twice_in_a_row(spark):
     assert row["c"] == "license license center"
 
 
+def test_canonical_forms_agree(spark):
+    texts = [t for _, t in licenses.known_texts()] + ["Copyright Jane Doe\nx", "copyright notice and\nCopyright by ACME Corp. and Sons 2020\n(c) 2001\nCOPYRIGHT HOLDERS BE LIABLE\r\n# Copyright <year>", "a_b--c"]
+    rows = frame(spark, [(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", licenses.canonical(F.col("t")).alias("c")).collect()
+    assert all(r["c"] == licenses.canonical_text(texts[r["i"]]) for r in rows)
+    assert licenses.canonical_text(texts[-2]) == "copyright notice and copyright holders be liable" and licenses.canonical_text(texts[-3]) == "x"
+
+
+def test_entire_texts_of_licences_under_other_headers(spark):
+    names = ["MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "Apache-2.0", "MPL-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "GFDL-1.3", "Artistic-1.0-Perl"]
+    wrapped = lambda t, n: "\n\n".join("\n".join(textwrap.wrap(p, n, break_on_hyphens=False)) for p in t.split("\n\n"))
+    whole = {}
+    for i, t in licenses.known_texts():
+        whole.setdefault(i, t)
+    heads = ["The MIT License", "The MIT License (MIT)", "MIT License"]
+    rows = [(name, f"Copyright (c) 1999-2020 Jane Doe\r\n{'(c) 2001 x' if i % 2 else 'Copyright Jane Doe'}\nAll rights reserved.\n\n{whole[name]}") for i, name in enumerate(names)]
+    rows += [("MIT", f"{h}\n\nCopyright Jane Doe and The Others\n\n{wrapped(licenses._MIT, n)}") for h in heads for n in (40, 60, 77)] + [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright 2001, A\n\n" + wrapped(dict(licenses.SHORT)["BSD-3-Clause"], 70))]
+    rows += [(None, licenses._MIT.replace("free of charge", "for a fee")), (None, "The MIT License")]
+    out = licenses.scan_licenses(frame(spark, [(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), licenses.known_licenses(spark)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in out} == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_any_number_of_known_texts(spark, monkeypatch):
+    known = [(f"L{i}", f"known text {'x' * (i % 300)} number {i}") for i in range(3000)]
+    docs = frame(spark, [(i, f"Known text: {'x' * (i % 300)} number {i}" if i % 2 else f"a\nknown text {'X' * (i % 300)} number {i}!\nb\nnumber {i}") for i in range(0, 3000, 7)], "doc_id long, text string")
+    table = licenses.known_licenses(spark, known)
+    first = sorted(map(str, licenses.scan_licenses(docs, table).collect()))
+    assert all((f"license_id='L" in r) != ("n_license_lines=0" not in r and "license_id=None" in r) for r in first) and len(first) == docs.count()
+    assert sum("n_license_lines=1" in r for r in first) == len(first)
+    monkeypatch.setattr(licenses, "LENGTHS", 10)
+    monkeypatch.setattr(licenses, "sized", lambda df: df)
+    assert sorted(map(str, licenses.scan_licenses(docs, table).collect())) == first
+
+
 # Chat.
 
 turns_strategy = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb%", ""]), st.text(alphabet="a<|\\im_start>/s[]INST \n%é", max_size=30)), min_size=1, max_size=6)
