@@ -1,113 +1,224 @@
 """WARC archives (version 1.1) with revisit records for repeated payloads.
 
-Payloads are hashed, headers alone are grouped by digest, and repeats become revisit records that refer to the first
-response. Archives are written by Spark's text writer, whose line separator is the end of a WARC record, so that its
-commit protocol holds for tasks that are tried again; each is compressed as a whole. Reading parses the archives
-and joins revisits to their responses by digest.
+Headers alone are grouped by payload digest, and repeats become revisit records that refer to the first response. Each task streams its
+records into files of its own on shared storage, one gzip member a record, and returns their names; the table of names is committed
+by Spark, and a file that isn't in it was left by a task that was tried again and doesn't count. Reading streams too: a task holds one
+batch or one buffer, or, if payloads are asked for, one payload. Revisits are joined to their responses by digest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.worker import released
-from docmill.plans.shared import shared_path, sized, written
+from docmill.plans.shared import bounded_batches, shared_path, sized, written
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SOFTWARE = "software: docmill\r\nformat: WARC File Format 1.1\r\n"
 #: Payloads under this many bytes are always stored.
 LEAST = 100
-#: Records of an archive, and of one of payloads over LARGE bytes.
-RECORDS, LARGE, LARGE_RECORDS = 10_000, 1 << 16, 100
+#: Bytes of records after which a file ends, and that are compressed or read at once.
+FILE_BYTES, PIECE = 1 << 30, 1 << 20
 
 
-def _field(name: str, value: Column) -> Column:
-    """A header line; null: none. Line ends inside a value would end the header."""
-    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "%", "%25"), "\r", "%0D"), "\n", "%0A")
-    return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit(CRLF)), F.lit(""))
+def place_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder that driver and executors share."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1)) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def _record_id(page_id: Column, url: Column, digest: Column) -> Column:
-    """A UUID made from the record's content, so that writing again gives the same one."""
-    h = F.md5(F.concat_ws("\n", page_id.cast("string"), url, digest))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12)), F.lit(">"))
+def record_id(*parts: object) -> str:
+    """A UUID made from a record's content, so that writing again gives the same one."""
+    h = hashlib.md5("\n".join(str(p) for p in parts if p is not None).encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-8{h[17:20]}-{h[20:]}>"
+
+
+def _header(kind: str, fields: list[tuple[str, str | None]], length: int) -> bytes:
+    """Nulls have no line. Line ends would end a header, so they are the only characters of a value that are encoded."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}".replace("\r", "%0D").replace("\n", "%0A") for k, v in fields if v is not None), f"Content-Length: {length}"]
+    return (CRLF.join(lines) + CRLF + CRLF).encode("utf-8", "replace")
+
+
+def record(page_id: int | None, url: str | None, payload: pa.Buffer | bytes, digest: str, original: int | None, original_url: str | None, again: bool, date: str) -> list:
+    """The parts of a response, or of a revisit without its payload."""
+    http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{CRLF}{CRLF}".encode()
+    fields = [("WARC-Record-ID", record_id(page_id, url, digest)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if again:
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(original, original_url, digest)), ("WARC-Refers-To-Target-URI", original_url), ("WARC-Refers-To-Date", date)]
+    fields += [("X-Page-Id", None if page_id is None else str(page_id)), ("X-Page-Url", json.dumps(url) if url is not None and ("\r" in url or "\n" in url) else None), ("Content-Type", "application/http; msgtype=response")]
+    body = b"" if again else payload
+    return [_header("revisit" if again else "response", fields, len(http) + len(body)), http, body]
+
+
+def _write(folder: str, date: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes batches (page_id, url, payload, digest, original, original_url, again) and gives (file, records, bytes) of the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = place_of(folder)
+        done: list[tuple[str, int, int]] = []
+        out, name, n, size = None, "", 0, 0
+
+        def put(parts: list) -> int:
+            pack, total = zlib.compressobj(6, zlib.DEFLATED, 31), 0
+            for part in (*parts, b"\r\n\r\n"):
+                view = memoryview(part)
+                total += len(view)
+                for i in range(0, len(view), PIECE):
+                    out.write(pack.compress(view[i : i + PIECE]))
+            out.write(pack.flush())
+            return total
+
+        try:
+            for batch in batches:
+                columns = [batch.column(i) for i in range(7)]
+                for i in range(batch.num_rows):
+                    if out is None:
+                        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+                        out, n = store.open_output_stream(f"{path}/{name}", compression=None), 0
+                        size = put([_header("warcinfo", [("WARC-Record-ID", record_id(name)), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], len(SOFTWARE)), SOFTWARE.encode()])
+                    page, url, digest, original, original_url, again = (columns[k][i].as_py() for k in (0, 1, 3, 4, 5, 6))
+                    size += put(record(page, url, columns[2][i].as_buffer(), digest, original, original_url, again, date))
+                    n += 1
+                    if size >= most:
+                        out.close()
+                        done.append((name, n, size))
+                        out = None
+            if out is not None:
+                out.close()
+                done.append((name, n, size))
+        except BaseException:
+            if out is not None:
+                out.close()
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[i] for d in done], pa.int64()) for i in (1, 2))], ["file", "records", "bytes"])
+
+    return run
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, original, original_url): original is the page of the first response for revisits, else null."""
+    """(page_id, url, payload, digest, original, original_url, again): original is the page of the first response for revisits, else null.
+
+    Firsts are found from headers. If there are few, each page looks its digest up; else revisits are decided among headers, and
+    pages are joined to the decisions by id and digest, which no page that comes often makes hot.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    heads = rows.where(F.col("payload_bytes") >= LEAST).select("digest", "page_id", "url")
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    heads = rows.where(F.octet_length("payload") >= LEAST).select("digest", "page_id", "url")
     firsts = heads.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = written(firsts.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "first-responses")
-    repeats = rows.join(sized(firsts), "digest", "left").withColumn("again", (F.col("payload_bytes") >= LEAST) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-    return repeats.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(F.col("again"), F.col("first")).alias("original"), F.when(F.col("again"), F.col("first_url")).alias("original_url"))
-
-
-def records(planned: DataFrame, date: str) -> DataFrame:
-    """(value, payload_bytes): each record as text, without the two line ends after it."""
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
-    again = F.col("original").isNotNull()
-    block = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
-    head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"),
-        _field("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        _field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("digest"))),
-        _field("WARC-Date", F.lit(date)),
-        _field("WARC-Target-URI", F.col("url")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(again, F.concat(_field("WARC-Profile", F.lit(PROFILE)), _field("WARC-Refers-To", _record_id(F.col("original"), F.col("original_url"), F.col("digest"))), _field("WARC-Refers-To-Target-URI", F.col("original_url")))).otherwise(F.lit("")),
-        _field("X-Page-Id", F.col("page_id").cast("string")),
-        F.lit(f"Content-Type: application/http; msgtype=response{CRLF}Content-Length: "),
-        F.octet_length(block).cast("string"),
-        F.lit(CRLF + CRLF),
-    )
-    return planned.select(F.concat(head, block).alias("value"), "payload_bytes")
-
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, date: str = "2026-01-01T00:00:00Z") -> None:
-    """Writes a WARC record for every row of pages to compressed archives in the folder path.
+    firsts = written(firsts.select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url")), "first-responses")
+    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    few = sized(firsts)
+    if few is not firsts:
+        planned = rows.join(few, "digest", "left").withColumn("again", again & (F.octet_length("payload") >= LEAST))
+    else:
+        found = heads.join(firsts, "digest").where(again).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "original", "original_url").distinct()
+        planned = rows.join(written(found, "revisits"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").withColumn("again", F.col("original").isNotNull())
+    one = lambda c: F.when(F.col("again"), F.col(c)).alias(c)
+    return planned.select("page_id", "url", "payload", "digest", one("original"), one("original_url"), "again")
+
+
+MANIFEST = "_manifest"
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, date: str = "2026-01-01T00:00:00Z", most: int = FILE_BYTES) -> DataFrame:
+    """Writes a WARC record for every row of pages to .warc.gz files in the folder path, and gives (file, records, bytes).
 
     Of records with equal payloads of at least 100 bytes, that with the least id is a response and the others are
     revisits of it; rows that repeat the least id are responses too. Null payloads are empty; rows with a null id are
-    revisits if there is an id to refer to. Null URLs have no target header. Other columns are ignored.
+    revisits if there is an id to refer to. Null URLs have no target header; others are written as they are, but for line ends.
+    A file ends once it has ``most`` bytes of records. Other columns are ignored.
     """
-    value = records(plan_records(pages, id_col, url_col, html_col), date)
-    for where, most in ((F.col("payload_bytes") <= LARGE, RECORDS), (F.col("payload_bytes") > LARGE, LARGE_RECORDS)):
-        part = value.where(where).select("value")
-        part.write.mode("append").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
-
-
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers, block) of every record of an archive, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            unpack = zlib.decompressobj(31)
-            parts += [unpack.decompress(data), unpack.flush()]
-            data = unpack.unused_data
-        data = b"".join(parts)
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
+    spark = pages.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    with bounded_batches(spark):
+        files = plan_records(pages, id_col, url_col, html_col).mapInArrow(released(_write(path, date, most)), "file string, records long, bytes long")
+        files.write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+    return spark.read.schema("file string, records long, bytes long").parquet(f"{path}/{MANIFEST}")
+
+
+class _Reader:
+    """Bytes of an archive as they are asked for, compressed or not."""
+
+    def __init__(self, source):
+        self.source, self.buffer, self.packed = source, b"", b""
+        self.packed = source.read(PIECE)
+        self.unpack = zlib.decompressobj(31) if self.packed[:2] == b"\x1f\x8b" else None
+
+    def _more(self) -> bool:
+        while True:
+            if not self.packed:
+                self.packed = self.source.read(PIECE)
+                if not self.packed:
+                    return False
+            if self.unpack is None:
+                self.buffer, self.packed = self.buffer + self.packed, b""
+                return True
+            found = self.unpack.decompress(self.packed, PIECE)
+            self.packed = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.unpack = zlib.decompressobj(31)
+            if found:
+                self.buffer += found
+                return True
+
+    def head(self) -> bytes | None:
+        """Up to the next empty line; None at the end."""
+        self.buffer = self.buffer.lstrip(b"\r\n")
+        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+            if not self._more():
+                if self.buffer.strip():
+                    raise ValueError("an archive ends inside a header")
+                return None
+            self.buffer = self.buffer.lstrip(b"\r\n") if not self.buffer.strip() else self.buffer
+        out, self.buffer = self.buffer[:end], self.buffer[end + 4 :]
+        return out
+
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next n bytes."""
+        while n:
+            if not self.buffer and not self._more():
+                raise ValueError("an archive ends inside a record")
+            part, self.buffer = self.buffer[:n], self.buffer[n:]
+            n -= len(part)
+            yield part
+
+
+def read_records(source) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+    """(headers, pieces of the block) of every record of an open archive, in order. What is left of a block is passed over."""
+    reader = _Reader(source)
+    while (head := reader.head()) is not None:
+        lines = head.decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        begin = end + 4
-        at = begin + int(fields["Content-Length"])
-        yield fields, view[begin:at]
-        at += 4
+            raise ValueError(f"no WARC record at {lines[0][:40]!r}")
+        fields = {k: v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        block = reader.pieces(int(fields["Content-Length"]))
+        yield fields, block
+        for _ in block:
+            pass
 
 
-def _clean(value: str | None) -> str | None:
-    return value and value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def body(block: Iterator[bytes]) -> Iterator[bytes]:
+    """What follows the HTTP header of a block."""
+    head = b""
+    for part in block:
+        head += part
+        if (end := head.find(b"\r\n\r\n")) >= 0:
+            yield head[end + 4 :]
+            yield from block
+            return
 
 
 def _read(with_payload: bool):
@@ -115,35 +226,48 @@ def _read(with_payload: bool):
         names = ["page_id", "url", "record_type", "record_id", "refers_to_id", "payload_digest", "payload_bytes", "payload"]
         kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()]
         for batch in batches:
-            for data in batch.column(0):
+            for uri in batch.column(0).to_pylist():
+                store, path = place_of(uri)
                 out: list[list] = [[] for _ in names]
                 held = 0
-                for fields, block in parse_archive(data.as_py()):
-                    again = fields["WARC-Type"] == "revisit"
-                    body = bytes(block).split(b"\r\n\r\n", 1)[1]
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if not again and hashlib.sha256(body).hexdigest() != digest:
-                        raise ValueError("a payload differs from its digest")
-                    page = fields.get("X-Page-Id")
-                    row = (int(page) if page is not None else None, _clean(fields.get("WARC-Target-URI")), fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), digest, None if again else len(body), body.decode("utf-8") if with_payload and not again else None)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-                    held += len(body) if with_payload else 200
-                    if held > 1 << 23:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-                        out, held = [[] for _ in names], 0
+                with store.open_input_stream(path, compression=None) as source:
+                    for fields, block in read_records(source):
+                        if fields["WARC-Type"] not in ("response", "revisit"):
+                            continue
+                        again, page, raw = fields["WARC-Type"] == "revisit", fields.get("X-Page-Id"), fields.get("X-Page-Url")
+                        digest, told, size, parts = hashlib.sha256(), fields["WARC-Payload-Digest"].removeprefix("sha256:"), 0, []
+                        for part in () if again else body(block):
+                            digest.update(part)
+                            size += len(part)
+                            if with_payload:
+                                parts.append(part)
+                        if not again and digest.hexdigest() != told:
+                            raise ValueError("a payload differs from its digest")
+                        row = (None if page is None else int(page), fields.get("WARC-Target-URI") if raw is None else json.loads(raw), fields["WARC-Type"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), told, None if again else size, b"".join(parts).decode("utf-8") if with_payload and not again else None)
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
+                        held += 300 + (size if with_payload else 0)
+                        if held > PIECE:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                            out, held = [[] for _ in names], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return run
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """(page_id, url, record_type, record_id, refers_to_id, payload_digest, payload_bytes, payload) of all records in a folder.
+    """(page_id, url, record_type, record_id, refers_to_id, payload_digest, payload_bytes, payload) of the responses and revisits in a folder.
 
-    Revisits have no payload_bytes and payload of their own; payloads are read only if asked for.
+    A folder that write_archives() wrote is read as its manifest says, any other as a whole. Revisits have no payload_bytes and
+    payload of their own; payloads are read only if asked for. Each file is read by one task.
     """
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.where("length > 0").select("content").mapInArrow(released(_read(payload)), "page_id long, url string, record_type string, record_id string, refers_to_id string, payload_digest string, payload_bytes long, payload string")
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc*").load(path)
+    files = files.where("length > 0").select("path")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        counted = sized(spark.read.schema("file string").parquet(f"{path}/{MANIFEST}"))
+        files = files.withColumn("file", F.substring_index("path", "/", -1)).join(counted, "file", "left_semi").select("path")
+    return files.mapInArrow(released(_read(payload)), "page_id long, url string, record_type string, record_id string, refers_to_id string, payload_digest string, payload_bytes long, payload string")
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:

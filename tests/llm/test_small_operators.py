@@ -1,10 +1,13 @@
 """Edge cases of the native and page operators: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
+import gzip
 import hashlib
 import html as entities
 import itertools
 import random
 import textwrap
+import tracemalloc
+import zlib
 
 import pytest
 from docmill.llm import chat, html, licenses, urls, warc
@@ -354,6 +357,77 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, path + "0").count() == 0
 
 
+def members(path):
+    """What each gzip member of a file holds, by a parser of its own."""
+    data = path.read_bytes()
+    while data:
+        unpack = zlib.decompressobj(31)
+        yield unpack.decompress(data) + unpack.flush()
+        data = unpack.unused_data
+
+
+def test_warc_files_for_other_readers(spark, tmp_path):
+    urls_ = ["http://h.example/a%20b?q=%2F", "http://h.example/x:y: z", "", None, "http://h.example/é"]
+    rows = [(i, urls_[i % 5], "p" * 150 if i % 3 else f"own {i} " * 40) for i in range(60)]
+    warc.write_archives(frame(spark, rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"), most=8000)
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.endswith(".warc.gz")]
+    seen = {}
+    for f in files:
+        for k, member in enumerate(members(f)):
+            head, block = member.split(b"\r\n\r\n", 1)
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and (fields["WARC-Type"] == "warcinfo") == (k == 0) and block.endswith(b"\r\n\r\n") and len(block) - 4 == int(fields["Content-Length"])
+            if k:
+                seen[int(fields["X-Page-Id"])] = fields, block[:-4].split(b"\r\n\r\n", 1)
+            else:
+                assert fields["WARC-Filename"] == f.name
+    assert len(files) >= 3 and {i: f.get("WARC-Target-URI") for i, (f, _) in seen.items()} == {i: u for i, u, _ in rows}
+    assert all(b[1].decode() == (rows[i][2] if f["WARC-Type"] == "response" else "") for i, (f, b) in seen.items())
+    first = next(f["WARC-Record-ID"] for i, (f, _) in sorted(seen.items()) if i % 3)
+    assert {f.get("WARC-Refers-To") for i, (f, _) in seen.items() if f["WARC-Type"] == "revisit"} == {first} and len({f["WARC-Record-ID"] for f, _ in seen.values()}) == 60
+
+
+def test_warc_files_of_failed_tasks_and_of_others(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", "x" * 100 + str(i)) for i in range(20)]
+    path = tmp_path / "w"
+    warc.write_archives(frame(spark, rows, "page_id long, url string, html string"), str(path))
+    whole = next(f for f in path.iterdir() if f.name.endswith(".warc.gz"))
+    (path / "part-00000-left.warc.gz").write_bytes(whole.read_bytes()[:-20])
+    assert warc.read_archives(spark, f"file://{path}").count() == 20
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "plain.warc").write_bytes(b"".join(members(whole)))
+    (other / "one.warc.gz").write_bytes(gzip.compress(b"".join(members(whole))))
+    n = len(list(members(whole))) - 1
+    assert warc.read_archives(spark, str(other), payload=True).where("payload like 'xxx%'").count() == 2 * n
+    (other / "cut.warc").write_bytes(b"".join(members(whole))[:-30])
+    with pytest.raises(Exception, match="ends inside"):
+        warc.read_archives(spark, str(other)).count()
+
+
+def test_warc_of_many_repeated_payloads(spark, monkeypatch):
+    rows = [(i if i % 7 else None, f"http://a/{i}", f"{i % 9} " * 70) for i in range(100)] + [(1, "http://again/", "1 " * 70)]
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    show = lambda: sorted(map(str, warc.archive_round_trip(pages).collect()))
+    first = show()
+    monkeypatch.setattr(warc, "sized", lambda df: df)
+    assert show() == first and sum("revisit" in r for r in first) == 91
+
+
+def test_warc_streams_a_long_payload(tmp_path):
+    """Reading holds pieces: a payload of 64 MB is never whole."""
+    text = b"abcdefgh" * (8 << 20)
+    parts = warc.record(1, "u", text, hashlib.sha256(text).hexdigest(), None, None, False, "d")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join([*parts, b"\r\n\r\n"])) * 2)
+    tracemalloc.start()
+    with (tmp_path / "a.warc.gz").open("rb") as source:
+        sizes = [sum(map(len, warc.body(block))) for _, block in warc.read_records(source)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [len(text)] * 2 and peak < 16 << 20
+
+
 # URLs.
 
 URLS = [
