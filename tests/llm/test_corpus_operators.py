@@ -228,11 +228,73 @@ def test_mix_reaches_targets_and_repeats(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_min_cost_flow_of_many_patterns_against_linear_programming_bounds():
+    rng = random.Random(8)
+    sources = 40
+    arcs = sorted({(p, s) for p in range(3000) for s in rng.sample(range(sources), rng.randrange(1, 5))})
+    supply, costs = [rng.randrange(1, 100) for _ in range(3000)], (0, 1, 3)
+    quota = [rng.randrange(2 * sum(supply) // sources) for _ in range(sources)]
+    sent = mixing.min_cost_flow(supply, arcs, quota, costs)
+    got = [0] * sources
+    for p, flow in enumerate(sent):
+        assert sum(flow.values()) <= 3 * supply[p] and all((p, s) in set(arcs) for s in list(flow)[:1])
+        for s, w in flow.items():
+            got[s] += w
+    assert all(g <= q for g, q in zip(got, quota, strict=True)) and sum(got) >= 0.99 * min(sum(quota), 3 * sum(supply))
+    # No cycle through a pattern that is used less and one that is used more makes it cheaper: no source takes a second use where a first use is left beside it.
+    uses = [sum(f.values()) / n for f, n in zip(sent, supply, strict=True)]
+    by = {}
+    for p, s in arcs:
+        by.setdefault(s, []).append(p)
+    assert not any(uses[p] < 1 and uses[q] > 1 and sent[q].get(s) for s, ps in by.items() for p in ps for q in ps)
+
+
+def overlapping(rng, n, names):
+    return [(i, "w " * rng.randrange(1, 40), rng.sample(names, rng.randrange(1, 4)) if rng.random() < 0.9 else None) for i in range(n)]
+
+
 def test_mix_of_overlapping_sources(spark):
-    rows = [(i, "w " * 10, ["a"] if i < 10 else ["a", "b"] if i < 60 else None) for i in range(80)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), weights=(1, 1)).collect()
-    both = [r for r in out if 10 <= r["doc_id"] < 60]
-    assert all(r["source_size"] == 600 + 500 for r in both) and sum(r["taken"] for r in out) > 0
+    rng = random.Random(6)
+    rows = overlapping(rng, 1500, ["a", "b", "c", "d"])
+    out = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), weights=(4, 1)).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    patterns, sizes = {}, {}
+    for i, _, ss in rows:
+        key = tuple(sorted(set(ss))) if ss else (None,)
+        patterns.setdefault(key, []).append(i)
+        for s in key:
+            sizes[s] = sizes.get(s, 0) + size[i]
+    goal = mixing.targets(sizes, (4, 1), 3)
+    keys, names = sorted(patterns, key=str), list(goal)
+    supply = [sum(size[i] for i in patterns[k]) for k in keys]
+    sent = mixing.min_cost_flow(supply, [(p, names.index(s)) for p, k in enumerate(keys) for s in k], [round(goal[s]) for s in names], (0, 1, 3))
+    words = {k: sum(out[i]["taken"] for i in patterns[k]) for k in keys}
+    assert abs(sum(words.values()) - sum(sum(f.values()) for f in sent)) <= 20 * len(keys)
+    for k in keys:
+        assert {round(out[i]["target"], 6) for i in patterns[k]} == {round(sum(goal[s] for s in k), 6)} and {out[i]["source_size"] for i in patterns[k]} == {sum(sizes[s] for s in k)}
+        uses = [out[i]["taken"] // size[i] for i in patterns[k]]
+        assert max(uses) - min(uses) <= 1 and all(out[i]["taken"] % size[i] == 0 for i in patterns[k])
+
+
+def test_mix_of_more_patterns_than_the_driver_holds(spark):
+    rng = random.Random(7)
+    rows = overlapping(rng, 400, ["a", "b", "c"]) + [(1000 + i, t, ss and [f"x{s}" for s in ss]) for i, t, ss in overlapping(rng, 400, ["d", "e"] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    show = lambda **k: sorted(map(str, mixing.mix(docs, **k).collect()))
+    assert show(driver_patterns=3) == show()
+
+
+def test_mix_of_equal_rows_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 2)
+    rows = [(None, "w w w", "a", k % 2) for k in range(50)] + [(7, "w w", "a", k) for k in range(30)] + [(8, "w " * (k % 3), "b", k) for k in range(200)] + [(9, None, "c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    out = mixing.mix(docs, carry=["size", "text"]).collect()
+    assert sorted((r["doc_id"], r["carried"]["text"], r["carried"]["size"]) for r in out if r["doc_id"]) == sorted((r[0], r[1], r[3]) for r in rows if r[0])
+    assert len(out) == len(rows) and all(r["size"] == len((r["carried"]["text"] or "").split()) for r in out)
+    for target in {r["target"] for r in out}:
+        assert abs(sum(r["taken"] for r in out if r["target"] == target) - target) <= 3
+    show = lambda rs: sorted(str(tuple(r)[:6]) for r in rs)
+    assert show(out) == show(mixing.mix(docs.repartition(5), carry=["size", "text"]).collect())
 
 
 # Language ID.
