@@ -32,7 +32,7 @@ def _role_out(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
-    """(conv_col, formatted, segments) for every conversation; a null conv_col is one conversation.
+    """(conv_col, formatted, segments) for every conversation; each row with a null conv_col is one by itself.
 
     segments: array of (text, loss), which concatenate to formatted; loss marks each text of the role ``learn``, and
     nothing else. Turns go by turn_col, nulls first, then by role and text; equal rows are turns of their own. Null
@@ -40,7 +40,10 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Other columns are ignored.
     """
     turn = F.struct(F.col(turn_col).alias("at"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sorted_ = turns.groupBy(F.col(conv_col)).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # Rows that name no conversation have nothing in common, however many they are.
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(conv_col).alias("conv"), alone.alias("alone"), turn.alias("turn"))
+    sorted_ = rows.groupBy("conv", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns")).withColumnRenamed("conv", conv_col)
     n = F.size("turns")
 
     def part(t: Column, i: Column) -> Column:

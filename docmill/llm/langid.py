@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.worker import released
 from docmill.llm.words import mix
-from docmill.plans.shared import small_batches
+from docmill.plans.shared import bounded_batches, written
 
 _STEP = 1 << 18
 _LETTER = np.zeros(256, bool)
@@ -263,7 +263,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     be learned, so are all. score is the share of the document's words, by marginals, in lang_pred; ties go to the
     first label. version, a hash of the text, tells rows that share an id apart. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     text = F.col(text_col).cast("string")
     texts, langs = training_sample(docs, id_col, text_col, lang_col, per_label, max_chars, max_rows)
@@ -271,5 +270,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         return docs.select(F.col(id_col), F.xxhash64(text).alias("version"), held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("version"))
-    out = rows.mapInArrow(released(_predict(train(texts, langs))), f"id {kind}, version long, lang_pred string, score double").withColumnRenamed("id", id_col)
-    return out.select(id_col, "version", held_out.alias("held_out"), "lang_pred", "score")
+    with bounded_batches(docs.sparkSession):
+        out = written(rows.mapInArrow(released(_predict(train(texts, langs))), f"id {kind}, version long, lang_pred string, score double"), "languages")
+    return out.withColumnRenamed("id", id_col).select(id_col, "version", held_out.alias("held_out"), "lang_pred", "score")

@@ -5,11 +5,13 @@ Plan, for N documents:
 1. One pass over the texts gives each document its number of distinct shingles, a 128-bit digest of the shingle
    set and ``bands`` hashes of ``rows`` minima each. That table is written; it has some 200 bytes a document.
 2. Documents with equal sets become one representative, the least id (combined before the shuffle).
-3. In every bucket, each member is paired with the bucket's least id: at most ``bands`` pairs a document. The
-   pairs are confirmed on the full shingle sets, which are made again for the documents that are in a pair only.
-4. Components of the confirmed pairs. A bucket that still holds several components is compared in blocks of
-   about ``BLOCK`` members, so that no link between different sets is lost because the leader wasn't a copy.
-   A large bucket is many blocks and so many tasks. Blocks return a spanning forest, never all pairs.
+3. Sets can only be similar if their sizes are, so a bucket's members are told apart by size class, the logarithm of the size to the
+   base of the least ratio: links join sets of one class or of two neighbouring ones. Each member is paired with the least of its
+   class and of the class below, if their sizes allow a link: at most 2 ``bands`` pairs a document, in practice few different ones.
+   The pairs are confirmed on the full shingle sets, which are made again for the documents that are in a pair only.
+4. Components of the confirmed pairs. Classes of a bucket, and neighbouring ones, that still hold several components are compared in
+   blocks of about ``BLOCK`` members, so that no link between different sets is lost because the leader wasn't a copy.
+   A large class is many blocks and so many tasks. Blocks return a spanning forest, never all pairs.
 5. Components again, then every document takes the component of its set.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s^rows)^bands; with 20 bands of 5, all but
@@ -18,18 +20,19 @@ A pair at similarity s shares a bucket with probability 1 - (1 - s^rows)^bands;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.worker import release_memory, released
 from docmill.llm.components import connected_components
 from docmill.llm.words import mix, shingle_set, word_hashes
-from docmill.plans.shared import release, sized, small_batches, written
+from docmill.plans.shared import bounded_batches, release, sized, written
 
 BLOCK = 256
 
@@ -97,7 +100,7 @@ def _block_links(percent: int):
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "d1"], kind="stable").reset_index(drop=True)
-        _, bi, bj = key
+        _, low, high, bi, bj = key
         sets = [np.asarray(s, np.int64) for s in rows["s"]]
         n = np.array([len(s) for s in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -115,9 +118,9 @@ def _block_links(percent: int):
             inter += has @ has.T
         inter = inter.astype(np.int64)
         hit = np.triu(100 * inter >= percent * (n[:, None] + n[None, :] - inter), 1)
-        comp, block, ids = rows["component"].to_numpy(), rows["block"].to_numpy(), rows["id"].to_numpy()
-        if bi != bj:
-            hit &= block[:, None] != block[None, :]
+        comp, part, ids = rows["component"].to_numpy(), rows["part"].to_numpy(), rows["id"].to_numpy()
+        if low != high or bi != bj:
+            hit &= part[:, None] != part[None, :]
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -148,46 +151,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with several texts is linked by each of them, and each of its rows is returned. Rows with a null id link with
     nothing: component_id is null and kept true. Other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession)
-    sketches = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(_sketches(size, bands, rows, seed)), "id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    with bounded_batches(docs.sparkSession):
+        out = written(_near(text, size, percent, bands, rows, seed, keep), "near-duplicates")
+    release(*made)
+    return out.withColumnRenamed("id", id_col)
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sets of which the smaller has ``percent`` of the larger's size or more are in one class or in two neighbouring ones."""
+    return F.floor(F.ln(n) / (math.log(100 / percent) * (1 + 1e-6))).cast("int") if percent < 100 else n.cast("int")
+
+
+def _near(docs: DataFrame, size: int, percent: int, bands: int, rows: int, seed: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """near_duplicates() of docs(id, text); keep() writes a table that is read more than once."""
+    sketches = keep(docs.mapInArrow(released(_sketches(size, bands, rows, seed)), "id long, n_shingles long, d1 long, d2 long, keys array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 and id is not null")
-    reps = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "representatives")
+    reps = keep(full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "representatives")
     # A node is (id, d1): an id can come with several texts.
-    members = reps.select(F.struct("rep", "d1").alias("node"), F.explode("keys").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1")
+    members = reps.select(F.struct("rep", "d1").alias("node"), F.col("n_shingles").alias("n"), size_class(F.col("n_shingles"), percent).alias("class"), F.explode("keys").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("members > 1")
     # Bands that bring the same members together are one bucket.
-    buckets = written(buckets.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("leader").alias("leader")).drop("x", "y"), "buckets")
-    in_buckets = written(members.join(buckets, "bucket"), "in-buckets")
-    pairs = written(in_buckets.where("node <> leader").select("node", "leader").distinct(), "pairs")
+    buckets = keep(buckets.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    in_buckets = keep(members.join(buckets, "bucket"), "in-buckets")
+    leaders = keep(in_buckets.groupBy("bucket", "class").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("m")), "leaders")
+    leader = leaders.select("bucket", "class", "leader").unionByName(leaders.select("bucket", (F.col("class") + 1).alias("class"), "leader"))
+    pairs = in_buckets.join(leader, ["bucket", "class"]).where(F.col("node") != F.col("leader.node")).where(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n"))
+    pairs = keep(pairs.select(F.least("node", "leader.node").alias("node"), F.greatest("node", "leader.node").alias("leader")).distinct(), "pairs")
     ends = sized(pairs.select(F.col("node.rep").alias("id")).union(pairs.select("leader.rep")).distinct())
-    sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi").mapInArrow(released(_sets(size)), "id long, d1 long, s array<long>").where("size(s) > 0").select(F.struct(F.col("id").alias("rep"), "d1").alias("node"), "s")
-    repeated = written(full.groupBy("id").agg(F.count("*").alias("n"), F.min("d1").alias("p"), F.max("d1").alias("q")).where("n > 1"), "repeated-ids")
-    sets = written(sets.dropDuplicates(["node"]) if repeated.take(1) else sets, "sets")
+    sets = docs.join(ends, "id", "left_semi").mapInArrow(released(_sets(size)), "id long, d1 long, s array<long>").where("size(s) > 0").select(F.struct(F.col("id").alias("rep"), "d1").alias("node"), "s")
+    repeated = keep(full.groupBy("id").agg(F.count("*").alias("n"), F.min("d1").alias("p"), F.max("d1").alias("q")).where("n > 1"), "repeated-ids")
+    sets = keep(sets.dropDuplicates(["node"]) if repeated.take(1) else sets, "sets")
     inter = F.size(F.array_intersect("s", "t"))
     confirmed = pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("s").alias("t")), "leader").where(100 * inter >= percent * (F.size("s") + F.size("t") - inter))
     same = full.join(sized(repeated.where("p <> q").select("id")), "id", "left_semi").join(reps, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct()
-    links = written(confirmed.select(F.col("node.rep").alias("u"), F.col("leader.rep").alias("v")).union(same), "links")
-    first = written(connected_components(links), "components")
-
-    # Buckets that still hold several components: compared block by block.
-    placed = in_buckets.where("members > 2").withColumn("rep", F.col("node.rep")).join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = sized(placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket"))
-    rest = placed.join(open_, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    against = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    more = (
-        rest.join(sets, "node")
-        .withColumn("other", against)
-        .select(F.col("rep").alias("id"), F.col("node.d1").alias("d1"), "component", "block", "s", "bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-        .groupBy("bucket", "bi", "bj")
-        .applyInPandas(_block_links(percent), "u long, v long")
-    )
-    more = written(more, "more-links")
+    links = keep(confirmed.select(F.col("node.rep").alias("u"), F.col("leader.rep").alias("v")).union(same), "links")
+    component = keep(connected_components(links), "components")
+
+    # Classes of a bucket, alone or with the one above, that still hold several components: compared block by block.
+    placed = in_buckets.withColumn("rep", F.col("node.rep")).join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = keep(placed.groupBy("bucket", "class").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "held")
+    above = held.select("bucket", (F.col("class") - 1).alias("class"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("blocks").alias("blocks2"))
+    two = held.join(above, ["bucket", "class"]).where((F.least("p", "p2") < F.greatest("q", "q2")))
+    group = lambda df, cls, part, blocks, others, step: df.select("bucket", F.expr(cls).cast("int").alias("class"), F.col("class").alias("low"), (F.col("class") + step).alias("high"), F.lit(part).alias("side"), F.col(blocks).alias("blocks"), F.col(others).alias("others"))
+    open_ = group(held.where("p < q"), "class", 0, "blocks", "blocks", 0).union(group(two, "class", 1, "blocks", "blocks2", 1)).union(group(two, "class + 1", 2, "blocks2", "blocks", 1))
+    rest = placed.select("node", "component", "bucket", "class").join(sized(keep(open_, "open")), ["bucket", "class"])
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    one = F.col("side") == 0
+    first = F.when(one, F.least("block", "other")).when(F.col("side") == 1, F.col("block")).otherwise(F.col("other"))
+    second = F.when(one, F.greatest("block", "other")).when(F.col("side") == 1, F.col("other")).otherwise(F.col("block"))
+    rest = rest.select("node", "component", "bucket", "low", "high", first.alias("bi"), second.alias("bj"), F.when(one, F.col("block")).otherwise(F.col("side")).alias("part"))
+    more = rest.join(sets, "node").select(F.col("node.rep").alias("id"), F.col("node.d1").alias("d1"), "component", "part", "s", "bucket", "low", "high", "bi", "bj")
+    more = keep(more.groupBy("bucket", "low", "high", "bi", "bj").applyInPandas(_block_links(percent), "u long, v long"), "more-links")
     if more.take(1):
-        component = written(connected_components(links.union(more)), "components")
-        release(first)
-    else:
-        component = first
-    found = written(reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
-    release(buckets, in_buckets, pairs, sets, repeated, links, more)
-    out = sketches.join(found, ["n_shingles", "d1", "d2"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        component = keep(connected_components(links.union(more)), "components")
+    found = keep(reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component")), "found")
+    out = sketches.join(found, ["n_shingles", "d1", "d2"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -106,16 +106,16 @@ SELECT doc_id, sha256({_joined_sql("lines")}) AS canonical_sha256, license_id, c
 FROM d LEFT JOIN k ON k.digest = sha256({_joined_sql("lines")}) LEFT JOIN n USING (r)""",
     "op3_chat": rf"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 o AS (
   SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS joins, lead(role) OVER w IS DISTINCT FROM role AS ends, row_number() OVER w AS i
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+  FROM t WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length({_ESCAPE.format("text")}) + CASE WHEN joins THEN 10 ELSE 13 + length({_ESCAPE.format(_ROLE)}) END + CASE WHEN ends THEN 11 ELSE 0 END)::BIGINT AS formatted_chars
-FROM o GROUP BY conv_id""",
+FROM o GROUP BY conv_id, alone""",
     "op4_warc": r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

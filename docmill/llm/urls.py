@@ -13,36 +13,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.plans.shared import small_batches
+from docmill.plans.shared import bounded_batches, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (action, host, path prefix); a rule holds for its host and all its subdomains.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: The labelled table: hosts, each with some of PATHS; True: block.
-_BLOCK_HOSTS = """
-casino-royal.example casino-win.example online-casino.example best-casino-bonus.example slots-casino.example jackpot-slots.example free-slots.example
-free-bets.example sports-bets.example bet-now.example betting-tips.example poker-bets.example win-poker.example lotto-win.example
-cheap-pills.example buy-pills.example pills-online.example cheap-meds.example discount-viagra.example pharma-pills.example
-spam-farm.example link-farm.example spam-links.example seo-spam.example content-farm.example spamblog.example
-ads-track.example ads-server.example adserver.example ad-tracker.example track-click.example click-ads.example banner-ads.example tracking-pixel.example
-adult-x.example adult-cams.example xxx-videos.example adult-dating.example hot-cams.example sex-chat.example xxx-tube.example
-free-download-crack.example crack-serials.example warez-crack.example fake-watches.example replica-watches.example get-rich-fast.example payday-loans.example cheap-loans.example
-""".split()
-_ALLOW_HOSTS = """
-news.example daily-news.example morningpost.example weather.example citylibrary.example university.example school.example museum.example
-wiki.example encyclopedia.example docs.example developer.example opensource.example python-docs.example science.example research.example journal.example
-history.example gardening.example cooking.example recipes.example travel.example hiking.example photography.example music.example theatre.example
-health.example hospital.example citycouncil.example parliament.example court.example weatherstation.example railway.example busline.example
-blog.thethen.example blog.there.example ththere.example thering.example tionblog.example therhat.example m.other.example www.those.example m.station.example
-mathematics.example physics.example chemistry.example biology.example astronomy.example geography.example books.example poetry.example
-""".split()
-PATHS = ["/", "/en/4711", "/de/12.html", "/fr/915/", "/es/33071", "/index.html"]
-
-
-def labelled_urls() -> list[tuple[str, bool]]:
-    return [(f"https://{p}{h}{path}", label) for label, hosts in ((True, _BLOCK_HOSTS), (False, _ALLOW_HOSTS)) for i, h in enumerate(hosts) for k, path in enumerate(PATHS) for p in [("", "www.", "m.", "blog.")[(i + k) % 4]]] + [("", False)]
+# Words of hosts that a filter of training data blocks, and of hosts that it allows; the labelled table is made from them.
+BLOCK_WORDS = (
+    "casino poker slots jackpot roulette blackjack baccarat betting bets wager bookmaker lottery lotto bingo gambling pills viagra cialis pharmacy meds steroids xanax tramadol diet slimming "
+    "adult porn sex xxx nude naked cams webcam escort hookup erotic milf dating singles loans payday forex crypto bitcoin trading profit bonus spam clickbait popunder popup adserver ads adclick "
+    "tracker tracking banners pixel redirect doorway linkfarm backlinks seo warez crack cracked keygen torrent serials nulled replica fake knockoff counterfeit cheap free win winner prize giveaway "
+    "discount deals hacked unlock followers"
+).split()
+ALLOW_WORDS = (
+    "news weather museum library university school college academy journal science physics chemistry biology astronomy history geography geology music theatre opera poetry novel books bookshop recipes "
+    "cooking bakery garden flowers city council parliament court railway station harbour river mountain forest valley island farm village town castle church doctor hospital clinic health nursing sport "
+    "football tennis chess cycling hiking running travel hotel photo camera film cinema radio guide manual docs developer compiler database kernel python network source project blog diary forum archive "
+    "gallery painting sculpture teacher student research institute society club union family kitchen school energy solar wind water ocean climate animals birds insects horses language grammar dictionary "
+    "encyclopedia translation letters essays daily morning evening post times herald tribune gazette observer review magazine"
+).split()
+# What comes before hosts and after them; neutral paths, and those of one kind.
+SUBDOMAINS = ["", "www.", "m.", "blog."]
+NEUTRAL_PATHS = ["/", "/en/4711", "/de/12.html", "/fr/915/", "/es/33071", "/index.html"]
+BLOCK_PATHS = ["/bonus/claim", "/click/out/77", "/offer/win-now", "/buy/cheap", "/go/redirect/9", "/join-free"]
+ALLOW_PATHS = ["/about", "/articles/2021/05/a-title", "/docs/guide.html", "/contact", "/archive/1998/", "/wiki/page"]
+
+
+def hosts_of(words: Sequence[str]) -> list[str]:
+    """Hosts of one word, and of two with and without a hyphen, each word with others of the same kind."""
+    n = len(words)
+    return [h for i, w in enumerate(words) for h in (w, f"{w}-{words[(i + 7) % n]}", f"{words[(i + 19) % n]}{w}")]
+
+
+def labelled_urls(block: Sequence[str] = tuple(BLOCK_WORDS), allow: Sequence[str] = tuple(ALLOW_WORDS)) -> list[tuple[str, bool]]:
+    """(url, block?): every host with neutral paths and with some of its kind; and the empty URL, which is allowed."""
+    out = [("", False)]
+    for label, words, own in ((True, block, BLOCK_PATHS), (False, allow, ALLOW_PATHS)):
+        for i, h in enumerate(hosts_of(words)):
+            paths = (NEUTRAL_PATHS[i % 6], own[i % 6], own[(i + 2) % 6])
+            out += [(f"https://{SUBDOMAINS[(i + k) % 4]}{h}.example{p}", label) for k, p in enumerate(paths)]
+    return out
 
 
 def _after_scheme(url: Column) -> Column:
@@ -72,7 +84,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 class Classifier:
     """Logistic regression on the presence of hashed byte n-grams of host, with marks at its ends, and path."""
 
-    def __init__(self, bits: int = 14, grams: Sequence[int] = (3, 4, 5), l2: float = 0.05, steps: int = 300):
+    def __init__(self, bits: int = 14, grams: Sequence[int] = (3, 4, 5), l2: float = 0.2, steps: int = 300):
         self.bits, self.grams, self.l2, self.steps = bits, tuple(grams), l2, steps
         self.weights, self.bias = np.zeros(1 << bits), 0.0
 
@@ -135,11 +147,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(id_col, host, path, rule, verdict, p_block) for every row of pages.
 
     verdict is the action of the longest rule that fits, else block if the classifier gives at least threshold.
-    p_block is the classifier's probability. Null URLs and those without :// have an empty host and path, fit no
-    rule and are judged by the classifier's view of an empty string. Rows are judged one by one; other columns are
+    p_block is the classifier's probability, null where a rule decides. Null URLs and those without :// have an empty host and
+    path, fit no rule and are judged by the classifier's view of an empty string. Rows are judged one by one; other columns are
     ignored.
     """
-    small_batches(pages.sparkSession)
     model = trained(labelled)
 
     @F.pandas_udf("double")
@@ -149,5 +160,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     rule, action = longest_rule(F.col("host"), F.col("path"), rules)
     url = F.col(url_col).cast("string")
-    out = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("p_block", p_block("host", "path"))
-    return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_block")
+    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", rule).withColumn("verdict", action)
+    asked = rows.where("rule is null").withColumn("p_block", p_block("host", "path")).withColumn("verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
+    with bounded_batches(pages.sparkSession):
+        asked = written(asked, "scored-urls")
+    out = rows.where("rule is not null").withColumn("p_block", F.lit(None).cast("double")).unionByName(asked)
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "p_block")

@@ -5,10 +5,12 @@ A hash is the closest of the 2d signed axes after three rounds of random signs a
 cosine 0.93 in 64 dimensions a pair shares a bucket of a table in 85 of 100 cases, and so one of 5 tables in 9999 of
 10000 (measured on random pairs at that cosine; the tests measure recall against brute force).
 
-Equal vectors are one representative with a weight. Every pair in a bucket is verified in double precision. Buckets
-of more than BLOCK members are compared block by block, each pair of blocks in a group of its own, so that no task
-holds more. Pairs stay inside the task: it returns sums of links and a spanning forest, a row or two for
-each member. A pair that shares several buckets counts in the one of least key only.
+Equal vectors are one class with a weight, known by 128 bits of hashes, so that only those are shuffled where vectors aren't
+compared. Buckets are found from keys alone; those with one member are dropped, and of buckets with the same members one is
+left. Only then is each vector sent to its buckets. Every pair in a bucket is verified in double precision. Buckets of more than
+BLOCK members are compared block by block, each pair of blocks in a group of its own, so that no task holds more. Pairs stay
+inside the task: it returns sums of links and a spanning forest, a row or two for each member. A pair that shares several
+buckets counts in the one of least key only.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from docmill.functions.worker import released
 from docmill.llm.components import connected_components
 from docmill.llm.words import mix
-from docmill.plans.shared import release, sized, small_batches, written
+from docmill.plans.shared import bounded_batches, release, sized, written
 
 BLOCK = 512
 _PAIRS = 1 << 17
@@ -82,20 +84,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _keyed(tables: int, probes: int, seed: int):
+    """(h, h2, keys) of batches (h, h2, label, embedding); of vectors with fewer different keys some come twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.zeros((batch.num_rows, tables * probes), np.int64)
-            label = np.asarray(batch.column(1).cast(pa.int64())).astype(np.uint64)
+            label = np.asarray(batch.column(2).cast(pa.int64())).astype(np.uint64)
             for rows, x in _matrix(batch.column(3)):
                 found = bucket_keys(_unit(x), mix(label[rows] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x.shape[1])), tables, probes, seed)
                 keys[rows, : found.shape[1]] = found
                 keys[rows, found.shape[1] :] = found[:, :1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["rep", "label", "weight", "embedding", "least", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["h", "h2", "keys"])
 
     return run
 
 
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of keys as a matrix, filled up with what is greater than any key that is looked for."""
+    at = np.asarray(lists.offsets)
+    n = np.diff(at)
+    out = np.full((len(n), max(1, n.max(initial=0))), np.iinfo(np.int64).max)
+    out[np.repeat(np.arange(len(n)), n), np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0], n)] = np.asarray(lists.flatten())
+    return out
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(vertex, another of its component) of a spanning forest of the links."""
     ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
@@ -116,10 +129,14 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _linked(least: float):
     """Counts and a forest of the links in each group (key, bi, bj), which come sorted."""
 
-    def compare(rows: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        key, bi, bj, block, rep, weight = (np.asarray(rows[c]) for c in ("key", "bi", "bj", "block", "rep", "weight"))
-        keys = np.asarray(rows["keys"].combine_chunks().values).reshape(len(key), -1)
-        x = np.asarray(rows["embedding"].combine_chunks().values, np.float64).reshape(len(key), -1)
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of a vector, links, and of a forest: row, least id of another)."""
+        rows = rows.combine_chunks()
+        key, bi, bj, block, h, h2, own, weight = (np.asarray(rows[c]) for c in ("key", "bi", "bj", "block", "h", "h2", "least", "weight"))
+        keys = _padded(rows["keys"].chunk(0))
+        x = np.asarray(rows["embedding"].chunk(0).flatten(), np.float64).reshape(len(key), -1)
+        _, at_row, vector = np.unique(np.stack((h, h2), axis=1), axis=0, return_index=True, return_inverse=True)
+        vector = vector.ravel()
         x = _unit(x)
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
         end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
@@ -157,10 +174,10 @@ def _linked(least: float):
             earlier = (p[:, :, None] == q[:, None, :]) & (p[:, :, None] < now[:, None, None])
             first[k : k + (1 << 14)] = ~earlier.any(axis=(1, 2))
         c, d = u[first], v[first]
-        ids, at = np.unique(np.concatenate((rep[c], rep[d])), return_inverse=True)
-        counts = np.bincount(at, np.concatenate((weight[d], weight[c])), len(ids)).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        a, b = _forest(rep[u], rep[v])
-        return {"id": ids, "n": counts}, a, b
+        counts = np.bincount(np.concatenate((vector[c], vector[d])), np.concatenate((weight[d], weight[c])), len(at_row)).astype(np.int64)
+        seen = np.flatnonzero(counts)
+        a, b = _forest(vector[u], vector[v])
+        return at_row[seen], counts[seen], at_row[a], own[at_row[b]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -168,11 +185,12 @@ def _linked(least: float):
         def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             sizes = np.asarray(rows["dim"])
             for d in np.unique(sizes):
-                counts, a, b = compare(rows.filter(pa.array(sizes == d)))
-                ids = np.concatenate((counts["id"], a))
-                n = np.concatenate((counts["n"], np.zeros(len(a), np.int64)))
-                other = np.concatenate((counts["id"], b))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(other)], ["id", "n", "other"])
+                part = rows.filter(pa.array(sizes == d))
+                who, n, a, other = compare(part)
+                at = pa.array(np.concatenate((who, a)))
+                own = part["least"].take(pa.array(who))
+                found = [part["h"].take(at), part["h2"].take(at), part["least"].take(at), pa.array(np.concatenate((n, np.zeros(len(a), np.int64)))), pa.array(np.concatenate((np.asarray(own), other)))]
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found], ["h", "h2", "least", "n", "other"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -200,29 +218,37 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows included; component_id is the least id reachable. Rows that share an id count one by one and share a
     component. Labels are integers. Other columns are ignored.
     """
-    small_batches(vectors.sparkSession)
     v = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
     inf = F.lit(float("inf")).cast(vectors.schema[vector_col].dataType.elementType)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (x != inf) & (x != -inf)) & F.exists(v, lambda x: x != 0)
-    valid = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(F.coalesce(sound, F.lit(False)))
-    classes = valid.groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("rep", F.xxhash64("label", "embedding"))
-    kind = vectors.schema[vector_col].dataType.simpleString()
-    keyed = written(classes.select("rep", "label", "weight", "embedding", "least").mapInArrow(released(_keyed(tables, probes, seed)), f"rep long, label long, weight long, embedding {kind}, least long, keys array<long>"), "vector-keys")
-    members = written(keyed.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "vector-buckets")
-    placed = keyed.withColumn("key", F.explode(F.array_distinct("keys"))).join(sized(members), "key")
-    placed = placed.withColumn("blocks", F.ceil(F.col("members") / (BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "weight", F.size("embedding").alias("dim"), "embedding", "keys")
-    dealt = placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-    found = written(dealt.mapInArrow(released(_linked(least)), "id long, n long, other long"), "vector-links")
-    repeated = valid.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    same = valid.join(sized(repeated), "id", "left_semi").join(keyed.select("rep", "label", "embedding"), ["label", "embedding"]).groupBy("id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("vs")).select("u", F.explode("vs").alias("v"))
-    component = written(connected_components(found.where("id <> other").select(F.col("id").alias("u"), F.col("other").alias("v")).union(same)).withColumnRenamed("node", "rep"), "vector-components")
-    names = component.join(keyed.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
-    links = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("links"))
-    of = keyed.select("label", "embedding", "rep", "least", "weight").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(component.join(sized(names), "component"), "rep", "left")
-    of = written(of.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("name", "least").alias("component")), "vector-classes")
-    release(members, found, component)
-    out = rows.join(of, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.col("id").isNotNull(), "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    valid = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & sound, F.lit(False))
+    hashed = rows.select("id", "label", "embedding", F.when(valid, F.xxhash64("label", "embedding")).alias("h"), F.when(valid, F.xxhash64(F.lit(seed), F.size("embedding"), "embedding", "label")).alias("h2"))
+    classes = hashed.where("h is not null").groupBy("h", "h2").agg(F.min("label").alias("label"), F.any_value("embedding").alias("embedding"), F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = written(classes, "vector-classes")
+    with bounded_batches(vectors.sparkSession):
+        keyed = written(classes.select("h", "h2", "label", "embedding").mapInArrow(released(_keyed(tables, probes, seed)), "h long, h2 long, keys array<long>"), "vector-keys")
+        each = keyed.select("h", "h2", F.explode(F.array_distinct("keys")).alias("key"))
+        who = F.xxhash64("h", "h2")
+        members = each.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(who).alias("x"), F.bit_xor(F.xxhash64(who, F.lit(1))).alias("y")).where("members > 1")
+        members = written(members.groupBy("members", "x", "y").agg(F.min("key").alias("key")).drop("x", "y"), "vector-buckets")
+        held = each.join(sized(members), "key").groupBy("h", "h2").agg(F.collect_list(F.struct("key", "members")).alias("buckets"))
+        placed = held.join(classes.drop("label"), ["h", "h2"]).withColumn("keys", F.transform("buckets", lambda b: b["key"])).withColumn("b", F.explode("buckets"))
+        placed = placed.withColumn("blocks", F.ceil(F.col("b.members") / (BLOCK // 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select(F.col("b.key").alias("key"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "h", "h2", "least", "weight", F.size("embedding").alias("dim"), "embedding", "keys")
+        dealt = placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "h", "h2")
+        found = written(dealt.mapInArrow(released(_linked(least)), "h long, h2 long, least long, n long, other long"), "vector-links")
+    release(keyed, members)
+    ids = hashed.where("h is not null").select("id", "h", "h2")
+    repeated = sized(written(ids.groupBy("id").agg(F.min("h").alias("p"), F.max("h").alias("q")).where("p <> q").select("id"), "repeated-ids"))
+    own = classes.select("h", "h2", "least", "weight")
+    same = ids.join(repeated, "id", "left_semi").distinct().join(own, ["h", "h2"]).select(F.col("id").alias("u"), F.col("least").alias("v"))
+    component = written(connected_components(found.where("least <> other").select(F.col("least").alias("u"), F.col("other").alias("v")).union(same)), "vector-components")
+    links = found.where("n > 0").groupBy("h", "h2").agg(F.sum("n").alias("links"))
+    of = own.join(links, ["h", "h2"], "left").join(component.withColumnRenamed("node", "least"), "least", "left")
+    of = sized(written(of.select("h", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "least").alias("component")), "vector-answers"))
+    out = hashed.select("id", "h", "h2").join(of, ["h", "h2"], "left")
+    out = written(out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "near-vectors")
+    release(classes, found, component, of)
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)

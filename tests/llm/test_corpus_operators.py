@@ -126,6 +126,25 @@ def test_minhash_against_brute_force(spark, size, percent, monkeypatch):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), want[i], want[i] == i), rows[i]
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_size_classes_of_similar_sets_are_neighbours(spark, percent):
+    sizes = spark.range(1, 400).select(F.col("id").alias("n"), minhash.size_class(F.col("id"), percent).alias("c"))
+    of = {r["n"]: r["c"] for r in sizes.collect()}
+    assert all(of[m] - of[n] in (0, 1) for n in of for m in range(n, min(399, n * 100 // percent) + 1))
+
+
+def test_minhash_of_sets_that_share_buckets_but_not_sizes(spark, monkeypatch):
+    """Prefixes of one text: links join neighbouring lengths only, over many size classes and blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate([*range(20, 60, 2), *range(100, 140, 5), *range(300, 400, 9)])] + [(900 + i, " ".join([*words[:50], *(f"x{i}{k}" for k in range(4))])) for i in range(12)]
+    sets = sets_of(rows, 3)
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = components(range(len(rows)), links)
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85, bands=60, rows=3).collect()}
+    assert out == {rows[i][0]: rows[want[i]][0] for i in want} and len(set(want.values())) >= 3
+
+
 def test_minhash_repeated_and_null_ids(spark):
     text = " ".join(f"a{i}" for i in range(30))
     other = " ".join(f"b{i}" for i in range(30))
@@ -146,7 +165,7 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     rows += [(500 + i, base[0] + rng.normal(size=16) * 0.02, 0) for i in range(150)]
     rows = [(i, [float(x) for x in np.float32(v)], y) for i, v, y in rows]
     rows += [(700, rows[0][1], rows[0][2]), (701, [2 * x for x in rows[0][1]], rows[0][2]), (702, None, 0), (703, [0.0] * 16, 0), (704, [float("nan")] * 16, 0), (705, [float("inf")] + [1.0] * 15, 0), (706, [None] + [1.0] * 15, 0), (707, rows[0][1], None), (708, [1.0, 1.0], 0), (709, [1.0, 1.1], 0), (710, [], 0), (711, [3e38] * 16, 1), (712, [2e38] * 16, 1)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("keys", F.lit(1)).withColumn("rep", F.lit(1))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("keys", F.lit(1)).withColumn("h", F.lit(1))
     good = {i: np.array(v, float) for i, v, y in rows if y is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     label = {i: y for i, _, y in rows}
     links = []
@@ -164,6 +183,23 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [16, 64, 384, 1536])
+def test_vectors_recall_by_dimension(spark, dim):
+    """Pairs at a cosine just above the bound, which are the hardest to find."""
+    rng = np.random.default_rng(dim)
+    n = 1000
+    a, noise = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * noise
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate((a, b)))]
+    out = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(out[n + i]["component_id"] == out[i]["component_id"] for i in range(n)) / n
+    print(f"recall in {dim} dimensions: {found}")
+    assert found >= 0.99
+
+
 def test_vectors_of_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (4, [1.0, 0.0], 2)]
     out = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)

@@ -100,6 +100,8 @@ def test_chat_digests_of_odd_rows(spark):
     out = {r["conv_id"]: r for r in chat.digests(chat.format_chats(frame(spark, rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1)))).collect()}
     assert out[1]["turns_sha256"] == hashlib.sha256(b"\nhi\nassistant\n\n").hexdigest() and out[1]["n_turns"] == 2 and out[1]["loss_chars"] == 0
     assert out[2]["n_turns"] == 2 and out[None]["n_turns"] == 1 and out[3]["loss_chars"] == len(LONG)
+    alone = chat.digests(chat.format_chats(frame(spark, [(None, 1, "user", "x")] * 3 + [(None, 2, "assistant", "y")], "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in alone) == [(1, 0)] * 3 + [(1, 1)]
     assert chat.format_chats(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -457,15 +459,16 @@ def test_urls_against_brute_force(spark):
     assert urls.judge_urls(frame(spark, [], "page_id long, url string")).count() == 0
 
 
-def test_url_classifier_on_hosts_it_has_not_seen():
-    rows = urls.labelled_urls()
-    hosts = sorted({urls._split(u)[0].split(".", 1)[1] if urls._split(u)[0].split(".")[0] in ("www", "m", "blog") else urls._split(u)[0] for u, _ in rows if u})
-    held = {h for i, h in enumerate(hosts) if i % 4 == 0}
-    inside = lambda u: any(urls._split(u)[0] == h or urls._split(u)[0].endswith("." + h) for h in held)
-    model = urls.trained([r for r in rows if not inside(r[0])])
-    test = [r for r in rows if r[0] and inside(r[0])]
+@pytest.mark.parametrize("fold", range(4))
+def test_url_classifier_on_words_it_has_not_seen(fold):
+    """Hosts of which every word is held out, a quarter of the words at a time."""
+    kept = [[w for w in words if words.index(w) % 4 != fold] for words in (urls.BLOCK_WORDS, urls.ALLOW_WORDS)]
+    held = [[w for w in words if words.index(w) % 4 == fold] for words in (urls.BLOCK_WORDS, urls.ALLOW_WORDS)]
+    model, test = urls.trained(urls.labelled_urls(*kept)), urls.labelled_urls(*held)[1:]
     p = model.probability(*zip(*[urls._split(u) for u, _ in test], strict=True))
-    assert sum((x >= 0.5) == y for x, (_, y) in zip(p, test, strict=True)) / len(test) >= 0.7
+    assert sum((x >= 0.5) == y for x, (_, y) in zip(p, test, strict=True)) / len(test) >= 0.85
+    unseen = [urls._split(f"https://{w}.example/en/1") for w in ("zorbul", "quentel", "mirrawyn", "thonderly")]
+    assert all(model.probability(*zip(*unseen, strict=True)) < 0.5)
 
 
 @pytest.mark.parametrize("url, blocked", [("https://free-bets.example.net/en/2947.html", True), ("https://www.cheap-pills.example.com/en/1/", True), ("http://m.therat.example.com/en/41466", False)])
