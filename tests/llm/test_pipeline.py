@@ -6,6 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 import pytest
 from docmill.llm import langid, queries
+from pyspark.sql import functions as F
 
 from tests.llm.test_corpus_operators import SPACE, TERM, brute_hits, components, corpus, lower, sets_of
 
@@ -89,6 +90,44 @@ def test_a_contaminated_row_takes_no_clean_one_of_its_id_along(spark, folder):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out))) == sorted(str(r[:2]) for r in rows if not (r[1] or "").startswith("see"))
 
 
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_equal_rows_are_mixed_one_by_one(spark):
+    text = " ".join(f"w{i}" for i in range(4))
+    rows = [(i, f"{text} {i}"[:-1], "en", "a", 1) for i in range(12)] + [(100 + i // 6, text, "en", "ab"[i // 6], 1) for i in range(12)]
+    out = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, KIND), "").collect()
+    words = sum(len(r[1].split()) for r in rows)
+    assert abs(sum(r["taken"] for r in out) - words) <= 4 and len(out) <= len(rows) and all(r["copies"] <= 3 for r in out)
+
+
+CLASHES = ["d", "v", "gone_id", "gone_version", "version", "size", "taken", "copies", "id", "row", "n", "carried", "score", "kept", "doc", "pattern", "contaminated"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_with_clashing_columns_long_texts_and_no_rows(spark, folder, name, stage):
+    d, items = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    plain = stage(spark, docs, d)
+    more = docs
+    for c in CLASHES:
+        more = more.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    out = stage(spark, more, d)
+    show = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert show(out.select(COLUMNS).collect()) == show(plain.select(COLUMNS).collect())
+    if name != "mixing":
+        assert out.columns == more.columns and all(r["d"] == f"d of {'-' if r['doc_id'] is None else r['doc_id']}" for r in out.collect())
+    assert stage(spark, docs.limit(0), d).count() == 0
+    sentence = "the the fothe boing bithe loted and more words of it. "
+    long = [(1, sentence * 30_000, "en", "s0", 1), (2, sentence * 30_000 + items[0][1], "en", "s0", 1), (3, "x" * 300_000, "en", "s0", 1), (None, "", None, None, None), (4, None, "en", None, None)]
+    rows = stage(spark, docs.unionByName(spark.createDataFrame([(i and 10_000 + i, *r) for i, *r in long], KIND)), d).collect()
+    found = {r["doc_id"] - 10_000 for r in rows if r["doc_id"] and r["doc_id"] > 10_000}
+    if name == "mixing":  # takes what the seed says, and never what has no words
+        assert found <= {1, 2, 3}
+    else:
+        assert found - ({3} if name == "language_id" else set()) == {"language_id": {1, 2}, "near_duplicates": {1, 2, 3, 4}, "decontamination": {1, 3, 4}}[name]
+
+
 def test_run_gives_the_same_as_its_stages(spark, folder):
     once, again = (sorted(map(str, corpus_pipeline.run(spark, folder[0]).collect())) for _ in range(2))
     assert once == again and len(once) > 100
