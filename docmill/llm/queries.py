@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import chat, decontam, html, langid, licenses, minhash, mixing, urls, vectors, warc
+from docmill.llm import chat, clusters, decontam, html, langid, licenses, minhash, mixing, token_store, urls, vectors, warc
 from docmill.plans.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +65,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_html, op3_chat, op4_warc, op5_urls, op6_vectors, op7_mixing, op8_minhash, op9_langid, op10_decontam)}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_licenses, op2_html, op3_chat, op4_warc, op5_urls, op6_vectors, op7_mixing, op8_minhash, op9_langid, op10_decontam, op11_clusters, op12_tokens)}
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -95,7 +104,31 @@ _NOTICES = (
 _ESCAPE = rf"regexp_replace({{}}, '([<\[])(\\*)({chat._CONTROL})', '\1\\\2\3', 'g')"
 _ROLE = "replace(replace(role, '%', '%25'), chr(10), '%0A')"
 
+
+
+def _kmeans_sql(k: int, rounds: int, width: int, scale: int, seed: int) -> str:
+    """Rounds written out one after the other, every vector against every centroid; distances of whole numbers are exact in doubles."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS x FROM embeddings "
+        f"WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT x, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        apart = "list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, c.x) + list_dot_product(c.x, c.x)"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT v.r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min({{'d': {apart}, 'c': c.c}}) AS best FROM v, c{i} c GROUP BY v.r)")
+        if i < rounds:
+            parts.append(
+                f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.x, o.x) AS x FROM c{i} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY place) AS x "
+                f"FROM (SELECT c, place, sum(x::BIGINT) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(x) AS x, unnest(range({width})) AS place FROM a{i}) GROUP BY c, place) GROUP BY c) n USING (c))"
+            )
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, sum(best.d::BIGINT) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d::BIGINT) OVER ()::BIGINT AS inertia, "
+        f"sha256(array_to_string(list_transform(c.x, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"
+    )
+
+
 SQL: dict[str, str] = {
+    "op11_clusters": _kmeans_sql(8, 10, 64, 1024, 3),
     "op1_licenses": f"""
 WITH k AS (
   SELECT digest, min(id) AS license_id FROM (SELECT id, sha256(form) AS digest FROM ({_NOTICES}) UNION ALL SELECT * FROM (VALUES {_TEXTS}) t(id, digest)) GROUP BY 1),
