@@ -21,7 +21,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.worker import released
@@ -29,10 +29,8 @@ from docmill.plans.shared import bounded_batches, local_table, release, shared_p
 
 #: Components up to which squared distances are whole numbers in double precision, for up to 512 of them; beyond, Python's whole numbers are used.
 EXACT = 1 << 20
-#: The end of a long.
-MOST = (1 << 63) - 1
-
-_STATE = "row string, x array<long>, cluster int, distance decimal(38,0)"
+#: The end of a long, and a squared radius that stands for any larger one: all centroids are neighbours then.
+MOST, UNBOUNDED = (1 << 63) - 1, 1 << 120
 
 
 def _numbers(rows: np.ndarray | list, big: bool) -> np.ndarray:
@@ -72,7 +70,7 @@ def neighbours(old: Balls, new: list[list[int]], radius: list[int | None]) -> Ba
         apart = [int(d) for d in _apart(c[i : i + 1], c)[0]]
         moved = int(_apart(c[i : i + 1], before[i : i + 1])[0, 0])
         reach = 4 * (isqrt(r) + isqrt(moved) + 2) ** 2
-        found = sorted((d, j) for j, d in enumerate(apart) if j != i and d <= reach)
+        found = sorted((d, j) for j, d in enumerate(apart) if j != i and (d <= reach or r >= UNBOUNDED))
         near.append((np.array([j for _, j in found], np.int64), [d for d, _ in found]))
     return Balls(new, near)
 
@@ -107,10 +105,13 @@ def assign(balls: Balls, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np
     return best.astype(np.int32), dist, n
 
 
+def _longs(values: np.ndarray) -> np.ndarray:
+    """Whole numbers as longs; those beyond a long are the end of it."""
+    return np.array([min(int(v), MOST) for v in values], np.int64) if values.dtype == object else values.astype(np.int64)
+
+
 def _whole(values) -> pa.Array:
     """Whole numbers of any size as decimals."""
-    if isinstance(values, np.ndarray) and values.dtype != object:
-        return pa.array(values.astype(np.int64)).cast(pa.decimal128(38, 0))
     return pa.array([Decimal(int(v)) for v in values], pa.decimal128(38, 0))
 
 
@@ -132,36 +133,37 @@ def _round(balls: Balls) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 part = x[at].astype(object) if _is_big(x) else x[at]
                 sums[i] += part.sum(0)
                 count[i] += int(at.sum())
-                far[i] = max(far[i], int(dist[at].max()))
-                inertia[i] += int((dist[at] if dist.dtype == object else dist[at].astype(np.int64)).sum())
+                far[i] = min(UNBOUNDED, max(far[i], int(dist[at].max())))
+                inertia[i] += sum(_longs(dist[at]).tolist())
             nothing = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cluster), _whole(dist), *(nothing.cast(t) for t in (pa.int64(), pa.decimal128(38, 0), pa.list_(pa.decimal128(38, 0)), pa.int64()))], _NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cluster), pa.array(_longs(dist)), *(nothing.cast(t) for t in (pa.int64(), _DECIMAL, _DECIMAL, pa.list_(_DECIMAL), pa.int64()))], _NAMES)
         met = [i for i in range(k) if count[i]]
         if met:
             nothing = pa.nulls(len(met))
             flat = pa.ListArray.from_arrays(pa.array(range(0, width * len(met) + 1, width), pa.int32()), _whole(sums[met].ravel()))
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.string()), nothing.cast(pa.list_(pa.int64())), pa.array(met, pa.int32()), _whole(far[i] for i in met), pa.array([count[i] for i in met], pa.int64()), _whole(inertia[i] for i in met), flat, pa.array([compared] + [0] * (len(met) - 1), pa.int64())], _NAMES)
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.string()), nothing.cast(pa.list_(pa.int64())), pa.array(met, pa.int32()), nothing.cast(pa.int64()), pa.array([count[i] for i in met], pa.int64()), _whole(far[i] for i in met), _whole(inertia[i] for i in met), flat, pa.array([compared] + [0] * (len(met) - 1), pa.int64())], _NAMES)
 
     return run
 
 
-_NAMES = ["row", "x", "cluster", "distance", "members", "inertia", "sums", "compared"]
-_FULL = f"{_STATE}, members long, inertia decimal(38,0), sums array<decimal(38,0)>, compared long"
+_DECIMAL = pa.decimal128(38, 0)
+_NAMES = ["row", "x", "cluster", "distance", "members", "far", "inertia", "sums", "compared"]
+_KINDS = "row string, x array<long>, cluster int, distance long, members long, far decimal(38,0), inertia decimal(38,0), sums array<decimal(38,0)>, compared long"
 
 
 def _advance(state: DataFrame, balls: Balls) -> tuple[DataFrame, DataFrame, str]:
     """The rows with their next clusters, and what tasks have summed up, each in a folder of its own."""
     spark, path = state.sparkSession, shared_path(state.sparkSession, "clusters")
-    out = state.select("row", "x", "cluster").mapInArrow(released(_round(balls)), _FULL)
+    out = state.select("row", "x", "cluster").mapInArrow(released(_round(balls)), _KINDS)
     out.withColumn("kind", F.when(F.col("members").isNull(), "row").otherwise("sum")).write.partitionBy("kind").parquet(path)
-    rows = spark.read.schema(f"{_FULL}, kind string").parquet(path)
-    return rows.where("kind = 'row'").drop("kind", "members", "inertia", "sums", "compared"), rows.where("kind = 'sum'").drop("kind"), path
+    rows = spark.read.schema(f"{_KINDS}, kind string").parquet(path)
+    return rows.where("kind = 'row'").select("row", "x", "cluster", "distance"), rows.where("kind = 'sum'").drop("kind"), path
 
 
 def _totals(sums: DataFrame, k: int, width: int) -> tuple[list[int], list[int | None], list[int], list[list[int]], int]:
     """(members, squared radius, inertia, sums of components) of each cluster, and distances worked out: k rows for each component."""
-    parts = sums.select("cluster", "members", "distance", "inertia", "compared", F.posexplode("sums").alias("place", "s"))
-    found = parts.groupBy("cluster", "place").agg(F.sum("members").alias("n"), F.max("distance").alias("far"), F.sum("inertia").alias("inertia"), F.sum("s").alias("s"), F.sum("compared").alias("compared")).collect()
+    parts = sums.select("cluster", "members", "far", "inertia", "compared", F.posexplode("sums").alias("place", "s"))
+    found = parts.groupBy("cluster", "place").agg(F.sum("members").alias("n"), F.max("far").alias("far"), F.sum("inertia").alias("inertia"), F.sum("s").alias("s"), F.sum("compared").alias("compared")).collect()
     members, far, inertia, total, compared = [0] * k, [None] * k, [0] * k, [[0] * width for _ in range(k)], 0
     for r in found:
         i = r["cluster"]
@@ -186,11 +188,6 @@ def _seeds(rows: DataFrame, k: int, seed: int) -> list[list[int]]:
     return [list(r["x"]) for r in rows.orderBy(order, "x").limit(k).collect()]
 
 
-def _end(c: Column) -> Column:
-    """A whole number as a long; beyond a long, the end of it."""
-    return F.least(c, F.lit(Decimal(MOST)).cast("decimal(38,0)")).cast("long")
-
-
 @dataclass
 class Clusters:
     """rows(row, x, cluster, distance); for each cluster centroid, members and inertia; rounds run and distances worked out in each."""
@@ -240,14 +237,14 @@ def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Components are taken as floor(scale * x). Other vectors, empty and null ones among them, have no row; if none is left, or the
     table is empty, neither has the result. Rows that repeat, or share an id, count one by one; those with a null id hash as an
-    empty one. With fewer vectors than k there are as many clusters. Components beyond a long are its ends; distances and sums
-    are exact all the same, and shown as the end of a long where they are beyond it. Other columns are ignored.
+    empty one. With fewer vectors than k there are as many clusters. Components beyond a long are its ends; distances are
+    compared exactly all the same; shown and summed up, those beyond a long are its end, and so are sums. Other columns are ignored.
     """
     kind = vectors.schema[id_col].dataType
     rows = written(whole_vectors(vectors, id_col, vector_col, width, scale), "whole-vectors")
     found = ball_kmeans(rows, k, rounds, seed)
     of = [(i, min(x, MOST), min(sum(found.inertia), MOST), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, (c, x) in enumerate(zip(found.centroids, found.inertia, strict=True))]
     told = local_table(vectors.sparkSession, of, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    state = found.rows if found.rows is not None else rows.select("row", "x", F.lit(0).alias("cluster"), F.lit(0).cast("decimal(38,0)").alias("distance"))
+    state = found.rows if found.rows is not None else rows.select("row", "x", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
     out = state.join(F.broadcast(told), "cluster")
-    return out.select(F.col("row").cast(kind).alias(id_col), "cluster", _end(F.col("distance")).alias("distance"), "cluster_inertia", "inertia", "centroid_sha256")
+    return out.select(F.col("row").cast(kind).alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

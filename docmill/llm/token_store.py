@@ -11,21 +11,19 @@ files before it, in the manifest.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.worker import released
 from docmill.llm.eliasfano import EliasFano
+from docmill.llm.encoder import encoder
 from docmill.llm.warc import place_of
 from docmill.plans.shared import bounded_batches, shared_path
 
@@ -35,113 +33,6 @@ MANIFEST = "_manifest"
 FILE_IDS, FILE_DOCS = 1 << 28, 1 << 22
 #: Ids and documents that are read at once.
 PIECE, BLOCK = 1 << 20, 1 << 12
-#: Distinct words whose ids an encoder keeps at most; beyond it begins anew.
-WORDS = 400_000
-#: White space that byte-level pre-tokenizers know, and what may stand between words that are encoded together.
-_WHITE = r"[\t\n\x0b\x0c\r \x{85}\p{Z}]"
-_BETWEEN = "\t\n\x0b\x0c"
-
-
-class Encoder:
-    """Texts to ids with a tokenizer file, as ``encode(text, add_special_tokens=False)`` of the tokenizers library gives them.
-
-    A byte-level tokenizer without normalizer starts a new piece at each space before a word. So a text falls into words with the
-    space before them, each encoded once by itself: distinct words go to the library together, with white space between that is a
-    piece of its own. Texts in which white space stands around a space, or that hold an added token, go whole, as do all
-    texts of other tokenizers.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.uint32 if self.wide else np.uint16
-        told = json.loads(self.tokenizer.to_str())
-        before = told["pre_tokenizer"] or {}
-        self.by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and told["normalizer"] is None
-        self.added = [t["content"] for t in told["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.between = [(c, ids[0]) for c in _BETWEEN if len(ids := self._whole([c])[0]) == 1] if self.by_words else []
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Keeps the ids of words, each with or without a space before it."""
-        body = [w[1:] if w[:1] == " " else w for w in words]
-        alone = [w for w, b in zip(words, body, strict=True) if not b or b[0].isspace() or b[-1].isspace()]
-        together = [w for w, b in zip(words, body, strict=True) if b and not b[0].isspace() and not b[-1].isspace()]
-        for k in range(0, len(together), 4096):
-            part = together[k : k + 4096]
-            text = "".join(part)
-            sep = next(((c, i) for c, i in self.between if c not in text), None)
-            if sep is None:
-                alone += part
-                continue
-            ids = np.array(self._whole([sep[0].join(part)])[0], self.kind)
-            cuts = np.flatnonzero(ids == sep[1])
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            data, size = ids.tobytes(), ids.itemsize
-            starts, ends = np.concatenate(([0], cuts + 1)) * size, np.concatenate((cuts, [len(ids)])) * size
-            for w, i, j in zip(part, starts.tolist(), ends.tolist(), strict=True):
-                self.known[w] = data[i:j]
-        for w, ids in zip(alone, self._whole(alone), strict=True):
-            self.known[w] = np.array(ids, self.kind).tobytes()
-
-    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids of each) of texts that fall into words."""
-        split = pc.split_pattern(texts, " ")
-        flat, begin = split.values.dictionary_encode(), split.offsets.to_numpy()
-        which, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
-        heads = which[begin[:-1]]
-        inner = np.ones(len(which), bool)
-        inner[begin[:-1]] = False
-        used = np.zeros(len(words), bool)
-        used[which[inner]] = True
-        keys = [" " + w if u else "" for w, u in zip(words, used.tolist(), strict=True)] + [words[i] for i in heads.tolist()]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        self._learn(list({k for k in keys if k not in self.known}))
-        found = [self.known[k] for k in keys]
-        which[begin[:-1]] = np.arange(len(words), len(keys))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
-        ids = np.frombuffer(b"".join(found), self.kind)
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[which]
-        ends = np.cumsum(each)
-        at = np.repeat(starts[which] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-        return ids[at], np.diff(np.concatenate(([0], ends))[begin])
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, how many each has). Null texts are empty."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        odd = np.ones(len(texts), bool)
-        if self.by_words and self.between:
-            found = pc.match_substring_regex(texts, rf"{_WHITE} ({_WHITE}|\z)")
-            for token in self.added:
-                found = pc.or_(found, pc.match_substring(texts, token))
-            odd = found.to_numpy(zero_copy_only=False)
-        rest = np.flatnonzero(odd)
-        whole = [np.array(self._whole([texts[int(i)].as_py()])[0], self.kind) for i in rest]
-        if len(rest) == len(texts):
-            return np.concatenate([np.zeros(0, self.kind), *whole]), np.array([len(w) for w in whole], np.int64)
-        plain = np.flatnonzero(~odd)
-        ids, lengths = self._words(texts.take(pa.array(plain)) if len(rest) else texts)
-        if not len(rest):
-            return ids, lengths
-        parts = dict(zip(plain.tolist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True)) | dict(zip(rest.tolist(), whole, strict=True))
-        parts = [parts[i] for i in range(len(texts))]
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for each worker, so that tasks that follow know its words."""
-    return Encoder(path)
 
 
 def with_ends(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +86,7 @@ class Shard:
 
 
 def _index(kind: np.dtype, unnamed: int, names: np.ndarray, ends: np.ndarray) -> bytes:
-    told = json.dumps({"ids": np.dtype(kind).newbyteorder("<").str, "documents": len(ends), "without_id": unnamed}).encode()
+    told = json.dumps({"ids": kind.str, "documents": len(ends), "without_id": unnamed}).encode()
     return MAGIC + len(told).to_bytes(4, "little") + told + EliasFano.encode(ends).to_bytes() + EliasFano.encode(names).to_bytes()
 
 
@@ -220,7 +111,7 @@ def _write(folder: str, tokenizer: str, end: int, most_ids: int, most_docs: int)
             index = _index(code.kind, unnamed, np.concatenate(names), np.cumsum(np.concatenate(lengths)))
             with store.open_output_stream(f"{path}/{name}.idx", compression=None) as f:
                 f.write(index)
-            done.append((f"{name}.ids", task, len(done), docs, ids, ids * np.dtype(code.kind).itemsize + len(index)))
+            done.append((f"{name}.ids", task, len(done), docs, ids, ids * code.kind.itemsize + len(index)))
 
         try:
             for batch in batches:
@@ -231,7 +122,7 @@ def _write(folder: str, tokenizer: str, end: int, most_ids: int, most_docs: int)
                     out, ids, docs, unnamed = store.open_output_stream(f"{path}/{name}.ids", compression=None), 0, 0, 0
                     names, lengths = [], []
                 found, each = with_ends(*code.encode(batch.column(1)), end)
-                out.write(found.astype(np.dtype(code.kind).newbyteorder("<"), copy=False).tobytes())
+                out.write(found.astype(code.kind, copy=False).tobytes())
                 names.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
                 lengths.append(each)
                 ids, docs, unnamed = ids + len(found), docs + len(each), unnamed + batch.column(0).null_count
@@ -254,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     Each text, however long, is encoded whole by the tokenizer in the given file, without special tokens, and the end id follows. Null
     and empty texts have the end id only. Document ids are longs; rows with a null id come first, and rows that share an id stand
     side by side, in the order of a hash of their text; each counts. They are dealt by id, hash and place in the input, so that
-    not even equal rows meet in one task. A file ends once it has that many ids or documents. No rows: no files. Other
+    not even equal rows meet in one task. A file ends with the batch by which it has that many ids or documents. No rows: no files. Other
     columns are ignored.
     """
     spark = docs.sparkSession
