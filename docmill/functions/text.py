@@ -74,6 +74,43 @@ def strip_html(c: Column | str) -> Column:
     return squeeze(F.regexp_replace(F.coalesce(col(c), F.lit("")), "<[^>]+>", ""))
 
 
+# Elements beside a page's text, and what becomes of the others: (pattern, replacement), one after the other. Only what Java's and
+# RE2's patterns have in common is used.
+BESIDE = ("script", "style", "nav", "header", "footer", "aside", "form")
+MARKDOWN_RULES = [
+    (r"(?s)<!--.*?-->", " "),
+    (r"[ \t\r\n\f]+", " "),
+    *[(f"(?i)<{tag}( [^>]*)?>.*?</{tag} ?>", "\n") for tag in BESIDE],
+    *[(f"(?i)<h{n}( [^>]*)?>", "\n\n" + "#" * n + " ") for n in range(1, 7)],
+    (r"(?i)<li( [^>]*)?>", "\n- "),
+    (r"(?i)</?(h[1-6]|p|div|br|hr|section|article|main|ul|ol|li|table|tr|blockquote|pre)( [^>]*)?/?>", "\n"),
+    (r"<[^>]*>", ""),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+    (" *\n *", "\n"), ("\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+\z", ""),
+]
+
+
+def html_to_markdown(c: Column | str) -> Column:
+    """A page's text as markdown: headings, list items and paragraphs on lines of their own, without what stands beside the text.
+
+    White space is one space, in code too; the commonest character references are decoded. Null: empty.
+    """
+    out = F.coalesce(col(c), F.lit(""))
+    for pattern, replacement in MARKDOWN_RULES:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
+
+
+def url_host(c: Column | str) -> Column:
+    """What stands between the first :// and the next /, ?, # or end, in lower case; empty without ://."""
+    return F.lower(F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def url_path(c: Column | str) -> Column:
+    """What follows the host up to ?, # or end; empty without ://."""
+    return F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
 def without_suffix(c: Column, suffixes: Iterable[str] = NAME_SUFFIXES) -> Column:
     """c less the first of the suffixes that it ends with."""
     out = c
