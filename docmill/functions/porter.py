@@ -104,3 +104,20 @@ def stemmed(c: Column) -> Column:
         return found.iloc[codes].reset_index(drop=True)
 
     return run(c)
+
+
+def stemmed_all(c: Column) -> Column:
+    """Arrays of terms, those of several parts with spaces between, each part folded and stemmed."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+
+        def of(term: str) -> str:
+            if term not in known:
+                known[term] = " ".join(stem(fold(t)) for t in term.split(" "))
+            return known[term]
+
+        return pd.Series([None if ts is None else [of(t) for t in ts] for ts in lists], dtype=object)
+
+    return run(c)

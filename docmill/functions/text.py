@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once: inside other lambdas, a column's expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def all_matches(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 
@@ -36,8 +41,13 @@ def without(tokens: Column, stop: Iterable[str], shortest: int = 2) -> Column:
 
 
 def query_terms(c: Column | str) -> Column:
-    """Terms of a query for BM25."""
-    return without(words(c, TERM), STOPWORDS)
+    """Terms of a query for BM25. Marks inside a word stay: what they join is looked for as a phrase."""
+    return without(words(c), STOPWORDS)
+
+
+def term_parts(c: Column | str) -> Column:
+    """What the lexical index has of a term: one token, or, of a term like foo_bar, several."""
+    return words(c, TERM)
 
 
 def tfidf_tokens(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from docmill.functions.text import query_terms, snippet, words
 from docmill.functions.vocabulary import STOPWORDS
 from docmill.operators import expand, fuse, knn, lexical
-from docmill.plans.shared import few, local_table, sized, written
+from docmill.plans.shared import few, held, local_table, sized, written
 
 
 @dataclass
@@ -36,7 +36,7 @@ def build_hybrid(chunks: DataFrame, provider: knn.Provider | None = None, analyz
     provider = provider or knn.hashing_provider()
     chunks = keep(lexical.latest(chunks), "latest-chunks")
     vectors = knn.embed(chunks.select("id", "source_id", "title", "content"), knn.embedding_text(F.col("title"), F.col("content")), provider).select("id", "source_id", "embedding", "provider", "dim")
-    return HybridIndex(chunks, lexical.build_lexical(chunks, analyzer, keep=keep), keep(vectors, "vectors"), provider, expansions, made_by(provider))
+    return HybridIndex(chunks, lexical.build_lexical(chunks, analyzer, keep=keep, positions=True), keep(vectors, "vectors"), provider, expansions, made_by(provider))
 
 
 def search_terms(queries: DataFrame, expansions: DataFrame | None) -> DataFrame:
@@ -59,12 +59,6 @@ def shown_terms(queries: DataFrame, expansions: DataFrame | None) -> DataFrame:
     return expand.expanded_terms(queries, expansions).groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("asked"))
 
 
-def held(df: DataFrame) -> DataFrame:
-    """A table of a few rows as values in the plan, so that it is worked out once; a larger one as it is."""
-    rows = few(df)
-    return df if rows is None else F.broadcast(local_table(df.sparkSession, rows, df.schema))
-
-
 def both_terms(queries: DataFrame, expansions: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """search_terms() and shown_terms(); those of a few queries are expanded where the plan is made, without a job."""
     rows = few(queries) if expansions is not None else None

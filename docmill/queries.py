@@ -277,6 +277,48 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_search(lexical.build_lexical(chunks_of(spark, sf_dir), keep=keep), rows, 20).select("query_id", "id", "score", "rank")
 
 
+PHRASES_ASKED = [(1, "of_the annt"), (2, "the_the of_and_the on_the"), (3, "de_la le_la eaux"), (4, "_annt_ in_the in_the md_the")]
+_PHRASES = rf"""{_BASE},
+q AS (SELECT query_id, term, regexp_extract_all(term, '{_TERM}') AS parts, count(*) AS times FROM (SELECT *, unnest({_tokens("text", _WORD, _STOP)}) AS term FROM (VALUES {", ".join(map(str, PHRASES_ASKED))}) v(query_id, text)) GROUP BY ALL),
+f AS (SELECT id, seq, regexp_extract_all(lower(unnest([id, source_id, path, title, content])), '{_TERM}') AS ts FROM chunks),
+n AS (SELECT id, seq, sum(len(ts))::BIGINT AS n FROM f GROUP BY ALL),
+c AS (SELECT count(*) AS chunks, avg(n) AS mean FROM n),
+o AS (SELECT id, parts, i FROM (SELECT id, parts, ts, unnest(range(1, len(ts) - len(parts) + 2)) AS i FROM f, (SELECT DISTINCT parts FROM q) WHERE len(ts) >= len(parts)) WHERE ts[i:i + len(parts) - 1] = parts),
+p AS (SELECT id, parts, count(*) AS tf FROM o GROUP BY ALL),
+i AS (SELECT parts, CASE WHEN ln((chunks - df + 0.5) / (df + 0.5)) > 0 THEN ln((chunks - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT parts, count(*) AS df FROM p GROUP BY 1), c),
+s AS (SELECT query_id, id, sum(times * idf * tf::DOUBLE * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM p JOIN q USING (parts) JOIN i USING (parts) JOIN n USING (id), c GROUP BY ALL)"""
+
+
+@query(f"WITH {_PHRASES} SELECT query_id, id, score, rank FROM {_top(20)}")
+def bm25_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of several parts are found where the parts stand side by side."""
+    rows = spark.createDataFrame(PHRASES_ASKED, "query_id int, text string")
+    return lexical.bm25_search(lexical.build_lexical(chunks_of(spark, sf_dir), keep=keep, positions=True), rows, 20).select("query_id", "id", "score", "rank")
+
+
+_SNIPPETS = rf"""{_bm25(_VALUES)},
+b AS (SELECT query_id, id, rank, trim(regexp_replace(lower(content), '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g')) AS text FROM {_top(5)} t JOIN chunks USING (id)),
+w AS (SELECT *, regexp_extract_all(text, '{_TERM}') AS ts, string_split_regex(text, '{_TERM}') AS gaps FROM b),
+y AS (SELECT query_id, id, len(ts) AS n, unnest(range(0, len(ts))) AS i, unnest(ts) AS token, unnest(gaps[:len(ts)]) AS gap FROM w),
+h AS (SELECT query_id, id, n, i, token FROM y JOIN (SELECT DISTINCT query_id, term FROM q) USING (query_id) WHERE token = term),
+z AS (SELECT query_id, id, i FROM y WHERE i = 0 OR regexp_matches(gap, '[.:][ \t\n\r]+$')),
+a AS (SELECT query_id, id, n, i AS io, i AS pos, 0 AS bonus, 2 * i AS place FROM h UNION ALL
+  SELECT query_id, id, n, io, pos, CASE WHEN pos = 0 THEN 120 ELSE 100 END, 2 * io + 1 FROM (SELECT h.query_id, h.id, h.n, h.i AS io, max(z.i) AS pos FROM h JOIN z ON z.query_id = h.query_id AND z.id = h.id AND z.i <= h.i GROUP BY ALL) WHERE n > 32 AND pos < io),
+e AS (SELECT a.query_id, a.id, a.n, a.io, a.pos, a.bonus, a.place, max(h.i) + 1 AS upto, 999 * count(DISTINCT h.token) + count(*) + a.bonus AS worth
+  FROM a JOIN h ON h.query_id = a.query_id AND h.id = a.id AND h.i >= a.pos AND h.i < a.pos + 32 GROUP BY a.query_id, a.id, a.n, a.io, a.pos, a.bonus, a.place),
+r AS (SELECT query_id, id, CASE WHEN bonus > 0 THEN pos ELSE greatest(0, least(io - (32 - (upto - io)) // 2, n - 32)) END AS start FROM e QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY worth DESC, place) = 1),
+l AS (SELECT y.*, coalesce(start, 0) AS start FROM y LEFT JOIN r ON r.query_id = y.query_id AND r.id = y.id),
+m AS (SELECT l.query_id, l.id, start, n, string_agg(CASE WHEN i = start AND i > 0 THEN '' ELSE gap END || CASE WHEN k.term IS NULL THEN token ELSE '**' || token || '**' END, '' ORDER BY i) AS shown
+  FROM l LEFT JOIN (SELECT DISTINCT query_id, term FROM q) k ON k.query_id = l.query_id AND k.term = l.token WHERE i >= start AND i < start + 32 GROUP BY l.query_id, l.id, start, n)"""
+
+
+@query(f"WITH {_SNIPPETS} SELECT query_id, id, rank, CASE WHEN start > 0 THEN '...' ELSE '' END || shown || CASE WHEN start + 32 < n THEN '...' ELSE gaps[-1] END AS marked FROM m JOIN w USING (query_id, id)")
+def bm25_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each hit, terms marked."""
+    chunks = chunks_of(spark, sf_dir)
+    return lexical.bm25_search(lexical.build_lexical(chunks, keep=keep), asked(spark), 5, chunks).select("query_id", "id", "rank", "marked")
+
+
 @query()
 def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_search(lexical.build_lexical(chunks_of(spark, sf_dir), "porter", keep=keep), asked(spark), 20).select("query_id", "id", "score", "rank")

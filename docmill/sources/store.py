@@ -59,18 +59,19 @@ def load_graph(spark: SparkSession, path: str) -> Graph | None:
 
 
 _POSTINGS = "id string, source_id string, seq long, n int, term string, tf long"
+_PLACES = ", at array<int>"
 
 
 def save_lexical(index: Lexical, path: str) -> None:
     """Postings in ranges of terms, so that a scan for few terms skips most row groups."""
-    index.postings.select("id", "source_id", "seq", "n", "term", F.col("tf").cast("long").alias("tf")).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.select("id", "source_id", "seq", "n", "term", F.col("tf").cast("long").alias("tf"), *(["at"] if "at" in index.postings.columns else [])).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer}))
+    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer, "positions": "at" in index.postings.columns}))
 
 
 def load_lexical(spark: SparkSession, path: str) -> Lexical:
     s = json.loads(read_text(spark, f"{path}/statistics.json"))
-    return Lexical(spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.schema("term string, df long").parquet(f"{path}/terms"), s["chunks"], s["mean"], s["analyzer"])
+    return Lexical(spark.read.schema(_POSTINGS + (_PLACES if s.get("positions") else "")).parquet(f"{path}/postings"), spark.read.schema("term string, df long").parquet(f"{path}/terms"), s["chunks"], s["mean"], s["analyzer"])
 
 
 _VECTORS = "id string, point_id string, source_id string, embedding array<float>, provider string, dim int"
