@@ -159,13 +159,32 @@ def embed_texts(provider: Provider, texts: list[str | None], batch: int = 100) -
     return [v for i in range(0, len(texts), batch) for v in np.asarray(provider(texts[i : i + batch]), np.float32)]
 
 
-def embed(df: DataFrame, text: Column, provider: Provider, batch: int = 100) -> DataFrame:
-    """df with embedding, provider and dim; the provider gets batches of texts, a blank text as one space."""
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+def embed(df: DataFrame, text: Column, provider: Provider, batch: int = 100, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df, less the columns to drop, with embedding, provider and dim; the provider gets batches of texts, a blank text as one space."""
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in drop)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = embed_texts(provider, list(b.pop("_text")), batch)
             yield b.assign(embedding=found, provider=getattr(provider, "name", "custom"), dim=[len(v) for v in found])
 
-    return df.withColumn("_text", text).mapInPandas(run, f"{kind}, embedding array<float>, provider string, dim int")
+    return df.withColumn("_text", text).drop(*drop).mapInPandas(run, f"{kind}, embedding array<float>, provider string, dim int")
+
+
+def embed_chunks(chunks: DataFrame, provider: Provider, known: DataFrame | None = None) -> DataFrame:
+    """(id, source_id, embedding, provider, dim, digest) of chunks(id, source_id, title, content).
+
+    known: vectors in these columns, of which those that the same provider made of the same text are taken over; the provider gets the
+    other texts only.
+    """
+    text = embedding_text(F.col("title"), F.col("content"))
+    rows = chunks.select("id", "source_id", F.sha2(text, 256).alias("digest"), text.alias("_t"))
+    new = lambda df: embed(df, F.col("_t"), provider, drop=("_t",))
+    columns = ["id", "source_id", "embedding", "provider", "dim", "digest"]
+    if known is None:
+        return new(rows).select(columns)
+    dim = getattr(provider, "dim", None)
+    own = known.where((F.col("provider") == getattr(provider, "name", "custom")) & F.col("digest").isNotNull() & (F.lit(True) if dim is None else F.col("dim") == dim))
+    own = own.join(sized(rows.select("digest").distinct()), "digest", "left_semi").groupBy("digest").agg(F.any_value("embedding").alias("embedding"), F.any_value("provider").alias("provider"), F.any_value("dim").alias("dim"))
+    own = sized(written(own, "known-vectors"))
+    return rows.join(own, "digest").select(columns).unionByName(new(rows.join(own.select("digest"), "digest", "left_anti")).select(columns))

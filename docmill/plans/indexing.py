@@ -15,7 +15,7 @@ from docmill.sources.config import Source
 from docmill.sources.files import scan
 
 
-def _parts(spark: SparkSession, source: Source, number: int) -> list[DataFrame]:
+def _parts(spark: SparkSession, source: Source, number: int, only: list[str] | None = None) -> list[DataFrame]:
     """The chunks of each adapter of a source, with what fixes their order: source_no, adapter_no, path and seq, the place in the file."""
     out = []
     for i, adapter in enumerate(source.adapters):
@@ -25,9 +25,9 @@ def _parts(spark: SparkSession, source: Source, number: int) -> list[DataFrame]:
         extensions, chunker = CHUNKERS[adapter.type]
         latin = adapter.type in ("source", "python")
         if adapter.type == "compodoc":  # opens its file whatever the patterns say
-            files = scan(spark, source.root, [adapter.config.get("json_path", "documentation.json")], [], source.id, source.entrypoints, latin)
+            files = scan(spark, source.root, [adapter.config.get("json_path", "documentation.json")], [], source.id, source.entrypoints, latin, only)
         else:
-            files = scan(spark, source.root, source.include_globs, source.exclude_globs, source.id, source.entrypoints, latin).where(F.col("extension").isin(list(extensions)))
+            files = scan(spark, source.root, source.include_globs, source.exclude_globs, source.id, source.entrypoints, latin, only).where(F.col("extension").isin(list(extensions)))
         files = files.where("error is null").drop("error", "extension")
         known = {k: v for k, v in adapter.config.items() if k in chunker.__code__.co_varnames[: chunker.__code__.co_argcount]}
         out.append(chunker(files, **known).withColumns({"source_no": F.lit(number), "adapter_no": F.lit(i)}))
@@ -39,9 +39,9 @@ def index_source(spark: SparkSession, source: Source, first: int = 0) -> DataFra
     return index_sources(spark, [source], first)
 
 
-def index_sources(spark: SparkSession, sources: list[Source], first: int = 0) -> DataFrame:
-    """Chunks of all sources; seq numbers them from ``first`` in corpus order."""
-    parts = [p for k, s in enumerate(sources) for p in _parts(spark, s, k)]
+def index_sources(spark: SparkSession, sources: list[Source], first: int = 0, only: list[str] | None = None) -> DataFrame:
+    """Chunks of all sources, or only of the files of these uris; seq numbers them from ``first`` in corpus order."""
+    parts = [p for k, s in enumerate(sources) for p in _parts(spark, s, k, only)]
     return numbered(reduce(DataFrame.unionByName, parts), first) if parts else spark.createDataFrame([], CHUNK_SCHEMA)
 
 

@@ -35,7 +35,7 @@ def build_hybrid(chunks: DataFrame, provider: knn.Provider | None = None, analyz
     """An index of chunks; of chunks with one id the last counts."""
     provider = provider or knn.hashing_provider()
     chunks = keep(lexical.latest(chunks), "latest-chunks")
-    vectors = knn.embed(chunks.select("id", "source_id", "title", "content"), knn.embedding_text(F.col("title"), F.col("content")), provider).select("id", "source_id", "embedding", "provider", "dim")
+    vectors = knn.embed_chunks(chunks, provider)
     return HybridIndex(chunks, lexical.build_lexical(chunks, analyzer, keep=keep, positions=True), keep(vectors, "vectors"), provider, expansions, made_by(provider))
 
 

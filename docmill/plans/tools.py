@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import pascal_to_kebab, usage_snippet
 from docmill.operators import expand, graph, knn, lexical
-from docmill.plans import stored
+from docmill.plans import changes, stored
 from docmill.plans.indexing import index_sources
 from docmill.plans.search import HybridIndex, build_hybrid, hybrid_search
-from docmill.plans.shared import local_table, sized
+from docmill.plans.shared import few, local_table, sized, written
 from docmill.sources import store
 from docmill.sources.config import Source, load_sources, sources_table
 
@@ -39,9 +39,11 @@ class Engine:
         self.chunks, self.tfidf, self.graph = found.hybrid.chunks, found.tfidf, found.graph
 
     def save(self) -> None:
-        """Stores the index at the engine's path; an index without chunks leaves the stored one as it is."""
+        """Stores the index at the engine's path, with a manifest of the sources' files; an index without chunks leaves the stored one as it is."""
         if self.index.lexical.chunks:
-            stored.save(stored.Indexes(self.index, self.tfidf, self.graph), self.path)
+            nothing = self.spark.createDataFrame([], changes.FILES)
+            files = changes.manifest_of(changes.changes(self.spark, self.sources, nothing)) if self.sources else None
+            stored.save(stored.Indexes(self.index, self.tfidf, self.graph), self.path, files)
             self._take(stored.load(self.spark, self.path, self.index.provider, self.index.expansions))
 
     @classmethod
@@ -87,8 +89,43 @@ class Engine:
         return with_counts(sources_table(self.spark, self.sources), self.stored)
 
     def reload(self, source: str | None = None) -> DataFrame:
-        """Indexes all sources again, or one, whose chunks alone are replaced and come last then. (source_id, chunk_count) of what was indexed."""
+        """Indexes what has changed in the files of all sources, or of one. (source_id, chunk_count) of these sources then.
+
+        A stored index that was made from files gets a segment of the changed files' chunks, which come last; other files aren't read. Without
+        one, and once there are many segments, all is indexed again.
+        """
         some = [s for s in self.sources if source in (None, s.id)]
+        told = stored.current(self.spark, self.path) if self.path else None
+        if told and told["files"] and told["segment"] < stored.MOST_SEGMENTS and self.known is None:
+            self._refresh(some)
+        else:
+            self._rebuild(some, source)
+        return counts_by_source(self.stored.where(F.col("source_id").isin([s.id for s in some])))
+
+    def _refresh(self, some: list[Source]) -> None:
+        spark, before = self.spark, stored.manifest(self.spark, self.path)
+        found = changes.changes(spark, some, before)
+        touched = found.where("change in ('changed', 'removed')").select("source_id", "path")
+        fresh = found.where("change in ('added', 'changed')")
+        if not found.where("change <> 'kept'").take(1):
+            return
+        uris = few(fresh.select("uri"))
+        if uris is None:
+            return self._rebuild(some, None if len(some) == len(self.sources) else some[0].id)
+        new = written(index_sources(spark, [s for s in some], store.last_seq(self.stored) + 1, [r[0] for r in uris]), "reloaded")
+        others = before.where(~F.col("source_id").isin([s.id for s in some]))
+        files = written(others.unionByName(changes.manifest_of(found)), "manifest")
+        ids = [r[0] for r in found.where("change <> 'kept'").select("source_id").distinct().collect()]
+        kept = self.stored.where(F.col("source_id").isin(ids)).join(sized(touched), ["source_id", "path"], "left_anti").select(new.columns)
+        rows = written(kept.unionByName(new), "reloaded-sources")
+        stored.add(spark, self.path, self.index.provider, new, touched, files)
+        store.save_chunks(rows, self.path, ids)
+        for gone in set(ids) - {r[0] for r in rows.select("source_id").distinct().collect()}:
+            store.clear(spark, f"{self.path}/chunks/source_id={gone}")
+        self.stored = store.load_chunks(spark, self.path)
+        self._take(stored.load(spark, self.path, self.index.provider, self.index.expansions))
+
+    def _rebuild(self, some: list[Source], source: str | None) -> None:
         new = index_sources(self.spark, some, 0 if source is None else store.last_seq(self.stored) + 1)
         if self.path:
             store.save_chunks(new, self.path, None if source is None else [source])
@@ -98,7 +135,6 @@ class Engine:
         self.__init__(chunks, self.sources, self.index.provider, self.index.lexical.analyzer, self.index.expansions is not None, self.path, self.known)
         if self.path:
             self.save()
-        return counts_by_source(new)
 
     # Components.
 

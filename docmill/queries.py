@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text, vocabulary
 from docmill.functions.schema import as_chunks
-from docmill.operators import expand, fuse, graph, knn, lexical
+from docmill.operators import expand, fuse, graph, knn, lexical, segments
 from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
-from docmill.plans import indexing, search
+from docmill.plans import changes, indexing, search
 from docmill.plans.search import search_terms
 from docmill.plans.shared import shared_path, spread, written
 from docmill.plans.tools import best_files, component_usage, contexts, counts_by_source, source_filter, with_counts
@@ -277,6 +277,27 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_search(lexical.build_lexical(chunks_of(spark, sf_dir), keep=keep), rows, 20).select("query_id", "id", "score", "rank")
 
 
+_LIVING = _bm25(_VALUES).replace("FROM documents)", "FROM documents WHERE doc_id % 11 <> 0)", 1)
+
+
+@query(f"WITH {_LIVING} SELECT query_id, id, score, rank FROM {_top(20)}")
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index in three segments: most documents, some with another text; then the changed and the new ones; then those that are removed."""
+    chunks, i = chunks_of(spark, sf_dir), F.col("seq")
+    first = chunks.where(i % 10 != 0).withColumn("content", F.when(i % 7 == 0, F.concat(F.lit("annt heea "), F.reverse("content"))).otherwise(F.col("content")))
+    second = chunks.where((i % 10 == 0) | (i % 7 == 0))
+    parts = [lexical.build_lexical(c, keep=keep) for c in (first, second, chunks.limit(0))]
+    lengths = [c.select("id", F.size(lexical.tokens_of(lexical.FIELDS)).cast("long").alias("n")) for c in (first, second, chunks.limit(0))]
+    old = keep(segments.died(lengths[:1], None, second), "died")
+    removed = keep(segments.died(lengths[:2], old.drop("n"), chunks.where(i % 11 == 0)), "died")
+    gone = old.unionByName(removed)
+    lost = gone.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    every = [segments.counts_of(p) for p in parts]
+    counts = segments.Counts(sum(c.chunks for c in every) - lost[0], sum(c.tokens for c in every) - lost[1])
+    index = segments.merged(parts, gone.select("id", "segment"), counts)
+    return lexical.bm25_search(index, asked(spark), 20).select("query_id", "id", "score", "rank")
+
+
 PHRASES_ASKED = [(1, "of_the annt"), (2, "the_the of_and_the on_the"), (3, "de_la le_la eaux"), (4, "_annt_ in_the in_the md_the")]
 _PHRASES = rf"""{_BASE},
 q AS (SELECT query_id, term, regexp_extract_all(term, '{_TERM}') AS parts, count(*) AS times FROM (SELECT *, unnest({_tokens("text", _WORD, _STOP)}) AS term FROM (VALUES {", ".join(map(str, PHRASES_ASKED))}) v(query_id, text)) GROUP BY ALL),
@@ -331,9 +352,17 @@ _WORDS = rf"w AS (SELECT query_id, unnest(regexp_extract_all(lower(text), '{_WOR
 _EXPANDED = f"{_EXPANSION}, {_WORDS}, e AS (SELECT query_id, place, word AS term, 0 AS step, 0 AS n FROM w UNION ALL SELECT query_id, place, alt, 1, n FROM w JOIN x ON word = term)"
 
 
-@query(f"WITH {_EXPANDED}, f AS (SELECT query_id, term, min((place, step, n)) AS pos FROM e GROUP BY 1, 2) SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS expanded FROM f GROUP BY 1")
+_SHORT = ("btn", "config auth", "err msg", "nav button")
+_ITEMS = f"(SELECT item_id AS query_id, ['{"', '".join(_SHORT)}'][item_id % 4 + 1] || ' ' || text AS text FROM benchmark)"
+_EXPANDED_ITEMS = _EXPANDED.replace(f"(VALUES {_VALUES}) v(query_id, text)", _ITEMS)
+
+
+@query(f"WITH {_EXPANDED_ITEMS}, f AS (SELECT query_id, term, min((place, step, n)) AS pos FROM e GROUP BY 1, 2) SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS expanded FROM f GROUP BY 1")
 def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return expand.expanded_query(asked(spark), expand.expansions(spark))
+    """Benchmark items as queries, each with abbreviations before it."""
+    short = F.element_at(F.array(*[F.lit(x) for x in _SHORT]), (F.col("item_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(short, F.lit(" "), "text").alias("text"))
+    return expand.expanded_query(rows, expand.expansions(spark))
 
 
 _EXPANDED_TERMS = f"SELECT DISTINCT query_id, regexp_replace(term, '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS term FROM e WHERE regexp_replace(term, '[^\\p{{L}}\\p{{N}}_]', '', 'g') NOT IN ('', {_STOP})"
@@ -606,49 +635,53 @@ def get_context_at_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(as_chunks(rows), wanted).select(F.col("path").cast("long").alias("conv_id"), "anchor", "content")
 
 
-# Files, written for the queries that scan them: two or three for each nation.
+# Files, written by the executors for the queries that scan them: two or three for each document.
 
-_MD = "'# ' || n_name || chr(10) || 'intro ' || n_nationkey || chr(10) || '## Zeta' || chr(10) || '```ts' || chr(10) || 'x' || chr(10) || '```' || chr(10) || '## Alpha' || chr(10) || '| a | b |'"
+_MD = "'# Doc ' || doc_id || chr(10) || text || chr(10) || '## Zeta' || chr(10) || '```ts' || chr(10) || 'x' || chr(10) || '```' || chr(10) || '## Alpha' || chr(10) || '| a | b |'"
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content)."""
+    d, name = spread(table(spark, sf_dir, "documents")), F.col("doc_id").cast("string")
+    md = F.concat(F.lit("# Doc "), name, F.lit("\n"), "text", F.lit("\n## Zeta\n```ts\nx\n```\n## Alpha\n| a | b |"))
+    at = lambda *parts: F.concat("source", *[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    rows = d.select(at("/n", name, ".md").alias("path"), md.alias("content"))
+    rows = rows.union(d.select(at("/drafts/n", name, ".md"), F.lit("# Draft")))
+    return rows.union(d.where("doc_id % 5 = 0").select(at("/n", name, ".TXT"), F.concat(F.lit("note "), name)))
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:
-    root = shared_path(spark, "nations")
-    for r in table(spark, sf_dir, "nation").collect():
-        key, at = r["n_nationkey"], f"{root}/{r['n_regionkey']}"
-        files.write_text(spark, f"{at}/n{key}.md", f"# {r['n_name']}\nintro {key}\n## Zeta\n```ts\nx\n```\n## Alpha\n| a | b |")
-        files.write_text(spark, f"{at}/drafts/n{key}.md", "# Draft")
-        if key % 5 == 0:
-            files.write_text(spark, f"{at}/n{key}.TXT", f"note {r['n_name']}")
+    root = shared_path(spark, "document-files")
+    files.write_files(_document_files(spark, sf_dir), root)
     return root
 
 
 @query(f"""
-SELECT n_regionkey || '/n' || n_nationkey || '.md' AS path, 'md' AS extension, sha256({_MD}) AS content_sha256, n_nationkey = 3 AS is_entrypoint, '' AS error FROM nation
-UNION ALL SELECT n_regionkey || '/n' || n_nationkey || '.TXT', 'txt', sha256('note ' || n_name), false, '' FROM nation WHERE n_nationkey % 5 = 0""")
+SELECT source || '/n' || doc_id || '.md' AS path, 'md' AS extension, sha256({_MD}) AS content_sha256, source = 'src3' AND doc_id = 3 AS is_entrypoint, '' AS error FROM documents
+UNION ALL SELECT source || '/n' || doc_id || '.TXT', 'txt', sha256('note ' || doc_id), false, '' FROM documents WHERE doc_id % 5 = 0""")
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _folder(spark, sf_dir)
-    entry = [f"{r['n_regionkey']}/n3.md" for r in table(spark, sf_dir, "nation").where("n_nationkey = 3").collect()]
-    rows = files.scan(spark, root, ["**/*.md", "*/*.TXT"], ["*/drafts/*"], "nations", entry)
+    rows = files.scan(spark, _folder(spark, sf_dir), ["**/*.md", "*/*.TXT"], ["*/drafts/*"], "docs", ["src3/n3.md"])
     return rows.select("path", "extension", F.sha2("content", 256).alias("content_sha256"), "is_entrypoint", F.coalesce("error", F.lit("")).alias("error"))
 
 
 _SECTIONS = f"""s AS (
-  SELECT n_regionkey || '/n' || n_nationkey || '.md' AS path, place, a AS adapter, CASE a WHEN 0 THEN 'component' ELSE 'normalized' END AS chunk_class, CASE place WHEN 0 THEN n_name WHEN 1 THEN 'Zeta' ELSE 'Alpha' END AS title,
-    CASE place WHEN 0 THEN '# ' || n_name || chr(10) || 'intro ' || n_nationkey WHEN 1 THEN '## Zeta' || chr(10) || '```ts' || chr(10) || 'x' || chr(10) || '```' ELSE '## Alpha' || chr(10) || '| a | b |' END AS content,
-    CASE place WHEN 0 THEN 1 ELSE 2 END AS depth, CASE place WHEN 1 THEN 'ts' ELSE '' END AS code_blocks, place = 2 AS has_table, CASE a WHEN 0 THEN 'n' || n_nationkey END AS component_name, CASE a WHEN 0 THEN 'Nations' END AS component_category
-  FROM nation, (VALUES (0), (1), (2)) p(place), (VALUES (0), (1)) q(a)),
-n AS (SELECT *, substr(sha256('nations:' || path || ':' || lower(title)), 1, 16) AS id, row_number() OVER (ORDER BY adapter, path, place) - 1 AS seq FROM s)"""
+  SELECT source || '/n' || doc_id || '.md' AS path, place, a AS adapter, CASE a WHEN 0 THEN 'component' ELSE 'normalized' END AS chunk_class, CASE place WHEN 0 THEN 'Doc ' || doc_id WHEN 1 THEN 'Zeta' ELSE 'Alpha' END AS title,
+    CASE place WHEN 0 THEN 'doc-' || doc_id WHEN 1 THEN 'zeta' ELSE 'alpha' END AS anchor,
+    CASE place WHEN 0 THEN '# Doc ' || doc_id || chr(10) || text WHEN 1 THEN '## Zeta' || chr(10) || '```ts' || chr(10) || 'x' || chr(10) || '```' ELSE '## Alpha' || chr(10) || '| a | b |' END AS content,
+    CASE place WHEN 0 THEN 1 ELSE 2 END AS depth, CASE place WHEN 1 THEN 'ts' ELSE '' END AS code_blocks, place = 2 AS has_table, CASE a WHEN 0 THEN 'n' || doc_id END AS component_name, CASE a WHEN 0 THEN 'Documents' END AS component_category
+  FROM documents, (VALUES (0), (1), (2)) p(place), (VALUES (0), (1)) q(a)),
+n AS (SELECT *, substr(sha256('docs:' || path || ':' || anchor), 1, 16) AS id, row_number() OVER (ORDER BY adapter, path, place) - 1 AS seq FROM s)"""
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a source with two adapters that see the same files, by way of the store."""
-    source = Source("nations", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component", {"default_category": "Nations"}), Adapter("markdown")])
+    source = Source("docs", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component", {"default_category": "Documents"}), Adapter("markdown")])
     path = shared_path(spark, "chunk-store")
     store.save_chunks(indexing.index_source(spark, source), path)
     return store.load_chunks(spark, path)
 
 
-@query(f"WITH {_SECTIONS} SELECT seq, id, path, title, lower(title) AS anchor, sha256(content) AS content_sha256, depth, code_blocks, has_table, chunk_class, component_name, component_category FROM n")
+@query(f"WITH {_SECTIONS} SELECT seq, id, path, title, anchor, sha256(content) AS content_sha256, depth, code_blocks, has_table, chunk_class, component_name, component_category FROM n")
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _indexed(spark, sf_dir)
     return rows.select("seq", "id", "path", "title", "anchor", F.sha2("content", 256).alias("content_sha256"), "depth", F.array_join("code_blocks", ",").alias("code_blocks"), "has_table", "chunk_class", "component_name", "component_category")
@@ -660,14 +693,28 @@ def indexed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.latest(_indexed(spark, sf_dir)).select("id", "seq", "chunk_class", "kind")
 
 
-@query("SELECT true AS present, 6 * count(*) AS chunk_count, true AS indexed FROM nation")
+@query("SELECT true AS present, 6 * count(*) AS chunk_count, true AS indexed FROM documents")
 def store_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "chunk-store")
-    source = Source("nations", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component"), Adapter("markdown")])
+    source = Source("docs", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component"), Adapter("markdown")])
     store.save_chunks(indexing.index_source(spark, source), path)
     return store.metadata(spark, path).select("present", "chunk_count", F.col("indexed_at").isNotNull().alias("indexed"))
 
 
+@query("""
+WITH f AS (SELECT source || '/n' || doc_id || '.md' AS path, CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'kept' END AS change, doc_id FROM documents)
+SELECT 'docs' AS source_id, path, change FROM f UNION ALL SELECT 'docs', 'new/n' || doc_id || '.md', 'added' FROM f WHERE doc_id % 13 = 0""")
+def reload_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reload takes after files were changed, removed and added below a source's folder."""
+    root, rows, i = shared_path(spark, "document-files"), _document_files(spark, sf_dir).where("path like '%.md' and path not like '%/drafts/%'"), F.regexp_extract("path", r"n(\d+)\.md$", 1).cast("long")
+    files.write_files(rows, root)
+    source = [Source("docs", root)]
+    before = changes.manifest_of(changes.changes(spark, source, spark.createDataFrame([], changes.FILES)))
+    some = rows.where((i % 11 == 0) | (i % 7 == 0)).withColumn("content", F.when(i % 11 != 0, F.concat("content", F.lit("\nmore"))))
+    files.write_files(some.unionByName(rows.where(i % 13 == 0).withColumn("path", F.concat(F.lit("new/n"), i.cast("string"), F.lit(".md")))), root)
+    return changes.changes(spark, source, before).select("source_id", "path", "change")
+
+
 @query(f"WITH {_EDGES} SELECT src, dst, relation_type FROM edges")
 def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges of a graph that was written as JSON, read, saved and loaded."""
@@ -818,11 +865,11 @@ def docstring_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", pycode.docstring_style(F.concat("p_name", marks)).alias("style"))
 
 
-@query("SELECT p_partkey AS query_id, 'btn button brand make label ' || regexp_extract(p_brand, '[0-9]+') AS expanded FROM part")
+@query("SELECT p_partkey AS query_id, 'btn button brd brand bnd make label ' || regexp_extract(p_brand, '[0-9]+') AS expanded FROM part")
 def custom_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries with words of custom abbreviations and synonyms."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("btn "), "p_brand").alias("text"))
-    return expand.expanded_query(rows, expand.expansions(spark, [], [("Brand", "Make", "Label")]))
+    """Queries with words of custom abbreviations and synonyms; of two abbreviations a full form leads back to the last."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("btn brd "), "p_brand").alias("text"))
+    return expand.expanded_query(rows, expand.expansions(spark, [("Brd", "Brand"), ("Bnd", "Brand")], [("Brand", "Make", "Label")]))
 
 
 @query(f"""WITH {_PASCAL}, c AS (

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +17,14 @@ def _path(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return bool(path) and fs.exists(p)
+    p, store = _path(spark, path)
+    return bool(path) and store.exists(p)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path as Spark's file sources name it."""
-    p, fs = _path(spark, path)
-    return fs.makeQualified(p).toString().rstrip("/")
+    p, store = _path(spark, path)
+    return store.makeQualified(p).toString().rstrip("/")
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -31,21 +34,21 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, written from the driver to any store that Spark writes."""
-    p, fs = _path(spark, path)
-    out = fs.create(p, True)
+    p, store = _path(spark, path)
+    out = store.create(p, True)
     out.write(bytearray(text, "utf-8"))
     out.close()
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The names of what is in a folder."""
-    p, fs = _path(spark, path)
-    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+    p, store = _path(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(p)) if store.exists(p) else []
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
+    p, store = _path(spark, path)
+    store.delete(p, True)
 
 
 def glob_regex(glob: str) -> str:
@@ -78,24 +81,64 @@ def decoded(content: Column, latin: bool) -> Column:
     return F.coalesce(text, F.decode(content, "ISO-8859-1")) if latin else text
 
 
-def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None, source_id: str = "", entrypoints: list[str] | None = None, latin: bool = True) -> DataFrame:
-    """(source_id, path, content, modified, is_entrypoint, extension, error) of the files below root that a pattern includes and none excludes.
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*"
 
-    Exclusion patterns match the path below root or, with anything before them, the whole path. Files that can't be
-    decoded have a null content and say so in error. Order is by path where it matters: rows carry their path.
+def opened(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, modificationTime, length, content) of the files at these paths, or below them if they are folders."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    paths = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths]  # a path, not a pattern
+    return spark.read.format("binaryFile").schema(kind).option("recursiveFileLookup", True).load(paths) if paths else spark.createDataFrame([], kind)
+
+
+def listing(spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(uri, path, whole, length, modified, content) of the files below root that a pattern includes and none excludes; unless content is asked for, no file is read.
+
+    Exclusion patterns match the path below root or, with anything before them, the whole path. only: the files of these
+    uris.
     """
     base = qualified(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    whole = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
-    plain = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", base)
-    files = files.withColumn("whole", whole).withColumn("path", F.substr("whole", F.lit(len(plain) + 2)))
+    plain = re.sub(_SCHEME, "/", base)
+    files = opened(spark, [base] if only is None else only).withColumnRenamed("path", "uri")
+    files = files.withColumn("whole", F.regexp_replace("uri", _SCHEME, "/"))
+    files = files.where(F.startswith("whole", F.lit(plain + "/"))).withColumn("path", F.substr("whole", F.lit(len(plain) + 2)))
     wanted = F.lit(False)
     for g in include:
         wanted = wanted | F.col("path").rlike(glob_regex(g))
     for g in exclude or []:
         wanted = wanted & ~F.col("path").rlike(fnmatch_regex(g)) & ~F.col("whole").rlike(fnmatch_regex(f"*{g}"))
+    return files.where(wanted).select("uri", "path", "whole", "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None, source_id: str = "", entrypoints: list[str] | None = None, latin: bool = True, only: list[str] | None = None) -> DataFrame:
+    """(source_id, path, content, modified, is_entrypoint, extension, error) of the files of a listing().
+
+    Files that can't be decoded have a null content and say so in error. Order is by path where it matters: rows carry their path.
+    """
     text = decoded(F.col("content"), latin)
-    return files.where(wanted).select(
-        F.lit(source_id).alias("source_id"), "path", text.alias("content"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"), F.col("path").isin(list(entrypoints or [])).alias("is_entrypoint"),
+    return listing(spark, root, include, exclude, only).select(
+        F.lit(source_id).alias("source_id"), "path", text.alias("content"), F.col("modified").cast("timestamp_ntz").alias("modified"), F.col("path").isin(list(entrypoints or [])).alias("is_entrypoint"),
         F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"), F.when(text.isNull(), F.lit("not UTF-8")).alias("error"),
     )
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes each of rows(path, content) as a file below root, by the executors, and deletes those whose content is null; how many rows there were.
+
+    A task that is tried again writes the same files again. Paths are distinct and relative.
+    """
+    base = qualified(rows.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = (fs.LocalFileSystem(), "/" + base[5:].lstrip("/")) if base.startswith("file:") else fs.FileSystem.from_uri(base.replace("s3a://", "s3://", 1))
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = f"{at}/{path}"
+                if content.is_valid:
+                    system.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(whole) as out:
+                        out.write(content.as_buffer())
+                elif system.get_file_info(whole).type != fs.FileType.NotFound:
+                    system.delete_file(whole)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -74,12 +74,13 @@ def load_lexical(spark: SparkSession, path: str) -> Lexical:
     return Lexical(spark.read.schema(_POSTINGS + (_PLACES if s.get("positions") else "")).parquet(f"{path}/postings"), spark.read.schema("term string, df long").parquet(f"{path}/terms"), s["chunks"], s["mean"], s["analyzer"])
 
 
-_VECTORS = "id string, point_id string, source_id string, embedding array<float>, provider string, dim int"
+_VECTORS = "id string, point_id string, source_id string, embedding array<float>, provider string, dim int, digest string"
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors with the UUID that names each point."""
-    vectors.select("id", uuid5(F.col("id")).alias("point_id"), "source_id", "embedding", "provider", "dim").write.mode("overwrite").parquet(path)
+    """Vectors with the UUID that names each point, and the digest of what was embedded, if that is known."""
+    digest = F.col("digest") if "digest" in vectors.columns else F.lit(None).cast("string").alias("digest")
+    vectors.select("id", uuid5(F.col("id")).alias("point_id"), "source_id", "embedding", "provider", "dim", digest).write.mode("overwrite").parquet(path)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
