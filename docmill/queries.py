@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text, vocabulary
 from docmill.functions.schema import as_chunks
-from docmill.operators import expand, fuse, graph, knn, lexical, segments
+from docmill.operators import expand, fuse, graph, knn, lexical, pruned, segments
 from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
 from docmill.plans import changes, indexing, search
@@ -277,6 +277,13 @@ def bm25_multifield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_search(lexical.build_lexical(chunks_of(spark, sf_dir), keep=keep), rows, 20).select("query_id", "id", "score", "rank")
 
 
+@query(f"WITH {_bm25(_VALUES)} SELECT query_id, id, score, rank FROM {_top(20)}")
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, without scoring what can't be among the best."""
+    index = pruned.tiered(lexical.build_lexical(chunks_of(spark, sf_dir), keep=keep), keep=keep)
+    return pruned.pruned_search(index, lexical.exploded(asked(spark), text.query_terms("text")), 20).select("query_id", "id", "score", "rank")
+
+
 _LIVING = _bm25(_VALUES).replace("FROM documents)", "FROM documents WHERE doc_id % 11 <> 0)", 1)
 
 
