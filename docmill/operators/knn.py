@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -23,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def _flat(column: pa.Array) -> np.ndarray:
+def flat(column: pa.Array) -> np.ndarray:
     """A list column as a matrix, in double precision. Null vectors are zero vectors."""
     n = len(column)
     if column.null_count:
@@ -35,27 +36,61 @@ def _flat(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
-def _best(q: np.ndarray, query_ids: pa.Array, sources: np.ndarray | None, codes: dict[str, int], k: int):
-    """A mapInArrow function from batches (id, embedding[, source_id]) to the k best rows of each batch for each query, ties with the k-th kept."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero vectors stay."""
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.where(size > 0, x, 0) / np.where(size > 0, size, 1)
+
+
+@dataclass
+class Asked:
+    """Queries that the driver holds: ids, unit vectors, and for each the code of its source (-1: any) if sources are asked for."""
+
+    ids: pa.Array
+    q: np.ndarray
+    sources: np.ndarray | None
+    codes: dict[str, int]
+    kind: str
+
+
+def asked_vectors(query_ids: pa.Array, q: np.ndarray, sources: list | None, kind: str) -> Asked:
+    q = np.asarray(q, float).reshape(len(query_ids), -1)
+    q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
+    codes = {s: i for i, s in enumerate(dict.fromkeys(s for s in sources or [] if s is not None))}
+    return Asked(query_ids, q, None if sources is None else np.array([-1 if s is None else codes[s] for s in sources]), codes, kind)
+
+
+def rows_of_queries(queries: DataFrame, filtered: bool, most: int | None = None) -> Asked | None:
+    """queries(query_id, embedding[, source]) on the driver; None if there are none, an error if there are too many."""
+    rows = few(queries, most or MOST_QUERIES)
+    if rows is None:
+        raise ValueError(f"more than {most or MOST_QUERIES} queries at once")
+    kind = queries.schema["query_id"].dataType
+    sources = [r["source"] for r in rows] if filtered and "source" in queries.columns else None
+    return asked_vectors(pa.array([r["query_id"] for r in rows], to_arrow_type(kind)), np.array([r["embedding"] for r in rows], float), sources, kind.simpleString()) if rows else None
+
+
+def batch_best(asked: Asked, k: int | None, slack: float = 0.0, filtered: bool = True):
+    """A mapInArrow function from batches (id, embedding[, source_id]) to the k best rows of each batch for each query, those that come within slack of the k-th too; without k to all rows."""
+    q, sources = asked.q, asked.sources if filtered else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _flat(batch.column(1))
+            x = flat(batch.column(1))
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors of {x.shape[1]} dimensions, queries of {q.shape[1]}")
-            size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            x = np.where(size > 0, x, 0) / np.where(size > 0, size, 1)
-            own = np.array([codes.get(v, -2) for v in batch.column(2).to_pylist()]) if sources is not None else None
+            x = unit(x)
+            own = np.array([asked.codes.get(v, -2) for v in batch.column(2).to_pylist()]) if sources is not None else None
             for j in range(0, len(q), QUERIES_AT_ONCE):
                 s = np.round(x @ q[j : j + QUERIES_AT_ONCE].T, 6) + 0.0
                 if own is not None:
-                    asked = sources[j : j + QUERIES_AT_ONCE]
-                    s[(asked[None, :] != -1) & (asked[None, :] != own[:, None])] = -np.inf
-                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -np.inf)
+                    wanted = sources[j : j + QUERIES_AT_ONCE]
+                    s[(wanted[None, :] != -1) & (wanted[None, :] != own[:, None])] = -np.inf
+                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] - slack if k is not None and len(s) > k else np.full(s.shape[1], -np.inf)
                 row, query = np.nonzero((s >= least) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(query + j)), batch.column(0).take(pa.array(row)), pa.array(s[row, query])], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(query + j)), batch.column(0).take(pa.array(row)), pa.array(s[row, query])], ["query_id", "id", "score"])
 
     return run
 
@@ -66,13 +101,10 @@ QUERIES_AT_ONCE, MOST_QUERIES = 256, 10_000
 
 def nearest_to(vectors: DataFrame, query_ids: pa.Array, q: np.ndarray, sources: list | None, k: int, query_type: str) -> DataFrame:
     """(query_id, id, score, rank): the k vectors closest to each row of q, of a few queries that the driver holds."""
-    q = np.asarray(q, float).reshape(len(query_ids), -1)
-    q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
     filtered = sources is not None and "source_id" in vectors.columns
-    codes = {s: i for i, s in enumerate(dict.fromkeys(s for s in sources or [] if s is not None))}
-    wanted = np.array([-1 if s is None else codes[s] for s in sources]) if filtered else None
+    asked = asked_vectors(query_ids, q, sources if filtered else None, query_type)
     kinds = f"query_id {query_type}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    return top_k(vectors.select("id", "embedding", *(["source_id"] if filtered else [])).mapInArrow(_best(q, query_ids, wanted, codes, k), kinds), k)
+    return top_k(vectors.select("id", "embedding", *(["source_id"] if filtered else [])).mapInArrow(batch_best(asked, k), kinds), k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = MOST_QUERIES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text, vocabulary
 from docmill.functions.schema import as_chunks
-from docmill.operators import expand, fuse, graph, knn, lexical, pruned, segments
+from docmill.operators import coded, expand, fuse, graph, knn, lexical, pruned, segments
 from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
 from docmill.plans import changes, indexing, search
@@ -400,6 +400,15 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(v.drop("source_id"), a.drop("source"), 10)
 
 
+@query(f"WITH {_NEAR.format(_VECTOR_VALUES, 'true')} SELECT query_id, id, score, rank FROM {_top(10, source='v')}")
+def vector_coded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vector_topk, by codes and exact scores of what they leave."""
+    v, a = _vectors(spark, sf_dir)
+    v, path = v.drop("source_id"), shared_path(spark, "codes")
+    coded.save_codes(v, path)
+    return coded.nearest_coded(spark.read.parquet(path), v, a.drop("source"), 10)
+
+
 @query(f"WITH {_NEAR.format(_VECTOR_VALUES, 'a.label = b.label')} SELECT query_id, id, score, rank FROM {_top(10, source='v')}")
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(*_vectors(spark, sf_dir), 10)
