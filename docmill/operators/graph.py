@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.plans.shared import sized, written
+from docmill.operators.lexical import one_of
+from docmill.plans.shared import few, local_table, sized, written
 
 #: Relation types.
 RELATIONS = "belongs_to has_variant extends uses related_to has_prop documents has_template has_stylesheet has_source imports references".split()
@@ -22,12 +23,14 @@ NODE_TYPES = "component category prop chunk source_file".split()
 
 NODE_SCHEMA = "node_id string, node_type string, name string, category string, description string, chunk_id string, chunk_type string, parent_category string, language string, file_type string, seq long"
 EDGE_SCHEMA = "src string, dst string, relation_type string, weight double, bidirectional boolean, seq long"
+REACH_SCHEMA = f"node string, other string, {EDGE_SCHEMA}"
 
 
 @dataclass
 class Graph:
     nodes: DataFrame  # as NODE_SCHEMA
     edges: DataFrame  # as EDGE_SCHEMA
+    reach: DataFrame | None = None  # as REACH_SCHEMA, of a stored graph: edges by either end, in ranges of nodes
 
 
 def kept(graph: Graph) -> Graph:
@@ -35,6 +38,27 @@ def kept(graph: Graph) -> Graph:
     return Graph(written(graph.nodes, "nodes"), written(graph.edges, "edges"))
 
 
+def reach_of(edges: DataFrame) -> DataFrame:
+    """Every edge under each of its ends, the other beside it."""
+    rows = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *edges.columns)
+    return rows.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *edges.columns))
+
+
+def around(graph: Graph, asked: DataFrame) -> Graph:
+    """What a stored graph has of the asked(asked) components and all that they touch, if that is little: read from their ranges and
+    held in the plan. Else, and of other graphs, the graph itself."""
+    ids = few(asked.select(component_id(F.col("asked")).alias("n")).distinct()) if graph.reach is not None else None
+    if ids is None:
+        return graph
+    rows = few(graph.reach.where(one_of("node", sorted(r[0] for r in ids if r[0] is not None))))
+    if rows is None:
+        return graph
+    spark, edges = graph.edges.sparkSession, {tuple(r)[2:] for r in rows}
+    touched = sorted({n for r in rows for n in (r["node"], r["other"])} | {r[0] for r in ids if r[0] is not None})
+    nodes = few(graph.nodes.where(one_of("node_id", touched)))
+    return graph if nodes is None else Graph(local_table(spark, nodes, NODE_SCHEMA), local_table(spark, sorted(edges, key=str), EDGE_SCHEMA))
+
+
 def _node(kind: str, prefix: str, name: Column, **more: Column) -> list[Column]:
     have = {"category": "string", "description": "string", "chunk_id": "string", "chunk_type": "string", "parent_category": "string", "language": "string", "file_type": "string"}
     return [F.concat(F.lit(f"{prefix}:"), name).alias("node_id"), F.lit(kind).alias("node_type"), name.alias("name"), *[more.get(c, F.lit(None)).cast(t).alias(c) for c, t in have.items()], F.col("seq")]
@@ -199,13 +223,17 @@ def walk(graph: Graph, asked: DataFrame, depth: int = 2, mode: str = "shortest")
     distance is the least number of hops. With mode ``walk`` it is the length of the longest walk of at most depth hops
     that ends there, which may pass a node more than once.
     """
-    e = graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    e = written(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
+    if graph.reach is None:
+        every = written(reach_of(graph.edges).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "neighbours")
+    else:
+        every = graph.reach.select(F.col("node").alias("a"), F.col("other").alias("b"))
     known = graph.nodes.where("node_type = 'component'").select("node_id", "name")
     start = asked.select("asked", component_id(F.col("asked")).alias("node_id")).distinct().join(known.select("node_id"), "node_id", "left_semi")
     seen = written(start.withColumn("hops", F.lit(0)), "walk-0")
     front = seen
     for hop in range(1, depth + 1):
+        ids = few(front.select("node_id").distinct()) if graph.reach is not None else None
+        e = every if ids is None else every.where(one_of("a", sorted(r[0] for r in ids)))
         step = front.select("asked", F.col("node_id").alias("a")).join(e, "a").select("asked", F.col("b").alias("node_id")).distinct()
         if mode == "shortest":
             step = step.join(seen.select("asked", "node_id"), ["asked", "node_id"], "left_anti")
@@ -220,6 +248,7 @@ def walk(graph: Graph, asked: DataFrame, depth: int = 2, mode: str = "shortest")
 
 def component_info(graph: Graph, chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """One row for each known component: category, description, relations as sorted lists, and its chunks' titles by type."""
+    graph = around(graph, asked)
     rows = find_nodes(graph, "component", asked).select(F.col("name").alias("asked"), "category", F.coalesce("description", F.lit("")).alias("description"))
     in_order = lambda df, to, what="name": df.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("seq", what))).alias("_l")).select("asked", F.transform("_l", lambda x: x[what]).alias(to))
     for to, found in (("variants", variants_of(graph, asked)), ("uses", uses_of(graph, asked)), ("used_by", users_of(graph, asked)), ("related_to", related_to(graph, asked))):

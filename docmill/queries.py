@@ -591,7 +591,11 @@ SELECT name AS asked, (SELECT arg_min(cat, seq) FROM chunks WHERE name = c.name)
   (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM (SELECT chunk_type AS t, count(*) AS n FROM chunks WHERE name = c.name GROUP BY 1)) AS by_type FROM c""")
 def component_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
-    rows = graph.component_info(graph.kept(graph.build_graph(chunks)), chunks, _names(spark, "src1", "src5"))
+    return _told(graph.component_info(graph.kept(graph.build_graph(chunks)), chunks, _names(spark, "src1", "src5")))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Component information in plain columns."""
     flat = [F.array_join(F.array_sort(c), ",").alias(c) for c in ("variants", "uses", "used_by", "related_to")]
     types = F.array_join(F.array_sort(F.transform(F.map_entries("by_type"), lambda e: F.concat(e["key"], F.lit("="), F.size(e["value"]).cast("string")))), ",")
     return rows.select("asked", "category", *flat, "extends", "chunk_count", types.alias("by_type"))
@@ -739,6 +743,24 @@ def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load_graph(spark, path).edges.select("src", "dst", "relation_type")
 
 
+def _stored_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    path = shared_path(spark, "graph")
+    store.save_graph(_graph(spark, sf_dir), path)
+    return store.load_graph(spark, path)
+
+
+@query(SQL["component_info"])
+def component_info_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As component_info, over a stored graph, of which only the asked components' ranges are read."""
+    return _told(graph.component_info(_stored_graph(spark, sf_dir), chunks_of(spark, sf_dir), _names(spark, "src1", "src5")))
+
+
+@query(SQL["related_within_depth"])
+def related_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As related_within_depth, over a stored graph."""
+    return graph.walk(_stored_graph(spark, sf_dir), _names(spark, "src1", "src7"), 2)
+
+
 @query(f"WITH {_bm25('(1, ' + repr('annt eringed inor') + ')')} SELECT query_id, id, score, rank FROM {_top(10)}")
 def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over an index that was saved and loaded."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.schema import CHUNK_SCHEMA, as_chunks
 from docmill.functions.text import uuid5
-from docmill.operators.graph import EDGE_SCHEMA, NODE_SCHEMA, Graph
+from docmill.operators.graph import EDGE_SCHEMA, NODE_SCHEMA, REACH_SCHEMA, Graph, reach_of
 from docmill.operators.lexical import Lexical
 from docmill.sources.files import delete, exists, read_text, write_text
 
@@ -48,14 +48,17 @@ def chunks_from_json(rows: DataFrame) -> DataFrame:
 
 
 def save_graph(graph: Graph, path: str) -> None:
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    """Nodes and edges, these also by either end; in ranges of nodes, so that a scan for few of them skips the others."""
+    graph.nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode("overwrite").parquet(f"{path}/nodes")
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    reach_of(graph.edges).repartitionByRange("node", "other").sortWithinPartitions("node", "other").write.mode("overwrite").parquet(f"{path}/reach")
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph | None:
     if not exists(spark, f"{path}/edges"):
         return None
-    return Graph(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges"))
+    reach = spark.read.schema(REACH_SCHEMA).parquet(f"{path}/reach") if exists(spark, f"{path}/reach") else None
+    return Graph(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges"), reach)
 
 
 _POSTINGS = "id string, source_id string, seq long, n int, term string, tf long"
