@@ -203,7 +203,7 @@ def read_records(source) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
         lines = head.decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {lines[0][:40]!r}")
-        fields = {k: v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        fields = {k: v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
         block = reader.pieces(int(fields["Content-Length"]))
         yield fields, block
         for _ in block:

@@ -475,3 +475,9 @@ def test_url_classifier_on_words_it_has_not_seen(fold):
 def test_url_classifier_verdicts(url, blocked):
     host, path = urls._split(url)
     assert (urls.trained().probability([host], [path])[0] >= 0.5) == blocked
+
+
+def test_warc_values_keep_their_spaces(spark, tmp_path):
+    rows = [(1, " http://x.example/a ", "<p>" + "a" * 200), (2, "\thttp://x.example/b", "<p>" + "a" * 200)]
+    warc.write_archives(frame(spark, rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert {(r["page_id"], r["url"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()} == {(1, " http://x.example/a "), (2, "\thttp://x.example/b")}
