@@ -60,8 +60,8 @@ def _put(at: str, chunks: DataFrame, lexical: Lexical, tfidf: Lexical, vectors:
     store.save_vectors(vectors, f"{at}/vectors")
 
 
-def save(found: Indexes, path: str, files: DataFrame | None = None) -> None:
-    """Writes all tables as a new version of one segment. files: the manifest of the files that were indexed."""
+def save(found: Indexes, path: str, files: DataFrame | None = None, marks: dict[str, int] | None = None) -> None:
+    """Writes all tables as a new version of one segment. files: the manifest of the files that were indexed; marks: see add()."""
     spark, version = found.hybrid.chunks.sparkSession, uuid.uuid4().hex
     old = current(spark, path)
     at = f"{path}/index/{version}/0"
@@ -70,7 +70,7 @@ def save(found: Indexes, path: str, files: DataFrame | None = None) -> None:
     if files is not None:
         files.write.mode("overwrite").parquet(f"{at}/files")
     counts = segments.counts_of(found.hybrid.lexical)
-    _point(spark, path, {"version": version, "before": old and old["version"], "made_by": found.hybrid.made_by, "segment": 0, "chunks": counts.chunks, "tokens": counts.tokens, "dead": 0, "files": files is not None})
+    _point(spark, path, {"version": version, "before": old and old["version"], "made_by": found.hybrid.made_by, "segment": 0, "chunks": counts.chunks, "tokens": counts.tokens, "dead": 0, "files": files is not None, "marks": marks or {}})
     for name in folders(spark, f"{path}/index"):
         if name not in (POINTER, version, old and old["version"]) and not name.startswith("."):
             delete(spark, f"{path}/index/{name}")
@@ -107,13 +107,17 @@ def load(spark: SparkSession, path: str, provider: Provider, expansions: DataFra
     return Indexes(hybrid, index("tfidf"), store.load_graph(spark, f"{parts[-1]}/graph"))
 
 
-def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touched: DataFrame, files: DataFrame) -> None:
+def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touched: DataFrame, files: DataFrame | None = None, mark: tuple[str, int] | None = None) -> None:
     """Adds a segment of new chunks to the stored index. Chunks of touched(source_id, path), and those that new ones replace, die.
 
-    Of new chunks with one id the last counts. Texts that the index has a vector of aren't embedded again. files: the manifest as it is now.
+    Of new chunks with one id the last counts. Texts that the index has a vector of aren't embedded again. files: the manifest as it is now, else it
+    stays. mark: a writer's name and the number of what it adds; what isn't after its last number has been added before and isn't again.
     Only what is new is written, besides the manifest, the list of the dead and the graph.
     """
     told = current(spark, path)
+    marks = told.get("marks", {})
+    if mark is not None and mark[1] <= marks.get(mark[0], -1):
+        return
     parts, dead = _parts(spark, path, told), _dead(spark, path, told)
     k = told["segment"] + 1
     at = f"{path}/index/{told['version']}/{k}"
@@ -129,9 +133,11 @@ def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touc
     lost = gone.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     all_dead = gone.select("id", "segment")
     (all_dead if dead is None else all_dead.unionByName(dead)).write.mode("overwrite").parquet(f"{at}/dead")
-    files.write.mode("overwrite").parquet(f"{at}/files")
+    files = manifest(spark, path) if files is None else files
+    if files is not None:
+        files.write.mode("overwrite").parquet(f"{at}/files")
     counts = segments.counts_of(lexical)
-    after = told | {"segment": k, "chunks": told["chunks"] - lost["chunks"] + counts.chunks, "tokens": told["tokens"] - lost["tokens"] + counts.tokens, "dead": told["dead"] + lost["chunks"], "files": True}
+    after = told | {"segment": k, "chunks": told["chunks"] - lost["chunks"] + counts.chunks, "tokens": told["tokens"] - lost["tokens"] + counts.tokens, "dead": told["dead"] + lost["chunks"], "files": files is not None, "marks": marks | ({mark[0]: mark[1]} if mark else {})}
     new_dead = spark.read.schema(_DEAD).parquet(f"{at}/dead")
     chunks = segments.living([spark.read.schema(CHUNK_SCHEMA).parquet(f"{p}/chunks") for p in [*parts, at]], new_dead if after["dead"] else None)
     store.save_graph(graphs.build_graph(chunks), f"{at}/graph")

@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from docmill.functions.schema import CHUNK_SCHEMA
 from docmill.operators.chunking import CHUNKERS
-from docmill.operators.lexical import latest
+from docmill.operators.graph import build_graph
+from docmill.operators.knn import Provider, hashing_provider
+from docmill.operators.lexical import build_tfidf, latest
+from docmill.plans import stored
 from docmill.plans.indexing import numbered
+from docmill.plans.search import build_hybrid
+from docmill.plans.shared import sized, written
 from docmill.sources import store
 from docmill.sources.files import decoded, qualified
 
 
-def stream_files(spark: SparkSession, root: str, source_id: str, extensions: tuple[str, ...]) -> DataFrame:
-    """Files below root as they appear, in the columns that chunkers take."""
+def stream_files(spark: SparkSession, root: str, source_id: str, extensions: tuple[str, ...], latin: bool = True) -> DataFrame:
+    """Files below root as they appear, in the columns that chunkers take. Those that can't be decoded are left out."""
     kind = "path string, modificationTime timestamp, length long, content binary"
     base = qualified(spark, root)
     rows = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", True).load(base)
     path = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
     start = F.length(F.regexp_replace(F.lit(base), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")) + 2
-    rows = rows.select(F.lit(source_id).alias("source_id"), F.substr(path, start).alias("path"), decoded(F.col("content"), True).alias("content"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"), F.lit(False).alias("is_entrypoint"))
-    return rows.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(extensions)))
+    rows = rows.select(F.lit(source_id).alias("source_id"), F.substr(path, start).alias("path"), decoded(F.col("content"), latin).alias("content"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"), F.lit(False).alias("is_entrypoint"))
+    return rows.where("content is not null").where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(extensions)))
 
 
 def _swapped(rows: DataFrame, store_path: str, name: str) -> None:
@@ -50,6 +55,32 @@ def merge_chunks(store_path: str, adapter: str):
     return merge
 
 
+def merge_index(path: str, adapter: str, name: str, provider: Provider | None = None):
+    """A foreachBatch function: the chunks of a batch's files become a segment of the index stored at path, or the index if there is none.
+
+    Chunks of the same files die. The pointer to the index also keeps the number of the stream's last batch, under its name, so that
+    a batch that comes again changes nothing, and one that was broken off is merged as if for the first time. Once there are
+    many segments, the living are written as a new version.
+    """
+    chunker, provider = CHUNKERS[adapter][1], provider or hashing_provider()
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, told = batch.sparkSession, stored.current(batch.sparkSession, path)
+        if told and number <= told.get("marks", {}).get(name, -1):
+            return
+        files = written(latest(batch.withColumn("_k", F.concat_ws(":", "source_id", "path")), "_k", "modified").drop("_k"), "stream-files")
+        old = stored.load(spark, path, provider) if told else None
+        first = store.last_seq(old.hybrid.chunks) + 1 if old else 0
+        new = numbered(chunker(files).withColumns({"source_no": F.lit(0), "adapter_no": F.lit(0)}), first)
+        if old and told["segment"] < stored.MOST_SEGMENTS:
+            return stored.add(spark, path, provider, new, files.select("source_id", "path"), mark=(name, number))
+        chunks = new if old is None else old.hybrid.chunks.join(sized(files.select("source_id", "path")), ["source_id", "path"], "left_anti").select(*new.columns).unionByName(new)
+        hybrid = build_hybrid(chunks, provider)
+        stored.save(stored.Indexes(hybrid, build_tfidf(hybrid.chunks), build_graph(hybrid.chunks)), path, stored.manifest(spark, path), (told or {}).get("marks", {}) | {name: number})
+
+    return merge
+
+
 def forget_missing(spark: SparkSession, root: str, source_id: str, store_path: str) -> int:
     """Removes the chunks of files that are no longer below root; how many there were."""
     base = qualified(spark, root)
@@ -64,7 +95,11 @@ def forget_missing(spark: SparkSession, root: str, source_id: str, store_path: s
     return gone
 
 
-def follow(spark: SparkSession, root: str, source_id: str, adapter: str, store_path: str, checkpoint: str, once: bool = True):
-    """Starts the stream; with ``once`` it ends when all files that are there have been merged."""
-    writer = stream_files(spark, root, source_id, CHUNKERS[adapter][0]).writeStream.foreachBatch(merge_chunks(store_path, adapter)).option("checkpointLocation", checkpoint)
+def follow(spark: SparkSession, root: str, source_id: str, adapter: str, store_path: str, checkpoint: str, once: bool = True, index: str | None = None):
+    """Starts the stream; with ``once`` it ends when all files that are there have been merged.
+
+    Into the chunk store, or with index, the stream's name, into the stored index instead.
+    """
+    merge = merge_chunks(store_path, adapter) if index is None else merge_index(store_path, adapter, index)
+    writer = stream_files(spark, root, source_id, CHUNKERS[adapter][0], adapter in ("source", "python")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

@@ -143,3 +143,37 @@ def test_segments_with_nothing_new_or_nothing_dead(spark):
     some = segments.merged([one, none, two], dead, segments.Counts(3, 5))
     assert terms(some) == {"x": 2, "y": 1, "z": 1} and {r["id"] for r in some.postings.collect()} == {"a", "d"}
     assert terms(segments.merged([one, none], spark.createDataFrame([("a", 0), ("b", 0)], "id string, segment int"), segments.Counts(1, 0))) == {}
+
+
+def test_a_stream_merges_into_the_stored_index_once(spark, tmp_path, monkeypatch):
+    from docmill.streaming.ingest import follow, merge_index
+
+    root, path, check = tmp_path / "in", str(tmp_path / "index"), str(tmp_path / "check")
+    root.mkdir()
+    (root / "a.md").write_text("# One\nalpha words")
+    (root / "b.md").write_bytes(b"# Bad \xff")
+    run = lambda: follow(spark, str(root), "s", "markdown", path, check, index="docs").awaitTermination()
+    rows = lambda: sorted((r["path"], r["title"]) for r in stored.load(spark, path, knn.hashing_provider()).hybrid.chunks.collect())
+    run()
+    assert rows() == [("a.md", "One")] and stored.current(spark, path)["marks"] == {"docs": 0}
+    (root / "c.md").write_text("# Two\nbeta\n# Three")
+    with monkeypatch.context() as m:  # the driver is lost before the pointer is replaced
+        m.setattr(stored, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert rows() == [("a.md", "One")]
+    run()
+    want = [("a.md", "One"), ("c.md", "Three"), ("c.md", "Two")]
+    told = stored.current(spark, path)
+    assert rows() == want and told["marks"] == {"docs": 1} and told["segment"] == 1
+    again = spark.createDataFrame([("s", "c.md", "# Two\nbeta\n# Three", False)], "source_id string, path string, content string, is_entrypoint boolean").withColumn("modified", F.current_timestamp().cast("timestamp_ntz"))
+    merge_index(path, "markdown", "docs")(again, 1)  # a batch that comes again
+    assert stored.current(spark, path) == told
+    merge_index(path, "markdown", "docs")(again.withColumn("content", F.lit("# New")), 2)
+    assert rows() == [("a.md", "One"), ("c.md", "New")]
+    index = stored.load(spark, path, knn.hashing_provider()).hybrid.lexical
+    assert {r["term"] for r in index.terms.collect()} >= {"alpha", "new"} and index.terms.where("term = 'beta'").count() == 0 and index.chunks == 2
+    monkeypatch.setattr(stored, "MOST_SEGMENTS", 1)
+    merge_index(path, "markdown", "docs")(again.withColumns({"content": F.lit("# Last"), "path": F.lit("d.md")}), 3)
+    told = stored.current(spark, path)
+    assert rows() == [("a.md", "One"), ("c.md", "New"), ("d.md", "Last")] and told["segment"] == 0 and told["marks"] == {"docs": 3}
