@@ -143,3 +143,9 @@ def held(df: DataFrame) -> DataFrame:
     """A table of a few rows as values in the plan, so that it is worked out once; a larger one as it is."""
     rows = few(df)
     return df if rows is None else F.broadcast(local_table(df.sparkSession, rows, df.schema))
+
+
+def kept_near(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read more than once: as values in the plan if it has a few rows, else written to the shared folder."""
+    rows = few(df)
+    return written(df, name) if rows is None else local_table(df.sparkSession, rows, df.schema)

@@ -22,7 +22,7 @@ from docmill.operators.knn import Provider
 from docmill.operators.lexical import FIELDS, Lexical, build_lexical, build_tfidf, latest, tokens_of
 from docmill.plans.changes import FILES
 from docmill.plans.search import HybridIndex
-from docmill.plans.shared import BROADCAST_ROWS, sized, written
+from docmill.plans.shared import BROADCAST_ROWS, kept_near, sized, written
 from docmill.sources import store
 from docmill.sources.files import delete, exists, folders, read_text, write_text
 
@@ -53,7 +53,7 @@ def _point(spark: SparkSession, path: str, told: dict) -> None:
 
 def _put(at: str, chunks: DataFrame, lexical: Lexical, tfidf: Lexical, vectors: DataFrame) -> None:
     """The tables of a segment. Chunks are in ranges of ids and postings in ranges of terms, so that lookups skip most of them."""
-    chunks.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{at}/chunks")
+    store.in_ranges(chunks, lexical.chunks, "id").write.mode("overwrite").parquet(f"{at}/chunks")
     chunks.select("id", "source_id", "path", F.size(tokens_of(FIELDS)).cast("long").alias("n")).write.mode("overwrite").parquet(f"{at}/documents")
     store.save_lexical(lexical, f"{at}/lexical")
     store.save_lexical(tfidf, f"{at}/tfidf")
@@ -70,7 +70,7 @@ def save(found: Indexes, path: str, files: DataFrame | None = None, marks: dict[
     if files is not None:
         files.write.mode("overwrite").parquet(f"{at}/files")
     counts = segments.counts_of(found.hybrid.lexical)
-    _point(spark, path, {"version": version, "before": old and old["version"], "made_by": found.hybrid.made_by, "segment": 0, "chunks": counts.chunks, "tokens": counts.tokens, "dead": 0, "files": files is not None, "marks": marks or {}})
+    _point(spark, path, {"version": version, "before": old and old["version"], "made_by": found.hybrid.made_by, "segment": 0, "chunks": counts.chunks, "tokens": counts.tokens, "dead": 0, "graph": 0, "files": files is not None, "marks": marks or {}})
     for name in folders(spark, f"{path}/index"):
         if name not in (POINTER, version, old and old["version"]) and not name.startswith("."):
             delete(spark, f"{path}/index/{name}")
@@ -104,7 +104,7 @@ def load(spark: SparkSession, path: str, provider: Provider, expansions: DataFra
     index = lambda name: segments.merged([store.load_lexical(spark, f"{p}/{name}") for p in parts], dead, counts)
     vectors = segments.living([store.load_vectors(spark, f"{p}/vectors") for p in parts], dead)
     hybrid = HybridIndex(table("chunks", CHUNK_SCHEMA), index("lexical"), vectors, provider, expansions, told["made_by"] and tuple(told["made_by"]))
-    return Indexes(hybrid, index("tfidf"), store.load_graph(spark, f"{parts[-1]}/graph"))
+    return Indexes(hybrid, index("tfidf"), store.load_graph(spark, f"{parts[told['graph']]}/graph"))
 
 
 def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touched: DataFrame, files: DataFrame | None = None, mark: tuple[str, int] | None = None) -> None:
@@ -112,7 +112,7 @@ def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touc
 
     Of new chunks with one id the last counts. Texts that the index has a vector of aren't embedded again. files: the manifest as it is now, else it
     stays. mark: a writer's name and the number of what it adds; what isn't after its last number has been added before and isn't again.
-    Only what is new is written, besides the manifest, the list of the dead and the graph.
+    Only what is new is written, besides the manifest, the list of the dead and, if components are concerned, the graph.
     """
     told = current(spark, path)
     marks = told.get("marks", {})
@@ -123,7 +123,7 @@ def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touc
     at = f"{path}/index/{told['version']}/{k}"
     analyzer = store.load_lexical(spark, f"{parts[0]}/lexical").analyzer
     new = written(latest(new), "new-chunks")
-    lexical, tfidf = build_lexical(new, analyzer, positions=True), build_tfidf(new)
+    lexical, tfidf = build_lexical(new, analyzer, keep=kept_near, positions=True), build_tfidf(new, keep=kept_near)
     known = [store.load_vectors(spark, f"{p}/vectors") for p in parts]
     vectors = written(knn.embed_chunks(new, provider, segments.living(known, None)), "new-vectors")
     _put(at, new, lexical, tfidf, vectors)
@@ -138,7 +138,10 @@ def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touc
         files.write.mode("overwrite").parquet(f"{at}/files")
     counts = segments.counts_of(lexical)
     after = told | {"segment": k, "chunks": told["chunks"] - lost["chunks"] + counts.chunks, "tokens": told["tokens"] - lost["tokens"] + counts.tokens, "dead": told["dead"] + lost["chunks"], "files": files is not None, "marks": marks | ({mark[0]: mark[1]} if mark else {})}
-    new_dead = spark.read.schema(_DEAD).parquet(f"{at}/dead")
-    chunks = segments.living([spark.read.schema(CHUNK_SCHEMA).parquet(f"{p}/chunks") for p in [*parts, at]], new_dead if after["dead"] else None)
-    store.save_graph(graphs.build_graph(chunks), f"{at}/graph")
+    every = [spark.read.schema(CHUNK_SCHEMA).parquet(f"{p}/chunks") for p in [*parts, at]]
+    component = segments.numbered_segments([c.where("chunk_class = 'component'").select("id") for c in every])
+    if component.where(F.col("segment") == k).take(1) or component.join(sized(gone.select("id", "segment")), ["id", "segment"], "left_semi").take(1):
+        new_dead = spark.read.schema(_DEAD).parquet(f"{at}/dead")
+        store.save_graph(graphs.build_graph(segments.living(every, new_dead if after["dead"] else None)), f"{at}/graph")
+        after["graph"] = k
     _point(spark, path, after)

@@ -105,22 +105,21 @@ class Engine:
     def _refresh(self, some: list[Source]) -> None:
         spark, before = self.spark, stored.manifest(self.spark, self.path)
         found = changes.changes(spark, some, before)
-        touched = found.where("change in ('changed', 'removed')").select("source_id", "path")
-        fresh = found.where("change in ('added', 'changed')")
-        if not found.where("change <> 'kept'").take(1):
-            return
-        uris = few(fresh.select("uri"))
-        if uris is None:
+        rows = few(found.where("change <> 'kept'").select("source_id", "path", "uri", "change"))
+        if rows is None:
             return self._rebuild(some, None if len(some) == len(self.sources) else some[0].id)
-        new = written(index_sources(spark, [s for s in some], store.last_seq(self.stored) + 1, [r[0] for r in uris]), "reloaded")
+        if not rows:
+            return None
+        touched = local_table(spark, [(r["source_id"], r["path"]) for r in rows if r["change"] != "added"], "source_id string, path string")
+        ids = sorted({r["source_id"] for r in rows})
+        new = index_sources(spark, [s for s in some if s.id in ids], store.last_seq(self.stored) + 1, [r["uri"] for r in rows if r["uri"] is not None])
+        new = written(new, "reloaded")
         others = before.where(~F.col("source_id").isin([s.id for s in some]))
-        files = written(others.unionByName(changes.manifest_of(found)), "manifest")
-        ids = [r[0] for r in found.where("change <> 'kept'").select("source_id").distinct().collect()]
-        kept = self.stored.where(F.col("source_id").isin(ids)).join(sized(touched), ["source_id", "path"], "left_anti").select(new.columns)
-        rows = written(kept.unionByName(new), "reloaded-sources")
-        stored.add(spark, self.path, self.index.provider, new, touched, files)
-        store.save_chunks(rows, self.path, ids)
-        for gone in set(ids) - {r[0] for r in rows.select("source_id").distinct().collect()}:
+        stored.add(spark, self.path, self.index.provider, new, touched, others.unionByName(changes.manifest_of(found)))
+        kept = self.stored.where(F.col("source_id").isin(ids)).join(F.broadcast(touched), ["source_id", "path"], "left_anti").select(new.columns)
+        both = written(kept.unionByName(new), "reloaded-sources")
+        store.save_chunks(both, self.path, ids)
+        for gone in set(ids) - {r[0] for r in both.select("source_id").distinct().collect()}:
             store.clear(spark, f"{self.path}/chunks/source_id={gone}")
         self.stored = store.load_chunks(spark, self.path)
         self._take(stored.load(spark, self.path, self.index.provider, self.index.expansions))

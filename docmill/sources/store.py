@@ -65,10 +65,20 @@ _POSTINGS = "id string, source_id string, seq long, n int, term string, tf long"
 _PLACES = ", at array<int>"
 
 
+#: Chunks up to which a table is written as one file, without looking for ranges first.
+SMALL = 1000
+
+
+def in_ranges(rows: DataFrame, chunks: int, *by: str) -> DataFrame:
+    """rows in ranges of columns, sorted within them; those of few chunks in one."""
+    return (rows.coalesce(1) if chunks <= SMALL else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+
+
 def save_lexical(index: Lexical, path: str) -> None:
     """Postings in ranges of terms, so that a scan for few terms skips most row groups."""
-    index.postings.select("id", "source_id", "seq", "n", "term", F.col("tf").cast("long").alias("tf"), *(["at"] if "at" in index.postings.columns else [])).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    postings = index.postings.select("id", "source_id", "seq", "n", "term", F.col("tf").cast("long").alias("tf"), *(["at"] if "at" in index.postings.columns else []))
+    in_ranges(postings, index.chunks, "term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    in_ranges(index.terms, index.chunks, "term").write.mode("overwrite").parquet(f"{path}/terms")
     write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer, "positions": "at" in index.postings.columns}))
 
 
