@@ -10,9 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The suffix rules of steps 2, 3 and 4 of the published algorithm.
-STEP2 = [tuple(r.split("=")) for r in "ational=ate tional=tion enci=ence anci=ance izer=ize logi=log bli=ble alli=al entli=ent eli=e ousli=ous ization=ize ation=ate ator=ate alism=al iveness=ive fulness=ful ousness=ous aliti=al iviti=ive biliti=ble".split()]
-STEP3 = [tuple(r.split("=")) for r in "icate=ic ative= alize=al iciti=ic ical=ic ful= ness=".split()]
-STEP4 = "al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize".split()
+STEP2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("bli", "ble"),
+    ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
+    ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+]
+STEP3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "sion", "tion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _shape(w: str) -> str:

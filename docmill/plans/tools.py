@@ -102,6 +102,18 @@ class Engine:
             self._rebuild(some, source)
         return counts_by_source(self.stored.where(F.col("source_id").isin([s.id for s in some])))
 
+    def clear(self, source: str) -> int:
+        """Takes a source out of the chunk store and the stored index; how many chunks it had. Its files count as new to a later reload."""
+        own = self.stored.where(F.col("source_id") == source)
+        n = own.count()
+        if n and self.path and stored.current(self.spark, self.path):
+            files = stored.manifest(self.spark, self.path)
+            stored.add(self.spark, self.path, self.index.provider, own.limit(0), own.select("source_id", "path"), files if files is None else files.where(F.col("source_id") != source))
+            store.clear(self.spark, f"{self.path}/chunks/source_id={source}")
+            self.stored = store.load_chunks(self.spark, self.path)
+            self._take(stored.load(self.spark, self.path, self.index.provider, self.index.expansions))
+        return n
+
     def _refresh(self, some: list[Source]) -> None:
         spark, before = self.spark, stored.manifest(self.spark, self.path)
         found = changes.changes(spark, some, before)

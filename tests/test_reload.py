@@ -104,6 +104,17 @@ def test_reload_takes_what_has_changed(spark, docs, tmp_path):
     same_as_new(spark, e, provider)
 
 
+def test_clear_takes_one_source_out(spark, docs, tmp_path):
+    _, sources = docs
+    provider = knn.hashing_provider(16)
+    e = engine_of(spark, sources, str(tmp_path / "store"), provider)
+    assert e.clear("nothing") == 0 and e.clear("guide") == 12
+    assert {r["source_id"]: r["chunk_count"] for r in e.list_sources().select(F.col("id").alias("source_id"), "chunk_count").collect()} == {"guide": 0, "ui": 2}
+    opened = Engine.open(spark, e.path, sources, provider)
+    assert opened.search("shared words").where("source_id = 'guide'").count() == 0 and opened.index.lexical.chunks == 2 and opened.index.lexical.terms.where("term = 'alpha1'").count() == 0
+    assert {r["source_id"]: r["chunk_count"] for r in opened.reload("guide").collect()} == {"guide": 12} and opened.search("alpha1").first()["path"] == "g1.md"
+
+
 def test_a_lost_driver_leaves_the_index_whole(spark, docs, tmp_path, monkeypatch):
     d, sources = docs
     provider = knn.hashing_provider(16)
