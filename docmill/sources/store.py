@@ -104,7 +104,7 @@ def upsert_vectors(new: DataFrame, path: str) -> DataFrame:
     """Merges vectors (id, ...) into the table at path; a new vector replaces one of its id. Returns the merged rows, to be written beside."""
     spark = new.sparkSession
     old = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
-    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     order = Window.partitionBy("id").orderBy(F.desc("_new"))
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
