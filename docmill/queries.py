@@ -16,7 +16,7 @@ from docmill.functions.schema import as_chunks
 from docmill.operators import coded, expand, fuse, graph, knn, lexical, pruned, segments
 from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
-from docmill.plans import changes, indexing, search
+from docmill.plans import changes, indexing, search, stored
 from docmill.plans.search import search_terms
 from docmill.plans.shared import shared_path, spread, written
 from docmill.plans.tools import best_files, component_usage, contexts, counts_by_source, source_filter, with_counts
@@ -487,6 +487,24 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_search(index, asked(spark), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "snippet")
 
 
+@query(SQL["hybrid_search"])
+def hybrid_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hybrid_search, by an index that was stored with its graph and opened again for lookups."""
+    chunks, path = chunks_of(spark, sf_dir), shared_path(spark, "engine")
+    hybrid = search.build_hybrid(chunks, letters_provider(), "plain")
+    stored.save(stored.Indexes(hybrid, lexical.build_tfidf(hybrid.chunks, keep), graph.build_graph(hybrid.chunks)), path)
+    index = stored.load(spark, path, letters_provider(), expand.expansions(spark)).hybrid
+    return search.hybrid_search(index, asked(spark), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "snippet")
+
+
+@query("SELECT item_id AS query_id, 3::BIGINT AS n FROM benchmark WHERE item_id % 3 <> 0")
+def hybrid_blank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each benchmark item as a query; every third is blank and has none."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, " \t ").otherwise(F.col("text")).alias("text"))
+    found = search.hybrid_search(search.build_hybrid(chunks_of(spark, sf_dir), letters_provider(), "plain"), rows, 3)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_BASE} SELECT id, 'letters' AS provider, 26 AS dim, (CASE WHEN seq % 2 = 0 THEN 2 ELSE 1 END * list_sum({_LETTERS.format("(title || chr(10) || chr(10) || content)")}))::BIGINT AS total FROM chunks""")
 def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of chunks, stored, and merged with new ones of every other chunk."""
@@ -743,6 +761,23 @@ def graph_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load_graph(spark, path).edges.select("src", "dst", "relation_type")
 
 
+def _brands(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """A graph without chunks, to which brands are added as categories below those of their types."""
+    none = graph.Graph(spark.createDataFrame([], graph.NODE_SCHEMA), spark.createDataFrame([], graph.EDGE_SCHEMA))
+    return graph.with_nodes(none, table(spark, sf_dir, "part").select(F.lit("category").alias("node_type"), F.col("p_brand").alias("name"), F.col("p_type").alias("parent_category")))
+
+
+@query("SELECT DISTINCT 'category:' || p_brand AS src, 'category:' || p_type AS dst, 'belongs_to' AS relation_type FROM part")
+def graph_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brands(spark, sf_dir).edges.select("src", "dst", "relation_type")
+
+
+@query("SELECT p_partkey, 'category:' || n AS node_id, n IN (SELECT p_brand FROM part) OR n IN (SELECT p_type FROM part) AS present FROM (SELECT p_partkey, [p_brand, p_type, p_name][p_partkey % 3 + 1] AS n FROM part)")
+def graph_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array("p_brand", "p_type", "p_name"), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return graph.contains(_brands(spark, sf_dir), table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("category:"), name).alias("node_id")))
+
+
 def _stored_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     path = shared_path(spark, "graph")
     store.save_graph(_graph(spark, sf_dir), path)

@@ -56,10 +56,12 @@ def report_of(documents: DataFrame, every: int = 50, terms: int = 5, k: int = 10
 
 def report(spark: SparkSession, documents: str, out: str, every: int = 50, terms: int = 5, k: int = 10) -> DataFrame:
     """Writes the report of the Parquet table documents to out, by source, logs a summary, and gives the report read back."""
-    report_of(spread(spark.read.parquet(documents)), every, terms, k).write.mode("overwrite").partitionBy("source").parquet(out)
+    rows = spark.read.parquet(documents)
+    log.info("%d documents read from %s", rows.count(), documents)
+    report_of(spread(rows), every, terms, k).write.mode("overwrite").partitionBy("source").parquet(out)
     rows = spark.read.schema(REPORT).parquet(out)
     n = rows.agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.count_if(F.col("rank") == 1).alias("first"), F.avg(F.coalesce("reciprocal_rank", F.lit(0.0))).alias("mean")).first()
-    log.info("%d documents of %s asked for: %d found among the first %d, %d as the first; mean reciprocal rank %s; written to %s", n["n"], documents, n["found"], k, n["first"], None if n["mean"] is None else round(n["mean"], 4), out)
+    log.info("%d rows written to %s: %d documents found among the first %d, %d as the first; mean reciprocal rank %s", n["n"], out, n["found"], k, n["first"], None if n["mean"] is None else round(n["mean"], 4))
     return rows
 
 
