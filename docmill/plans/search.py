@@ -101,7 +101,7 @@ def hybrid_search(index: HybridIndex, queries: DataFrame, k: int = 8, fetch: int
 
     Vectors are searched with the query as it was written; the index's provider makes both sides' vectors.
     """
-    queries = held(queries.where(F.trim("text") != ""))
+    queries = held(queries.where(~F.col("text").rlike(r"(?U)\A\s*\z")))
     name, dim = made_by(index.provider)
     if index.made_by is None:
         odd = index.vectors.where((F.col("provider") != name) | (F.col("dim") != (F.lit(dim) if dim else F.col("dim")))).limit(1).take(1)
