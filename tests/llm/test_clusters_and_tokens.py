@@ -2,14 +2,16 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-from docmill.llm import clusters, token_store
+from docmill.llm import clusters, queries, token_store
 from docmill.llm.eliasfano import EliasFano
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -190,3 +192,25 @@ def test_the_first_cells_of_a_file_are_its_ids(spark, tmp_path):
     raw = b"".join((tmp_path / "tokens" / f["file"]).read_bytes() for f in files)
     plain = Tokenizer.from_file(TOKENIZER)
     assert np.frombuffer(raw, "<u2").tolist() == [*plain.encode("a a").ids, 0, *plain.encode("b").ids, 0]
+
+
+# The registered queries.
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_the_queries_give_what_sql_and_brute_force_give(spark):
+    db = duckdb.connect()
+    for f in ("embeddings", "documents"):
+        db.execute(f"create view {f} as select * from '{SF}/{f}.parquet'")
+    want = db.execute(queries.SQL["op11_clusters"])
+    assert [d[0] for d in want.description] == queries.op11_clusters(spark, SF).columns
+    assert sorted(map(tuple, queries.op11_clusters(spark, SF).collect())) == sorted(want.fetchall())
+    plain, start, rows = Tokenizer.from_file(TOKENIZER), 0, []
+    for i, t in db.execute("select doc_id, text from documents order by doc_id").fetchall():
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        rows.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = queries.op12_tokens(spark, SF)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and sorted(map(tuple, got.collect())) == rows

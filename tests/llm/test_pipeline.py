@@ -135,7 +135,7 @@ def test_run_gives_the_same_as_its_stages(spark, folder):
 
 def test_a_query_for_each_operator():
     names = list(__spark_entry__.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 13)] and "pipeline" in names
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
