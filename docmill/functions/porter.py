@@ -119,11 +119,12 @@ def stemmed_all(c: Column) -> Column:
     def run(lists: pd.Series) -> pd.Series:
         known: dict[str, str] = {}
 
-        def of(term: str) -> str:
-            if term not in known:
-                known[term] = " ".join(stem(fold(t)) for t in term.split(" "))
-            return known[term]
+        def of(terms) -> list[str]:
+            for t in terms:
+                if t not in known:
+                    known[t] = " ".join([stem(fold(w)) for w in t.split(" ")])
+            return [known[t] for t in terms]
 
-        return pd.Series([None if ts is None else [of(t) for t in ts] for ts in lists], dtype=object)
+        return pd.Series([None if ts is None else of(ts) for ts in lists], dtype=object)
 
     return run(c)
