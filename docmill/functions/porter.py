@@ -62,7 +62,7 @@ def stem(w: str) -> str:
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     else:
