@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.schema import as_chunks
-from docmill.functions.text import all_matches, chunk_id, kebab_to_pascal, slug, stem_of
+from docmill.functions.text import all_matches, chunk_id, kebab_to_pascal, let, slug, stem_of
 from docmill.functions.vocabulary import PLAIN_TAGS, SECTION_KEYWORDS
 
 _BEFORE_HEADING = r"(?md)^(?=#{1,6}[^\S\n][^\n])"
@@ -23,10 +23,9 @@ def sections(content: Column, opening: str) -> Column:
     A line of one to six # and text opens a section, also inside code. What stands before the first is titled
     ``opening``, without an anchor; so is an empty document.
     """
-    pieces = F.split(content, _BEFORE_HEADING)
 
-    def section(piece: Column, i: Column) -> Column:
-        text = F.when(i < F.size(pieces) - 1, F.regexp_replace(piece, r"\n\z", "")).otherwise(piece)
+    def section(piece: Column, i: Column, n: Column) -> Column:
+        text = F.when(i < n - 1, F.regexp_replace(piece, r"\n\z", "")).otherwise(piece)
         line = F.split_part(text, F.lit("\n"), F.lit(1))
         heading = line.rlike(r"^#{1,6}\s.")
         title = F.when(heading, F.regexp_replace(F.regexp_replace(line, r"^#{1,6}\s+", ""), r"(?U)^\s+|\s+$", "")).otherwise(opening)
@@ -36,7 +35,8 @@ def sections(content: Column, opening: str) -> Column:
             text.alias("content"), fences.alias("code_blocks"), text.rlike(r"(?md)^\|.+\|$").alias("has_table"),
         )
 
-    return F.transform(pieces, section)
+    # The pieces are cut once; inside the transformation their expression would be worked out for each of them.
+    return let(F.split(content, _BEFORE_HEADING), lambda pieces: let(F.size(pieces), lambda n: F.transform(pieces, lambda piece, i: section(piece, i, n))))
 
 
 def kind_of_path(path: Column, component: bool = False) -> Column:
