@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators.chunking import CHUNKERS
-from docmill.plans.shared import few, held, written
+from docmill.plans.shared import sized, written
 from docmill.sources.config import Source
-from docmill.sources.files import listing, opened
+from docmill.sources.files import extension_of, listing, with_contents
 
 FILES = "source_id string, path string, length long, modified timestamp, digest string, how string"
 
@@ -34,7 +34,7 @@ def listed(spark: SparkSession, sources: list[Source]) -> DataFrame:
             if adapter.type == "compodoc":
                 rows = listing(spark, s.root, [adapter.config.get("json_path", "documentation.json")], [])
             elif adapter.type in CHUNKERS:
-                rows = listing(spark, s.root, s.include_globs, s.exclude_globs).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(CHUNKERS[adapter.type][0])))
+                rows = listing(spark, s.root, s.include_globs, s.exclude_globs).where(extension_of("path").isin(list(CHUNKERS[adapter.type][0])))
             else:
                 continue
             parts.append(rows.select(F.lit(s.id).alias("source_id"), "path", "uri", "length", "modified", F.lit(how_read(s)).alias("how")))
@@ -50,10 +50,10 @@ def changes(spark: SparkSession, sources: list[Source], manifest: DataFrame) ->
     known = manifest.where(F.col("source_id").isin([s.id for s in sources])).select("source_id", "path", *[F.col(c).alias(f"old_{c}") for c in ("length", "modified", "digest", "how")])
     both = listed(spark, sources).join(known, ["source_id", "path"], "full_outer")
     both = written(both.withColumn("look", F.col("uri").isNotNull() & ~(F.coalesce((F.col("length") == F.col("old_length")) & (F.col("modified") == F.col("old_modified")) & (F.col("how") == F.col("old_how")), F.lit(False)))), "listed-files")
-    look = few(both.where("look").select("uri"))
-    texts = opened(spark, [r[0] for r in look] if look is not None else [s.root for s in sources]).select(F.col("path").alias("uri"), F.sha2("content", 256).alias("digest"))
-    texts = texts if look is not None else texts.join(both.where("look").select("uri"), "uri", "left_semi")
-    rows = both.join(held(texts), "uri", "left").withColumn("digest", F.coalesce("digest", "old_digest"))
+    due = {r[0] for r in both.where("look").select("source_id").distinct().collect()}
+    parts = [with_contents(both.where(F.col("look") & (F.col("source_id") == s.id)).select("uri", "length"), s.root, "digest").select("uri", "digest") for s in sources if s.id in due]
+    texts = written(reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "uri string, digest string")).dropDuplicates(["uri"]), "digests")
+    rows = both.join(sized(texts), "uri", "left").withColumn("digest", F.coalesce("digest", "old_digest"))
     change = F.when(F.col("uri").isNull(), "removed").when(F.col("old_digest").isNull(), "added").when((F.col("digest") != F.col("old_digest")) | (F.col("how") != F.col("old_how")), "changed").otherwise("kept")
     now = lambda c: F.coalesce(c, f"old_{c}").alias(c)
     return written(rows.select("source_id", "path", "uri", change.alias("change"), now("length"), now("modified"), "digest", now("how")), "changed-files")

@@ -27,7 +27,7 @@ def _parts(spark: SparkSession, source: Source, number: int, only: list[str] | N
         if adapter.type == "compodoc":  # opens its file whatever the patterns say
             files = scan(spark, source.root, [adapter.config.get("json_path", "documentation.json")], [], source.id, source.entrypoints, latin, only)
         else:
-            files = scan(spark, source.root, source.include_globs, source.exclude_globs, source.id, source.entrypoints, latin, only).where(F.col("extension").isin(list(extensions)))
+            files = scan(spark, source.root, source.include_globs, source.exclude_globs, source.id, source.entrypoints, latin, only, list(extensions))
         files = files.where("error is null").drop("error", "extension")
         known = {k: v for k, v in adapter.config.items() if k in chunker.__code__.co_varnames[: chunker.__code__.co_argcount]}
         out.append(chunker(files, **known).withColumns({"source_no": F.lit(number), "adapter_no": F.lit(i)}))
