@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.schema import SYMBOL, as_chunks
 from docmill.functions.text import chunk_id, stem_of
+from docmill.plans.shared import written
 
 _PARSED = "struct<doc:string,imports:array<string>,symbols:array<struct<name:string,kind:string,doc:string,signature:string,private:boolean,decorators:array<string>,return_type:string,parameters:array<struct<name:string,annotation:string,default:string,kind:string>>,bases:array<string>,is_async:boolean>>>"
 
@@ -113,7 +114,10 @@ def chunk_python(files: DataFrame, chunk_strategy: str = "symbol", include_priva
     name = F.element_at(F.split("path", "/"), -1)
     if not include_tests:
         files = files.where(~name.startswith("test_") & ~name.endswith("_test.py"))
-    rows = files.withColumn("m", parsed("content")).where("m.symbols is not null").withColumns({"doc": F.col("m.doc"), "imports": F.col("m.imports"), "symbols": F.col("m.symbols"), "stem": stem_of("path"), "file_modified": F.col("modified")}).drop("m")
+    # Not deterministic for the optimizer, which else parses once more for the filter, and below a repartition.
+    rows = files.withColumn("m", parsed.asNondeterministic()("content")).where("m.symbols is not null").withColumns({"doc": F.col("m.doc"), "imports": F.col("m.imports"), "symbols": F.col("m.symbols"), "stem": stem_of("path"), "file_modified": F.col("modified")}).drop("m")
+    # Symbols and what is said of whole modules are read from the parsed modules apart; each module is parsed once.
+    rows = rows if chunk_strategy == "file" else written(rows, "modules")
     rows = rows.withColumns({"language": F.lit("python"), "code_blocks": F.array(F.lit("python")), "chunk_class": F.lit("source"), "chunk_type": F.lit("source")})
     one_id = lambda part: chunk_id(F.col("source_id"), F.lit("python"), F.concat("path", part))
     first = F.trim(F.split_part(F.coalesce("doc", F.lit("")), F.lit("\n"), F.lit(1)))

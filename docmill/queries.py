@@ -18,7 +18,7 @@ from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
 from docmill.plans import changes, indexing, search, stored
 from docmill.plans.search import search_terms
-from docmill.plans.shared import shared_path, spread, written
+from docmill.plans.shared import dealt, shared_path, spread, written
 from docmill.plans.tools import best_files, component_usage, contexts, counts_by_source, source_filter, with_counts
 from docmill.sources import files, store
 from docmill.sources.config import Adapter, Source, sources_table
@@ -830,7 +830,7 @@ def component_usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name AS component, p_type AS category, p_brand AS uses FROM part")
 def front_matter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit('---\ncomponent: "'), F.col("p_name"), F.lit('"\ncategory: "'), F.col("p_type"), F.lit('"\nuses:\n  - "'), F.col("p_brand"), F.lit('"\n---\n# Text\n'))
-    rows = table(spark, sf_dir, "part").select("p_partkey", front_matter(doc).alias("f"))
+    rows = dealt(table(spark, sf_dir, "part")).select("p_partkey", front_matter(doc).alias("f"))
     return rows.select("p_partkey", F.col("f.component").alias("component"), F.col("f.category").alias("category"), F.array_join("f.uses", ",").alias("uses"))
 
 
@@ -838,7 +838,7 @@ def front_matter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str, path, content) -> DataFrame:
-    rows = table(spark, sf_dir, "part").withColumn("pascal", text.kebab_to_pascal(text.slug("p_name"))).withColumn("key", F.col("p_partkey").cast("string"))
+    rows = dealt(table(spark, sf_dir, "part")).withColumn("pascal", text.kebab_to_pascal(text.slug("p_name"))).withColumn("key", F.col("p_partkey").cast("string"))
     return rows.select(F.lit("parts").alias("source_id"), path.alias("path"), content.alias("content"), F.lit(None).cast("timestamp_ntz").alias("modified"), F.lit(False).alias("is_entrypoint"))
 
 
