@@ -31,12 +31,12 @@ def made_by(provider: knn.Provider) -> tuple[str, int | None]:
     return getattr(provider, "name", "custom"), getattr(provider, "dim", None)
 
 
-def build_hybrid(chunks: DataFrame, provider: knn.Provider | None = None, analyzer: str = "porter", expansions: DataFrame | None = None, keep=written) -> HybridIndex:
-    """An index of chunks; of chunks with one id the last counts."""
+def build_hybrid(chunks: DataFrame, provider: knn.Provider | None = None, analyzer: str = "porter", expansions: DataFrame | None = None, keep=written, stored: bool = False) -> HybridIndex:
+    """An index of chunks; of chunks with one id the last counts. stored: see lexical.build_lexical()."""
     provider = provider or knn.hashing_provider()
     chunks = keep(lexical.latest(chunks), "latest-chunks")
     vectors = knn.embed_chunks(chunks, provider)
-    return HybridIndex(chunks, lexical.build_lexical(chunks, analyzer, keep=keep, positions=True), keep(vectors, "vectors"), provider, expansions, made_by(provider))
+    return HybridIndex(chunks, lexical.build_lexical(chunks, analyzer, keep=keep, positions=True, stored=stored), keep(vectors, "vectors"), provider, expansions, made_by(provider))
 
 
 def search_terms(queries: DataFrame, expansions: DataFrame | None) -> DataFrame:

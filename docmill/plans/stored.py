@@ -21,8 +21,8 @@ from docmill.operators.graph import Graph
 from docmill.operators.knn import Provider
 from docmill.operators.lexical import FIELDS, Lexical, build_lexical, build_tfidf, latest, tokens_of
 from docmill.plans.changes import FILES
-from docmill.plans.search import HybridIndex
-from docmill.plans.shared import BROADCAST_ROWS, kept_near, sized, written
+from docmill.plans.search import HybridIndex, build_hybrid
+from docmill.plans.shared import BROADCAST_ROWS, PACKED, kept_near, packed, sized, written
 from docmill.sources import store
 from docmill.sources.files import delete, exists, folders, read_text, write_text
 
@@ -51,21 +51,42 @@ def _point(spark: SparkSession, path: str, told: dict) -> None:
     write_text(spark, f"{path}/index/{POINTER}", json.dumps(told))
 
 
-def _put(at: str, chunks: DataFrame, lexical: Lexical, tfidf: Lexical, vectors: DataFrame) -> None:
-    """The tables of a segment. Chunks are in ranges of ids and postings in ranges of terms, so that lookups skip most of them."""
-    store.in_ranges(chunks, lexical.chunks, "id").write.mode("overwrite").parquet(f"{at}/chunks")
+def _put(at: str, chunks: DataFrame, lexical: Lexical, tfidf: Lexical, vectors: DataFrame, there: bool = False) -> None:
+    """The tables of a segment. Chunks are in ranges of ids and postings in ranges of terms, so that lookups skip most of them. there: chunks and vectors are in their place."""
+    if not there:
+        store.in_ranges(chunks, lexical.chunks, "id").write.options(**PACKED).mode("overwrite").parquet(f"{at}/chunks")
     chunks.select("id", "source_id", "path", F.size(tokens_of(FIELDS)).cast("long").alias("n")).write.mode("overwrite").parquet(f"{at}/documents")
     store.save_lexical(lexical, f"{at}/lexical")
     store.save_lexical(tfidf, f"{at}/tfidf")
-    store.save_vectors(vectors, f"{at}/vectors")
+    if not there:
+        store.save_vectors(vectors, f"{at}/vectors")
 
 
-def save(found: Indexes, path: str, files: DataFrame | None = None, marks: dict[str, int] | None = None) -> None:
-    """Writes all tables as a new version of one segment. files: the manifest of the files that were indexed; marks: see add()."""
-    spark, version = found.hybrid.chunks.sparkSession, uuid.uuid4().hex
+def build(chunks: DataFrame, path: str, provider: Provider, analyzer: str = "porter", files: DataFrame | None = None, marks: dict[str, int] | None = None) -> None:
+    """The index of chunks, stored as save() does, without a copy of chunks and vectors beside: they are written to their place at once, chunks in ranges of ids."""
+    spark, version = chunks.sparkSession, uuid.uuid4().hex
+    at = f"{path}/index/{version}/0"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if name == "latest-chunks":
+            df.write.options(**PACKED).mode("overwrite").parquet(f"{at}/chunks")
+            return spark.read.schema(df.schema).parquet(f"{at}/chunks")
+        if name == "vectors":
+            store.save_vectors(df, f"{at}/vectors")
+            return store.load_vectors(spark, f"{at}/vectors")
+        return packed(df, name)
+
+    # The window over ids, by which the last of a chunk is found, keeps these ranges and sorts within them.
+    hybrid = build_hybrid(chunks.repartitionByRange("id"), provider, analyzer, keep=keep, stored=True)
+    save(Indexes(hybrid, build_tfidf(hybrid.chunks, packed, stored=True), graphs.build_graph(hybrid.chunks)), path, files, marks, version)
+
+
+def save(found: Indexes, path: str, files: DataFrame | None = None, marks: dict[str, int] | None = None, begun: str | None = None) -> None:
+    """Writes all tables as a new version of one segment. files: the manifest of the files that were indexed; marks: see add(); begun: see build()."""
+    spark, version = found.hybrid.chunks.sparkSession, begun or uuid.uuid4().hex
     old = current(spark, path)
     at = f"{path}/index/{version}/0"
-    _put(at, found.hybrid.chunks, found.hybrid.lexical, found.tfidf, found.hybrid.vectors)
+    _put(at, found.hybrid.chunks, found.hybrid.lexical, found.tfidf, found.hybrid.vectors, begun is not None)
     store.save_graph(found.graph, f"{at}/graph")
     if files is not None:
         files.write.mode("overwrite").parquet(f"{at}/files")
@@ -123,7 +144,8 @@ def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touc
     at = f"{path}/index/{told['version']}/{k}"
     analyzer = store.load_lexical(spark, f"{parts[0]}/lexical").analyzer
     new = written(latest(new), "new-chunks")
-    lexical, tfidf = build_lexical(new, analyzer, keep=kept_near, positions=True), build_tfidf(new, keep=kept_near)
+    keep = kept_near if len(new.select("id").take(store.SMALL + 1)) <= store.SMALL else packed
+    lexical, tfidf = build_lexical(new, analyzer, keep=keep, positions=True, stored=True), build_tfidf(new, keep=keep, stored=True)
     known = [store.load_vectors(spark, f"{p}/vectors") for p in parts]
     vectors = written(knn.embed_chunks(new, provider, segments.living(known, None)), "new-vectors")
     _put(at, new, lexical, tfidf, vectors)

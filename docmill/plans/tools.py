@@ -31,8 +31,8 @@ class Engine:
     def __init__(self, chunks: DataFrame, sources: list[Source] | None = None, provider: knn.Provider | None = None, analyzer: str = "porter", expanding: bool = True, path: str | None = None, known: graph.Graph | None = None):
         self.spark: SparkSession = chunks.sparkSession
         self.sources, self.path, self.stored, self.known = sources or [], path, chunks, known
-        hybrid = build_hybrid(chunks, provider, analyzer, expand.expansions(self.spark) if expanding else None)
-        self._take(stored.Indexes(hybrid, lexical.build_tfidf(hybrid.chunks), graph.kept(known or graph.build_graph(hybrid.chunks))))
+        hybrid = build_hybrid(chunks, provider, analyzer, expand.expansions(self.spark) if expanding else None, stored=path is not None)
+        self._take(stored.Indexes(hybrid, lexical.build_tfidf(hybrid.chunks, stored=path is not None), graph.kept(known or graph.build_graph(hybrid.chunks))))
 
     def _take(self, found: stored.Indexes) -> None:
         self.index: HybridIndex = found.hybrid

@@ -18,7 +18,7 @@ from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
 from docmill.plans import changes, indexing, search, stored
 from docmill.plans.search import search_terms
-from docmill.plans.shared import dealt, shared_path, spread, written
+from docmill.plans.shared import dealt, packed, shared_path, spread, written
 from docmill.plans.tools import best_files, component_usage, contexts, counts_by_source, source_filter, with_counts
 from docmill.sources import files, store
 from docmill.sources.config import Adapter, Source, sources_table
@@ -491,8 +491,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As hybrid_search, by an index that was stored with its graph and opened again for lookups."""
     chunks, path = chunks_of(spark, sf_dir), shared_path(spark, "engine")
-    hybrid = search.build_hybrid(chunks, letters_provider(), "plain")
-    stored.save(stored.Indexes(hybrid, lexical.build_tfidf(hybrid.chunks, keep), graph.build_graph(hybrid.chunks)), path)
+    stored.build(chunks, path, letters_provider(), "plain")
     index = stored.load(spark, path, letters_provider(), expand.expansions(spark)).hybrid
     return search.hybrid_search(index, asked(spark), 8).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "snippet")
 
@@ -800,7 +799,7 @@ def related_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over an index that was saved and loaded."""
     path = shared_path(spark, "lexical")
-    store.save_lexical(lexical.build_lexical(chunks_of(spark, sf_dir)), path)
+    store.save_lexical(lexical.build_lexical(chunks_of(spark, sf_dir), keep=packed, stored=True), path)
     return lexical.bm25_search(store.load_lexical(spark, path), spark.createDataFrame([(1, "annt eringed inor")], "query_id int, text string"), 10).select("query_id", "id", "score", "rank")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docmill.functions.schema import CHUNK_SCHEMA, as_chunks
 from docmill.functions.text import uuid5
 from docmill.operators.graph import EDGE_SCHEMA, NODE_SCHEMA, REACH_SCHEMA, Graph, reach_of
-from docmill.operators.lexical import Lexical
+from docmill.operators.lexical import Lexical, blocks_of, counted, documents_of, postings_of, terms_of
+from docmill.plans.shared import PACKED
 from docmill.sources.files import delete, exists, read_text, write_text
 
 
@@ -63,6 +64,8 @@ def load_graph(spark: SparkSession, path: str) -> Graph | None:
 
 _POSTINGS = "id string, source_id string, seq long, n int, term string, tf long"
 _PLACES = ", at array<int>"
+_BLOCKS = "term string, base long, docs array<short>, tfs array<int>"
+_DOCUMENTS = "no long, id string, source_id string, seq long, n int"
 
 
 #: Chunks up to which a table is written as one file, without looking for ranges first.
@@ -75,16 +78,26 @@ def in_ranges(rows: DataFrame, chunks: int, *by: str) -> DataFrame:
 
 
 def save_lexical(index: Lexical, path: str) -> None:
-    """Postings in ranges of terms, so that a scan for few terms skips most row groups."""
-    postings = index.postings.select("id", "source_id", "seq", "n", "term", F.col("tf").cast("long").alias("tf"), *(["at"] if "at" in index.postings.columns else []))
-    in_ranges(postings, index.chunks, "term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    in_ranges(index.terms, index.chunks, "term").write.mode("overwrite").parquet(f"{path}/terms")
-    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer, "positions": "at" in index.postings.columns}))
+    """Postings in ranges of terms, so that a scan for few terms skips most row groups.
+
+    They are shuffled and written in blocks with the numbers of chunks; ids, sources and lengths stand in a table of the chunks, once each. Frequencies are
+    those of the blocks.
+    """
+    blocks, write = blocks_of(index), lambda df, name: df.write.options(**PACKED).mode("overwrite").parquet(f"{path}/{name}")
+    write(documents_of(blocks).withColumn("seq", F.col("seq").cast("long")), "documents")
+    write(in_ranges(terms_of(blocks), index.chunks, "term", "base"), "postings")
+    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer, "positions": "at" in index.postings.columns, "blocks": True}))
 
 
 def load_lexical(spark: SparkSession, path: str) -> Lexical:
     s = json.loads(read_text(spark, f"{path}/statistics.json"))
-    return Lexical(spark.read.schema(_POSTINGS + (_PLACES if s.get("positions") else "")).parquet(f"{path}/postings"), spark.read.schema("term string, df long").parquet(f"{path}/terms"), s["chunks"], s["mean"], s["analyzer"])
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    if s.get("blocks"):
+        blocks = table("postings", _BLOCKS + (_PLACES if s["positions"] else ""))
+        postings, terms = postings_of(blocks, table("documents", _DOCUMENTS)), counted(blocks)
+    else:  # a row for each posting, as former versions stored them
+        postings, terms = table("postings", _POSTINGS + (_PLACES if s.get("positions") else "")), table("terms", "term string, df long")
+    return Lexical(postings, terms, s["chunks"], s["mean"], s["analyzer"])
 
 
 _VECTORS = "id string, point_id string, source_id string, embedding array<float>, provider string, dim int, digest string"
@@ -93,7 +106,7 @@ _VECTORS = "id string, point_id string, source_id string, embedding array<float>
 def save_vectors(vectors: DataFrame, path: str) -> None:
     """Vectors with the UUID that names each point, and the digest of what was embedded, if that is known."""
     digest = F.col("digest") if "digest" in vectors.columns else F.lit(None).cast("string").alias("digest")
-    vectors.select("id", uuid5(F.col("id")).alias("point_id"), "source_id", "embedding", "provider", "dim", digest).write.mode("overwrite").parquet(path)
+    vectors.select("id", uuid5(F.col("id")).alias("point_id"), "source_id", "embedding", "provider", "dim", digest).write.options(**PACKED).mode("overwrite").parquet(path)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -75,8 +75,8 @@ def merge_index(path: str, adapter: str, name: str, provider: Provider | None =
         if old and told["segment"] < stored.MOST_SEGMENTS:
             return stored.add(spark, path, provider, new, files.select("source_id", "path"), mark=(name, number))
         chunks = new if old is None else old.hybrid.chunks.join(sized(files.select("source_id", "path")), ["source_id", "path"], "left_anti").select(*new.columns).unionByName(new)
-        hybrid = build_hybrid(chunks, provider)
-        stored.save(stored.Indexes(hybrid, build_tfidf(hybrid.chunks), build_graph(hybrid.chunks)), path, stored.manifest(spark, path), (told or {}).get("marks", {}) | {name: number})
+        hybrid = build_hybrid(chunks, provider, stored=True)
+        stored.save(stored.Indexes(hybrid, build_tfidf(hybrid.chunks, stored=True), build_graph(hybrid.chunks)), path, stored.manifest(spark, path), (told or {}).get("marks", {}) | {name: number})
 
     return merge
 
