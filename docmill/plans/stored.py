@@ -144,8 +144,9 @@ def add(spark: SparkSession, path: str, provider: Provider, new: DataFrame, touc
     at = f"{path}/index/{told['version']}/{k}"
     analyzer = store.load_lexical(spark, f"{parts[0]}/lexical").analyzer
     new = written(latest(new), "new-chunks")
-    keep = kept_near if len(new.select("id").take(store.SMALL + 1)) <= store.SMALL else packed
-    lexical, tfidf = build_lexical(new, analyzer, keep=keep, positions=True, stored=True), build_tfidf(new, keep=keep, stored=True)
+    many = len(new.select("id").take(store.SMALL + 1)) > store.SMALL
+    keep = packed if many else kept_near
+    lexical, tfidf = build_lexical(new, analyzer, keep=keep, positions=True, stored=many), build_tfidf(new, keep=keep, stored=many)
     known = [store.load_vectors(spark, f"{p}/vectors") for p in parts]
     vectors = written(knn.embed_chunks(new, provider, segments.living(known, None)), "new-vectors")
     _put(at, new, lexical, tfidf, vectors)

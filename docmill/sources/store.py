@@ -81,12 +81,18 @@ def save_lexical(index: Lexical, path: str) -> None:
     """Postings in ranges of terms, so that a scan for few terms skips most row groups.
 
     They are shuffled and written in blocks with the numbers of chunks; ids, sources and lengths stand in a table of the chunks, once each. Frequencies are
-    those of the blocks.
+    those of the blocks. An index of few chunks, such as most segments, has rows instead, so that searches of many such need no joins.
     """
-    blocks, write = blocks_of(index), lambda df, name: df.write.options(**PACKED).mode("overwrite").parquet(f"{path}/{name}")
-    write(documents_of(blocks).withColumn("seq", F.col("seq").cast("long")), "documents")
-    write(in_ranges(terms_of(blocks), index.chunks, "term", "base"), "postings")
-    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer, "positions": "at" in index.postings.columns, "blocks": True}))
+    few, write = index.chunks <= SMALL, lambda df, name: df.write.options(**PACKED).mode("overwrite").parquet(f"{path}/{name}")
+    if few:
+        postings = index.postings.select("id", "source_id", F.col("seq").cast("long").alias("seq"), "n", "term", F.col("tf").cast("long").alias("tf"), *(["at"] if "at" in index.postings.columns else []))
+        write(in_ranges(postings, index.chunks, "term", "id"), "postings")
+        write(in_ranges(index.terms, index.chunks, "term"), "terms")
+    else:
+        blocks = blocks_of(index)
+        write(documents_of(blocks).withColumn("seq", F.col("seq").cast("long")), "documents")
+        write(in_ranges(terms_of(blocks), index.chunks, "term", "base"), "postings")
+    write_text(index.postings.sparkSession, f"{path}/statistics.json", json.dumps({"chunks": index.chunks, "mean": float(index.mean), "analyzer": index.analyzer, "positions": "at" in index.postings.columns, "blocks": not few}))
 
 
 def load_lexical(spark: SparkSession, path: str) -> Lexical:
@@ -95,7 +101,7 @@ def load_lexical(spark: SparkSession, path: str) -> Lexical:
     if s.get("blocks"):
         blocks = table("postings", _BLOCKS + (_PLACES if s["positions"] else ""))
         postings, terms = postings_of(blocks, table("documents", _DOCUMENTS)), counted(blocks)
-    else:  # a row for each posting, as former versions stored them
+    else:  # a row for each posting: few chunks, or a former version's
         postings, terms = table("postings", _POSTINGS + (_PLACES if s.get("positions") else "")), table("terms", "term string, df long")
     return Lexical(postings, terms, s["chunks"], s["mean"], s["analyzer"])
 

@@ -32,6 +32,7 @@ def rows_of(index, positions):
 def test_blocks_give_the_same_postings(spark, monkeypatch, tmp_path, size, rows, positions, analyzer):
     plain = chunk_rows(spark, TEXTS)
     want = lexical.build_lexical(plain, analyzer, ("title", "content"), positions=positions)
+    monkeypatch.setattr(store, "SMALL", 0 if size > 1 else 1000)
     monkeypatch.setattr(lexical, "BLOCK_BYTES", size)
     monkeypatch.setattr(lexical, "ROWS", rows)
     monkeypatch.setattr(lexical, "BLOCK_ROW", rows)
@@ -45,7 +46,8 @@ def test_blocks_give_the_same_postings(spark, monkeypatch, tmp_path, size, rows,
         assert (index.chunks, index.mean, index.analyzer) == (want.chunks, pytest.approx(want.mean), analyzer)
 
 
-def test_blocks_of_tfidf_and_of_nothing(spark, tmp_path):
+def test_blocks_of_tfidf_and_of_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SMALL", -1)
     for k, texts in enumerate((TEXTS, ["", None, "the of"], [])):
         chunks = chunk_rows(spark, texts) if texts else chunk_rows(spark, ["a"]).limit(0)
         want, path = lexical.build_tfidf(chunks), str(tmp_path / str(k))
