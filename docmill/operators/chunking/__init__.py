@@ -19,3 +19,5 @@ CHUNKERS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "source": (("ts", "tsx", "js", "jsx", "html", "htm", "scss", "sass", "css", "py"), chunk_source),
     "python": (("py", "pyw"), chunk_python),
 }
+#: Adapters whose chunkers give the chunks of files as the files come, each file's in order. Those of others are sorted.
+IN_ORDER = {"markdown", "component"}

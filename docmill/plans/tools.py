@@ -10,7 +10,7 @@ from docmill.operators import expand, graph, knn, lexical
 from docmill.plans import changes, stored
 from docmill.plans.indexing import index_sources
 from docmill.plans.search import HybridIndex, build_hybrid, hybrid_search
-from docmill.plans.shared import few, local_table, sized, written
+from docmill.plans.shared import few, local_table, release, sized, written
 from docmill.sources import store
 from docmill.sources.config import Source, load_sources, sources_table
 
@@ -61,6 +61,7 @@ class Engine:
         chunks = index_sources(spark, sources)
         if path:
             store.save_chunks(chunks, path)
+            release(chunks)
             chunks = store.load_chunks(spark, path)
         self = cls(chunks, sources, path=path, **options)
         if path:
@@ -140,6 +141,7 @@ class Engine:
         new = index_sources(self.spark, some, 0 if source is None else store.last_seq(self.stored) + 1)
         if self.path:
             store.save_chunks(new, self.path, None if source is None else [source])
+            release(new)
             chunks = store.load_chunks(self.spark, self.path)
         else:
             chunks = new if source is None else self.stored.where(F.col("source_id") != source).unionByName(new)

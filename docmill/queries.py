@@ -18,7 +18,7 @@ from docmill.operators.chunking import apidoc, pycode, sections, webcode
 from docmill.operators.chunking.sections import front_matter
 from docmill.plans import changes, indexing, search, stored
 from docmill.plans.search import search_terms
-from docmill.plans.shared import dealt, packed, shared_path, spread, written
+from docmill.plans.shared import dealt, packed, release, shared_path, spread, written
 from docmill.plans.tools import best_files, component_usage, contexts, counts_by_source, source_filter, with_counts
 from docmill.sources import files, store
 from docmill.sources.config import Adapter, Source, sources_table
@@ -712,10 +712,17 @@ n AS (SELECT *, substr(sha256('docs:' || path || ':' || anchor), 1, 16) AS id, r
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a source with two adapters that see the same files, by way of the store."""
-    source = Source("docs", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component", {"default_category": "Documents"}), Adapter("markdown")])
-    path = shared_path(spark, "chunk-store")
-    store.save_chunks(indexing.index_source(spark, source), path)
-    return store.load_chunks(spark, path)
+    return store.load_chunks(spark, _stored(spark, sf_dir, [Adapter("component", {"default_category": "Documents"}), Adapter("markdown")]))
+
+
+def _stored(spark: SparkSession, sf_dir: str, adapters: list[Adapter]) -> str:
+    """Where the chunks of all documents' files are stored. The files, once chunks are made of them, and these chunks, once they are stored, make room."""
+    root, path = _folder(spark, sf_dir), shared_path(spark, "chunk-store")
+    chunks = indexing.index_source(spark, Source("docs", root, exclude_globs=["*/drafts/*"], adapters=adapters))
+    files.write_files(_document_files(spark, sf_dir).withColumn("content", F.lit(None).cast("string")), root)
+    store.save_chunks(chunks, path)
+    release(chunks)
+    return path
 
 
 @query(f"WITH {_SECTIONS} SELECT seq, id, path, title, anchor, sha256(content) AS content_sha256, depth, code_blocks, has_table, chunk_class, component_name, component_category FROM n")

@@ -175,14 +175,18 @@ def _walked(spark: SparkSession, base: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select(F.concat(F.lit(base), "below").alias("uri"), "length", F.timestamp_millis("ms").alias("modificationTime"))
 
 
-def with_contents(files: DataFrame, root: str, value: str = "content") -> DataFrame:
-    """files(uri, length, ...) below root with the bytes of each, or with value="digest" their SHA-256; tasks read them, about as many bytes and files each."""
+def with_contents(files: DataFrame, root: str, value: str = "content", by: str | None = None) -> DataFrame:
+    """files(uri, length, ...) below root with the bytes of each, or with value="digest" their SHA-256; tasks read them, about as many bytes and files each.
+
+    by: a column in whose order the files are read, within tasks and from task to task, so that what is in them need not be sorted.
+    """
     spark = files.sparkSession
     base = qualified(spark, root)
     if not _by_tasks(base):
         told = F.col("content") if value == "content" else F.sha2("content", 256).alias("digest")
         some = few(files.select("uri"))
-        return files.join(opened(spark, [base] if some is None else [r[0] for r in some]).select(F.col("path").alias("uri"), told), "uri").select(*files.columns, value)
+        rows = files.join(opened(spark, [base] if some is None else [r[0] for r in some]).select(F.col("path").alias("uri"), told), "uri").select(*files.columns, value)
+        return rows if by is None else rows.orderBy(by)
     n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     tasks = max(min(n, 4 * spark.sparkContext.defaultParallelism), n // TASK_FILES, size // TASK_BYTES, 1)
     at_uri, names = files.columns.index("uri"), [*files.columns, value]
@@ -208,7 +212,8 @@ def with_contents(files: DataFrame, root: str, value: str = "content") -> DataFr
                     first, texts, held = i + 1, [], 0
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.repartition(tasks).mapInArrow(run, f"{kinds}, {value} {'binary' if value == 'content' else 'string'}")
+    files = files.repartition(tasks) if by is None else files.repartitionByRange(tasks, by).sortWithinPartitions(by)
+    return files.mapInArrow(run, f"{kinds}, {value} {'binary' if value == 'content' else 'string'}")
 
 
 def listing(spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
@@ -236,16 +241,16 @@ def extension_of(path: Column | str) -> Column:
 
 def scan(
     spark: SparkSession, root: str, include: list[str], exclude: list[str] | None = None, source_id: str = "", entrypoints: list[str] | None = None, latin: bool = True, only: list[str] | None = None,
-    extensions: list[str] | None = None,
+    extensions: list[str] | None = None, in_order: bool = False,
 ) -> DataFrame:
     """(source_id, path, content, modified, is_entrypoint, extension, error) of the files of a listing(), or of those with one of the extensions.
 
-    Files that can't be decoded have a null content and say so in error. Order is by path where it matters: rows carry their path.
+    Files that can't be decoded have a null content and say so in error. Order is by path where it matters: rows carry their path, or with in_order come by it.
     """
     text = decoded(F.col("content"), latin)
     found = listing(spark, root, include, exclude, only)
     found = found if extensions is None else found.where(extension_of("path").isin(extensions))
-    found = with_contents(found.drop("whole"), root)
+    found = with_contents(found.drop("whole"), root, by="path" if in_order else None)
     return found.select(
         F.lit(source_id).alias("source_id"), "path", text.alias("content"), F.col("modified").cast("timestamp_ntz").alias("modified"), F.col("path").isin(list(entrypoints or [])).alias("is_entrypoint"),
         extension_of("path").alias("extension"), F.when(text.isNull(), F.lit("not UTF-8")).alias("error"),

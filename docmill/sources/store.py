@@ -18,7 +18,7 @@ from docmill.sources.files import delete, exists, read_text, write_text
 def save_chunks(chunks: DataFrame, path: str, source_ids: list[str] | None = None) -> None:
     """Replaces the store, or with source_ids only these sources' partitions: files of other sources aren't touched."""
     rows = as_chunks(chunks.withColumn("indexed_at", F.current_timestamp().cast("timestamp_ntz")))
-    writer = rows.write.mode("overwrite").partitionBy("source_id")
+    writer = rows.write.options(**PACKED).mode("overwrite").partitionBy("source_id")
     if source_ids is not None:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(f"{path}/chunks")
