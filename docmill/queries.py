@@ -739,10 +739,7 @@ def indexed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT true AS present, 6 * count(*) AS chunk_count, true AS indexed FROM documents")
 def store_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "chunk-store")
-    source = Source("docs", _folder(spark, sf_dir), exclude_globs=["*/drafts/*"], adapters=[Adapter("component"), Adapter("markdown")])
-    store.save_chunks(indexing.index_source(spark, source), path)
-    return store.metadata(spark, path).select("present", "chunk_count", F.col("indexed_at").isNotNull().alias("indexed"))
+    return store.metadata(spark, _stored(spark, sf_dir, [Adapter("component"), Adapter("markdown")])).select("present", "chunk_count", F.col("indexed_at").isNotNull().alias("indexed"))
 
 
 @query("""

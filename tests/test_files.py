@@ -81,7 +81,7 @@ def test_contents_of_files_are_numbered_without_a_shuffle(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-@pytest.mark.parametrize("name", ["indexed_chunks", "indexed_latest"])
+@pytest.mark.parametrize("name", ["indexed_chunks", "indexed_latest", "store_metadata"])
 def test_files_and_unnumbered_chunks_are_gone_once_chunks_are_stored(spark, name):
     left = lambda: {os.path.join(d, f) for d, _, names in os.walk(shared_dir(spark)) for f in names if "docmill-document-files-" in d or "docmill-chunks-" in d}
     before = left()
